@@ -5,10 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, pii, quality, toxicity
+from . import bpe, langid, pfor, pii, quality, toxicity
 from .common import crc_part, table
 
 
+def tokenizer_file(name: str) -> str:
+    """Where a public vocabulary file lies on this machine; the same place on every executor."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.learn(docs, usable=crc_part("doc_id", 3) != 1)
@@ -20,6 +31,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pfor.read_files(pfor.write_files(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json")))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
@@ -32,8 +47,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_bpe": op2_bpe,
     "op3_language_id": op3_language_id,
     "op5_quality_rules": op5_quality_rules,
+    "op6_token_files": op6_token_files,
     "op7_pii": op7_pii,
     "op10_toxicity": op10_toxicity,
 }
