@@ -150,16 +150,26 @@ def per_doc(doc: np.ndarray, n: int, weights: np.ndarray | None = None) -> np.nd
 
 
 def minimizers(codes: np.ndarray, width: int) -> np.ndarray:
-    """For each run of `width` codes, the place of its least one (the last of equals)."""
+    """For each run of `width` codes, the place of its least one (the first of equals)."""
     n = len(codes) - width + 1
     if n <= 0:
         return np.zeros(0, dtype=np.int64)
-    at, reach, place = codes, 1, np.arange(len(codes), dtype=np.int64)
-    while reach < width:  # sparse-table minimum: spans double
-        step = min(reach, width - reach)
-        left, right = at[: len(at) - step], at[step:]
-        later = right <= left
-        at = np.where(later, right, left)
-        place = np.where(later, place[step:], place[: len(place) - step])
-        reach += step
-    return place
+    key = np.full(-(-len(codes) // width) * width, np.iinfo(np.uint64).max, dtype=U)
+    key[: len(codes)] = (codes & U(0xFFFFFFFF00000000)) | np.arange(len(codes), dtype=U)
+    blocks = key.reshape(-1, width)
+    ahead = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].reshape(-1)
+    behind = np.minimum.accumulate(blocks, axis=1).reshape(-1)
+    return (np.minimum(ahead[:n], behind[width - 1 : width - 1 + n]) & U(0xFFFFFFFF)).astype(np.int64)
+
+
+def lists(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values and int64 bounds of a list column without nulls."""
+    if isinstance(col, pa.ChunkedArray):
+        col = col.combine_chunks()
+    off = col.offsets.to_numpy().astype(np.int64)
+    return col.flatten().to_numpy(zero_copy_only=False), off - off[0]
+
+
+def list_array(values: np.ndarray, owner: np.ndarray, n: int, kind: pa.DataType) -> pa.ListArray:
+    """A list for each of n owners; owner is ascending."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(n + 1)).astype(np.int32)), pa.array(values, kind))

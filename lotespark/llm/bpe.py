@@ -28,7 +28,7 @@ from . import arrays as A
 from . import pretoken
 
 FAR = np.int64(1 << 40)
-CHUNK = 6 << 20
+CHUNK = 2 << 20
 
 
 class Vocabulary:
@@ -39,6 +39,7 @@ class Vocabulary:
             spec = json.load(f)
         model = spec["model"]
         vocab, end = model["vocab"], model["end_of_word_suffix"] or ""
+        self.cache = pretoken.word_cache(path)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.size = max([*vocab.values(), *self.special.values()]) + 1
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
@@ -124,13 +125,16 @@ def encode_chunk(v: Vocabulary, texts: list[str]) -> tuple[list[np.ndarray], np.
     cp, off = pretoken.code_points(pieces)
     start, end, piece = pretoken.split(cp, off, "word")
     if len(start):
-        first, number = pretoken.distinct(cp, start, end)
-        s, e = start[first], end[first]
-        chars = cp[A.ranges(s, e - s)]
-        wide = 1 + (chars >= 0x80).astype(np.int64) + (chars >= 0x800) + (chars >= 0x10000)
-        raw = np.frombuffer(chars.tobytes().decode("utf-32-le").encode(), dtype=np.uint8)
-        size = np.add.reduceat(wide, np.concatenate([[0], np.cumsum(e - s)[:-1]]))
-        ids, count = merge_rounds(v, raw, size)
+        code, first, number = pretoken.distinct(cp, start, end)
+
+        def make(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            s, e = start[first[new]], end[first[new]]
+            chars = cp[A.ranges(s, e - s)]
+            wide = 1 + (chars >= 0x80).astype(np.int64) + (chars >= 0x800) + (chars >= 0x10000)
+            raw = np.frombuffer(chars.tobytes().decode("utf-32-le").encode(), dtype=np.uint8)
+            return merge_rounds(v, raw, np.add.reduceat(wide, np.concatenate([[0], np.cumsum(e - s)[:-1]])))
+
+        ids, count = v.cache.ids(code, make)
     else:
         number, ids, count = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     special = sorted(v.special.values())
@@ -198,7 +202,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
-        for c in A.chunks(batches, most=CHUNK // 4):
+        for c in A.chunks(batches, most=CHUNK):
             seqs, ids, at = encode_chunk(v, _texts(c))
             rows = [ids[A.ranges(at[s], at[s + 1] - at[s])].astype(np.int32) for s in seqs]
             off = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)

@@ -18,8 +18,10 @@ with the end id alone.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -38,7 +40,7 @@ SEGMENT_IDS = 1 << 18
 PERCENTILE = 0.9
 MAGIC = b"PFR1"
 END_ID = 0
-CHUNK = 6 << 20
+CHUNK = 2 << 20
 
 
 def _bits(x: np.ndarray) -> np.ndarray:
@@ -109,17 +111,21 @@ def unpack(data: bytes) -> np.ndarray:
     return out[:n]
 
 
-def encode_texts(tok: Tokenizer, texts: list[str], special: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
+def encode_texts(tok: Tokenizer, texts: list[str], special: tuple[str, ...], cache: pretoken.WordCache) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts in one array, each text's closed by END_ID, and the count of each; equal pre-tokens are encoded once."""
     plain = [k for k, t in enumerate(texts) if not any(s in t for s in special)]
     own = {k: np.array(e.ids, dtype=np.int64) for k, e in zip(rest, tok.encode_batch([texts[k] for k in rest], add_special_tokens=False), strict=True)} if (rest := sorted(set(range(len(texts))) - set(plain))) else {}
     cp, off = pretoken.code_points([texts[k] for k in plain])
     start, end, piece = pretoken.split(cp, off, "byte")
     if len(start):
-        first, number = pretoken.distinct(cp, start, end)
-        words = [e.ids for e in tok.encode_batch_fast(pretoken.strings(cp, start[first], end[first]), add_special_tokens=False)]
-        size = np.fromiter(map(len, words), np.int64, len(words))
-        flat = np.fromiter(chain.from_iterable(words), np.int64, int(size.sum()))
+        code, first, number = pretoken.distinct(cp, start, end)
+
+        def make(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            words = [e.ids for e in tok.encode_batch_fast(pretoken.strings(cp, start[first[new]], end[first[new]]), add_special_tokens=False)]
+            size = np.fromiter(map(len, words), np.int64, len(words))
+            return np.fromiter(chain.from_iterable(words), np.int64, int(size.sum())), size
+
+        flat, size = cache.ids(code, make)
     else:
         number, size, flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     # one closing id after each text: a piece that no text has
@@ -139,6 +145,15 @@ def encode_texts(tok: Tokenizer, texts: list[str], special: tuple[str, ...]) ->
     return np.concatenate(parts), np.array([len(p) for p in parts])
 
 
+@lru_cache(maxsize=2)
+def tokenizer_of(path: str) -> Tokenizer:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
+    tok = Tokenizer.from_file(path)
+    tok.no_truncation()
+    tok.no_padding()
+    return tok
+
+
 SEGMENT_DDL = "part int, seq int, n_ids long, doc_ids binary, sizes binary, payload binary"
 
 
@@ -146,9 +161,7 @@ def write_files(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Tokenise all documents and write them as segments in ascending doc_id; the table of the files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = Tokenizer.from_file(tokenizer)
-        tok.no_truncation()
-        tok.no_padding()
+        tok, cache = tokenizer_of(tokenizer), pretoken.word_cache(tokenizer)
         special = tuple(t.content for t in tok.get_added_tokens_decoder().values())
         part, seq = TaskContext.get().partitionId(), 0
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -163,7 +176,7 @@ def write_files(docs: DataFrame, tokenizer: str) -> DataFrame:
 
         for c in A.chunks(batches, most=CHUNK):
             raw, off = c.buf.tobytes(), c.off.tolist()
-            ids, count = encode_texts(tok, [raw[a:b].decode() for a, b in zip(off[:-1], off[1:], strict=True)], special)
+            ids, count = encode_texts(tok, [raw[a:b].decode() for a, b in zip(off[:-1], off[1:], strict=True)], special, cache)
             keys, at, first = c.ids.to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(count)]), 0
             while first < len(keys):  # whole documents, up to about SEGMENT_IDS ids
                 room = SEGMENT_IDS - sum(len(h[2]) for h in held)

@@ -9,7 +9,9 @@ published patterns do.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,11 @@ def class_of() -> np.ndarray:
     return out
 
 
+@lru_cache(maxsize=1)
+def letter_code() -> np.ndarray:
+    return A.mix(np.arange(1, 0x110001, dtype=A.U))
+
+
 def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """All code points of the texts and each text's start (one more at the end)."""
     off = np.zeros(len(texts) + 1, dtype=np.int64)
@@ -75,14 +82,47 @@ def split(cp: np.ndarray, off: np.ndarray, style: str) -> tuple[np.ndarray, np.n
     return start, end, np.searchsorted(off, start, "right") - 1
 
 
-def distinct(cp: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index of one place of each different pre-token, and every pre-token's number among them."""
-    code = A.run_hash(A.prefix(A.mix(cp.astype(A.U) + A.U(1))), start, end)
+def distinct(cp: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash and index of one place of each different pre-token, and every pre-token's number among them."""
+    code = A.run_hash(A.prefix(letter_code()[cp]), start, end)
     named = pa.array(code).dictionary_encode()
     number = named.indices.to_numpy()
     first = np.empty(len(named.dictionary), dtype=np.int64)
     first[number[::-1]] = np.arange(len(number) - 1, -1, -1)
-    return first, number
+    return code[first], first, number
+
+
+class WordCache:
+    """Ids of pre-tokens that a worker process has met, by hash; emptied when it holds `most`."""
+
+    def __init__(self, most: int = 400_000) -> None:
+        self.most = most
+        self.clear()
+
+    def clear(self) -> None:
+        self.index: dict[int, int] = {}
+        self.at, self.flat = np.zeros(1, np.int64), np.zeros(0, np.int32)
+
+    def ids(self, codes: np.ndarray, make: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids and counts for the codes; make(places) gives those of unknown ones."""
+        where = np.fromiter(map(self.index.get, codes.tolist(), repeat(-1)), np.int64, len(codes))
+        new = np.flatnonzero(where < 0)
+        if len(self.index) + len(new) > self.most and self.index:
+            self.clear()
+            new = np.arange(len(codes))
+        if len(new):
+            flat, size = make(new)
+            where[new] = np.arange(len(self.index), len(self.index) + len(new))
+            self.index.update(zip(codes[new].tolist(), where[new].tolist(), strict=True))
+            self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(size)])
+            self.flat = np.concatenate([self.flat, flat.astype(np.int32)])
+        size = self.at[where + 1] - self.at[where]
+        return self.flat[A.ranges(self.at[where], size)].astype(np.int64), size
+
+
+@lru_cache(maxsize=4)
+def word_cache(name: str) -> WordCache:
+    return WordCache()
 
 
 def strings(cp: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[str]:
