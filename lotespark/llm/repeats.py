@@ -4,8 +4,8 @@ A window of `length` units (words or bytes) can only repeat if every shorter
 window inside it does. A level looks at windows of one shorter length, but of
 each full window only at those that are least in a hash among its parts
 (minimizers), so that two equal full windows look at the same parts. Parts that
-occur once are dead; full windows over a dead part are given up, and the next
-level takes parts of about twice the length from the rest only.
+occur once are dead; full windows that look at a dead part are given up, and the
+next level takes parts of about twice the length from the rest only.
 
 Counting is a grouped count with map-side sums and a semi-join, on hashes; texts
 are moved once, and after that only those that still have candidates. Texts
@@ -72,30 +72,37 @@ def full_windows(u: Units, length: int) -> np.ndarray:
     return out
 
 
-def parts(u: Units, k: Kind, size: int, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the given full windows the least part of `size` units: its place for each window, all places once, and their hashes."""
-    n = len(u.doc)
-    at = np.arange(n - size + 1)
-    place = A.minimizers(A.run_hash(u.sums, at, at + size), k.length - size + 1) if n >= k.length else np.zeros(0, np.int64)
-    where = np.flatnonzero(windows)
-    mine = place[where]
-    places = mine[np.append(True, mine[1:] != mine[:-1])] if len(mine) else mine
+def parts(u: Units, k: Kind, level: int, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The parts of one level that the given full windows look at.
+
+    A window looks at the least part in each of `level + 1` equal stretches of
+    itself. Returns their places per stretch for every window, all places once,
+    and their hashes.
+    """
+    size, n, stretches = k.levels[level], len(u.doc), level + 1
+    starts = k.length - size + 1
+    place = np.zeros((stretches, max(n - k.length + 1, 0)), dtype=np.int64)
+    if n >= k.length:
+        at = np.arange(n - size + 1)
+        codes = A.run_hash(u.sums, at, at + size)
+        for j in range(stretches):
+            begin, end = j * starts // stretches, (j + 1) * starts // stretches
+            place[j] = A.minimizers(codes, end - begin)[begin : begin + place.shape[1]]
+    used = np.zeros(n, dtype=bool)
+    used[place[:, np.flatnonzero(windows)].ravel()] = True
+    places = np.flatnonzero(used)
     return place, places, A.run_hash(u.sums, places, places + size)
 
 
 def survivors(u: Units, k: Kind, alive: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Full windows over no dead part of the levels done; alive has, per level, the documents' living places and their bounds."""
+    """Full windows whose parts of the levels done all live; alive has, per level, the documents' living places and their bounds."""
     windows = full_windows(u, k.length)
-    n = len(u.doc)
-    for size, (values, bounds) in zip(k.levels, alive, strict=False):
-        _, places, _ = parts(u, k, size, windows)
-        dead = np.zeros(n + 1, dtype=np.int64)
-        dead[places] = 1
-        owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-        dead[u.first[owner] + values] = 0
-        sums = np.concatenate([[0], np.cumsum(dead)])
+    for level, (values, bounds) in enumerate(alive):
+        place, _, _ = parts(u, k, level, windows)
+        lives = np.zeros(len(u.doc), dtype=bool)
+        lives[u.first[np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))] + values] = True
         at = np.flatnonzero(windows)
-        windows[at] = sums[at + k.length - size + 1] == sums[at]
+        windows[at] = lives[place[:, at]].all(axis=0)
     return windows
 
 
@@ -106,7 +113,7 @@ def first_level(docs: DataFrame, k: Kind) -> DataFrame:
         for c in A.chunks(batches):
             n = len(c.off) - 1
             u = k.units(c.buf, c.off)
-            _, places, codes = parts(u, k, k.levels[0], full_windows(u, k.length))
+            _, places, codes = parts(u, k, 0, full_windows(u, k.length))
             owner = u.doc[places]
             yield pa.RecordBatch.from_arrays(
                 [c.ids, c.rows.column(1), pa.array(np.diff(u.first)), pa.array(k.digest(c.buf, c.off)), A.list_array(codes.view(np.int64), owner, n, pa.int64()), A.list_array((places - u.first[owner]).astype(np.int32), owner, n, pa.int32())],
@@ -134,7 +141,7 @@ def next_level(texts: DataFrame, k: Kind, done: int) -> DataFrame:
         for c in A.chunks(batches):
             u = k.units(c.buf, c.off)
             left = survivors(u, k, [A.lists(c.rows.column(f"a{i}")) for i in range(done)])
-            _, places, codes = parts(u, k, k.levels[done], left)
+            _, places, codes = parts(u, k, done, left)
             owner = u.doc[places]
             take = pa.array(owner)
             yield pa.RecordBatch.from_arrays([pa.array(codes.view(np.int64)), c.ids.take(take), c.rows.column("v").take(take), pa.array((places - u.first[owner]).astype(np.int32))], names=["h", "doc_id", "v", "p"])
