@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, pfor, pii, quality, simhash, substring_dedup, toxicity
+from . import bpe, langid, pfor, pii, quality, simhash, substring_dedup, suffix_dedup, toxicity
 from .common import crc_part, table
 
 
@@ -47,6 +47,10 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.fingerprint_components(table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"), usable=crc_part("doc_id", 4) != 2)
@@ -62,6 +66,7 @@ QUERIES = {
     "op6_token_files": op6_token_files,
     "op7_pii": op7_pii,
     "op8_simhash": op8_simhash,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_toxicity": op10_toxicity,
 }
 
