@@ -198,15 +198,18 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
 
 def encoded(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id and token ids of every document."""
+    """doc_id, n_tokens, token ids, and the digest of the text decoded from them, of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
         for c in A.chunks(batches, most=CHUNK):
             seqs, ids, at = encode_chunk(v, _texts(c))
+            bounds, flat = at.tolist(), ids.tolist()
+            tokens = [b" ".join([v.token[k] for k in flat[a:b]]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
             rows = [ids[A.ranges(at[s], at[s + 1] - at[s])].astype(np.int32) for s in seqs]
-            off = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
-            values = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int32), pa.int32())
-            yield pa.RecordBatch.from_arrays([c.ids, pa.ListArray.from_arrays(pa.array(off), values)], names=["doc_id", "ids"])
+            size = np.array([len(r) for r in rows])
+            text_sha = [hashlib.sha256(b" ".join([tokens[k] for k in seq.tolist()])).hexdigest() for seq in seqs]
+            values = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.array(np.concatenate(rows), pa.int32()))
+            yield pa.RecordBatch.from_arrays([c.ids, pa.array(size, pa.int64()), values, pa.array(text_sha)], names=["doc_id", "n_tokens", "ids", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string")

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays as A
-from .common import stored
+from .common import forget, stored
 from .components import components
 from .toxicity import LOWER
 
@@ -251,7 +251,7 @@ def _signatures(docs: DataFrame) -> DataFrame:
 
 
 def _near_keys(nodes: DataFrame) -> DataFrame:
-    """key, rep, fp and further keys: each least shingle with each codeword index of each segment."""
+    """key and rep: each least shingle with each codeword index of each segment of the fingerprint."""
     names = [f"m{k}" for k in range(MINS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,10 +264,9 @@ def _near_keys(nodes: DataFrame) -> DataFrame:
                 index = near[row, col].astype(A.U) | A.U(i << 12)
                 for j in range(MINS):
                     key = A.mix(mins[j][row] ^ A.mix(index | A.U(j << 16)))
-                    finer = A.mix(key ^ mins[(j + 1) % MINS][row])
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(finer.view(np.int64)), rep.take(pa.array(row)), pa.array(fp[row])], names=["key", "finer", "rep", "fp"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), rep.take(pa.array(row))], names=["key", "rep"])
 
-    return nodes.select("rep", "fp", *names).mapInArrow(run, "key long, finer long, rep long, fp long")
+    return nodes.select("rep", "fp", *names).mapInArrow(run, "key long, rep long")
 
 
 def _pivot_pairs(rows: DataFrame) -> DataFrame:
@@ -331,21 +330,36 @@ def near_duplicates(docs: DataFrame, least: float = SHINGLE_SIMILARITY) -> DataF
     names = [F.min(f"m{k}").alias(f"m{k}") for k in range(MINS)]
     nodes = stored(sigs.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.min("fp").alias("fp"), F.max("n_words").alias("n_words"), *names), "nodes")
     keys = _near_keys(nodes.where("n_words >= 5"))
-    sizes = stored(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
-    group = lambda rows, key: rows.groupBy(key).agg(F.collect_list(F.struct("rep", "fp")).alias("members"))
-    small = group(keys.join(sizes.where(F.col("n") <= BUCKET), "key"), "key")
-    large = stored(keys.join(sizes.where(F.col("n") > BUCKET).select("key"), "key"), "large-buckets")
-    finer = large.groupBy("finer").agg(F.count("*").alias("n")).where("n > 1")
-    small_finer = group(large.join(finer.where(F.col("n") <= BUCKET), "finer"), "finer")
-    pairs = _close_pairs(small, WORD_BITS).union(_close_pairs(small_finer, WORD_BITS)).union(_pivot_pairs(large))
-    large_finer = large.join(finer.where(F.col("n") > BUCKET).select("finer"), "finer").select(F.col("finer").alias("key"), "rep", "fp")
-    pairs = stored(pairs.union(_pivot_pairs(large_finer)).distinct(), "pairs")
+    sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = stored(keys.join(sizes, "key"), "shared-keys")
+    facts = nodes.select("rep", "fp", *(f"m{k}" for k in range(MINS)))
+    members = lambda rows: rows.groupBy("key").agg(F.collect_list(F.struct("rep", "fp")).alias("members"))
+    small = members(shared.where(F.col("n") <= BUCKET).join(facts.select("rep", "fp"), "rep"))
+    large = stored(shared.where(F.col("n") > BUCKET).join(facts, "rep"), "large-buckets")
+    # a large bucket is cut again by each of the least shingles
+    finer = F.explode(F.array(*[F.xxhash64("key", F.lit(k), f"m{k}") for k in range(MINS)]))
+    cut = large.select("rep", "fp", finer.alias("key"))
+    counts = cut.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    cut = stored(cut.join(counts, "key"), "cut-buckets")
+    pairs = _close_pairs(small, WORD_BITS).union(_close_pairs(members(cut.where(F.col("n") <= BUCKET)), WORD_BITS))
+    pairs = pairs.union(_pivot_pairs(large.select("key", "rep", "fp"))).union(_pivot_pairs(cut.where(F.col("n") > BUCKET).select("key", "rep", "fp")))
+    pairs = stored(pairs.distinct(), "pairs")
+    for used in (shared, large, cut):
+        forget(used)
     found = components(_verified(pairs, docs, least)).withColumnRenamed("node", "rep")
     named = nodes.join(found, "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id"))
     return sigs.join(named, ["h1", "h2"]).select("doc_id", "component_id")
 
 
 def keep_first(docs: DataFrame, least: float = SHINGLE_SIMILARITY) -> DataFrame:
-    """The documents without those that a smaller doc_id of their group stands for; repeated rows of a kept id stay one."""
-    groups = near_duplicates(docs, least).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(groups, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(docs.columns)
+    """The documents, all columns, without those that a smaller doc_id of their group stands for.
+
+    Of rows that repeat a doc_id one stays; rows without a doc_id all stay.
+    """
+    groups = stored(near_duplicates(docs, least), "groups")
+    twice = groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    gone = groups.where("doc_id <> component_id").select("doc_id")
+    if twice.isEmpty():
+        return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    once = docs.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return docs.join(gone.union(twice), "doc_id", "left_anti").select(docs.columns).union(once.select(docs.columns))
