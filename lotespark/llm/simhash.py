@@ -171,7 +171,7 @@ def _close_pairs(buckets: DataFrame, bits: int) -> DataFrame:
             members = batch.column("members")
             size = np.diff(members.offsets.to_numpy())
             flat = members.flatten()
-            rep, fp = flat.field("rep").to_numpy(zero_copy_only=False), flat.field("fp").to_numpy(zero_copy_only=False)
+            rep, fp = flat.field("rep").to_numpy(zero_copy_only=False), flat.field("fp").to_numpy(zero_copy_only=False).view(A.U)
             at = np.cumsum(size) - size
             left, right = [], []
             for n in np.unique(size[size > 1]).tolist():  # buckets of one size together
