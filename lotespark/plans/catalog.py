@@ -1,10 +1,537 @@
-"""Every registered query of the survey domain and its SQL twin."""
+"""Every registered query of the survey domain and its SQL twin.
+
+A query is registered with its SQL, both over the projections in fixtures.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import bci
+from ..functions import geometry as G
+from ..functions import rules as R
+from ..functions import strings as S
+from ..functions import units as U
+from ..operators import classify, clustering, estimate, grids, merge, reports, sequences, spatial, surveys
+from . import planner
+from .fixtures import SIDE, cte, table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str = "", *needs: str) -> Callable[[Query], Query]:
+    """Register a query by its function's name; `needs` are the domain tables that its SQL reads."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = (cte(*needs) if needs else "") + sql
+        return f
+
+    return add
+
+
+def big(*names: str) -> list:
+    return [F.col(n).cast("bigint").alias(n) for n in names]
+
+
+# Surveys
+
+LATEST = """last AS (SELECT region_key, survey_id FROM (SELECT region_key, survey_id, row_number() OVER (PARTITION BY region_key ORDER BY started_at DESC NULLS FIRST, survey_id) AS k FROM surveys) WHERE k = 1)"""
+COVERAGE = f""", {LATEST},
+b AS (SELECT survey_id, count(*) AS footprints, count(setor_id) AS con_setor FROM edificios GROUP BY survey_id),
+p AS (SELECT survey_id, count(*) AS parcelas, count(calle) AS con_dir, count(habitantes_estimados) AS con_hab, sum(habitantes_estimados) AS hab FROM parcelas GROUP BY survey_id),
+s AS (SELECT region_key, count(*) AS setores, sum(pop_total) AS pop FROM setores GROUP BY region_key),
+g AS (SELECT region_key, count(*) AS n FROM logradouros GROUP BY region_key),
+e AS (SELECT survey_id, count(*) AS n FROM activity_log GROUP BY survey_id),
+j AS (SELECT r.region_id, r.country_code, l.survey_id, l.survey_id IS NOT NULL AS known, coalesce(e.n, 0) AS step, coalesce(s.setores, 0) AS setores, coalesce(s.pop, 0) AS pop, coalesce(g.n, 0) AS streets,
+    coalesce(b.footprints, 0) AS footprints, coalesce(b.con_setor, 0) AS con_setor, coalesce(p.parcelas, 0) AS parcelas, coalesce(p.con_dir, 0) AS con_dir, coalesce(p.con_hab, 0) AS con_hab, coalesce(p.hab, 0) AS hab
+    FROM regions r LEFT JOIN last l ON l.region_key = r.region_key LEFT JOIN b ON b.survey_id = l.survey_id LEFT JOIN p ON p.survey_id = l.survey_id
+    LEFT JOIN s ON s.region_key = r.region_key LEFT JOIN g ON g.region_key = r.region_key LEFT JOIN e ON e.survey_id = l.survey_id),
+cov AS (SELECT region_id, country_code, survey_id, CAST(CASE WHEN known THEN step ELSE 0 END AS BIGINT) AS step, CAST(CASE WHEN known THEN setores ELSE 0 END AS BIGINT) AS setores,
+    CAST(CASE WHEN known THEN pop ELSE 0 END AS BIGINT) AS pop_total_ibge, CAST(CASE WHEN known THEN streets ELSE 0 END AS BIGINT) AS logradouros_count, CAST(footprints AS BIGINT) AS footprints,
+    CAST(con_setor AS BIGINT) AS footprints_con_setor, CAST(parcelas AS BIGINT) AS parcelas, CAST(con_dir AS BIGINT) AS parcelas_con_direccion, CAST(con_hab AS BIGINT) AS parcelas_con_habitantes,
+    CAST(0 AS BIGINT) AS edificios_con_direccion,
+    CASE WHEN footprints > 0 THEN round(con_setor / footprints, 4) ELSE 0e0 END AS cobertura_footprints_pct,
+    CASE WHEN parcelas > 0 THEN round(con_dir / parcelas, 4) ELSE 0e0 END AS cobertura_direccion_pct,
+    CASE WHEN parcelas > 0 THEN round(con_hab / parcelas, 4) ELSE 0e0 END AS cobertura_habitantes_pct,
+    CASE WHEN known AND pop > 0 THEN round(abs(hab - pop) / greatest(pop, 1), 4) ELSE 0e0 END AS suma_hab_vs_ibge_delta_pct,
+    CASE WHEN known THEN NULL ELSE 'no_survey_found' END AS errores FROM j)
+"""
+COVERAGE_TABLES = ("regions", "surveys", "setores", "logradouros", "edificios", "parcelas", "activity_log")
+
+
+@query(COVERAGE + "SELECT * EXCLUDE (country_code) FROM cov", *COVERAGE_TABLES)
+def coverage_report(spark: SparkSession, d: str) -> DataFrame:
+    return surveys.coverage(*(table(spark, d, t) for t in COVERAGE_TABLES))
+
+
+@query(
+    COVERAGE
+    + """SELECT region_id, CASE WHEN errores IS NOT NULL THEN 'create_survey' WHEN country_code = 'BRA' AND setores = 0 THEN 'load_census' WHEN country_code = 'BRA' AND logradouros_count = 0 THEN 'load_streets'
+    WHEN footprints = 0 AND parcelas = 0 THEN 'load_parcels' WHEN footprints > 0 AND cobertura_footprints_pct < 0.9 THEN 'join_sectors' WHEN cobertura_direccion_pct < 0.8 THEN 'resolve_addresses'
+    WHEN cobertura_habitantes_pct < 0.8 THEN 'estimate_people' WHEN suma_hab_vs_ibge_delta_pct > 0.1 THEN 'validate_people' ELSE 'report' END AS next_step FROM cov""",
+    *COVERAGE_TABLES,
+)
+def next_step(spark: SparkSession, d: str) -> DataFrame:
+    return planner.plan(coverage_report(spark, d), table(spark, d, "regions"))
+
+
+@query(f", {LATEST} SELECT s.* FROM surveys s JOIN last USING (region_key, survey_id)", "surveys")
+def latest_survey(spark: SparkSession, d: str) -> DataFrame:
+    return surveys.latest(table(spark, d, "surveys")).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("started_at", "finished_at")})
+
+
+LIST = """SELECT s.survey_id, r.region_id, r.name, s.status, s.started_at, CAST(count(DISTINCT e.edificio_id) AS BIGINT) AS edificios, CAST(count(DISTINCT p.parcela_id) AS BIGINT) AS parcelas,
+    CAST(count(DISTINCT CASE WHEN p.calle IS NOT NULL THEN p.parcela_id END) AS BIGINT) AS con_direccion, CAST(count(DISTINCT CASE WHEN p.cca_code IS NOT NULL THEN p.parcela_id END) AS BIGINT) AS con_codigo,
+    CAST(coalesce(sum(p.uf_vivienda), 0) AS BIGINT) AS uf_vivienda, CAST(coalesce(sum(p.uf_comercio), 0) AS BIGINT) AS uf_comercio
+    FROM surveys s JOIN regions r ON r.region_key = s.region_key LEFT JOIN edificios e ON e.survey_id = s.survey_id LEFT JOIN parcelas p ON p.survey_id = s.survey_id GROUP BY ALL"""
+
+
+@query(LIST, "surveys", "regions", "edificios", "parcelas")
+def survey_list(spark: SparkSession, d: str) -> DataFrame:
+    return surveys.survey_list(*(table(spark, d, t) for t in ("surveys", "regions", "edificios", "parcelas")))
+
+
+@query(
+    """, e AS (SELECT survey_id, count(DISTINCT edificio_id) AS n FROM edificios GROUP BY survey_id),
+    p AS (SELECT survey_id, count(*) AS n, count(calle) AS a, count(cca_code) AS c, sum(uf_vivienda) AS v, sum(uf_comercio) AS w FROM parcelas GROUP BY survey_id)
+    SELECT s.survey_id, r.region_id, r.name, s.status, s.started_at, CAST(coalesce(e.n, 0) AS BIGINT) AS edificios, CAST(coalesce(p.n, 0) AS BIGINT) AS parcelas, CAST(coalesce(a, 0) AS BIGINT) AS con_direccion,
+    CAST(coalesce(c, 0) AS BIGINT) AS con_codigo, CAST(coalesce(v, 0) AS BIGINT) AS uf_vivienda, CAST(coalesce(w, 0) AS BIGINT) AS uf_comercio
+    FROM surveys s JOIN regions r ON r.region_key = s.region_key LEFT JOIN e ON e.survey_id = s.survey_id LEFT JOIN p ON p.survey_id = s.survey_id""",
+    "surveys", "regions", "edificios", "parcelas",
+)
+def survey_list_exact(spark: SparkSession, d: str) -> DataFrame:
+    return surveys.survey_list_exact(*(table(spark, d, t) for t in ("surveys", "regions", "edificios", "parcelas")))
+
+
+@query(
+    """, s AS (SELECT * FROM surveys ORDER BY started_at DESC NULLS FIRST, survey_id LIMIT 20)
+    SELECT s.survey_id, r.region_id, s.status, CAST(floor(epoch(coalesce(s.finished_at, TIMESTAMP '2002-01-01 00:00:00') - s.started_at) / 60) AS BIGINT) AS minutos,
+    CAST((SELECT count(*) FROM parcelas p WHERE p.survey_id = s.survey_id) AS BIGINT) AS parcelas, CAST((SELECT count(*) FROM edificios e WHERE e.survey_id = s.survey_id) AS BIGINT) AS edificios
+    FROM s JOIN regions r ON r.region_key = s.region_key""",
+    "surveys", "regions", "parcelas", "edificios",
+)
+def surveys_status(spark: SparkSession, d: str) -> DataFrame:
+    """The last 20 surveys: the limit is the report's own."""
+    s = table(spark, d, "surveys")
+    s = s.withColumns({c: F.col(c).cast("timestamp") for c in ("started_at", "finished_at")})
+    return surveys.status(s, table(spark, d, "regions"), table(spark, d, "parcelas"), table(spark, d, "edificios"), F.lit("2002-01-01 00:00:00").cast("timestamp"))
+
+
+STATE = "CASE value_kind WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'completed' WHEN 'signup' THEN 'stopped' WHEN 'click' THEN 'running' END"
+
+
+@query(
+    """, u AS (SELECT survey_id, id, CASE lvl WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'completed' WHEN 'signup' THEN 'stopped' WHEN 'click' THEN 'running' END AS status FROM activity_log),
+    t AS (SELECT u.survey_id, count(*) AS updates, min(CASE WHEN u.status = 'stopped' THEN u.id END) AS stop_at, arg_max(u.status, u.id) FILTER (WHERE u.status IS NOT NULL) AS last_status FROM u GROUP BY u.survey_id),
+    f AS (SELECT t.survey_id, t.updates, CASE WHEN s.survey_id IS NULL THEN 'not_found' WHEN s.status = 'stopped' OR t.stop_at IS NOT NULL THEN 'stopped' ELSE coalesce(t.last_status, s.status) END AS status FROM t LEFT JOIN surveys s ON s.survey_id = t.survey_id)
+    SELECT survey_id, CAST(updates AS BIGINT) AS updates, status, status IN ('completed', 'failed', 'stopped') AS finished, status IN ('stopped', 'failed', 'not_found') AS should_stop FROM f""",
+    "activity_log", "surveys",
+)
+def survey_states(spark: SparkSession, d: str) -> DataFrame:
+    lvl = F.col("lvl")
+    state = F.when(lvl == "error", "failed").when(lvl == "purchase", "completed").when(lvl == "signup", "stopped").when(lvl == "click", "running")
+    updates = table(spark, d, "activity_log").select("survey_id", F.col("id").alias("seq"), state.alias("status"))
+    return surveys.fold_states(table(spark, d, "surveys"), updates)
+
+
+@query("SELECT survey_id, 'stopped' AS status FROM surveys WHERE status IN ('running', 'stopping')", "surveys")
+def orphan_sweep(spark: SparkSession, d: str) -> DataFrame:
+    return surveys.orphans(table(spark, d, "surveys")).select("survey_id", "status")
+
+
+@query("""SELECT survey_id, CASE WHEN status IN ('running', 'stopping') THEN concat('409 cannot start: ', status) END AS start, CASE WHEN status <> 'running' THEN concat('409 cannot stop: ', status) END AS stop,
+    CASE WHEN status IN ('running', 'stopping') THEN concat('409 cannot delete: ', status) END AS del FROM surveys""", "surveys")
+def survey_guards(spark: SparkSession, d: str) -> DataFrame:
+    s = F.col("status")
+    return table(spark, d, "surveys").select("survey_id", surveys.guard(s, "start").alias("start"), surveys.guard(s, "stop").alias("stop"), surveys.guard(s, "delete").alias("del"))
+
+
+@query("SELECT id, json_extract_string(props, '$.k') AS k, json_extract_string(props, '$.none') AS missing FROM activity_log", "activity_log")
+def json_fields(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "activity_log").select("id", F.get_json_object("props", "$.k").alias("k"), F.get_json_object("props", "$.none").alias("missing"))
+
+
+# Reports
+
+
+@query(
+    """SELECT survey_id, count(*) AS parcelas, CAST(sum(uf_vivienda + uf_comercio) AS BIGINT) AS uf_total, nullif(round(sum(area_m2_terreno), 2), 0) AS area_total, count_if(coalesce(calle, '') <> '') AS con_direccion,
+    count_if(uf_vivienda + uf_comercio IS NOT NULL) AS con_uf, count_if(coalesce(cca_code, '') <> '') AS con_codigo FROM parcelas GROUP BY survey_id""",
+    "parcelas",
+)
+def report_totals(spark: SparkSession, d: str) -> DataFrame:
+    return reports.totals(table(spark, d, "parcelas"), ["survey_id"])
+
+
+@query(
+    """SELECT survey_id, parcela_id, calle, numero, CASE WHEN coalesce(calle, '') <> '' THEN trim(concat_ws(' ', calle, nullif(numero, ''))) ELSE '(sin dirección)' END AS direccion, coalesce(cca_code, '') AS codigo,
+    CAST(coalesce(uf_vivienda, 0) + coalesce(uf_comercio, 0) AS BIGINT) AS uf, CASE WHEN area_m2_terreno <> 0 THEN round(area_m2_terreno, 1) END AS area_m2,
+    CAST(row_number() OVER (PARTITION BY survey_id ORDER BY calle NULLS LAST, numero NULLS LAST, parcela_id) AS INTEGER) AS n FROM parcelas""",
+    "parcelas",
+)
+def report_rows(spark: SparkSession, d: str) -> DataFrame:
+    rows = reports.parcel_rows(table(spark, d, "parcelas"))
+    return sequences.numbered(rows, ["survey_id"], [F.asc_nulls_last("calle"), F.asc_nulls_last("numero"), F.asc("parcela_id")])
+
+
+@query(
+    """SELECT survey_id, parcela_id, coalesce(calle, '') AS calle, coalesce(numero, '') AS numero, coalesce(cca_code, '') AS cca_code, coalesce(uso_principal, '') AS uso_principal, coalesce(uf_vivienda, 0) AS uf_vivienda,
+    coalesce(uf_comercio, 0) AS uf_comercio, printf('%.6f', centroid_lat) AS lat, printf('%.6f', centroid_lng) AS lng FROM parcelas""",
+    "parcelas",
+)
+def export_rows(spark: SparkSession, d: str) -> DataFrame:
+    return reports.export_columns(table(spark, d, "parcelas")).drop("area")
+
+
+# Joins and sets
+
+
+@query("""SELECT p.parcela_id, s.setor_id FROM parcelas p LEFT JOIN (SELECT DISTINCT setor_id FROM setores) s ON s.setor_id = p.parcela_id % 200""", "parcelas", "setores")
+def foreign_key_guard(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "parcelas").select("parcela_id", (F.col("parcela_id") % 200).alias("setor_id"))
+    return classify.guard_foreign_key(rows, table(spark, d, "setores"), "setor_id")
+
+
+@query("SELECT parent, count_if(s_m2 > 0 AND s_m2 < 25) AS cocheras, count_if(s_m2 >= 25) AS uf FROM unit_counts GROUP BY parent", "unit_counts")
+def unit_split(spark: SparkSession, d: str) -> DataFrame:
+    return classify.split_units(table(spark, d, "unit_counts"))
+
+
+@query("SELECT p.parcela_id, coalesce(u.n, 1) AS uf, coalesce(p.numero, 'S/N') AS altura FROM parcelas p LEFT JOIN (SELECT parent, count(*) AS n FROM unit_counts GROUP BY parent) u ON u.parent = p.parcela_id", "parcelas", "unit_counts")
+def frontage_units(spark: SparkSession, d: str) -> DataFrame:
+    code = lambda c: F.lpad(F.col(c).cast("string"), 42, "0")
+    p, u = table(spark, d, "parcelas"), table(spark, d, "unit_counts")
+    sides = p.where("numero IS NOT NULL").select(code("parcela_id").alias("cca"), F.lit("FRENTE").alias("tdl"), (F.col("numero").cast("double") + 1).alias("feo"), F.lit(0).alias("pos"))
+    got = classify.frontage_join(p.select(code("parcela_id").alias("cca")), sides, u.select(F.concat(code("parent"), F.lit("000001")).alias("cca")))
+    number = F.when(F.col("altura") == "S/N", F.col("altura")).otherwise((F.col("altura").try_cast("int") - 1).cast("string"))
+    return got.select(F.col("cca").cast("bigint").alias("parcela_id"), "uf", number.alias("altura"))
+
+
+@query("SELECT coalesce(uso_principal, '?') AS uso_principal, count(*) AS n FROM parcelas GROUP BY 1", "parcelas")
+def use_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return sequences.histogram(table(spark, d, "parcelas").withColumn("uso_principal", F.coalesce("uso_principal", F.lit("?"))), "uso_principal")
+
+
+@query("""SELECT 'lvl' AS campo, lvl AS valor, count(*) AS n FROM activity_log GROUP BY 2 UNION ALL SELECT 'dia', strftime(ts, '%w'), count(*) FROM activity_log GROUP BY 2""", "activity_log")
+def two_histograms(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "activity_log").select("lvl", (F.dayofweek("ts") - 1).cast("string").alias("dia"))
+    return sequences.two_histograms(rows, "lvl", "dia")
+
+
+@query("SELECT survey_id, id, ts, lvl FROM (SELECT *, row_number() OVER (PARTITION BY survey_id ORDER BY id DESC) AS k FROM activity_log) WHERE k <= 100", "activity_log")
+def ring_buffer(spark: SparkSession, d: str) -> DataFrame:
+    """The last 100 entries of each survey: the limit is the buffer's size."""
+    return sequences.last_n(table(spark, d, "activity_log").select("survey_id", "id", "ts", "lvl"), ["survey_id"], "id", 100)
+
+
+@query("SELECT count(*) AS entries, coalesce(max(id), 5000) AS last_id FROM activity_log WHERE id > 5000", "activity_log")
+def cursor_read(spark: SparkSession, d: str) -> DataFrame:
+    return sequences.cursor_read(table(spark, d, "activity_log"), 5000)
+
+
+@query("SELECT r.id FROM range(0, 70001) r(id) WHERE NOT EXISTS (SELECT 1 FROM parcelas p WHERE p.parcela_id * 2 = r.id)", "parcelas")
+def ids_to_do(spark: SparkSession, d: str) -> DataFrame:
+    return sequences.remaining(0, 70000, table(spark, d, "parcelas").select((F.col("parcela_id") * 2).alias("id")))
+
+
+@query("SELECT parcela_id AS id FROM parcelas UNION SELECT CAST(parent AS BIGINT) + 10 FROM unit_counts", "parcelas", "unit_counts")
+def ids_processed(spark: SparkSession, d: str) -> DataFrame:
+    return sequences.processed(table(spark, d, "parcelas").select(F.col("parcela_id").alias("id")), table(spark, d, "unit_counts").select((F.col("parent") + 10).alias("id")))
+
+
+@query("""SELECT survey_id, lvl FROM (SELECT survey_id, lvl, row_number() OVER (PARTITION BY survey_id ORDER BY n DESC, pos) AS k FROM (SELECT survey_id, lvl, count(*) AS n, min(id) AS pos FROM activity_log GROUP BY survey_id, lvl)) WHERE k = 1""", "activity_log")
+def mode_first_seen(spark: SparkSession, d: str) -> DataFrame:
+    return sequences.mode_first(table(spark, d, "activity_log"), ["survey_id"], "lvl", "id")
+
+
+REPEATS = """, x AS (SELECT survey_id, id, CASE WHEN CAST(json_extract_string(props, '$.k') AS INTEGER) % 3 = 0 THEN '' ELSE lvl END AS item FROM activity_log),
+    y AS (SELECT *, {} AS prev FROM x) SELECT survey_id, id, item FROM y WHERE NOT (item <> '' AND coalesce(item = prev, false))"""
+
+
+def _items(spark: SparkSession, d: str) -> DataFrame:
+    item = F.when(F.get_json_object("props", "$.k").cast("int") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array("lvl"))
+    return table(spark, d, "activity_log").select("survey_id", "id", item.alias("items"))
+
+
+@query(REPEATS.format("last_value(nullif(item, '') IGNORE NULLS) OVER (PARTITION BY survey_id ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"), "activity_log")
+def repeats_of_last_filled(spark: SparkSession, d: str) -> DataFrame:
+    out = sequences.drop_repeats_of_last_filled(_items(spark, d), ["survey_id"], "id", "items")
+    return out.select("survey_id", "id", F.coalesce(F.get("items", F.lit(0)), F.lit("")).alias("item"))
+
+
+@query(REPEATS.format("lag(item) OVER (PARTITION BY survey_id ORDER BY id)"), "activity_log")
+def repeats_of_previous(spark: SparkSession, d: str) -> DataFrame:
+    out = sequences.drop_repeats_of_previous(_items(spark, d), ["survey_id"], "id", "items")
+    return out.select("survey_id", "id", F.coalesce(F.get("items", F.lit(0)), F.lit("")).alias("item"))
+
+
+@query("""SELECT parcela_id, survey_id, calle FROM (SELECT *, row_number() OVER (PARTITION BY survey_id ORDER BY parcela_id) AS k FROM parcelas WHERE calle IS NOT NULL) WHERE k = 1""", "parcelas")
+def first_parcel(spark: SparkSession, d: str) -> DataFrame:
+    return sequences.first_per_key(table(spark, d, "parcelas").where("calle IS NOT NULL").select("survey_id", "parcela_id", "calle"), ["survey_id"], "parcela_id")
+
+
+@query("""SELECT parcela_id, cca_code FROM parcelas WHERE calle IS NULL OR calle = '' ORDER BY cca_code NULLS FIRST, parcela_id LIMIT 100""", "parcelas")
+def address_batch(spark: SparkSession, d: str) -> DataFrame:
+    """The next 100 parcels to resolve: the limit is the batch size."""
+    todo = classify.incomplete(table(spark, d, "parcelas")).select("parcela_id", "cca_code")
+    return classify.batch(todo, ["cca_code", "parcela_id"], 100)
+
+
+# Merges
+
+MERGE_FEED = """f AS (SELECT o_orderkey AS parcela_id, o_custkey AS survey_id, concat('Nova ', o_orderstatus) AS calle, o_orderkey % 2 AS uf_vivienda, CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE o_totalprice END AS area_m2_terreno FROM orders WHERE o_orderkey % 3 = 0
+    UNION ALL SELECT o_orderkey + 1000000000, o_custkey, NULL, 1, o_totalprice FROM orders WHERE o_orderkey % 50 = 0)"""
+
+
+def _merge_feed(spark: SparkSession, d: str) -> DataFrame:
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    a = o.where("o_orderkey % 3 = 0").selectExpr("o_orderkey AS parcela_id", "o_custkey AS survey_id", "concat('Nova ', o_orderstatus) AS calle", "o_orderkey % 2 AS uf_vivienda", "CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE o_totalprice END AS area_m2_terreno")
+    return a.union(o.where("o_orderkey % 50 = 0").selectExpr("o_orderkey + 1000000000", "o_custkey", "NULL", "1L", "o_totalprice"))
+
+
+@query(
+    f""", {MERGE_FEED}
+    SELECT coalesce(p.parcela_id, f.parcela_id) AS parcela_id, CASE WHEN p.parcela_id IS NULL THEN f.survey_id ELSE p.survey_id END AS survey_id, coalesce(f.calle, p.calle) AS calle,
+    CASE WHEN p.parcela_id IS NULL THEN f.uf_vivienda ELSE coalesce(nullif(f.uf_vivienda, 0), p.uf_vivienda) END AS uf_vivienda, CASE WHEN f.parcela_id IS NULL THEN p.area_m2_terreno ELSE f.area_m2_terreno END AS area_m2_terreno,
+    CASE WHEN p.parcela_id IS NULL THEN 'feed' ELSE p.uso_principal END AS uso_principal FROM parcelas p FULL JOIN f ON f.parcela_id = p.parcela_id""",
+    "parcelas",
+)
+def merge_parcels(spark: SparkSession, d: str) -> DataFrame:
+    target = table(spark, d, "parcelas").select("parcela_id", "survey_id", "calle", "uf_vivienda", "area_m2_terreno", "uso_principal")
+    return merge.merge(target, _merge_feed(spark, d), ["parcela_id"], {"survey_id": "keep", "uf_vivienda": "nullif0", "area_m2_terreno": "overwrite"}, insert={"uso_principal": F.lit("feed")})
+
+
+@query(f", {MERGE_FEED} SELECT count_if(p.parcela_id IS NULL) AS insertadas, count_if(p.parcela_id IS NOT NULL) AS actualizadas FROM f LEFT JOIN parcelas p ON p.parcela_id = f.parcela_id", "parcelas")
+def merge_counts(spark: SparkSession, d: str) -> DataFrame:
+    return merge.merge_counts(table(spark, d, "parcelas"), _merge_feed(spark, d), ["parcela_id"])
+
+
+@query("""SELECT region_id, name FROM regions UNION ALL SELECT concat('zona-', r_regionkey), r_name FROM region""", "regions")
+def insert_missing_regions(spark: SparkSession, d: str) -> DataFrame:
+    regions = table(spark, d, "regions").select("region_id", "name")
+    feed = spark.read.parquet(f"{d}/region.parquet").selectExpr("concat('zona-', r_regionkey) AS region_id", "r_name AS name")
+    return merge.insert_missing(regions, feed.union(regions), ["region_id"])
+
+
+@query("""SELECT p.parcela_id, CASE WHEN p.uso_principal = 'vacante' THEN p.uso_principal ELSE CASE p.parcela_id % 3 WHEN 0 THEN 'residencial' WHEN 1 THEN 'vacante' ELSE p.uso_principal END END AS uso_principal,
+    CASE WHEN coalesce(p.uso_principal, '') = 'vacante' OR p.parcela_id % 3 = 2 THEN p.uf_vivienda WHEN p.parcela_id % 3 = 0 THEN greatest(p.uf_vivienda, 1) ELSE 0 END AS uf_vivienda FROM parcelas p""", "parcelas")
+def update_use(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "parcelas")
+    third = F.col("parcela_id") % 3
+    uses = p.where(~F.col("uso_principal").eqNullSafe("vacante") & (third < 2)).select("parcela_id", F.when(third == 0, "residencial").otherwise("vacante").alias("uso_principal"))
+    return merge.update_use(p.select("parcela_id", "uso_principal", "uf_vivienda"), uses)
+
+
+@query("""SELECT 'surveys' AS tabla, count(*) AS n FROM surveys WHERE survey_id % 10 <> 3 UNION ALL SELECT 'edificios', count(*) FROM edificios WHERE survey_id % 10 <> 3 UNION ALL SELECT 'parcelas', count(*) FROM parcelas WHERE survey_id % 10 <> 3
+    UNION ALL SELECT 'log', count(*) FROM activity_log WHERE survey_id NOT IN (SELECT survey_id FROM surveys WHERE survey_id % 10 = 3) UNION ALL SELECT 'unidades', count(*) FROM edificios WHERE edificio_id NOT IN (SELECT edificio_id FROM edificios WHERE survey_id % 10 = 3)""", "surveys", "edificios", "parcelas", "activity_log")
+def delete_cascade(spark: SparkSession, d: str) -> DataFrame:
+    s, e, p, log = (table(spark, d, t) for t in ("surveys", "edificios", "parcelas", "activity_log"))
+    left = merge.delete_cascade(s.where("survey_id % 10 = 3"), s, e, e.select("edificio_id"), p, log)
+    out = None
+    for name in ("surveys", "edificios", "parcelas", "log", "unidades"):
+        n = left[name].agg(F.lit(name).alias("tabla"), F.count("*").alias("n"))
+        out = n if out is None else out.union(n)
+    return out
+
+
+# Scalars
+
+
+@query(
+    r"""SELECT p_partkey, trim(regexp_replace(lower(concat(p_name, ' ', p_brand, '#')), '[^a-z0-9]+', '-', 'g'), '-') AS slug, CASE WHEN length(CAST(p_partkey AS VARCHAR)) >= 15 THEN CAST(p_partkey AS VARCHAR) ELSE lpad(CAST(p_partkey AS VARCHAR), 15, '0') END AS code,
+    TRY_CAST(replace(replace(printf('%.2f', p_retailprice), ',', ''), ' ', '') AS DOUBLE) AS money, CASE WHEN p_size > 20 THEN concat(p_type, ' ', p_name) ELSE p_name END AS joined, CASE CAST(p_size % 27 AS INTEGER) WHEN 0 THEN 'Departamento 0' WHEN 1 THEN 'Capital' WHEN 23 THEN 'Rivadavia' WHEN 14 THEN 'Rivadavia' END AS dep
+    FROM part""",
+)
+def text_functions(spark: SparkSession, d: str) -> DataFrame:
+    size = (F.col("p_size") % 27).cast("string")
+    dep = S.department(size)
+    return spark.read.parquet(f"{d}/part.parquet").select(
+        "p_partkey", S.slug(F.concat_ws(" ", "p_name", F.concat("p_brand", F.lit("#")))).alias("slug"), S.zero_filled(F.col("p_partkey"), 15).alias("code"), S.money(F.format_string("%.2f", F.col("p_retailprice"))).alias("money"),
+        S.joined(F.when(F.col("p_size") > 20, F.col("p_type")).otherwise(""), F.col("p_name")).alias("joined"), F.when(size.isin("0", "1", "14", "23"), dep).alias("dep"),
+    )
+
+
+@query(
+    """SELECT parcela_id, CASE WHEN uf_vivienda + uf_comercio = 0 THEN 'sin_datos' WHEN uf_vivienda > 0 AND uf_comercio > 0 THEN 'mixto' WHEN uf_comercio > 0 THEN 'comercial' ELSE 'residencial' END AS uso,
+    CASE WHEN area_m2_terreno < 1 THEN 'vacante' WHEN area_m2_terreno IS NULL AND numero IS NULL THEN 'sin_match' ELSE 'edificado' END AS vacancia, round(centroid_lng * pi() / 180 * 6378137, 3) AS mx, round(ln(tan(pi() / 4 + centroid_lat * pi() / 180 / 2)) * 6378137, 3) AS my,
+    CAST(round_even(1 + (parcela_id % 7) / 7e0 * 49, 0) AS INTEGER) AS puerta, uf_vivienda * 0.005e0 AS costo FROM parcelas""",
+    "parcelas",
+)
+def rule_functions(spark: SparkSession, d: str) -> DataFrame:
+    c = F.col
+    return table(spark, d, "parcelas").select(
+        "parcela_id", R.final_use(c("uf_vivienda"), c("uf_comercio"), F.lit(-1)).alias("uso"), R.vacancy(c("area_m2_terreno"), c("numero").cast("double")).alias("vacancia"), F.round(R.mercator_x(c("centroid_lng")), 3).alias("mx"),
+        F.round(R.mercator_y(c("centroid_lat")), 3).alias("my"), R.interpolated(F.lit(1), F.lit(50), (c("parcela_id") % 7) / F.lit(7.0)).alias("puerta"), R.call_cost(c("uf_vivienda")).alias("costo"),
+    )
+
+
+@query("""SELECT page_id, nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), '') AS titulo, nullif(regexp_extract(html, 'lang="([a-z]+)"', 1), '') AS idioma, len(regexp_extract_all(html, '<p>')) AS parrafos FROM pages""")
+def html_fields(spark: SparkSession, d: str) -> DataFrame:
+    found = lambda p: F.nullif(F.regexp_extract("html", p, 1), F.lit(""))
+    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", found("<title>([^<]*)</title>").alias("titulo"), found('lang="([a-z]+)"').alias("idioma"), F.size(F.regexp_extract_all("html", F.lit("<p>"), F.lit(0))).cast("bigint").alias("parrafos"))
+
+
+@query(
+    r"""SELECT l_orderkey, min(CAST(l_linenumber AS INTEGER)) AS piso_min, max(l_linenumber) AS piso_max, max(1 + l_linenumber % 4) AS ancho, CAST(max(l_linenumber) * max(1 + l_linenumber % 4) + max(1 + l_linenumber % 4) AS BIGINT) AS unidades_min
+    FROM lineitem WHERE l_linenumber > 0 GROUP BY l_orderkey""",
+)
+def building_inference(spark: SparkSession, d: str) -> DataFrame:
+    line = spark.read.parquet(f"{d}/lineitem.parquet").where("l_linenumber > 0")
+    letter = F.element_at(F.array(*map(F.lit, "ABCD")), (F.col("l_linenumber") % 4 + 1).cast("int"))
+    accounts = line.select("l_orderkey", "l_linenumber", F.concat_ws(" ", F.lit("BELGRANO GRAL 2343"), F.col("l_linenumber").cast("string"), letter).alias("address"))
+    least = accounts.groupBy("l_orderkey").agg(F.min("l_linenumber").alias("piso_min"))
+    got = U.building_from_accounts(accounts, ["l_orderkey"])
+    return got.join(least, "l_orderkey").select("l_orderkey", "piso_min", F.col("piso_max_visto").alias("piso_max"), F.col("dptos_por_piso_min").alias("ancho"), "unidades_min")
+
+
+BCI_TEXT = """concat('TIPO IMÓVEL CATEGORIA TIPO PROPRIEDADE', chr(10), CASE WHEN o_orderkey % 9 = 0 THEN 'TERRITORIAL' ELSE 'PREDIAL' END, ' X Y', chr(10), 'CÓDIGO LOGRADOURO NÚMERO CEP', chr(10), '123 RUA ', o_orderstatus, ' ', CAST(o_orderkey % 900 + 1 AS STRING), ' 78.110-000', chr(10), repeat('USO RESIDENCIAL ', CAST(o_orderkey % 3 AS INT)), repeat('USO COMERCIAL ', CAST(o_orderkey % 2 AS INT)))"""
+
+
+@query(
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 9 = 0 THEN 'territorial' ELSE 'predial' END AS tipo_imovel, CASE WHEN o_orderkey % 9 = 0 THEN 'vacante' WHEN o_orderkey % 3 > 0 AND o_orderkey % 2 > 0 THEN 'mixto' WHEN o_orderkey % 2 > 0 THEN 'comercial' ELSE 'residencial' END AS uso_principal,
+    CAST(CASE WHEN o_orderkey % 9 = 0 THEN 0 ELSE o_orderkey % 3 + o_orderkey % 2 END AS INTEGER) AS uf_total, concat('RUA ', o_orderstatus) AS calle, CAST(o_orderkey % 900 + 1 AS VARCHAR) AS numero, '78110000' AS codigo_postal FROM orders""",
+)
+def property_reports(spark: SparkSession, d: str) -> DataFrame:
+    docs = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", F.expr(BCI_TEXT).alias("text"))
+    got = bci.fields(F.col("text"))
+    return docs.select("o_orderkey", *[got[k].alias(k) for k in ("tipo_imovel", "uso_principal", "uf_total", "calle", "numero", "codigo_postal")])
+
+
+# Space
+
+
+def _zones(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "setores")
+    return s.select(F.col("setor_id").alias("zone_id"), "distrito", "pop_total", G.rectangle(F.col("x0"), F.col("y0"), F.col("x0") + SIDE, F.col("y0") + SIDE).alias("polygon"))
+
+
+IN_ZONE = "p.centroid_lng BETWEEN z.x0 AND z.x0 + 2e-2 AND p.centroid_lat BETWEEN z.y0 AND z.y0 + 2e-2"
+
+
+@query(
+    f""", h AS (SELECT p.parcela_id, arg_min(z.distrito, z.setor_id) AS distrito FROM parcelas p JOIN setores z ON {IN_ZONE} GROUP BY p.parcela_id)
+    SELECT p.parcela_id, h.distrito, CASE h.distrito WHEN 'R1' THEN 'residencial' WHEN 'NC1' THEN 'comercial' WHEN 'M2' THEN 'mixto' WHEN 'PI' THEN 'industrial' WHEN 'AGR' THEN 'vacante' ELSE 'sin_datos' END AS uso_principal FROM parcelas p LEFT JOIN h ON h.parcela_id = p.parcela_id""",
+    "parcelas", "setores",
+)
+def zoning(spark: SparkSession, d: str) -> DataFrame:
+    return classify.classify_zones(table(spark, d, "parcelas"), _zones(spark, d), size=SIDE)
+
+
+@query(f"SELECT p.parcela_id, z.setor_id AS zone_id FROM parcelas p JOIN setores z ON {IN_ZONE}", "parcelas", "setores")
+def point_in_sector(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "parcelas").select("parcela_id", "centroid_lng", "centroid_lat")
+    return spatial.point_in_polygon(p, _zones(spark, d), "centroid_lng", "centroid_lat", "polygon", SIDE).select("parcela_id", "zone_id")
+
+
+@query(
+    """, a AS (SELECT survey_id % 10 AS g, parcela_id, centroid_lat AS lat, centroid_lng AS lng FROM parcelas WHERE parcela_id % 2 = 0), b AS (SELECT survey_id % 10 AS g, parcela_id, centroid_lat + 3e-5 AS lat, centroid_lng - 2e-5 AS lng FROM parcelas WHERE parcela_id % 2 = 1)
+    SELECT a.parcela_id AS a, b.parcela_id AS b FROM a JOIN b ON a.g = b.g AND abs(a.lat - b.lat) < 5e-5 AND abs(a.lng - b.lng) < 5e-5
+    UNION ALL SELECT a.parcela_id, c.parcela_id + 1000000000 FROM a JOIN a c ON a.g = c.g AND abs(a.lat - c.lat) < 5e-5 AND abs(a.lng - c.lng) < 5e-5""",
+    "parcelas",
+)
+def band_join(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "parcelas").select((F.col("survey_id") % 10).alias("g"), "parcela_id", F.col("centroid_lat").alias("lat"), F.col("centroid_lng").alias("lng"))
+    a = p.where("parcela_id % 2 = 0")
+    b = p.where("parcela_id % 2 = 1").withColumns({"lat": F.col("lat") + F.lit(3e-5), "lng": F.col("lng") - F.lit(2e-5)})
+    x = spatial.band_join(a, b, 5e-5, ["g"]).select(F.col("parcela_id").alias("a"), F.col("parcela_id_r").alias("b"))
+    return x.union(spatial.band_join(a, a, 5e-5, ["g"]).select("parcela_id", F.col("parcela_id_r") + 1000000000))
+
+
+@query(
+    """, s AS (SELECT *, x0 AS xa, x0 + 2e-2 AS xb FROM logradouros WHERE nome IS NOT NULL),
+    h AS (SELECT p.parcela_id, s.logradouro_id, s.nome, greatest(0e0, least(1e0, (p.centroid_lng - s.xa) / (s.xb - s.xa))) AS t, sqrt(pow(p.centroid_lng - greatest(s.xa, least(s.xb, p.centroid_lng)), 2) + pow(p.centroid_lat - s.y, 2)) AS d FROM parcelas p JOIN s ON s.y BETWEEN p.centroid_lat - 2e-2 AND p.centroid_lat + 2e-2)
+    SELECT parcela_id, round(min(d), 7) AS dist FROM h WHERE parcela_id % 20 = 0 GROUP BY parcela_id""",
+    "parcelas", "logradouros",
+)
+def nearest_street(spark: SparkSession, d: str) -> DataFrame:
+    """Distance to the nearest street of the stated query set, every parcel whose id is divisible by 20, against all streets."""
+    p = table(spark, d, "parcelas").where("parcela_id % 20 = 0").select("parcela_id", "centroid_lng", "centroid_lat")
+    s = table(spark, d, "logradouros").where("nome IS NOT NULL")
+    s = s.withColumn("line", F.array(G.point(F.col("x0"), F.col("y")), G.point(F.col("x0") + SIDE, F.col("y"))))
+    near = spatial.nearest_line(p, s, "parcela_id", "centroid_lng", "centroid_lat", "line", "logradouro_id", ["nome"])
+    return near.select("parcela_id", F.round("dist", 7).alias("dist"))
+
+
+@query()
+def street_addresses(spark: SparkSession, d: str) -> DataFrame:
+    """Address of each parcel without a street from the nearest street of its region, within 100 m."""
+    p = classify.incomplete(table(spark, d, "parcelas")).select("parcela_id", "centroid_lng", "centroid_lat")
+    s = table(spark, d, "logradouros")
+    s = s.withColumn("line", F.array(G.point(F.col("x0"), F.col("y")), G.point(F.col("x0") + SIDE, F.col("y"))))
+    return classify.street_candidates(p, s, on=[])
+
+
+@query(f""", h AS (SELECT p.parcela_id, min(z.setor_id) AS setor_id FROM parcelas p JOIN setores z ON {IN_ZONE} GROUP BY p.parcela_id), b AS (SELECT h.setor_id, h.parcela_id, p.area_m2_terreno AS w1, p.uf_vivienda AS w2, z.pop_total FROM h JOIN parcelas p ON p.parcela_id = h.parcela_id JOIN setores z ON z.setor_id = h.setor_id),
+    t AS (SELECT *, CASE WHEN sum(coalesce(w1, 0)) OVER w > 0 THEN pop_total * coalesce(w1, 0) / sum(coalesce(w1, 0)) OVER w ELSE pop_total / count(*) OVER w END AS a, CASE WHEN sum(w2) OVER w > 0 THEN pop_total * (w2 / sum(w2) OVER w) ELSE pop_total / count(*) OVER w END AS c FROM b WINDOW w AS (PARTITION BY setor_id))
+    SELECT parcela_id, round((a + c) / 2, 4) AS habitantes_estimados, round(least(a, c), 4) AS habitantes_low, round(greatest(a, c), 4) AS habitantes_high FROM t""", "parcelas", "setores")
+def dasymetric_population(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "parcelas")
+    z = _zones(spark, d)
+    hit = spatial.first_polygon(p, z, "parcela_id", "zone_id", ["zone_id"], x="centroid_lng", y="centroid_lat", polygon="polygon", size=SIDE).where("zone_id IS NOT NULL").withColumnRenamed("zone_id", "setor_id")
+    out = estimate.dasymetric(hit.drop("habitantes_estimados"), z.select(F.col("zone_id").alias("setor_id"), "pop_total"), {"area": F.col("area_m2_terreno"), "uf": F.col("uf_vivienda")})
+    return out.select("parcela_id", *[F.round(c, 4).alias(c) for c in ("habitantes_estimados", "habitantes_low", "habitantes_high")])
+
+
+@query(
+    """, p AS (SELECT *, parcela_id % 100 AS setor_id FROM parcelas), h AS (SELECT setor_id, sum(habitantes_estimados) AS hab FROM p GROUP BY setor_id)
+    SELECT 'habitantes_por_setor' AS control, count(*) AS filas, count_if(abs(coalesce(h.hab, 0) - s.pop_total) > 0.05 * greatest(s.pop_total, 1)) AS fallas FROM setores s LEFT JOIN h ON h.setor_id = s.setor_id
+    UNION ALL SELECT 'parcelas_repetidas', count(*), 0 FROM p UNION ALL SELECT 'survey_existe', count(*), count_if(survey_id NOT IN (SELECT survey_id FROM surveys)) FROM p UNION ALL SELECT 'centroide_valido', count(*), 0 FROM p""",
+    "parcelas", "setores", "surveys",
+)
+def validator(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "parcelas").withColumn("setor_id", F.col("parcela_id") % 100)
+    return estimate.validate(p, table(spark, d, "setores"), table(spark, d, "surveys"))
+
+
+@query("SELECT parcela_id, CAST(round(area_m2_terreno / 80) AS BIGINT) AS unidades FROM parcelas", "parcelas")
+def unit_counter(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "parcelas").select("parcela_id", estimate.units_from_area(F.col("area_m2_terreno")).alias("unidades"))
+
+
+@query(
+    """SELECT setor_id, round(x0 + 1e-2, 9) AS cx, round(y0 + 1e-2, 9) AS cy, round(4e-4 * 111320e0 * 111320e0, 0) AS area, round(x0 + 3 * 2e-2 / 5, 9) AS mx FROM setores""",
+    "setores",
+)
+def geometry_functions(spark: SparkSession, d: str) -> DataFrame:
+    z = _zones(spark, d)
+    c, m = G.centroid(F.col("polygon")), G.vertex_mean(F.col("polygon")[0])
+    # of the five listed corners two lie right of the middle: the mean of x is x0 + 2/5 of the side
+    return z.select(F.col("zone_id").alias("setor_id"), F.round(c["x"], 9).alias("cx"), F.round(c["y"], 9).alias("cy"), F.round(G.area_degrees_m2(F.col("polygon")), 0).alias("area"), F.round(m["x"] + SIDE / 5, 9).alias("mx"))
+
+
+@query()
+def fuzzy_leaders(spark: SparkSession, d: str) -> DataFrame:
+    """Which parcel each parcel of the feed updates under the fuzzy centroid key."""
+    p = table(spark, d, "parcelas").select("parcela_id", (F.col("survey_id") % 25).alias("g"), F.col("centroid_lat").alias("lat"), F.col("centroid_lng").alias("lng"))
+    return clustering.leaders(p, "parcela_id", "parcela_id", ["g"])
+
+
+@query()
+def grid_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Cells of a two-pass grid over the parcels' box."""
+    b = table(spark, d, "parcelas").agg(*[f(c).alias(n) for f, c, n in ((F.min, "centroid_lat", "s"), (F.min, "centroid_lng", "w"), (F.max, "centroid_lat", "n"), (F.max, "centroid_lng", "e"))]).first()
+    return grids.grid_cells(spark, b.s, b.w, b.n, b.e, 0.01, 2)
+
+
+@query("SELECT survey_id, min(centroid_lat) - 1e-3 AS south, min(centroid_lng) - 1e-3 AS west, max(centroid_lat) + 1e-3 AS north, max(centroid_lng) + 1e-3 AS east FROM parcelas GROUP BY survey_id", "parcelas")
+def survey_bounds(spark: SparkSession, d: str) -> DataFrame:
+    pad = F.lit(1e-3)
+    return table(spark, d, "parcelas").groupBy("survey_id").agg((F.min("centroid_lat") - pad).alias("south"), (F.min("centroid_lng") - pad).alias("west"), (F.max("centroid_lat") + pad).alias("north"), (F.max("centroid_lng") + pad).alias("east"))
+
+
+@query("SELECT date_trunc('hour', ts) AS start, lvl, count(*) AS n FROM activity_log GROUP BY 1, 2", "activity_log")
+def activity_by_hour(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "activity_log").groupBy(F.window("ts", "1 hour"), "lvl").agg(F.count("*").alias("n"))
+    return rows.select(F.col("window.start").alias("start"), "lvl", "n")
+
+
+@query("""SELECT count(*) AS done, round(count(*) / 20000, 4) AS share, round(epoch(max(date_trunc('second', ts)) - min(date_trunc('second', ts))) / (count(*) - 1), 3) AS mean_s FROM activity_log""", "activity_log")
+def progress(spark: SparkSession, d: str) -> DataFrame:
+    return sequences.progress(table(spark, d, "activity_log"), 20000).select("done", "share", "mean_s")
