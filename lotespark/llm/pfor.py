@@ -40,7 +40,8 @@ SEGMENT_IDS = 1 << 18
 PERCENTILE = 0.9
 MAGIC = b"PFR1"
 END_ID = 0
-CHUNK = 2 << 20
+CHUNK = 1 << 20
+WORDS_AT_ONCE = 1000
 
 
 def _bits(x: np.ndarray) -> np.ndarray:
@@ -111,8 +112,9 @@ def unpack(data: bytes) -> np.ndarray:
     return out[:n]
 
 
-def encode_texts(tok: Tokenizer, texts: list[str], special: tuple[str, ...], cache: pretoken.WordCache) -> tuple[np.ndarray, np.ndarray]:
+def encode_texts(tok_path: str, texts: list[str], special: tuple[str, ...], cache: pretoken.WordCache) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts in one array, each text's closed by END_ID, and the count of each; equal pre-tokens are encoded once."""
+    tok = tokenizer_of(tok_path)
     plain = [k for k, t in enumerate(texts) if not any(s in t for s in special)]
     own = {k: np.array(e.ids, dtype=np.int64) for k, e in zip(rest, tok.encode_batch([texts[k] for k in rest], add_special_tokens=False), strict=True)} if (rest := sorted(set(range(len(texts))) - set(plain))) else {}
     cp, off = pretoken.code_points([texts[k] for k in plain])
@@ -121,9 +123,15 @@ def encode_texts(tok: Tokenizer, texts: list[str], special: tuple[str, ...], cac
         code, first, number = pretoken.distinct(cp, start, end)
 
         def make(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            words = [e.ids for e in tok.encode_batch_fast(pretoken.strings(cp, start[first[new]], end[first[new]]), add_special_tokens=False)]
-            size = np.fromiter(map(len, words), np.int64, len(words))
-            return np.fromiter(chain.from_iterable(words), np.int64, int(size.sum())), size
+            s, e = start[first[new]], end[first[new]]
+            words = pretoken.strings(cp, s, e)
+            runs = tok.encode_batch_fast([words[k : k + WORDS_AT_ONCE] for k in range(0, len(words), WORDS_AT_ONCE)], is_pretokenized=True, add_special_tokens=False)
+            flat = np.fromiter(chain.from_iterable(r.ids for r in runs), np.int64)
+            # a byte-level token has a letter for each of its bytes, so byte counts tell where words end
+            chars = cp[A.ranges(s, e - s)]
+            wide = 1 + (chars >= 0x80).astype(np.int64) + (chars >= 0x800) + (chars >= 0x10000)
+            ends = np.cumsum(wide)[np.cumsum(e - s) - 1]
+            return flat, np.diff(np.searchsorted(np.cumsum(token_bytes(tok_path)[flat]), ends, "right"), prepend=0)
 
         flat, size = cache.ids(code, make)
     else:
@@ -154,6 +162,15 @@ def tokenizer_of(path: str) -> Tokenizer:
     return tok
 
 
+@lru_cache(maxsize=2)
+def token_bytes(path: str) -> np.ndarray:
+    """Length in bytes of each token of a byte-level vocabulary."""
+    vocab = tokenizer_of(path).get_vocab()
+    out = np.zeros(max(vocab.values()) + 1, dtype=np.int64)
+    out[list(vocab.values())] = [len(t) for t in vocab]
+    return out
+
+
 SEGMENT_DDL = "part int, seq int, n_ids long, doc_ids binary, sizes binary, payload binary"
 
 
@@ -176,7 +193,7 @@ def write_files(docs: DataFrame, tokenizer: str) -> DataFrame:
 
         for c in A.chunks(batches, most=CHUNK):
             raw, off = c.buf.tobytes(), c.off.tolist()
-            ids, count = encode_texts(tok, [raw[a:b].decode() for a, b in zip(off[:-1], off[1:], strict=True)], special, cache)
+            ids, count = encode_texts(tokenizer, [raw[a:b].decode() for a, b in zip(off[:-1], off[1:], strict=True)], special, cache)
             keys, at, first = c.ids.to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(count)]), 0
             while first < len(keys):  # whole documents, up to about SEGMENT_IDS ids
                 room = SEGMENT_IDS - sum(len(h[2]) for h in held)

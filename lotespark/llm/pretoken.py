@@ -92,32 +92,49 @@ def distinct(cp: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nda
     return code[first], first, number
 
 
-class WordCache:
-    """Ids of pre-tokens that a worker process has met, by hash; emptied when it holds `most`."""
-
-    def __init__(self, most: int = 400_000) -> None:
-        self.most = most
-        self.clear()
+class _Words:
+    """Ids of pre-tokens by hash, in flat arrays."""
 
-    def clear(self) -> None:
+    def __init__(self) -> None:
         self.index: dict[int, int] = {}
         self.at, self.flat = np.zeros(1, np.int64), np.zeros(0, np.int32)
 
+    def find(self, codes: np.ndarray) -> np.ndarray:
+        return np.fromiter(map(self.index.get, codes.tolist(), repeat(-1)), np.int64, len(codes))
+
+    def take(self, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        size = self.at[where + 1] - self.at[where]
+        return self.flat[A.ranges(self.at[where], size)], size
+
+    def add(self, codes: np.ndarray, flat: np.ndarray, size: np.ndarray) -> np.ndarray:
+        where = np.arange(len(self.index), len(self.index) + len(codes))
+        self.index.update(zip(codes.tolist(), where.tolist(), strict=True))
+        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(size)])
+        self.flat = np.concatenate([self.flat, flat.astype(np.int32)])
+        return where
+
+
+class WordCache:
+    """Pre-tokens that a worker process has met, in two generations of `most` words: those in use move to the young one, the old one is dropped."""
+
+    def __init__(self, most: int = 130_000) -> None:
+        self.most = most
+        self.young, self.old = _Words(), _Words()
+
     def ids(self, codes: np.ndarray, make: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids and counts for the codes; make(places) gives those of unknown ones."""
-        where = np.fromiter(map(self.index.get, codes.tolist(), repeat(-1)), np.int64, len(codes))
+        """Flat ids and counts for different codes; make(places) gives those of unknown ones."""
+        if len(self.young.index) > self.most:
+            self.young, self.old = _Words(), self.young
+        where = self.young.find(codes)
         new = np.flatnonzero(where < 0)
-        if len(self.index) + len(new) > self.most and self.index:
-            self.clear()
-            new = np.arange(len(codes))
+        before = self.old.find(codes[new])
+        known = new[before >= 0]
+        where[known] = self.young.add(codes[known], *self.old.take(before[before >= 0]))
+        new = new[before < 0]
         if len(new):
-            flat, size = make(new)
-            where[new] = np.arange(len(self.index), len(self.index) + len(new))
-            self.index.update(zip(codes[new].tolist(), where[new].tolist(), strict=True))
-            self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(size)])
-            self.flat = np.concatenate([self.flat, flat.astype(np.int32)])
-        size = self.at[where + 1] - self.at[where]
-        return self.flat[A.ranges(self.at[where], size)].astype(np.int64), size
+            where[new] = self.young.add(codes[new], *make(new))
+        flat, size = self.young.take(where)
+        return flat.astype(np.int64), size
 
 
 @lru_cache(maxsize=4)
