@@ -8,14 +8,13 @@ word. A null text counts as an empty one.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 U = np.uint64
 BASE = U(0x9E3779B97F4A7C15 | 1)
 BASE_INV = U(pow(int(BASE), -1, 1 << 64))
@@ -61,17 +60,17 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", key: str = "do
             at = end
 
 
-@lru_cache(maxsize=4)
-def _powers(n: int, base: int) -> np.ndarray:
-    out = np.full(n, base, dtype=U)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+_POWERS: dict[int, np.ndarray] = {}
 
 
 def powers(n: int, inverse: bool = False) -> np.ndarray:
-    """BASE ** i modulo 2 ** 64 for i below n."""
-    size = 1 << max(16, int(n - 1).bit_length())
-    return _powers(size, int(BASE_INV if inverse else BASE))[:n]
+    """BASE ** i modulo 2 ** 64 for i below n; a worker keeps the longest list made so far."""
+    base = int(BASE_INV if inverse else BASE)
+    if base not in _POWERS or len(_POWERS[base]) < n:
+        out = np.full(1 << max(16, int(n - 1).bit_length()), base, dtype=U)
+        out[0] = 1
+        _POWERS[base] = np.multiply.accumulate(out)
+    return _POWERS[base][:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:

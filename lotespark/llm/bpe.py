@@ -28,7 +28,7 @@ from . import arrays as A
 from . import pretoken
 
 FAR = np.int64(1 << 40)
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 
 
 class Vocabulary:

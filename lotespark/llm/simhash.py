@@ -13,9 +13,13 @@ instead: fingerprints within distance two have a vector within one of both, and
 no vector has more than 65 such neighbours.
 
 `near_duplicates` finds documents whose sets of 5-word shingles have a Jaccard
-similarity of 0.8 or more: Golay keys of a fingerprint over words, each joined
-with one of four least shingles, give candidates, which the fingerprints'
-distance thins out and the exact similarity verifies.
+similarity of 0.8 or more. Over shingles such pairs differ in about ten bits of
+64, too many for Golay keys; over single words they differ in about three. So
+texts meet in buckets of four least shingles each; word fingerprints thin out
+the pairs of small buckets; large ones are linked to the members nearest their
+majority fingerprint, and members that none of those stands for meet again under
+the bucket's key with Golay keys of a segment of their fingerprint. The exact
+similarity verifies every link.
 """
 
 from __future__ import annotations
@@ -37,11 +41,11 @@ from .toxicity import LOWER
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 GENERATOR = 0xAE3  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1
-BUCKET = 48
-PIVOTS = 8
+BUCKET = 32
+PIVOTS = 2
 SHINGLE_SIMILARITY = 0.8
-#: Differing bits of word fingerprints up to which a candidate is verified; similarity 0.8 gives about 4 of 64.
-WORD_BITS = 14
+#: Differing bits of word fingerprints up to which a candidate is verified; similarity 0.8 gives about 4 of 64, in texts of few words up to a dozen.
+WORD_BITS = 16
 MINS = 4
 
 
@@ -250,23 +254,32 @@ def _signatures(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, ddl)
 
 
-def _near_keys(nodes: DataFrame) -> DataFrame:
-    """key and rep: each least shingle with each codeword index of each segment of the fingerprint."""
-    names = [f"m{k}" for k in range(MINS)]
+def _anchor_rows(nodes: DataFrame) -> DataFrame:
+    """key and rep: a row for each least shingle of a text; j is in the key's low bits."""
+    keys = F.array(*[F.xxhash64(F.lit(j), F.col(f"m{j}")) for j in range(MINS)])
+    return nodes.select("rep", F.explode(keys).alias("key"))
+
+
+def _fuzzy_rows(rows: DataFrame) -> DataFrame:
+    """key and rep: the bucket's key with each codeword index of one segment of the fingerprint, which the key names. rows: key, rep, fp."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp, rep = batch.column("fp").to_numpy(zero_copy_only=False), batch.column("rep")
-            mins = [batch.column(m).to_numpy(zero_copy_only=False).view(A.U) for m in names]
-            for i, part in enumerate(segments(fp.view(A.U))):
-                near = codewords(part)
-                row, col = np.nonzero(near >= 0)
-                index = near[row, col].astype(A.U) | A.U(i << 12)
-                for j in range(MINS):
-                    key = A.mix(mins[j][row] ^ A.mix(index | A.U(j << 16)))
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), rep.take(pa.array(row))], names=["key", "rep"])
+            key, rep, fp = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "rep", "fp"))
+            part = np.choose(key % 3, segments(fp.view(A.U)))
+            near = codewords(part)
+            row, col = np.nonzero(near >= 0)
+            yield pa.RecordBatch.from_arrays([pa.array(A.mix(key.view(A.U)[row] ^ A.mix(near[row, col].astype(A.U))).view(np.int64)), pa.array(rep[row])], names=["key", "rep"])
+
+    return rows.select("key", "rep", "fp").mapInArrow(run, "key long, rep long")
+
 
-    return nodes.select("rep", "fp", *names).mapInArrow(run, "key long, rep long")
+def _shared(rows: DataFrame, facts: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """(members of buckets of two to BUCKET texts, as lists; key, rep, fp of larger buckets)."""
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    both = stored(rows.join(sizes.select(F.col("key").bitwiseXOR(F.lit(0)).alias("key"), "n"), "key").join(facts, "rep"), name)
+    small = both.where(F.col("n") <= BUCKET).groupBy("key").agg(F.collect_list(F.struct("rep", "fp")).alias("members"))
+    return small, both.where(F.col("n") > BUCKET).select("key", "rep", "fp")
 
 
 def _pivot_pairs(rows: DataFrame) -> DataFrame:
@@ -279,9 +292,12 @@ def _pivot_pairs(rows: DataFrame) -> DataFrame:
         word = bit if word is None else word.bitwiseOR(bit)
     centre = centre.select("key", word.alias("centre"))
     far = F.struct(F.bit_count(F.col("fp").bitwiseXOR(F.col("centre"))).alias("d"), "rep", "fp")
-    pivots = rows.join(centre, "key").groupBy("key").agg(F.min_by("rep", far).alias("p0"), *[F.min(F.when(F.pmod(F.xxhash64("rep"), F.lit(PIVOTS - 1)) == k, far)).alias(f"p{k + 1}") for k in range(PIVOTS - 1)])
-    pivots = pivots.select("key", F.explode(F.array_compact(F.array(F.col("p0"), *[F.col(f"p{k}.rep") for k in range(1, PIVOTS)]))).alias("p"))
-    return rows.select("key", "rep").join(pivots, "key").where("rep <> p").select(F.greatest("rep", "p").alias("a"), F.least("rep", "p").alias("b")).distinct()
+    # the member nearest the centre, and the nearest of each of some parts of the others
+    part = F.pmod(F.xxhash64("rep"), F.lit(PIVOTS - 1))
+    pivots = rows.join(centre, "key").groupBy("key").agg(F.min(far).alias("p0"), *[F.min(F.when(part == k, far)).alias(f"p{k + 1}") for k in range(PIVOTS - 1)])
+    pivots = pivots.select("key", F.explode(F.array_distinct(F.array_compact(F.array(*[F.col(f"p{k}") for k in range(PIVOTS)])))).alias("p")).select("key", F.col("p.rep").alias("p"), F.col("p.fp").alias("pfp"))
+    near = (F.col("rep") != F.col("p")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("pfp"))) <= WORD_BITS)
+    return rows.join(pivots, "key").where(near).select(F.greatest("rep", "p").alias("a"), F.least("rep", "p").alias("b")).distinct()
 
 
 def _set_rows(docs: DataFrame) -> DataFrame:
@@ -302,23 +318,21 @@ def _set_rows(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "id long, shingles binary")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """Pairs whose shingle sets have a Jaccard similarity of at least `least`."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = stored(_set_rows(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")), "shingle-sets")
     rows = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = np.frombuffer(x.as_py(), "<u4"), np.frombuffer(y.as_py(), "<u4")
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= least * (len(x) + len(y) - both) and both > 0)
+                x, y = np.frombuffer(x.as_buffer(), "<u4"), np.frombuffer(y.as_buffer(), "<u4")
+                both = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
+                keep.append(both > 0 and both >= least * (len(x) + len(y) - both))
             kept = batch.filter(pa.array(keep, pa.bool_()))
             yield pa.RecordBatch.from_arrays([kept.column("a"), kept.column("b")], names=["a", "b"])
 
-    return rows.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return stored(rows.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "verified")
 
 
 def near_duplicates(docs: DataFrame, least: float = SHINGLE_SIMILARITY) -> DataFrame:
@@ -329,24 +343,18 @@ def near_duplicates(docs: DataFrame, least: float = SHINGLE_SIMILARITY) -> DataF
     sigs = stored(_signatures(docs.where("doc_id IS NOT NULL")), "signatures")
     names = [F.min(f"m{k}").alias(f"m{k}") for k in range(MINS)]
     nodes = stored(sigs.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.min("fp").alias("fp"), F.max("n_words").alias("n_words"), *names), "nodes")
-    keys = _near_keys(nodes.where("n_words >= 5"))
-    sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = stored(keys.join(sizes, "key"), "shared-keys")
-    facts = nodes.select("rep", "fp", *(f"m{k}" for k in range(MINS)))
-    members = lambda rows: rows.groupBy("key").agg(F.collect_list(F.struct("rep", "fp")).alias("members"))
-    small = members(shared.where(F.col("n") <= BUCKET).join(facts.select("rep", "fp"), "rep"))
-    large = stored(shared.where(F.col("n") > BUCKET).join(facts, "rep"), "large-buckets")
-    # a large bucket is cut again by each of the least shingles
-    finer = F.explode(F.array(*[F.xxhash64("key", F.lit(k), f"m{k}") for k in range(MINS)]))
-    cut = large.select("rep", "fp", finer.alias("key"))
-    counts = cut.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    cut = stored(cut.join(counts, "key"), "cut-buckets")
-    pairs = _close_pairs(small, WORD_BITS).union(_close_pairs(members(cut.where(F.col("n") <= BUCKET)), WORD_BITS))
-    pairs = pairs.union(_pivot_pairs(large.select("key", "rep", "fp"))).union(_pivot_pairs(cut.where(F.col("n") > BUCKET).select("key", "rep", "fp")))
-    pairs = stored(pairs.distinct(), "pairs")
-    for used in (shared, large, cut):
-        forget(used)
-    found = components(_verified(pairs, docs, least)).withColumnRenamed("node", "rep")
+    facts = nodes.select("rep", "fp")
+    small, large = _shared(_anchor_rows(nodes.where("n_words >= 5")), facts, "anchors")
+    pairs = stored(_close_pairs(small, WORD_BITS).union(_pivot_pairs(large)).distinct(), "pairs")
+    ids = small.select(F.explode("members.rep").alias("doc_id")).union(large.select("rep")).distinct()
+    # both joins of texts shuffle whatever the other side's size, so that plans don't change with the input
+    sets = stored(_set_rows(docs.select("doc_id", "text").join(ids.hint("shuffle_hash"), "doc_id", "left_semi")), "shingle-sets")
+    links = _verified(pairs, sets, least)
+    # members of large buckets that no pivot stands for look for each other by fuzzy keys
+    linked = links.select(F.col("a").alias("rep")).union(links.select("b")).distinct()
+    small, large = _shared(_fuzzy_rows(large.join(linked, "rep", "left_anti")), facts, "fuzzy")
+    more = stored(_close_pairs(small, WORD_BITS).union(_pivot_pairs(large)).distinct().join(pairs, ["a", "b"], "left_anti"), "more-pairs")
+    found = components(links.union(_verified(more, sets, least))).withColumnRenamed("node", "rep")
     named = nodes.join(found, "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id"))
     return sigs.join(named, ["h1", "h2"]).select("doc_id", "component_id")
 
@@ -360,6 +368,6 @@ def keep_first(docs: DataFrame, least: float = SHINGLE_SIMILARITY) -> DataFrame:
     twice = groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
     gone = groups.where("doc_id <> component_id").select("doc_id")
     if twice.isEmpty():
-        return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+        return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(docs.columns)
     once = docs.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return docs.join(gone.union(twice), "doc_id", "left_anti").select(docs.columns).union(once.select(docs.columns))
