@@ -113,7 +113,7 @@ def banded(patterns: list[np.ndarray], text: np.ndarray, low: np.ndarray, high:
         lo, hi, cap = low[live, None], high[live, None], far[live, None]
         j = at[live] + i
         inside = own[live] & (j > lo) & (j <= hi)
-        change = np.where(inside, value + (text[np.minimum(j - 1, len(text) - 1)] != letters[live, i - 1, None]), cap)
+        change = np.where(inside, value + (text[np.clip(j - 1, 0, len(text) - 1)] != letters[live, i - 1, None]), cap)
         drop = np.concatenate([value[:, 1:] + 1, cap], axis=1)  # a pattern letter without a partner
         from_drop = np.concatenate([start[:, 1:], start[:, -1:]], axis=1)
         first = change <= drop

@@ -130,7 +130,9 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def repeated(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
     """doc_id, v and `name`: the places of the rows whose key occurs more than once."""
-    twice = rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(*keys)
+    twice = rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+    # as new columns the keys are shuffled once more (few are left), which lets Spark split a skewed key in the join
+    twice = twice.select(*[F.col(k).bitwiseXOR(F.lit(0)).alias(k) for k in keys])
     return rows.join(twice, keys, "left_semi").groupBy("doc_id", "v").agg(F.collect_list("p").alias(name))
 
 
@@ -154,10 +156,11 @@ def candidates(docs: DataFrame, k: Kind) -> tuple[DataFrame, DataFrame]:
     seen = stored(first_level(docs, k), "parts")
     same = seen.groupBy("digest").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "v")).alias("one"))
     base = stored(seen.select("doc_id", "v", "n", "digest").join(same, "digest"), "copies")
-    rows = seen.select("doc_id", "v", F.explode(F.arrays_zip("h", "p")).alias("x")).select("x.h", "doc_id", "v", "x.p")
     # of equal texts one is enough to find what others share with them
     one = base.where("copies = 1 OR (one.doc_id = doc_id AND one.v = v)").select("doc_id", "v").distinct()
-    texts = stored(keyed(docs).join(repeated(rows, ["h"], "a0").join(one, ["doc_id", "v"], "left_semi"), ["doc_id", "v"]), "texts")
+    rows = seen.join(one, ["doc_id", "v"], "left_semi").select("doc_id", "v", F.explode(F.arrays_zip("h", "p")).alias("x")).select("x.h", "doc_id", "v", "x.p")
+    # a shuffle of the texts whatever the other side's size, so that the plan doesn't change with the input
+    texts = stored(keyed(docs).join(repeated(rows, ["h"], "a0").hint("shuffle_hash"), ["doc_id", "v"]), "texts")
     forget(seen)
     for done in range(1, len(k.levels)):
         found = repeated(next_level(texts, k, done), ["h"], f"a{done}")
