@@ -8,6 +8,7 @@ higher-order functions, so it stays in the JVM.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,6 +17,11 @@ EARTH_RADIUS_M = 6371008.8
 DEGREE_M_MAP, DEGREE_M_LOG = 111320.0, 111000.0
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value made once: a plain Python variable would copy its whole expression to every use."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def point(x: Column, y: Column) -> Column:
     return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
 
@@ -31,16 +37,24 @@ def rectangle(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
 
 def closed(ring: Column) -> Column:
     """The ring with its first point at the end too."""
+    return let(ring, _closed)
+
+
+def _closed(ring: Column) -> Column:
     first, last = F.try_element_at(ring, F.lit(1)), F.try_element_at(ring, F.lit(-1))
     return F.when((first["x"] == last["x"]) & (first["y"] == last["y"]), ring).otherwise(F.concat(ring, F.array(first)))
 
 
 def without_repeats(ring: Column) -> Column:
     """Drops points equal to the one before."""
-    return F.filter(ring, lambda p, i: (i == 0) | ~(p.eqNullSafe(F.try_element_at(ring, F.greatest(i, F.lit(1))))))
+    return let(ring, lambda r: F.filter(r, lambda p, i: (i == 0) | ~(p.eqNullSafe(F.try_element_at(r, F.greatest(i, F.lit(1)))))))
 
 
 def edges(ring: Column) -> Column:
+    return let(ring, _edges)
+
+
+def _edges(ring: Column) -> Column:
     n = F.size(ring)
     return F.when(n > 1, F.transform(F.slice(ring, F.lit(1), n - 1), lambda p, i: F.struct(p.alias("a"), F.element_at(ring, i + 2).alias("b")))).otherwise(F.array().cast("array<struct<a:struct<x:double,y:double>,b:struct<x:double,y:double>>>"))
 
@@ -74,15 +88,22 @@ def area_degrees_coarse(polygon: Column) -> Column:
 
 def centroid(polygon: Column) -> Column:
     """Area centroid of the outer ring; a flat ring has its vertex mean."""
-    ring = closed(polygon[0])
+    return let(polygon[0], lambda outer: let(closed(outer), lambda ring: _centroid(outer, ring)))
+
+
+def _centroid(outer: Column, ring: Column) -> Column:
     # moments about the first point: coordinates far from zero would cancel otherwise
     o = ring[0]
-    local = F.transform(ring, lambda p: point(p["x"] - o["x"], p["y"] - o["y"]))
-    a = ring_area(local)
-    cx = _sum(edges(local), lambda e: (e["a"]["x"] + e["b"]["x"]) * _cross(e)) / (6 * F.nullif(a, F.lit(0.0)))
-    cy = _sum(edges(local), lambda e: (e["a"]["y"] + e["b"]["y"]) * _cross(e)) / (6 * F.nullif(a, F.lit(0.0)))
-    mean = vertex_mean(polygon[0])
-    return point(F.coalesce(o["x"] + cx, mean["x"]), F.coalesce(o["y"] + cy, mean["y"]))
+    local = edges(F.transform(ring, lambda p: point(p["x"] - o["x"], p["y"] - o["y"])))
+
+    def moments(es: Column) -> Column:
+        six = F.nullif(3 * _sum(es, _cross), F.lit(0.0))
+        cx = _sum(es, lambda e: (e["a"]["x"] + e["b"]["x"]) * _cross(e)) / six
+        cy = _sum(es, lambda e: (e["a"]["y"] + e["b"]["y"]) * _cross(e)) / six
+        mean = vertex_mean(outer)
+        return point(F.coalesce(o["x"] + cx, mean["x"]), F.coalesce(o["y"] + cy, mean["y"]))
+
+    return let(local, moments)
 
 
 def vertex_mean(ring: Column) -> Column:
@@ -162,25 +183,29 @@ def _touch(e: Column, f: Column) -> Column:
 
 def intersects(p: Column, q: Column) -> Column:
     """Do two polygons share a point? Boxes first, then a vertex in the other, then crossing edges."""
-    bp, bq = bounds(p), bounds(q)
-    boxes = (bp["x0"] <= bq["x1"]) & (bq["x0"] <= bp["x1"]) & (bp["y0"] <= bq["y1"]) & (bq["y0"] <= bp["y1"])
+
+    def boxes(bp: Column) -> Column:
+        return let(bounds(q), lambda bq: (bp["x0"] <= bq["x1"]) & (bq["x0"] <= bp["x1"]) & (bp["y0"] <= bq["y1"]) & (bq["y0"] <= bp["y1"]))
+
     inside = covers(q, p[0][0]["x"], p[0][0]["y"]) | covers(p, q[0][0]["x"], q[0][0]["y"])
-    crossing = F.exists(_all_edges(p), lambda e: F.exists(_all_edges(q), lambda f: _touch(e, f)))
-    return F.when(boxes, inside | crossing).otherwise(F.lit(False))
+    crossing = let(_all_edges(q), lambda eq: F.exists(_all_edges(p), lambda e: F.exists(eq, lambda f: _touch(e, f))))
+    return F.when(let(bounds(p), boxes), inside | crossing).otherwise(F.lit(False))
 
 
 def self_crossing(polygon: Column) -> Column:
     """Do two edges of the outer ring that aren't neighbours meet? Such rings go to quarantine."""
-    ring = without_repeats(closed(polygon[0]))
-    es = F.transform(edges(ring), lambda e, i: F.struct(i.alias("i"), e.alias("e")))
-    n = F.size(es)
-    return F.exists(es, lambda s: F.exists(es, lambda t: (t["i"] > s["i"] + 1) & ~((s["i"] == 0) & (t["i"] == n - 1)) & _touch(s["e"], t["e"])))
+
+    def check(es: Column) -> Column:
+        n = F.size(es)
+        return F.exists(es, lambda s: F.exists(es, lambda t: (t["i"] > s["i"] + 1) & ~((s["i"] == 0) & (t["i"] == n - 1)) & _touch(s["e"], t["e"])))
+
+    return let(F.transform(edges(without_repeats(closed(polygon[0]))), lambda e, i: F.struct(i.alias("i"), e.alias("e"))), check)
 
 
 def repaired(polygon: Column) -> Column:
     """Rings closed and without repeated points; null if fewer than four points are left or edges cross."""
     clean = F.filter(F.transform(polygon, lambda r: without_repeats(closed(r))), lambda r: F.size(r) >= 4)
-    return F.when((F.size(clean) > 0) & ~self_crossing(clean), clean)
+    return let(clean, lambda c: F.when((F.size(c) > 0) & ~self_crossing(c), c))
 
 
 def line_to_polygon(line: Column) -> Column:
@@ -193,32 +218,41 @@ def disc(x: Column, y: Column, radius: float = 0.001, corners: int = 32) -> Colu
 
 
 def inside_point(polygon: Column) -> Column:
-    """A point surely inside: the middle of the widest stretch at half height."""
-    b = bounds(polygon)
-    y = (b["y0"] + b["y1"]) / 2
-    cut = F.filter(_all_edges(polygon), lambda e: (e["a"]["y"] > y) != (e["b"]["y"] > y))
-    xs = F.array_sort(F.transform(cut, lambda e: e["a"]["x"] + (y - e["a"]["y"]) * (e["b"]["x"] - e["a"]["x"]) / (e["b"]["y"] - e["a"]["y"])))
-    pairs = F.transform(F.filter(F.transform(xs, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: s["i"] % 2 == 0), lambda s: F.struct((F.try_element_at(xs, s["i"] + 2) - s["x"]).alias("w"), ((F.try_element_at(xs, s["i"] + 2) + s["x"]) / 2).alias("x")))
-    return point(F.array_max(pairs)["x"], y)
+    """A point surely inside: the middle of the widest stretch near half height, between the heights of vertices."""
+    ys = F.transform(F.flatten(polygon), lambda p: p["y"])
+    height = let(ys, lambda v: let((F.array_min(v) + F.array_max(v)) / 2, lambda m: (F.array_max(F.filter(v, lambda t: t <= m)) + F.array_min(F.filter(v, lambda t: t > m))) / 2))
+
+    def at(y: Column) -> Column:
+        cut = F.filter(_all_edges(polygon), lambda e: (e["a"]["y"] > y) != (e["b"]["y"] > y))
+        xs = F.array_sort(F.transform(cut, lambda e: e["a"]["x"] + (y - e["a"]["y"]) * (e["b"]["x"] - e["a"]["x"]) / (e["b"]["y"] - e["a"]["y"])))
+        return let(xs, lambda v: point(_widest(v)["x"], y))
+
+    return let(height, at)
+
+
+def _widest(xs: Column) -> Column:
+    """Width and middle of the widest of the stretches xs[0]..xs[1], xs[2]..xs[3], ..."""
+    stretch = lambda k: F.struct((F.get(xs, 2 * k + 1) - F.get(xs, 2 * k)).alias("w"), ((F.get(xs, 2 * k + 1) + F.get(xs, 2 * k)) / 2).alias("x"))
+    return F.array_max(F.transform(F.sequence(F.lit(0), F.greatest(F.floor(F.size(xs) / 2).cast("int") - 1, F.lit(0))), stretch))
 
 
 def locate(line: Column, x: Column, y: Column) -> Column:
     """Nearest point of a line: planar distance, fraction along the line, and its coordinates."""
-    es = edges(line)
 
     def near(e: Column) -> Column:
         a, b = e["a"], e["b"]
         dx, dy = b["x"] - a["x"], b["y"] - a["y"]
         sq = dx * dx + dy * dy
         t = F.when(sq > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - a["x"]) * dx + (y - a["y"]) * dy) / F.nullif(sq, F.lit(0.0))))).otherwise(F.lit(0.0))
-        px, py = a["x"] + t * dx, a["y"] + t * dy
-        return F.struct(F.sqrt((x - px) * (x - px) + (y - py) * (y - py)).alias("d"), t.alias("t"), F.sqrt(sq).alias("len"), px.alias("x"), py.alias("y"))
+        return let(t, lambda u: F.struct(F.sqrt(F.pow(x - a["x"] - u * dx, 2) + F.pow(y - a["y"] - u * dy, 2)).alias("d"), u.alias("t"), F.sqrt(sq).alias("len"), (a["x"] + u * dx).alias("x"), (a["y"] + u * dy).alias("y")))
+
+    def place(hits: Column) -> Column:
+        before = lambda i: F.aggregate(F.slice(hits, F.lit(1), i), F.lit(0.0), lambda s, g: s + g["len"])
+        placed = F.transform(hits, lambda h, i: F.struct(h["d"].alias("d"), i.alias("i"), (before(i) + h["t"] * h["len"]).alias("along"), h["x"].alias("x"), h["y"].alias("y")))
+        total = F.aggregate(hits, F.lit(0.0), lambda s, g: s + g["len"])
+        return let(F.array_min(placed), lambda best: F.struct(best["d"].alias("dist"), F.coalesce(best["along"] / F.nullif(total, F.lit(0.0)), F.lit(0.0)).alias("frac"), best["x"].alias("x"), best["y"].alias("y")))
 
-    hits = F.transform(es, near)
-    placed = F.transform(hits, lambda h, i: F.struct(h["d"].alias("d"), i.alias("i"), (F.aggregate(F.slice(hits, F.lit(1), i), F.lit(0.0), lambda s, g: s + g["len"]) + h["t"] * h["len"]).alias("along"), h["x"].alias("x"), h["y"].alias("y")))
-    total = F.aggregate(hits, F.lit(0.0), lambda s, g: s + g["len"])
-    best = F.array_min(placed)
-    return F.struct(best["d"].alias("dist"), F.coalesce(best["along"] / F.nullif(total, F.lit(0.0)), F.lit(0.0)).alias("frac"), best["x"].alias("x"), best["y"].alias("y"))
+    return let(F.transform(edges(line), near), place)
 
 
 def metres(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
@@ -236,10 +270,13 @@ _ALPHA = (_N / 2 - 2 * _N**2 / 3 + 5 * _N**3 / 16, 13 * _N**2 / 48 - 3 * _N**3 /
 
 def utm(x: Column, y: Column, zone: int, south: bool = True) -> Column:
     """Easting and northing in metres of a point in degrees."""
-    phi, lam = F.radians(y), F.radians(x - (zone * 6 - 183))
+    lam, sin = F.radians(x - (zone * 6 - 183)), F.sin(F.radians(y))
     k = 2 * math.sqrt(_N) / (1 + _N)
-    t = F.sinh(F.atanh(F.sin(phi)) - k * F.atanh(k * F.sin(phi)))
-    xi, eta = F.atan2(t, F.cos(lam)), F.atanh(F.sin(lam) / F.sqrt(1 + t * t))
+    grid = lambda t: let(F.struct(F.atan2(t, F.cos(lam)).alias("xi"), F.atanh(F.sin(lam) / F.sqrt(1 + t * t)).alias("eta")), lambda g: _series(g["xi"], g["eta"], south))
+    return let(F.sinh(F.atanh(sin) - k * F.atanh(k * sin)), grid)
+
+
+def _series(xi: Column, eta: Column, south: bool) -> Column:
     east, north = eta, xi
     for j, a in enumerate(_ALPHA, 1):
         east = east + a * F.cos(2 * j * xi) * F.sinh(2 * j * eta)

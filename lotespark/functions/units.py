@@ -67,6 +67,10 @@ def building_from_accounts(accounts: DataFrame, by: list[str], address: str = "a
     return agg.withColumn("unidades_min", F.when(inferred, F.col("piso_max_visto") * F.col("dptos_por_piso_min") + ground_units).otherwise(F.col("cuentas")).cast("bigint")).withColumn("fuente", F.when(inferred, "inferencia").otherwise("solo_cuentas"))
 
 
+def _hint_rows(whole: Column, around: Column, kind: str) -> Column:
+    return F.transform(whole, lambda m, i: F.struct(F.lit(kind).alias("tipo"), F.trim(m).alias("match"), F.trim(F.get(around, i)).alias("raw")))
+
+
 def hints(text: Column) -> Column:
     """All hints in a text as structs of kind, match and up to 30 letters on either side."""
     found = []
@@ -74,7 +78,7 @@ def hints(text: Column) -> Column:
         for_case = "(?i)" + pattern
         around = F.regexp_extract_all(text, F.lit(r"(?is)(.{0,30}" + pattern + r".{0,30})"), F.lit(1))
         whole = F.regexp_extract_all(F.lower(text), F.lit(for_case), F.lit(0))
-        found.append(F.transform(whole, lambda m, i, a=around, k=kind: F.struct(F.lit(k).alias("tipo"), F.trim(m).alias("match"), F.trim(F.get(a, i)).alias("raw"))))
+        found.append(_hint_rows(whole, around, kind))
     return F.flatten(F.array(*found))
 
 

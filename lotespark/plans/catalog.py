@@ -446,8 +446,8 @@ def band_join(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     """, s AS (SELECT *, x0 AS xa, x0 + 2e-2 AS xb FROM logradouros WHERE nome IS NOT NULL),
-    h AS (SELECT p.parcela_id, s.logradouro_id, s.nome, greatest(0e0, least(1e0, (p.centroid_lng - s.xa) / (s.xb - s.xa))) AS t, sqrt(pow(p.centroid_lng - greatest(s.xa, least(s.xb, p.centroid_lng)), 2) + pow(p.centroid_lat - s.y, 2)) AS d FROM parcelas p JOIN s ON s.y BETWEEN p.centroid_lat - 2e-2 AND p.centroid_lat + 2e-2)
-    SELECT parcela_id, round(min(d), 7) AS dist FROM h WHERE parcela_id % 20 = 0 GROUP BY parcela_id""",
+    h AS (SELECT p.parcela_id, s.logradouro_id, s.nome, greatest(0e0, least(1e0, (p.centroid_lng - s.xa) / (s.xb - s.xa))) AS t, sqrt(pow(p.centroid_lng - greatest(s.xa, least(s.xb, p.centroid_lng)), 2) + pow(p.centroid_lat - s.y, 2)) AS d FROM parcelas p CROSS JOIN s WHERE p.parcela_id % 20 = 0)
+    SELECT parcela_id, round(min(d), 7) AS dist FROM h GROUP BY parcela_id""",
     "parcelas", "logradouros",
 )
 def nearest_street(spark: SparkSession, d: str) -> DataFrame:
