@@ -342,3 +342,8 @@ def bbox_wkt(south: Column, west: Column, north: Column, east: Column) -> Column
 
 def in_bbox(lat: Column, lng: Column, south: Column, west: Column, north: Column, east: Column) -> Column:
     return lat.between(south, north) & lng.between(west, east)
+
+
+def corners(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
+    """A box from two opposite corners in any order."""
+    return F.struct(F.least(lat1, lat2).alias("south"), F.least(lng1, lng2).alias("west"), F.greatest(lat1, lat2).alias("north"), F.greatest(lng1, lng2).alias("east"))

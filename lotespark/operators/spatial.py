@@ -94,8 +94,10 @@ def nearest_line(points: DataFrame, lines: DataFrame, point_id: str, x: str, y:
         size *= 4
 
 
-def route(points: DataFrame, catalogue: DataFrame, point_id: str, lat: str, lng: str) -> DataFrame:
-    """The first city, in the catalogue's order, whose box holds each point. The catalogue has a few rows per country."""
+def route(points: DataFrame, catalogue: DataFrame, point_id: str, lat: str, lng: str, size: float = 0.5) -> DataFrame:
+    """The first city, in the catalogue's order, whose box holds each point; null where none does."""
+    boxes = with_cells(catalogue, F.col("west"), F.col("south"), F.col("east"), F.col("north"), size)
+    dots = points.select(point_id, lat, lng).withColumn("_cx", cell_of(F.col(lng), size)).withColumn("_cy", cell_of(F.col(lat), size))
     box = G.in_bbox(F.col(lat), F.col(lng), F.col("south"), F.col("west"), F.col("north"), F.col("east"))
-    hits = points.select(point_id, lat, lng).join(F.broadcast(catalogue.limit(10_000)), box).groupBy(point_id).agg(F.min_by("slug", "ord").alias("slug"))
+    hits = dots.join(boxes, ["_cx", "_cy"]).where(box).groupBy(point_id).agg(F.min_by("slug", "ord").alias("slug"))
     return points.join(hits, point_id, "left")

@@ -16,6 +16,7 @@ from ..functions import rules as R
 from ..functions import strings as S
 from ..functions import units as U
 from ..operators import classify, clustering, estimate, grids, merge, reports, sequences, spatial, surveys
+from ..sources import exports, feeds
 from . import planner
 from .fixtures import SIDE, cte, table
 
@@ -535,3 +536,202 @@ def activity_by_hour(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT count(*) AS done, round(count(*) / 20000, 4) AS share, round(epoch(max(date_trunc('second', ts)) - min(date_trunc('second', ts))) / (count(*) - 1), 3) AS mean_s FROM activity_log""", "activity_log")
 def progress(spark: SparkSession, d: str) -> DataFrame:
     return sequences.progress(table(spark, d, "activity_log"), 20000).select("done", "share", "mean_s")
+
+
+# Feeds: payload text made from the tables, read back by the feed readers
+
+
+def _square(x0: str, y0: str) -> str:
+    corners = [(x0, y0), (f"({x0} + 2e-2)", y0), (f"({x0} + 2e-2)", f"({y0} + 2e-2)"), (x0, f"({y0} + 2e-2)"), (x0, y0)]
+    return "concat('[[', " + ", ',', ".join(f"'[', CAST({x} AS STRING), ',', CAST({y} AS STRING), ']'" for x, y in corners) + ", ']]')"
+
+
+@query("SELECT concat('K', setor_id) AS nomenclatura, CASE WHEN setor_id % 3 = 0 THEN NULL ELSE CAST(setor_id AS VARCHAR) END AS numero, round(x0 + 1e-2, 7) AS lng, round(y0 + 1e-2, 7) AS lat FROM setores", "setores")
+def cadastral_feed(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "setores")
+    text = F.expr(f"""concat('{{"type":"FeatureCollection","features":[{{"properties":{{"VINCULACIO":"K', setor_id, '","NROPUERTA":"', CASE WHEN setor_id % 3 = 0 THEN '00' ELSE CAST(setor_id AS STRING) END, '"}},"geometry":{{"type":"Polygon","coordinates":', {_square("x0", "y0")}, '}}}},{{"properties":{{}},"geometry":null}}]}}')""")
+    got = feeds.parcel_features(s.select("setor_id", text.alias("text"))).where("problem IS NULL")
+    return got.select("nomenclatura", "numero", F.round("lng", 7).alias("lng"), F.round("lat", 7).alias("lat"))
+
+
+@query("SELECT CAST(setor_id AS VARCHAR) AS external_id, round(x0 + 1e-2, 7) AS lng, round(y0 + 1e-2, 7) AS lat, CAST(setor_id % 5 AS INTEGER) AS pisos, concat('Rua ', setor_id) AS direccion FROM setores", "setores")
+def building_feed(spark: SparkSession, d: str) -> DataFrame:
+    node = lambda k, x, y: f"""'{{"type":"node","id":', setor_id * 10 + {k}, ',"lon":', CAST({x} AS STRING), ',"lat":', CAST({y} AS STRING), '}},'"""
+    nodes = ", ".join(node(k, x, y) for k, (x, y) in enumerate([("x0", "y0"), ("x0 + 2e-2", "y0"), ("x0 + 2e-2", "y0 + 2e-2"), ("x0", "y0 + 2e-2")]))
+    refs = ", ',', ".join(f"setor_id * 10 + {k}" for k in (0, 1, 2, 3, 0))
+    text = F.expr(f"""concat('{{"elements":[', {nodes}, '{{"type":"way","id":', setor_id, ',"nodes":[', {refs}, '],"tags":{{"addr:street":"Rua","addr:housenumber":"', setor_id, '","building:levels":"', setor_id % 5, '"}}}}]}}')""")
+    got = feeds.osm_buildings(feeds.osm_elements(table(spark, d, "setores").select(text.alias("text"))))
+    return got.select("external_id", F.round("lng", 7).alias("lng"), F.round("lat", 7).alias("lat"), "pisos", "direccion")
+
+
+@query(
+    """SELECT CAST(o_custkey AS VARCHAR) AS setor, CAST(sum(o_orderkey % 2000) AS BIGINT) AS domicilios_total, CAST(sum(CASE WHEN o_orderstatus = 'F' THEN o_orderkey % 2000 ELSE 0 END) AS BIGINT) AS domicilios_casas,
+    CAST(sum(CASE WHEN o_orderstatus = 'O' THEN o_orderkey % 2000 ELSE 0 END) AS BIGINT) AS domicilios_aptos FROM orders GROUP BY 1""",
+)
+def census_feed(spark: SparkSession, d: str) -> DataFrame:
+    row = """concat('{"D1C":"', o_custkey, '","V":"', format_number(o_orderkey % 2000, 0), '","D2N":"', CASE o_orderstatus WHEN 'F' THEN 'Casa' WHEN 'O' THEN 'Apartamento' ELSE 'Casa de vila' END, '"}')"""
+    head = F.lit('{"D1C":"Setor (Código)","V":"Valor","D2N":"Tipo"}')
+    docs = spark.read.parquet(f"{d}/orders.parquet").select(F.concat(F.lit("["), head, F.lit(","), F.expr(row), F.lit("]")).alias("text"))
+    return feeds.dwellings(feeds.sidra(docs))
+
+
+@query("SELECT CAST(p_partkey AS INTEGER) AS id, p_partkey % 40 AS quadra, p_partkey % 9 AS lote, p_partkey AS codigo, 1000 + p_size + 5e-1 AS area, '78110000' AS cep, p_size AS unidades FROM part")
+def lot_feed(spark: SparkSession, d: str) -> DataFrame:
+    text = """concat('{"id":', p_partkey, ',"inscricao":"401-', p_partkey % 40, '-', p_partkey % 9, '#', p_partkey, '","geoJson":"","unidadesCount":', p_size, ',"fieldItemGroups":[{"fieldItems":[{"name":"Área","value":"1.', lpad(p_size, 3, '0'), ',5"},{"name":"CEP","value":"78.110-000"}]}]}')"""
+    got = feeds.lots(spark.read.parquet(f"{d}/part.parquet").select(F.expr(text).alias("text")))
+    return got.select("id", "quadra", "lote", "codigo", "area", "cep", "unidades")
+
+
+@query("SELECT setor_id, round(x0, 9) AS west, round(y0, 9) AS south, round(x0 + 2e-2, 9) AS east, round(y0 + 2e-2, 9) AS north FROM setores", "setores")
+def zone_bounds(spark: SparkSession, d: str) -> DataFrame:
+    text = F.expr(f"""concat('{{"type":"Polygon","coordinates":', {_square("x0", "y0")}, '}}')""")
+    b = table(spark, d, "setores").select("setor_id", feeds.coordinate_bounds(text).alias("b"))
+    return b.select("setor_id", *[F.round(F.col(f"b.{c}"), 9).alias(c) for c in ("west", "south", "east", "north")])
+
+
+@query("SELECT p_partkey, p_brand AS barrio FROM part")
+def html_labels(spark: SparkSession, d: str) -> DataFrame:
+    html = F.concat(F.lit("<tr><td>Bairro:</td><td> "), F.col("p_brand"), F.lit(" </td></tr>"))
+    return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", bci.labelled(html, "Quarteirão", "Bairro").alias("barrio"))
+
+
+# Lookups and classifiers
+
+
+@query(
+    """SELECT parcela_id, CASE WHEN calle IS NULL OR calle = '' THEN CASE WHEN parcela_id % 2 = 0 THEN 'S' WHEN parcela_id % 3 = 0 THEN 'G' END ELSE calle END AS calle,
+    CASE WHEN coalesce(calle, '') = '' AND parcela_id % 2 = 0 THEN '5' WHEN parcela_id % 3 = 0 THEN '7' ELSE numero END AS numero,
+    CASE WHEN coalesce(calle, '') = '' AND parcela_id % 2 = 0 THEN 'logradouros' WHEN parcela_id % 3 = 0 THEN 'geocode' END AS direccion_source FROM parcelas""",
+    "parcelas",
+)
+def address_cascade(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "parcelas")
+    street = p.where("parcela_id % 2 = 0").select("parcela_id", F.lit("S").alias("calle"), F.lit("5").alias("numero"))
+    geo = p.where("parcela_id % 3 = 0").select("parcela_id", F.lit("G").alias("calle"), F.lit("7").alias("numero"))
+    return classify.resolve_addresses(p, street, geo).drop("direccion_confidence")
+
+
+@query(
+    """, c AS (SELECT parent, count_if(n % 3 = 0) AS k FROM unit_counts GROUP BY parent)
+    SELECT p.parcela_id, CASE WHEN v + s = 0 THEN 'sin_datos' WHEN v > 0 AND s > 0 THEN 'mixto' WHEN s > 0 THEN 'comercial' ELSE 'residencial' END AS uso_principal
+    FROM (SELECT p.parcela_id, p.uf_vivienda AS v, CASE WHEN p.uf_comercio > 0 THEN p.uf_comercio ELSE coalesce(c.k, 0) END AS s FROM parcelas p LEFT JOIN c ON c.parent = p.parcela_id) p""",
+    "parcelas", "unit_counts",
+)
+def use_from_places(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.when(F.col("n") % 3 == 0, F.array(F.lit("bar"), F.lit("premise"))).when(F.col("n") % 3 == 1, F.array(F.lit("premise"))).otherwise(F.array(F.lit("park")))
+    places = table(spark, d, "unit_counts").select(F.col("parent").alias("parcela_id"), kind.alias("types"))
+    return classify.classify_use(table(spark, d, "parcelas"), places)
+
+
+@query(
+    """SELECT parcela_id, CASE WHEN parcela_id % 4 = 0 THEN 'RURAL' WHEN parcela_id % 4 = 1 THEN 'URBANO' END AS tipo, CASE WHEN parcela_id % 4 = 0 THEN 'vacante' WHEN parcela_id % 4 = 1 THEN 'residencial' END AS uso_principal FROM parcelas""",
+    "parcelas",
+)
+def use_from_registry(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "parcelas").select("parcela_id", F.col("parcela_id").cast("string").alias("nomenclatura"))
+    one = p.where("parcela_id % 4 < 2").select(F.lit(0).alias("pos"), F.col("nomenclatura").alias("vinculacion"), F.lit("CLUB DE CAMPO").alias("tipo"))
+    two = p.where("parcela_id % 4 < 2").select(F.lit(1).alias("pos"), F.col("nomenclatura").alias("vinculacion"), F.when(F.col("parcela_id") % 4 == 0, "RURAL").otherwise("URBANO").alias("tipo"))
+    return classify.classify_registry(p, one.union(two))
+
+
+@query(
+    """SELECT parcela_id, CASE WHEN parcela_id % 3 = 0 THEN 'vacante' WHEN parcela_id % 3 = 1 THEN 'edificado' ELSE 'sin_match' END AS resultado FROM parcelas WHERE coalesce(uso_principal, '') <> 'vacante' AND cca_code IS NOT NULL""",
+    "parcelas",
+)
+def use_from_valuation(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "parcelas")
+    third = F.col("parcela_id") % 3
+    v = p.where((third < 2) & F.col("cca_code").isNotNull()).select("cca_code", F.when(third == 0, "0.00").otherwise("15,673.60").alias("valor_edificado"), F.lit("1.00").alias("valor_terreno"))
+    return classify.classify_valuation(p, v)
+
+
+@query("SELECT p.parcela_id, coalesce(u.n, p.uf_vivienda) AS uf FROM parcelas p LEFT JOIN (SELECT parent, count(*) AS n FROM unit_counts WHERE s_m2 > 40 GROUP BY parent) u ON u.parent = p.parcela_id", "parcelas", "unit_counts")
+def document_patch(spark: SparkSession, d: str) -> DataFrame:
+    patch = table(spark, d, "unit_counts").where("s_m2 > 40").groupBy(F.col("parent").alias("parcela_id")).agg(F.count("*").alias("n"))
+    return table(spark, d, "parcelas").join(patch, "parcela_id", "left").select("parcela_id", F.coalesce("n", "uf_vivienda").alias("uf"))
+
+
+@query("SELECT survey_id, string_agg(CAST(parcela_id AS VARCHAR), ',' ORDER BY parcela_id) AS ids FROM parcelas GROUP BY survey_id", "parcelas")
+def parcel_id_lists(spark: SparkSession, d: str) -> DataFrame:
+    """The ids of each survey's parcels; a survey is one district's parcels."""
+    ids = F.array_join(F.transform(F.array_sort(F.collect_list("parcela_id")), lambda i: i.cast("string")), ",")
+    return table(spark, d, "parcelas").groupBy("survey_id").agg(ids.alias("ids"))
+
+
+@query("SELECT survey_id, calle, round(avg(centroid_lat), 7) AS lat, round(avg(centroid_lng), 7) AS lng FROM parcelas GROUP BY survey_id, calle", "parcelas")
+def mean_centroids(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "parcelas").groupBy("survey_id", "calle").agg(F.round(F.avg("centroid_lat"), 7).alias("lat"), F.round(F.avg("centroid_lng"), 7).alias("lng"))
+
+
+@query(
+    """SELECT parcela_id, CASE WHEN centroid_lat BETWEEN -15.7e0 AND -15.6e0 AND centroid_lng BETWEEN -56.2e0 AND -56.1e0 THEN 'a' WHEN centroid_lat BETWEEN -15.65e0 AND -15.55e0 AND centroid_lng BETWEEN -56.2e0 AND -56.0e0 THEN 'b' END AS slug FROM parcelas""",
+    "parcelas",
+)
+def city_routing(spark: SparkSession, d: str) -> DataFrame:
+    cities = spark.createDataFrame([(0, "a", -15.7, -56.2, -15.6, -56.1), (1, "b", -15.65, -56.2, -15.55, -56.0)], "ord int, slug string, south double, west double, north double, east double")
+    return spatial.route(table(spark, d, "parcelas").select("parcela_id", "centroid_lat", "centroid_lng"), cities, "parcela_id", "centroid_lat", "centroid_lng").select("parcela_id", "slug")
+
+
+# Generators and text rules
+
+
+@query("SELECT id, lpad(CAST(id AS VARCHAR), 15, '0') AS code FROM range(30000, 50001) r(id)")
+def padded_ids(spark: SparkSession, d: str) -> DataFrame:
+    return grids.padded_ids(spark, 30000, 50000)
+
+
+@query("SELECT i.i AS i, CAST(j.j AS INTEGER) AS j, round(i.i * 5e-2, 9) AS s, round(j.j * 5e-2, 9) AS w, round(least(i.i * 5e-2 + 5e-2, 1.02e0), 9) AS n, round(least(j.j * 5e-2 + 5e-2, 2.02e0), 9) AS e FROM range(0, 21) i(i), range(0, 41) j(j)")
+def plain_grid(spark: SparkSession, d: str) -> DataFrame:
+    g = grids.plain_grid(spark, 0.0, 0.0, 1.02, 2.02, 0.05)
+    return g.select("i", "j", *[F.round(c, 9).alias(c) for c in ("s", "w", "n", "e")])
+
+
+@query("SELECT parcela_id, m.pos AS pos, round(centroid_lat + m.a, 7) AS plat, round(centroid_lng + m.b, 7) AS plng FROM parcelas, (VALUES (0, 0e0, 0e0), (1, 1e-4, 0e0), (2, -1e-4, 0e0), (3, 0e0, 1e-4), (4, 0e0, -1e-4), (5, 1e-4, 1e-4)) m(pos, a, b)", "parcelas")
+def probe_points(spark: SparkSession, d: str) -> DataFrame:
+    got = grids.probe_points(table(spark, d, "parcelas").select("parcela_id", "centroid_lat", "centroid_lng"), "centroid_lat", "centroid_lng")
+    return got.select("parcela_id", "pos", F.round("plat", 7).alias("plat"), F.round("plng", 7).alias("plng"))
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_size WHEN 1 THEN 1 + p_size % 26 WHEN 2 THEN 1 + p_size % 26 ELSE p_size * (1 + p_size % 26) + 1 + p_size % 26 END AS unidades_min FROM part""")
+def unit_codes(spark: SparkSession, d: str) -> DataFrame:
+    letter = "chr(65 + p_size % 26)"
+    code = F.expr(f"CASE p_partkey % 4 WHEN 0 THEN CAST(p_size AS STRING) WHEN 1 THEN {letter} WHEN 2 THEN concat('pb ', {letter}) ELSE concat(p_size, ' ', {letter}) END")
+    return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", U.building_from_unit(code)["unidades_min"].alias("unidades_min"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 2 ELSE 1 END AS pistas FROM part")
+def unit_hints(spark: SparkSession, d: str) -> DataFrame:
+    text = F.expr("concat('Vendo piso ', p_size, CASE WHEN p_size % 2 = 0 THEN ' monoambiente' ELSE '' END, ' luminoso')")
+    return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", F.size(U.hints(text)).alias("pistas"))
+
+
+@query("""SELECT survey_id, concat('{"paso_actual":"coverage","pasos":{', CASE WHEN survey_id % 2 = 0 THEN '"zone":"1",' ELSE '' END, '"coverage":"2"}}') AS notes, CASE WHEN survey_id % 2 = 0 THEN 'zone' END AS antes FROM surveys""", "surveys")
+def notes_merge(spark: SparkSession, d: str) -> DataFrame:
+    notes = F.when(F.col("survey_id") % 2 == 0, '{"paso_actual":"zone","pasos":{"zone":"1"}}').otherwise("broken {")
+    return table(spark, d, "surveys").select("survey_id", surveys.merge_notes(notes, F.lit("coverage"), F.lit("2")).alias("notes"), surveys.current_step(notes).alias("antes"))
+
+
+@query(
+    """SELECT survey_id, CAST(row_number() OVER w AS INTEGER) AS n, concat(row_number() OVER w, ';', coalesce(calle, ''), ';', coalesce(numero, ''), ';', parcela_id) AS line FROM parcelas WINDOW w AS (PARTITION BY survey_id ORDER BY calle NULLS LAST, numero NULLS LAST, parcela_id)""",
+    "parcelas",
+)
+def csv_report(spark: SparkSession, d: str) -> DataFrame:
+    order = [F.asc_nulls_last("calle"), F.asc_nulls_last("numero"), F.asc("parcela_id")]
+    return exports.csv_lines(table(spark, d, "parcelas"), "survey_id", ["calle", "numero", "parcela_id"], order)
+
+
+@query(
+    """, g AS (SELECT survey_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY survey_id ORDER BY ts) < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS new FROM activity_log),
+    s AS (SELECT survey_id, ts, sum(new) OVER (PARTITION BY survey_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+    SELECT survey_id, min(ts) AS start, count(*) AS n FROM s GROUP BY survey_id, k""",
+    "activity_log",
+)
+def activity_sessions(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "activity_log").groupBy("survey_id", F.session_window("ts", "12 hours")).agg(F.count("*").alias("n"))
+    return rows.select("survey_id", F.col("session_window.start").alias("start"), "n")
+
+
+@query("SELECT DISTINCT parent % 500 AS id FROM unit_counts WHERE n % 2 = 0 UNION SELECT DISTINCT parent % 700 FROM unit_counts WHERE n % 2 = 0", "unit_counts")
+def ids_over_cells(spark: SparkSession, d: str) -> DataFrame:
+    u = table(spark, d, "unit_counts").where("n % 2 = 0")
+    return grids.ids_over_cells(u.select(F.array(F.col("parent") % 500, F.col("parent") % 700).alias("ids")))
