@@ -11,9 +11,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
+
+from ..runtime import ready
 
 BAND = 5e-5
 
@@ -61,4 +62,4 @@ def leaders(feed: DataFrame, row_id: str, order: str, keys: list[str], band: flo
     marked = grouped.withColumn("_n", n)
     alone = marked.where("_n = 1").select(row_id, F.col(row_id).alias("leader"))
     many = marked.where("_n > 1").select(row_id, "_ord", lat, lng, "cx", "cy", "gx", "gy", *keys)
-    return alone.union(many.groupBy(*keys, "gx", "gy").applyInPandas(walk, f"{row_id} {kind}, leader {kind}"))
+    return alone.union(many.transform(ready).groupBy(*keys, "gx", "gy").applyInPandas(walk, f"{row_id} {kind}, leader {kind}"))

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..runtime import ready
+
 LOG_DDL = "id bigint, ts timestamp, lvl string, msg string, survey_id bigint"
 
 
@@ -30,7 +32,7 @@ def ring_buffer(log: DataFrame, size: int = 100, key: str = "survey_id", order:
         state.update((held,))
         yield pd.DataFrame({key: [key_[0]], "ids": [held]})
 
-    return log.select(key, order).groupBy(key).applyInPandasWithState(update, f"{key} bigint, ids array<bigint>", "ids array<bigint>", "update", GroupStateTimeout.NoTimeout)
+    return log.select(key, order).transform(ready).groupBy(key).applyInPandasWithState(update, f"{key} bigint, ids array<bigint>", "ids array<bigint>", "update", GroupStateTimeout.NoTimeout)
 
 
 def survey_states(updates: DataFrame) -> DataFrame:
@@ -45,7 +47,7 @@ def survey_states(updates: DataFrame) -> DataFrame:
         state.update((status,))
         yield pd.DataFrame({"survey_id": [key_[0]], "status": [status], "should_stop": [status in ("stopped", "failed")]})
 
-    return updates.groupBy("survey_id").applyInPandasWithState(update, "survey_id bigint, status string, should_stop boolean", "status string", "update", GroupStateTimeout.NoTimeout)
+    return updates.transform(ready).groupBy("survey_id").applyInPandasWithState(update, "survey_id bigint, status string, should_stop boolean", "status string", "update", GroupStateTimeout.NoTimeout)
 
 
 def activity_windows(log: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
