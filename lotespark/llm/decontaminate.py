@@ -27,6 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import ready
 from . import arrays as A
 
 Q = 8
@@ -230,7 +231,7 @@ def _block_hits(docs: DataFrame, x: Items, budget: float) -> DataFrame:
             cols = [c.ids.take(pa.array(d)), pa.array(items.ids[hits[:, 1]]), pa.array(lead[hits[:, 2]] - lead[c.off[d]]), pa.array(lead[hits[:, 3]] - lead[c.off[d]]), pa.array(hits[:, 4])]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "item_id", "start", "end", "edits"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, HITS_DDL)
+    return docs.select("doc_id", "text").transform(ready).mapInArrow(run, HITS_DDL)
 
 
 def find_benchmark(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET) -> DataFrame:
@@ -259,5 +260,5 @@ def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 bad[[h[0] for h in chunk_hits(index.value, c.buf, c.off)]] = True
                 yield c.rows.filter(pc.invert(pa.array(bad)))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.transform(ready).mapInArrow(run, docs.schema)
     return docs

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField
 
+from ..runtime import ready
 from . import arrays as A
 
 WINDOW = 256
@@ -177,7 +178,7 @@ def learn(docs: DataFrame, usable: Column | None = None, most: int = TRAIN_DOCS)
             take = pa.array(doc[keep])
             yield pa.RecordBatch.from_arrays([c.ids.take(take), c.rows.column(2).take(take), pa.array(nth[keep]), rows], names=["doc_id", "lang", "nth", "x"])
 
-    got = picked.mapInArrow(cut, "doc_id long, lang string, nth long, x binary").toPandas()
+    got = picked.transform(ready).mapInArrow(cut, "doc_id long, lang string, nth long, x binary").toPandas()
     if got.empty:
         return None
     got = got.sort_values(["doc_id", "nth", "lang"], kind="stable")
@@ -218,7 +219,7 @@ def with_language(docs: DataFrame, model: Model | None) -> DataFrame:
             lang, score = chunk_languages(c, model, banks)
             yield pa.RecordBatch.from_arrays([*c.rows.columns, pa.array(lang, pa.string()), pa.array(score)], names=[*names, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, type(docs.schema)(docs.schema.fields + [StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
+    return docs.transform(ready).mapInArrow(run, type(docs.schema)(docs.schema.fields + [StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from ..runtime import ready
 from . import arrays as A
 from . import pretoken
 from .common import stored
@@ -206,7 +207,7 @@ def write_files(docs: DataFrame, tokenizer: str) -> DataFrame:
             yield segment()
 
     rows = docs.select("doc_id", "text").where("doc_id IS NOT NULL").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    return stored(rows.mapInArrow(run, SEGMENT_DDL), "token-files")
+    return stored(rows.transform(ready).mapInArrow(run, SEGMENT_DDL), "token-files")
 
 
 def read_files(files: DataFrame) -> DataFrame:
@@ -229,4 +230,4 @@ def read_files(files: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(at[:-1] + base), pa.array(sizes), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     rows = files.join(F.broadcast(starts), ["part", "seq"]).select("base", "doc_ids", "sizes", "payload")
-    return rows.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return rows.transform(ready).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")

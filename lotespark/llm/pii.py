@@ -23,6 +23,8 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..runtime import ready
+
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "login", "iban", "account", "secret")
 
@@ -166,7 +168,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
             types = [pa.int64()] * 4 + [pa.string()] * 2
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=["doc_id", *names])
 
-    return docs.select("doc_id", "text").mapInArrow(run, FOUND_DDL)
+    return docs.select("doc_id", "text").transform(ready).mapInArrow(run, FOUND_DDL)
 
 
 def mask_pii(docs: DataFrame) -> DataFrame:
@@ -182,4 +184,4 @@ def mask_pii(docs: DataFrame) -> DataFrame:
             cols[k] = pa.array(texts, batch.schema.field(k).type)
             yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.transform(ready).mapInArrow(run, schema)

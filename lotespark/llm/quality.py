@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import ready
 from . import arrays as A
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_digits", "n_upper")
@@ -93,7 +94,7 @@ def text_stats(docs: DataFrame) -> DataFrame:
         for c in A.chunks(batches):
             yield pa.RecordBatch.from_arrays([c.ids, *map(pa.array, chunk_stats(c.buf, c.off))], names=["doc_id", *STATS])
 
-    return docs.select("doc_id", "text").mapInArrow(run, STATS_DDL)
+    return docs.select("doc_id", "text").transform(ready).mapInArrow(run, STATS_DDL)
 
 
 #: What rules may test: name and expression over the statistics.

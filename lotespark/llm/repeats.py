@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import ready
 from . import arrays as A
 from .common import forget, stored
 
@@ -120,12 +121,12 @@ def first_level(docs: DataFrame, k: Kind) -> DataFrame:
                 names=["doc_id", "v", "n", "digest", "h", "p"],
             )
 
-    return keyed(docs).mapInArrow(run, "doc_id long, v long, n long, digest string, h array<long>, p array<int>")
+    return keyed(docs).transform(ready).mapInArrow(run, "doc_id long, v long, n long, digest string, h array<long>, p array<int>")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, a checksum of the text (so that repeated ids stay apart), and the text, empty for null."""
-    return docs.select("doc_id", F.crc32(F.coalesce("text", F.lit(""))).alias("v"), F.coalesce("text", F.lit("")).alias("text"))
+    """doc_id, a checksum of the text (so that repeated ids stay apart), and the text, empty for null. Rows without a doc_id are left out."""
+    return docs.where("doc_id IS NOT NULL").select("doc_id", F.crc32(F.coalesce("text", F.lit(""))).alias("v"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 def repeated(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
@@ -148,7 +149,7 @@ def next_level(texts: DataFrame, k: Kind, done: int) -> DataFrame:
             take = pa.array(owner)
             yield pa.RecordBatch.from_arrays([pa.array(codes.view(np.int64)), c.ids.take(take), c.rows.column("v").take(take), pa.array((places - u.first[owner]).astype(np.int32))], names=["h", "doc_id", "v", "p"])
 
-    return texts.mapInArrow(run, "h long, doc_id long, v long, p int")
+    return texts.transform(ready).mapInArrow(run, "h long, doc_id long, v long, p int")
 
 
 def candidates(docs: DataFrame, k: Kind) -> tuple[DataFrame, DataFrame]:

@@ -34,6 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import ready
 from . import arrays as A
 from .common import forget, stored
 from .components import components
@@ -146,13 +147,13 @@ def chunk_fingerprints(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (as a signed long) of every document; no words: 0."""
+    """doc_id and fp (as a signed long) of every document; no words: 0. Rows without a doc_id are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in A.chunks(batches):
             yield pa.RecordBatch.from_arrays([c.ids, pa.array(chunk_fingerprints(c.buf, c.off).view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").transform(ready).mapInArrow(run, "doc_id long, fp long")
 
 
 def _bucket_keys(nodes: DataFrame) -> DataFrame:
@@ -164,7 +165,7 @@ def _bucket_keys(nodes: DataFrame) -> DataFrame:
             row, key = link_keys(fp.view(A.U))
             yield pa.RecordBatch.from_arrays([pa.array(key), rep.take(pa.array(row)), pa.array(fp[row])], names=["key", "rep", "fp"])
 
-    return nodes.select("rep", "fp").mapInArrow(run, "key long, rep long, fp long")
+    return nodes.select("rep", "fp").transform(ready).mapInArrow(run, "key long, rep long, fp long")
 
 
 def _close_pairs(buckets: DataFrame, bits: int) -> DataFrame:
@@ -192,7 +193,7 @@ def _close_pairs(buckets: DataFrame, bits: int) -> DataFrame:
                 pair = np.unique(np.stack([np.maximum(x, y), np.minimum(x, y)]), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["a", "b"])
 
-    return buckets.select("members").mapInArrow(run, "a long, b long").where("a > b").distinct()
+    return buckets.select("members").transform(ready).mapInArrow(run, "a long, b long").where("a > b").distinct()
 
 
 def fingerprint_links(nodes: DataFrame, bits: int = 2) -> DataFrame:
@@ -251,7 +252,7 @@ def _signatures(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*cols, *(pa.array(mins[:, k].copy().view(np.int64)) for k in range(MINS))], names=["doc_id", "h1", "h2", "n_words", "fp", *(f"m{k}" for k in range(MINS))])
 
     ddl = "doc_id long, h1 long, h2 long, n_words long, fp long, " + ", ".join(f"m{k} long" for k in range(MINS))
-    return docs.select("doc_id", "text").mapInArrow(run, ddl)
+    return docs.select("doc_id", "text").transform(ready).mapInArrow(run, ddl)
 
 
 def _anchor_rows(nodes: DataFrame) -> DataFrame:
@@ -271,7 +272,7 @@ def _fuzzy_rows(rows: DataFrame) -> DataFrame:
             row, col = np.nonzero(near >= 0)
             yield pa.RecordBatch.from_arrays([pa.array(A.mix(key.view(A.U)[row] ^ A.mix(near[row, col].astype(A.U))).view(np.int64)), pa.array(rep[row])], names=["key", "rep"])
 
-    return rows.select("key", "rep", "fp").mapInArrow(run, "key long, rep long")
+    return rows.select("key", "rep", "fp").transform(ready).mapInArrow(run, "key long, rep long")
 
 
 def _shared(rows: DataFrame, facts: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
@@ -315,7 +316,7 @@ def _set_rows(docs: DataFrame) -> DataFrame:
             sets = [np.unique(h[a:b]).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([c.ids, pa.array(sets, pa.binary())], names=["id", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "id long, shingles binary")
+    return docs.select("doc_id", "text").transform(ready).mapInArrow(run, "id long, shingles binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -332,7 +333,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
             kept = batch.filter(pa.array(keep, pa.bool_()))
             yield pa.RecordBatch.from_arrays([kept.column("a"), kept.column("b")], names=["a", "b"])
 
-    return stored(rows.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "verified")
+    return stored(rows.select("a", "b", "x", "y").transform(ready).mapInArrow(run, "a long, b long"), "verified")
 
 
 def near_duplicates(docs: DataFrame, least: float = SHINGLE_SIMILARITY) -> DataFrame:

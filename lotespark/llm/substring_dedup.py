@@ -7,7 +7,7 @@ the full 35, where every remaining window is counted on a 96-bit hash. Windows
 are judged on the input, so one pass over the last level's answer removes them.
 
 A null or empty text has no words; texts under 35 words lose nothing; repeated
-rows count as further occurrences.
+rows count as further occurrences; rows without a doc_id are left out.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..runtime import ready
 from . import arrays as A
 from . import repeats as R
 from .common import stored
@@ -42,7 +43,7 @@ def _full_level(texts: DataFrame, k: R.Kind) -> DataFrame:
             take = pa.array(owner)
             yield pa.RecordBatch.from_arrays([pa.array(A.run_hash(u.sums, at, at + k.length).view(np.int64)), pa.array(g), c.ids.take(take), c.rows.column("v").take(take), pa.array((at - u.first[owner]).astype(np.int32))], names=["h", "g", "doc_id", "v", "p"])
 
-    return texts.mapInArrow(run, "h long, g int, doc_id long, v long, p int")
+    return texts.transform(ready).mapInArrow(run, "h long, g int, doc_id long, v long, p int")
 
 
 def _cut(texts: DataFrame, k: R.Kind) -> DataFrame:
@@ -64,7 +65,7 @@ def _cut(texts: DataFrame, k: R.Kind) -> DataFrame:
                 sha.append(hashlib.sha256(b" ".join([raw[x:y] for x, y in zip(starts[mine].tolist(), ends[mine].tolist(), strict=True)])).hexdigest())
             yield pa.RecordBatch.from_arrays([c.ids, c.rows.column("v"), pa.array(A.per_doc(doc[gone], n)), pa.array(A.per_doc(doc[opens], n)), pa.array(sha)], names=["doc_id", "v", "n_removed", "n_spans", "kept_sha256"])
 
-    return texts.select("doc_id", "v", "text", "at").mapInArrow(run, "doc_id long, v long, n_removed long, n_spans long, kept_sha256 string")
+    return texts.select("doc_id", "v", "text", "at").transform(ready).mapInArrow(run, "doc_id long, v long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def substring_dedup(docs: DataFrame, k: R.Kind = WORDS) -> DataFrame:

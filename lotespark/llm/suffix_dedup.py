@@ -11,7 +11,8 @@ them and reads off every position's longest match elsewhere (rindex).
 A part with more than GROUP different pieces is not gathered: its windows are
 counted one by one on a 96-bit hash instead, which is exact too and has no
 groups. A null or empty text has no bytes; repeated rows are further
-occurrences. Matches never cross documents, since pieces don't.
+occurrences; rows without a doc_id are left out. Matches never cross documents,
+since pieces don't.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import ready
 from . import arrays as A
 from . import repeats as R
 from . import rindex
@@ -65,7 +67,7 @@ def _pieces(texts: DataFrame, k: R.Kind) -> DataFrame:
                 names=[*PIECE, "doc_id", "v", "p", "n"],
             )
 
-    return texts.mapInArrow(run, "h long, g1 long, g2 long, doc_id long, v long, p int, n int")
+    return texts.transform(ready).mapInArrow(run, "h long, g1 long, g2 long, doc_id long, v long, p int, n int")
 
 
 def _with_bytes(carriers: DataFrame, texts: DataFrame, k: R.Kind) -> DataFrame:
@@ -85,7 +87,7 @@ def _with_bytes(carriers: DataFrame, texts: DataFrame, k: R.Kind) -> DataFrame:
             data = [raw[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*(flat.field(f) for f in (*PIECE, "c")), pa.array(data, pa.binary())], names=[*PIECE, "c", "data"])
 
-    return rows.mapInArrow(run, "h long, g1 long, g2 long, c long, data binary")
+    return rows.transform(ready).mapInArrow(run, "h long, g1 long, g2 long, c long, data binary")
 
 
 def _matched(pieces: DataFrame, k: R.Kind) -> DataFrame:
@@ -116,7 +118,7 @@ def _matched(pieces: DataFrame, k: R.Kind) -> DataFrame:
         if held:
             yield block()
 
-    return pieces.repartition("h").sortWithinPartitions(*PIECE).mapInArrow(run, "h long, g1 long, g2 long, lo array<int>, hi array<int>")
+    return pieces.repartition("h").sortWithinPartitions(*PIECE).transform(ready).mapInArrow(run, "h long, g1 long, g2 long, lo array<int>, hi array<int>")
 
 
 def _window_rows(texts: DataFrame, hot: DataFrame, k: R.Kind) -> DataFrame:
@@ -138,7 +140,7 @@ def _window_rows(texts: DataFrame, hot: DataFrame, k: R.Kind) -> DataFrame:
             take = pa.array(owner)
             yield pa.RecordBatch.from_arrays([pa.array(A.run_hash(sums, at, at + k.length).view(np.int64)), pa.array(g), c.ids.take(take), c.rows.column("v").take(take), pa.array((at - c.off[owner]).astype(np.int32))], names=["h", "g", "doc_id", "v", "p"])
 
-    return rows.mapInArrow(run, "h long, g int, doc_id long, v long, p int")
+    return rows.transform(ready).mapInArrow(run, "h long, g int, doc_id long, v long, p int")
 
 
 def _cut(texts: DataFrame, k: R.Kind) -> DataFrame:
@@ -163,7 +165,7 @@ def _cut(texts: DataFrame, k: R.Kind) -> DataFrame:
             removed, spans = np.diff(sums[c.off]), np.diff(begins[c.off])
             yield pa.RecordBatch.from_arrays([c.ids, c.rows.column("v"), pa.array(removed), pa.array(spans), pa.array(sha)], names=["doc_id", "v", "n_removed", "n_spans", "kept_sha256"])
 
-    return texts.select("doc_id", "v", "text", "cut").mapInArrow(run, "doc_id long, v long, n_removed long, n_spans long, kept_sha256 string")
+    return texts.select("doc_id", "v", "text", "cut").transform(ready).mapInArrow(run, "doc_id long, v long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def suffix_dedup(docs: DataFrame, k: R.Kind = BYTES) -> DataFrame:
