@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import ready
+from ..runtime import forget, ready, stored
 
 BAND = 5e-5
 
@@ -23,10 +23,14 @@ def _least_cells(cells: DataFrame, keys: list[str], most_rounds: int = 30) -> Da
     """Label each occupied cell with the least cell it is connected to (eight neighbours)."""
     near = F.explode(F.expr("flatten(transform(sequence(-1, 1), i -> transform(sequence(-1, 1), j -> struct(cx + i AS cx, cy + j AS cy))))"))
     now = cells.withColumn("label", F.struct("cx", "cy"))
+    last = None
     for _ in range(most_rounds):
         sent = now.select(*keys, near.alias("n"), "label").select(*keys, "n.cx", "n.cy", "label")
         best = sent.groupBy(*keys, "cx", "cy").agg(F.min("label").alias("best"))
-        nxt = now.join(best, [*keys, "cx", "cy"]).withColumn("moved", F.col("best") != F.col("label")).withColumn("label", F.col("best")).drop("best").checkpoint()
+        nxt = now.join(best, [*keys, "cx", "cy"]).withColumn("moved", F.col("best") != F.col("label")).withColumn("label", F.col("best")).drop("best")
+        nxt = stored(nxt, "cells")
+        forget(last)
+        last = nxt
         if nxt.where("moved").isEmpty():
             return nxt.drop("moved")
         now = nxt.drop("moved")

@@ -1,12 +1,13 @@
-"""Making this package importable where Spark runs Python."""
+"""Shared scratch storage, and making this package importable where Spark runs Python."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -35,3 +36,35 @@ def ready(df: DataFrame) -> DataFrame:
                     z.write(full, os.path.relpath(full, home))
     context.addPyFile(path)
     return df
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; a temporary one is set where none is named and all runs on this machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = f"file://{tempfile.mkdtemp(prefix='lotespark-')}"
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named.rstrip("/")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write df to the shared folder and read it back: later steps survive lost executors and don't redo it."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def forget(df: DataFrame | None) -> None:
+    """Delete the files behind a stored() table that no later step reads."""
+    if df is None:
+        return
+    spark = df.sparkSession
+    base = shared_dir(spark)
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if not folder.removeprefix("file:").lstrip("/").startswith(base.removeprefix("file:").lstrip("/")):
+            continue
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
