@@ -134,3 +134,21 @@ def days_hours_minutes(minutes: Column) -> Column:
 
 def fresh(saved: Column, now: Column, hours: int = 7) -> Column:
     return F.unix_timestamp(now) - F.unix_timestamp(saved) < hours * 3600
+
+
+def bbox_mercator(south: Column, west: Column, north: Column, east: Column) -> Column:
+    return F.struct(mercator_x(west).alias("x0"), mercator_y(south).alias("y0"), mercator_x(east).alias("x1"), mercator_y(north).alias("y1"))
+
+
+def times(ts: Column) -> Column:
+    """A time in the forms that answers and reports use."""
+    return F.struct(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss").alias("iso"), F.date_format(ts, "yyyy-MM-dd HH:mm 'UTC'").alias("utc"), F.date_format(ts, "dd/MM/yyyy HH:mm").alias("report"))
+
+
+def zone_outcome(ok: Column) -> Column:
+    return F.when(ok, "partial").otherwise("failed")
+
+
+def one_unit(use: Column) -> Column:
+    """The single unit that a parcel counts as where nothing more is known."""
+    return F.array(F.struct(F.lit(0).alias("piso"), F.lit("").alias("depto"), F.coalesce(use, F.lit("casa")).alias("tipo")))

@@ -125,3 +125,19 @@ def batch(df: DataFrame, order: list[str], n: int) -> DataFrame:
 def source_label(registered: Column, geocoded: Column) -> tuple[Column, Column]:
     """A registered address beats a geocoded one, and names its source."""
     return F.coalesce(registered, geocoded), F.when(registered.isNotNull(), "registro").when(geocoded.isNotNull(), "geocode")
+
+
+def dwelling_rows(parcelas: DataFrame, units: str = "units") -> DataFrame:
+    """A row for each unit of each parcel; a parcel without units has one."""
+    listed = F.when(F.size(units) > 0, F.col(units)).otherwise(R.one_unit(F.lit(None).cast("string")))
+    return parcelas.select(*[c for c in parcelas.columns if c != units], F.explode(listed).alias("u")).select("*", "u.*").drop("u")
+
+
+def identify(points: DataFrame, records: DataFrame, point_id: str, degrees: float = 0.0045) -> DataFrame:
+    """The first record (least pos) within about 500 m of each point; both have lat and lng."""
+    from .spatial import band_join
+
+    hits = band_join(points.select(point_id, "lat", "lng"), records, degrees)
+    rest = [c for c in hits.columns if c.endswith("_r") and c not in ("lat_r", "lng_r")]
+    best = hits.groupBy(point_id).agg(*[F.min_by(c, "pos_r").alias(c.removesuffix("_r")) for c in rest])
+    return points.join(best, point_id, "left")

@@ -85,3 +85,17 @@ def mode_first(df: DataFrame, by: list[str], value: str, order: str) -> DataFram
 def memoised(df: DataFrame, keys: list[str], enrich) -> DataFrame:
     """Enrich each different key once and join the answers back."""
     return df.join(enrich(df.select(*keys).distinct()), keys, "left")
+
+
+def group_lists(df: DataFrame, keys: list[str], order: str, first: list[str], items: str) -> DataFrame:
+    """Per key the first values of some columns and all items, in order."""
+    listed = F.transform(F.array_sort(F.collect_list(F.struct(order, items))), lambda s: s[items])
+    return df.groupBy(*keys).agg(*[F.min_by(c, order).alias(c) for c in first], listed.alias(items))
+
+
+def correct(rows: DataFrame, patch: DataFrame, key: str) -> DataFrame:
+    """Rows with the patch's values where it has some, by key."""
+    cols = [c for c in patch.columns if c != key]
+    new = patch.select(key, *[F.col(c).alias(f"_p_{c}") for c in cols])
+    out = rows.join(new, key, "left")
+    return out.select(*[F.coalesce(f"_p_{c}", c).alias(c) if c in cols else F.col(c) for c in rows.columns])

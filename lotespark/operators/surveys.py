@@ -119,3 +119,10 @@ def merge_notes(notes: Column, step: Column, result: Column) -> Column:
 
 def current_step(notes: Column) -> Column:
     return F.get_json_object(notes, "$.paso_actual")
+
+
+def set_status(surveys: DataFrame, changes: DataFrame, now: Column) -> DataFrame:
+    """Surveys after setting new statuses (survey_id, status): each change stamps finished_at, whatever the status."""
+    new = changes.select("survey_id", F.col("status").alias("_s"))
+    out = surveys.join(new, "survey_id", "left").withColumn("finished_at", F.when(F.col("_s").isNotNull(), now.cast(surveys.schema["finished_at"].dataType)).otherwise(F.col("finished_at")))
+    return out.withColumn("status", F.coalesce("_s", "status")).select(surveys.columns)

@@ -211,3 +211,9 @@ def processed_ids(rows: DataFrame, files: DataFrame) -> DataFrame:
     """Ids done: those in a table of results and those with a report file of more than 1000 bytes (path, length)."""
     named = files.where("length > 1000").select(F.regexp_extract("path", r"reporte_(\d+)\.pdf$", 1).try_cast("bigint").alias("id")).where("id IS NOT NULL")
     return rows.select(F.col("id").cast("bigint")).union(named).distinct()
+
+
+def first_list(text: Column, keys: tuple[str, ...] = ("data", "items", "accounts", "results")) -> Column:
+    """The first of the named members that holds a list, as an array of JSON texts; a bare list counts too."""
+    lists = [F.from_json(F.get_json_object(text, f"$.{k}"), "array<string>") for k in keys]
+    return F.coalesce(F.from_json(F.when(F.ltrim(text).startswith("["), text), "array<string>"), *lists)

@@ -115,3 +115,24 @@ def test_lookup_classifiers(spark):
     assert rows(classify.classify_valuation(p, val)) == [(1, "vacante"), (3, "sin_match")]
     comp = spark.createDataFrame([(1, 0, "5", ["street_number"]), (1, 1, "Rua A", ["route"]), (1, 2, "Rua B", ["route", "x"])], "id int, pos int, long_name string, types array<string>")
     assert rows(classify.geocode_fields(comp, "id", {"calle": "route", "numero": "street_number"})) == [(1, "Rua A", "5")]
+
+
+def test_small_rules(spark):
+    import datetime
+
+    from lotespark.functions import rules
+
+    s = spark.createDataFrame([(1, "running", None), (2, "failed", None)], "survey_id int, status string, finished_at timestamp")
+    now = F.lit("2024-01-02 03:04:05").cast("timestamp")
+    assert rows(surveys.set_status(s, spark.createDataFrame([(1, "running")], "survey_id int, status string"), now)) == [(1, "running", datetime.datetime(2024, 1, 2, 3, 4, 5)), (2, "failed", None)]
+    assert spark.range(1).select(rules.times(now).alias("t")).first().t.report == "02/01/2024 03:04"
+    t = spark.createDataFrame([(1, 0, "a", "x"), (1, 1, "b", "y")], "k int, o int, f string, i string")
+    assert rows(sequences.group_lists(t, ["k"], "o", ["f"], "i")) == [(1, "a", ["x", "y"])]
+    assert rows(sequences.correct(t.select("o", "f"), spark.createDataFrame([(1, "z")], "o int, f string"), "o")) == [(0, "a"), (1, "z")]
+    p = spark.createDataFrame([(1, [(3, "A", "depto")]), (2, None)], "parcela_id int, units array<struct<piso:int,depto:string,tipo:string>>")
+    assert rows(classify.dwelling_rows(p)) == [(1, 3, "A", "depto"), (2, 0, "", "casa")]
+    pts = spark.createDataFrame([(1, 0.0, 0.0), (2, 9.0, 9.0)], "id int, lat double, lng double")
+    recs = spark.createDataFrame([(1, 0.001, 0.001, "b"), (0, 0.002, 0.0, "a")], "pos int, lat double, lng double, name string")
+    assert {r.id: r.name for r in classify.identify(pts, recs, "id").collect()} == {1: "a", 2: None}
+    j = spark.createDataFrame([('{"items":[{"a":1}]}',), ("[1,2]",), ("{}",)], "t string")
+    assert [r[0] for r in j.select(feeds.first_list(F.col("t"))).collect()] == [['{"a":1}'], ["1", "2"], None]
