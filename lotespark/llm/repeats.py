@@ -156,6 +156,7 @@ def candidates(docs: DataFrame, k: Kind) -> tuple[DataFrame, DataFrame]:
     """(per document: count, digest, copies; the texts with windows left and their living places a0, a1, ...)."""
     seen = stored(first_level(docs, k), "parts")
     same = seen.groupBy("digest").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "v")).alias("one"))
+    same = same.withColumn("digest", F.substring("digest", 1, 64))  # a new column, as in repeated()
     base = stored(seen.select("doc_id", "v", "n", "digest").join(same, "digest"), "copies")
     # of equal texts one is enough to find what others share with them
     one = base.where("copies = 1 OR (one.doc_id = doc_id AND one.v = v)").select("doc_id", "v").distinct()

@@ -283,3 +283,18 @@ def test_windows_and_words():
     codes = arrays.mix(np.arange(50, dtype=np.uint64))
     assert arrays.minimizers(codes, 7).tolist() == [int(k + np.argmin(codes[k : k + 7] >> np.uint64(32))) for k in range(44)]
     assert hashlib.sha256(b"").hexdigest() == substring_dedup.EMPTY
+
+
+def test_rows_without_ids_and_empty_tables(spark):
+    """Operators that answer per row keep a row without an id; those that link rows by id leave it out."""
+    df = docs(spark, [(None, BASE), (1, BASE), (2, prose(77, 80))])
+    labels = spark.createDataFrame([(None, 1, 1), (1, 0, 1), (2, 1, 0), (2, 1, 0)], "doc_id long, quality int, toxic int")
+    model = langid.learn(df)
+    assert langid.predict(df, model).count() == bpe.digests(df, WORD_FILE).count() == pii.find_pii(df).count() == quality.quality_rules(df, labels).count() == 3
+    assert toxicity.score(df, toxicity.learn(df, labels)).count() == 3
+    for linked in (substring_dedup.substring_dedup(df), suffix_dedup.suffix_dedup(df), simhash.fingerprint_components(df), pfor.read_files(pfor.write_files(df, BYTE_FILE))):
+        assert sorted(r.doc_id for r in linked.select("doc_id").collect()) == [1, 2]
+    assert simhash.keep_first(df).count() == 3
+    none = docs(spark, [])
+    for empty in (langid.predict(none, langid.learn(none)), bpe.digests(none, WORD_FILE), pii.find_pii(none), quality.quality_rules(none, labels), toxicity.score(none, toxicity.learn(none, labels)), simhash.near_duplicates(none), decontaminate.find_benchmark(none, spark.createDataFrame(ITEMS, "item_id long, text string"))):
+        assert empty.count() == 0
