@@ -102,7 +102,7 @@ def frontage(feo: Column) -> Column:
 
 
 def minutes_between(start: Column, end: Column, now: Column) -> Column:
-    return F.expr("0") if start is None else F.floor((F.unix_timestamp(F.coalesce(end, now)) - F.unix_timestamp(start)) / 60).cast("bigint")
+    return F.floor((F.unix_timestamp(F.coalesce(end, now)) - F.unix_timestamp(start)) / 60).cast("bigint")
 
 
 def uuid5(name: Column, namespace: str = "6ba7b8109dad11d180b400c04fd430c8") -> Column:

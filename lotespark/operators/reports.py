@@ -37,9 +37,7 @@ def totals(parcelas: DataFrame, by: list[str]) -> DataFrame:
 def export_columns(parcelas: DataFrame) -> DataFrame:
     """The export's formats: texts never null, areas with one or two decimals, coordinates with six."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
-    number = lambda c, f, n: F.coalesce(F.format_string(f, F.col(c)), F.lit("")).alias(n)
     shown = lambda c, f, n: F.when(F.col(c).isNotNull(), F.format_string(f, F.col(c))).otherwise("").alias(n)
-    del number
     return parcelas.select("survey_id", "parcela_id", text("calle"), text("numero"), text("cca_code"), text("uso_principal"), F.coalesce("uf_vivienda", F.lit(0)).alias("uf_vivienda"), F.coalesce("uf_comercio", F.lit(0)).alias("uf_comercio"), shown("area_m2_terreno", "%.1f", "area"), shown("centroid_lat", "%.6f", "lat"), shown("centroid_lng", "%.6f", "lng"))
 
 

@@ -1,4 +1,3 @@
-import datetime
 import uuid
 
 from pyspark.sql import functions as F
@@ -57,7 +56,7 @@ def test_rules(spark):
     ts = lambda s: F.lit(s).cast("timestamp")
     assert one(spark, rules.minutes_between(ts("2024-01-01 00:00:00"), ts(None), ts("2024-01-01 07:21:59")))[0] == 441
     assert one(spark, rules.uuid5(lit("belgrano|2343")))[0] == str(uuid.uuid5(uuid.NAMESPACE_DNS, "belgrano|2343"))
-    assert datetime.timedelta(hours=7).total_seconds() == 7 * 3600
+    assert one(spark, rules.fresh(ts("2024-01-01 00:00:00"), ts("2024-01-01 06:59:59")), rules.fresh(ts("2024-01-01 00:00:00"), ts("2024-01-01 07:00:00"))) == (True, False)
 
 
 REPORT = """TIPO IMÓVEL CATEGORIA TIPO PROPRIEDADE
