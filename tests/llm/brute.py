@@ -59,7 +59,7 @@ def op5(rows):
 
 def luhn(s):
     d = [int(c) for c in s][::-1]
-    return sum(d[0::2]) % 10 == sum(0 for _ in ()) % 10 if False else (sum(d[0::2]) + sum(sum(divmod(2 * x, 10)) for x in d[1::2])) % 10 == 0
+    return (sum(d[0::2]) + sum(sum(divmod(2 * x, 10)) for x in d[1::2])) % 10 == 0
 
 
 def op7(rows):
