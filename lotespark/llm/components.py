@@ -13,10 +13,15 @@ from pyspark.sql import functions as F
 from .common import forget, stored
 
 
+def _own_key(df: DataFrame) -> DataFrame:
+    """The same rows with `a` as a new column: Spark then shuffles both sides of a join on it, and can split a hub's rows."""
+    return df.withColumn("a", F.col("a").bitwiseXOR(F.lit(0)))
+
+
 def _large_star(links: DataFrame) -> DataFrame:
     """Each node links its larger neighbours to the least of its neighbours and itself."""
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    least = _own_key(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
     return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
@@ -24,7 +29,7 @@ def _small_star(links: DataFrame) -> DataFrame:
     """Each node links its smaller neighbours and itself to the least of them."""
     down = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b")
     least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b")
+    moved = down.join(_own_key(least), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b")
     return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
