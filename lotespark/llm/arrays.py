@@ -7,6 +7,7 @@ word. A null text counts as an empty one.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -58,6 +59,15 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", key: str = "do
             rows = batch.slice(at, end - at)
             yield Chunk(None if ids is None else ids.slice(at, end - at), buf[off[at] : off[end]], off[at : end + 1] - off[at], rows)
             at = end
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system, so that a worker between tasks holds little beside the JVM."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
 
 
 _POWERS: dict[int, np.ndarray] = {}
@@ -98,6 +108,14 @@ def run_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray
     return mix((sums[end] - sums[start]) * powers(len(sums), inverse=True)[start] + (end - start).astype(U))
 
 
+def order_codes(sums: np.ndarray, size: int) -> np.ndarray:
+    """A code for each run of `size` values, equal for equal runs: run_hash without its last scramble, for choosing least ones."""
+    out = sums[size:] - sums[:-size]
+    out *= powers(len(sums), inverse=True)[: len(out)]
+    out *= U(0xD6E8FEB86659FD93)
+    return out
+
+
 def bytes_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return run_hash(prefix(BYTE_CODE[buf]), start, end)
 

@@ -43,6 +43,7 @@ from .toxicity import LOWER
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 GENERATOR = 0xAE3  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1
 BUCKET = 32
+PAIRS_AT_ONCE = 1 << 17
 PIVOTS = 2
 SHINGLE_SIMILARITY = 0.8
 #: Differing bits of word fingerprints up to which a candidate is verified; similarity 0.8 gives about 4 of 64, in texts of few words up to a dozen.
@@ -178,20 +179,15 @@ def _close_pairs(buckets: DataFrame, bits: int) -> DataFrame:
             flat = members.flatten()
             rep, fp = flat.field("rep").to_numpy(zero_copy_only=False), flat.field("fp").to_numpy(zero_copy_only=False).view(A.U)
             at = np.cumsum(size) - size
-            left, right = [], []
-            for n in np.unique(size[size > 1]).tolist():  # buckets of one size together
+            for n in np.unique(size[size > 1]).tolist():  # buckets of one size together, PAIRS_AT_ONCE pairs at a time
                 i, j = np.triu_indices(n, 1)
-                base = at[size == n]
-                for k in range(0, len(base), 2048):
-                    b = base[k : k + 2048, None]
+                base, step = at[size == n], max(1, PAIRS_AT_ONCE // len(i))
+                for k in range(0, len(base), step):
+                    b = base[k : k + step, None]
                     x, y = (b + i).ravel(), (b + j).ravel()
                     near = np.bitwise_count(fp[x] ^ fp[y]) <= bits
-                    left.append(rep[x[near]])
-                    right.append(rep[y[near]])
-            if left:
-                x, y = np.concatenate(left), np.concatenate(right)
-                pair = np.unique(np.stack([np.maximum(x, y), np.minimum(x, y)]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["a", "b"])
+                    x, y = rep[x[near]], rep[y[near]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], names=["a", "b"])
 
     return buckets.select("members").transform(ready).mapInArrow(run, "a long, b long").where("a > b").distinct()
 
@@ -330,8 +326,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
                 x, y = np.frombuffer(x.as_buffer(), "<u4"), np.frombuffer(y.as_buffer(), "<u4")
                 both = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
                 keep.append(both > 0 and both >= least * (len(x) + len(y) - both))
-            kept = batch.filter(pa.array(keep, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([kept.column("a"), kept.column("b")], names=["a", "b"])
+            kept = batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(kept.columns, names=["a", "b"])
+        A.give_back()
 
     return stored(rows.select("a", "b", "x", "y").transform(ready).mapInArrow(run, "a long, b long"), "verified")
 
