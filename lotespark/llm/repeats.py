@@ -84,8 +84,7 @@ def parts(u: Units, k: Kind, level: int, windows: np.ndarray) -> tuple[np.ndarra
     starts = k.length - size + 1
     place = np.zeros((stretches, max(n - k.length + 1, 0)), dtype=np.int64)
     if n >= k.length:
-        at = np.arange(n - size + 1)
-        codes = A.run_hash(u.sums, at, at + size)
+        codes = A.order_codes(u.sums, size)
         for j in range(stretches):
             begin, end = j * starts // stretches, (j + 1) * starts // stretches
             place[j] = A.minimizers(codes, end - begin)[begin : begin + place.shape[1]]
@@ -95,16 +94,18 @@ def parts(u: Units, k: Kind, level: int, windows: np.ndarray) -> tuple[np.ndarra
     return place, places, A.run_hash(u.sums, places, places + size)
 
 
-def survivors(u: Units, k: Kind, alive: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Full windows whose parts of the levels done all live; alive has, per level, the documents' living places and their bounds."""
+def survivors(u: Units, k: Kind, alive: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Full windows whose parts of the levels done all live, and each window's part of the first level; alive has, per level, the documents' living places and their bounds."""
     windows = full_windows(u, k.length)
+    first = np.zeros(0, dtype=np.int64)
     for level, (values, bounds) in enumerate(alive):
         place, _, _ = parts(u, k, level, windows)
+        first = first if level else place[0]
         lives = np.zeros(len(u.doc), dtype=bool)
         lives[u.first[np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))] + values] = True
         at = np.flatnonzero(windows)
         windows[at] = lives[place[:, at]].all(axis=0)
-    return windows
+    return windows, first
 
 
 def first_level(docs: DataFrame, k: Kind) -> DataFrame:
@@ -143,7 +144,7 @@ def next_level(texts: DataFrame, k: Kind, done: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in A.chunks(batches):
             u = k.units(c.buf, c.off)
-            left = survivors(u, k, [A.lists(c.rows.column(f"a{i}")) for i in range(done)])
+            left, _ = survivors(u, k, [A.lists(c.rows.column(f"a{i}")) for i in range(done)])
             _, places, codes = parts(u, k, done, left)
             owner = u.doc[places]
             take = pa.array(owner)

@@ -36,7 +36,7 @@ def _full_level(texts: DataFrame, k: R.Kind) -> DataFrame:
         for c in A.chunks(batches):
             starts, ends, _ = A.word_bounds(c.buf, c.off)
             u = k.units(c.buf, c.off)
-            at = np.flatnonzero(R.survivors(u, k, [A.lists(c.rows.column(f"a{i}")) for i in range(len(k.levels))]))
+            at = np.flatnonzero(R.survivors(u, k, [A.lists(c.rows.column(f"a{i}")) for i in range(len(k.levels))])[0])
             other = A.prefix(A.mix(A.bytes_hash(c.buf, starts, ends) ^ A.U(0x5851F42D4C957F2D)))
             g = (A.run_hash(other, at, at + k.length) >> A.U(32)).astype(np.uint32).view(np.int32)
             owner = u.doc[at]

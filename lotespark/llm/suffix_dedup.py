@@ -42,10 +42,9 @@ PIECE = ["h", "g1", "g2"]
 def _chunk_pieces(c: A.Chunk, k: R.Kind) -> tuple[R.Units, np.ndarray, np.ndarray, np.ndarray]:
     """Units, first window and count of windows of each piece, and the hash of the part it shares."""
     u = k.units(c.buf, c.off)
-    left = R.survivors(u, k, [A.lists(c.rows.column(f"a{i}")) for i in range(len(k.levels))])
-    place, _, _ = R.parts(u, k, 0, left)
+    left, place = R.survivors(u, k, [A.lists(c.rows.column(f"a{i}")) for i in range(len(k.levels))])
     at = np.flatnonzero(left)
-    mine = place[0, at]
+    mine = place[at]
     first = np.flatnonzero(np.append(True, (at[1:] != at[:-1] + 1) | (mine[1:] != mine[:-1]) | (u.doc[at[1:]] != u.doc[at[:-1]]))) if len(at) else at
     count = np.diff(np.append(first, len(at)))
     part = mine[first]
