@@ -14,12 +14,11 @@ no vector has more than 65 such neighbours.
 
 `near_duplicates` finds documents whose sets of 5-word shingles have a Jaccard
 similarity of 0.8 or more. Over shingles such pairs differ in about ten bits of
-64, too many for Golay keys; over single words they differ in about three. So
-texts meet in buckets of four least shingles each; word fingerprints thin out
-the pairs of small buckets; large ones are linked to the members nearest their
-majority fingerprint, and members that none of those stands for meet again under
-the bucket's key with Golay keys of a segment of their fingerprint. The exact
-similarity verifies every link.
+64, too many for Golay keys. So candidates come from an exact prefix filter:
+with shingles in one order for all, rarest first, two such texts share one of
+their first n - ceil(0.8 n) + 1, at positions that leave enough others. Texts of
+a shingle that many share are joined by stars first; only pairs that no chain of
+links joins are then compared in full. The exact similarity verifies every link.
 """
 
 from __future__ import annotations
@@ -31,7 +30,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import ready
@@ -44,11 +43,11 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 GENERATOR = 0xAE3  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1
 BUCKET = 32
 PAIRS_AT_ONCE = 1 << 17
-PIVOTS = 2
 SHINGLE_SIMILARITY = 0.8
-#: Differing bits of word fingerprints up to which a candidate is verified; similarity 0.8 gives about 4 of 64, in texts of few words up to a dozen.
-WORD_BITS = 16
-MINS = 4
+#: Shingles are ordered by what one of so many documents shows, at most so many of the commonest last.
+ORDER_PART, COMMON = 16, 1 << 16
+#: Rounds that join the texts of a common shingle with one of them before the others are compared in full.
+STARS = 4
 
 
 @lru_cache(maxsize=1)
@@ -217,99 +216,142 @@ def fingerprint_components(docs: DataFrame) -> DataFrame:
 # Near duplicates by 5-word shingles
 
 
-def _signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, hash of the word sequence, fingerprint over different words, and least shingles."""
+def _words(c: A.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash and document of each lower-cased word, and where each document's words begin."""
+    low = LOWER[c.buf]
+    starts, ends, doc = A.word_bounds(low, c.off)
+    return A.bytes_hash(low, starts, ends), doc, A.word_offsets(doc, len(c.off) - 1)
+
+
+def _shingles(word: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different 5-word shingles of each document, as hashes in ascending order, and their documents."""
+    at = np.flatnonzero(doc[: max(len(doc) - 4, 0)] == doc[4:])
+    h, owner = A.run_hash(A.prefix(word), at, at + 5), doc[at]
+    order = np.lexsort((h, owner))
+    h, owner = h[order], owner[order]
+    new = np.append(True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])) if len(h) else np.zeros(0, bool)
+    return h[new], owner[new]
+
+
+def _common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, ascending; ranks from 1) of the commonest shingles in a part of the documents.
+
+    They only order the shingles: any order gives the same candidates of similarity `least`, a better one gives fewer others.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c in A.chunks(batches):
+            word, doc, _ = _words(c)
+            yield pa.RecordBatch.from_arrays([pa.array(_shingles(word, doc)[0].view(np.int64))], names=["h"])
+
+    part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(ORDER_PART)) == 0).select("doc_id", "text").transform(ready).mapInArrow(run, "h long")
+    top = part.groupBy("h").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(COMMON).collect()
+    h = np.array([r.h for r in top], dtype=np.int64).view(A.U)
+    order = np.argsort(h)
+    return h[order], (len(h) - np.arange(len(h)))[order]
+
+
+def _signatures(docs: DataFrame, least: float) -> DataFrame:
+    """doc_id, hashes of the word sequence, and number and prefix of its shingles.
+
+    The prefix are the first n - ceil(least n) + 1 of n different shingles, rarest first: two sets at that similarity share one.
+    """
+    common, rank = _common_shingles(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        salt = A.mix(np.arange(1, MINS + 1, dtype=A.U) * A.U(0x9E3779B97F4A7C15))
         for c in A.chunks(batches):
             n = len(c.off) - 1
-            low = LOWER[c.buf]
-            starts, ends, doc = A.word_bounds(low, c.off)
-            word = A.bytes_hash(low, starts, ends)
-            sums = A.prefix(word)
-            first = A.word_offsets(doc, n)
-            whole = A.run_hash(sums, first[:-1], first[1:])
+            word, doc, first = _words(c)
+            whole = A.run_hash(A.prefix(word), first[:-1], first[1:])
             second = A.run_hash(A.prefix(A.mix(word ^ A.U(0x5851F42D4C957F2D))), first[:-1], first[1:])
-            order = np.lexsort((word, doc))
-            w, d = word[order], doc[order]
-            new = np.append(True, (w[1:] != w[:-1]) | (d[1:] != d[:-1])) if len(w) else np.zeros(0, bool)
-            fp = majority(w[new], d[new], n)
-            mins = np.zeros((n, MINS), dtype=A.U)
-            if len(word) >= 5:
-                at = np.flatnonzero(doc[: len(doc) - 4] == doc[4:])
-                if len(at):
-                    shingle, owner = A.run_hash(sums, at, at + 5), doc[at]
-                    head = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
-                    for k in range(MINS):
-                        mins[owner[head], k] = np.minimum.reduceat(A.mix(shingle ^ salt[k]), head)
-            count = first[1:] - first[:-1]
-            cols = [c.ids, pa.array(whole.view(np.int64)), pa.array(second.view(np.int64)), pa.array(count), pa.array(fp.view(np.int64))]
-            yield pa.RecordBatch.from_arrays([*cols, *(pa.array(mins[:, k].copy().view(np.int64)) for k in range(MINS))], names=["doc_id", "h1", "h2", "n_words", "fp", *(f"m{k}" for k in range(MINS))])
-
-    ddl = "doc_id long, h1 long, h2 long, n_words long, fp long, " + ", ".join(f"m{k} long" for k in range(MINS))
-    return docs.select("doc_id", "text").transform(ready).mapInArrow(run, ddl)
-
-
-def _anchor_rows(nodes: DataFrame) -> DataFrame:
-    """key and rep: a row for each least shingle of a text; j is in the key's low bits."""
-    keys = F.array(*[F.xxhash64(F.lit(j), F.col(f"m{j}")) for j in range(MINS)])
-    return nodes.select("rep", F.explode(keys).alias("key"))
-
-
-def _fuzzy_rows(rows: DataFrame) -> DataFrame:
-    """key and rep: the bucket's key with each codeword index of one segment of the fingerprint, which the key names. rows: key, rep, fp."""
+            h, owner = _shingles(word, doc)
+            if len(common):
+                at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+                order = np.lexsort((h, np.where(common[at] == h, rank[at], 0), owner))
+                h = h[order]
+            count = np.bincount(owner, minlength=n)
+            begin = np.cumsum(count) - count
+            size = np.where(count > 0, count - np.ceil(least * count - 1e-9).astype(np.int64) + 1, 0)
+            taken = A.ranges(begin, size)
+            prefix = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.array(h[taken].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([c.ids, pa.array(whole.view(np.int64)), pa.array(second.view(np.int64)), pa.array(count.astype(np.int32)), prefix], names=["doc_id", "h1", "h2", "n", "prefix"])
+
+    return docs.select("doc_id", "text").transform(ready).mapInArrow(run, "doc_id long, h1 long, h2 long, n int, prefix array<long>")
+
+
+def _shared(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members of keys that two to BUCKET texts share, as lists; rows of keys that more share). rows: key, pos, rep, n."""
+    sizes = rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    both = stored(rows.join(sizes.select(F.col("key").bitwiseXOR(F.lit(0)).alias("key"), "m"), "key"), "prefixes")
+    small = both.where(F.col("m") <= BUCKET).groupBy("key").agg(F.collect_list(F.struct("rep", "n", "pos")).alias("members"))
+    return small, both.where(F.col("m") > BUCKET).drop("m")
+
+
+def _likely_pairs(buckets: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b), a > b, of the members [(rep, n, pos)] of each bounded bucket whose sizes and positions allow the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key, rep, fp = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "rep", "fp"))
-            part = np.choose(key % 3, segments(fp.view(A.U)))
-            near = codewords(part)
-            row, col = np.nonzero(near >= 0)
-            yield pa.RecordBatch.from_arrays([pa.array(A.mix(key.view(A.U)[row] ^ A.mix(near[row, col].astype(A.U))).view(np.int64)), pa.array(rep[row])], names=["key", "rep"])
-
-    return rows.select("key", "rep", "fp").transform(ready).mapInArrow(run, "key long, rep long")
-
-
-def _shared(rows: DataFrame, facts: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    """(members of buckets of two to BUCKET texts, as lists; key, rep, fp of larger buckets)."""
-    sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    both = stored(rows.join(sizes.select(F.col("key").bitwiseXOR(F.lit(0)).alias("key"), "n"), "key").join(facts, "rep"), name)
-    small = both.where(F.col("n") <= BUCKET).groupBy("key").agg(F.collect_list(F.struct("rep", "fp")).alias("members"))
-    return small, both.where(F.col("n") > BUCKET).select("key", "rep", "fp")
-
-
-def _pivot_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs of each member of a large bucket with the PIVOTS members nearest to the bucket's bitwise majority."""
-    ones = [F.sum(F.expr(f"shiftrightunsigned(fp, {k}) & 1")).alias(f"s{k}") for k in range(64)]
-    centre = rows.groupBy("key").agg(F.count("*").alias("n"), *ones)
-    word = None
-    for k in range(64):
-        bit = F.when(F.col(f"s{k}") * 2 > F.col("n"), F.expr(f"shiftleft(1L, {k})")).otherwise(F.lit(0).cast("long"))
-        word = bit if word is None else word.bitwiseOR(bit)
-    centre = centre.select("key", word.alias("centre"))
-    far = F.struct(F.bit_count(F.col("fp").bitwiseXOR(F.col("centre"))).alias("d"), "rep", "fp")
-    # the member nearest the centre, and the nearest of each of some parts of the others
-    part = F.pmod(F.xxhash64("rep"), F.lit(PIVOTS - 1))
-    pivots = rows.join(centre, "key").groupBy("key").agg(F.min(far).alias("p0"), *[F.min(F.when(part == k, far)).alias(f"p{k + 1}") for k in range(PIVOTS - 1)])
-    pivots = pivots.select("key", F.explode(F.array_distinct(F.array_compact(F.array(*[F.col(f"p{k}") for k in range(PIVOTS)])))).alias("p")).select("key", F.col("p.rep").alias("p"), F.col("p.fp").alias("pfp"))
-    near = (F.col("rep") != F.col("p")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("pfp"))) <= WORD_BITS)
-    return rows.join(pivots, "key").where(near).select(F.greatest("rep", "p").alias("a"), F.least("rep", "p").alias("b")).distinct()
+            members = batch.column("members")
+            size = np.diff(members.offsets.to_numpy())
+            rep, n, pos = (members.flatten().field(f).to_numpy(zero_copy_only=False) for f in ("rep", "n", "pos"))
+            at = np.cumsum(size) - size
+            for m in np.unique(size[size > 1]).tolist():  # buckets of one size together, PAIRS_AT_ONCE pairs at a time
+                i, j = np.triu_indices(m, 1)
+                base, step = at[size == m], max(1, PAIRS_AT_ONCE // len(i))
+                for k in range(0, len(base), step):
+                    b = base[k : k + step, None]
+                    x, y = (b + i).ravel(), (b + j).ravel()
+                    rest, most = np.minimum(n[x] - pos[x], n[y] - pos[y]), np.maximum(n[x], n[y])
+                    fit = (np.minimum(n[x], n[y]) >= least * most - 1e-6) & (rest >= least / (1 + least) * (n[x] + n[y]) - 1e-6)
+                    x, y = rep[x[fit]], rep[y[fit]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], names=["a", "b"])
+
+    return buckets.select("members").transform(ready).mapInArrow(run, "a long, b long").where("a > b").distinct()
+
+
+def _likely(least: float) -> Column:
+    """May rows x and y of one key have the similarity, by their sizes and the key's positions, if no earlier shingle is in both?"""
+    sizes = F.expr("least(x.n, y.n)") >= F.expr("greatest(x.n, y.n)") * least - 1e-6
+    return sizes & (F.expr("least(x.n - x.pos, y.n - y.pos)") >= F.expr("x.n + y.n") * (least / (1 + least)) - 1e-6)
+
+
+def _hot_links(hot: DataFrame, links: DataFrame, pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Links that join all texts of keys with many texts that are similar; hot: key, pos, rep, n.
+
+    STARS times each key's members are compared with one of them, if no chain of links joins the two yet. Then every
+    member outside the key's largest component is compared with all members of other components: exact, whatever was joined before.
+    """
+    both = (F.expr("greatest(x.rep, y.rep)").alias("a"), F.expr("least(x.rep, y.rep)").alias("b"))
+    for turn in range(STARS + 1):
+        found = components(links).withColumnRenamed("node", "rep")
+        named = hot.join(found, "rep", "left").select("key", "rep", "n", "pos", F.coalesce("component", "rep").alias("label"))
+        named = stored(named, "hot")
+        mixed = named.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("g")).where("l <> g").select(F.col("key").bitwiseXOR(F.lit(0)).alias("key"))
+        open_ = stored(named.join(mixed, "key"), "open")
+        if open_.isEmpty():
+            break
+        if turn < STARS:
+            some = open_.groupBy("key").agg(F.min_by(F.struct("rep", "n", "pos", "label"), F.xxhash64("rep", F.lit(turn))).alias("s")).select("key", "s.*")
+        else:
+            main = open_.groupBy("key", "label").agg(F.count("*").alias("m")).groupBy("key").agg(F.max_by("label", F.struct("m", "label")).alias("main"))
+            some = open_.join(main, "key").where("label <> main").drop("main")
+        met = open_.alias("x").join(some.withColumn("key", F.col("key").bitwiseXOR(F.lit(0))).alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & _likely(least))
+        more = stored(met.select(*both).distinct().join(pairs, ["a", "b"], "left_anti"), "more-pairs")
+        pairs = pairs.union(more)
+        links = links.union(_verified(more, sets, least))
+    return links
 
 
 def _set_rows(docs: DataFrame) -> DataFrame:
-    """doc_id and its sorted different 5-word shingle hashes (32 bits) as bytes."""
+    """doc_id and its sorted different 5-word shingle hashes as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in A.chunks(batches):
             n = len(c.off) - 1
-            low = LOWER[c.buf]
-            starts, ends, doc = A.word_bounds(low, c.off)
-            sums = A.prefix(A.bytes_hash(low, starts, ends))
-            at = np.flatnonzero(doc[: max(len(doc) - 4, 0)] == doc[4:])
-            h, owner = (A.run_hash(sums, at, at + 5) >> A.U(32)).astype("<u4"), doc[at]
+            h, owner = _shingles(*_words(c)[:2])
             bounds = np.searchsorted(owner, np.arange(n + 1))
-            sets = [np.unique(h[a:b]).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            sets = [h[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([c.ids, pa.array(sets, pa.binary())], names=["id", "shingles"])
 
     return docs.select("doc_id", "text").transform(ready).mapInArrow(run, "id long, shingles binary")
@@ -323,7 +365,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), "<u4"), np.frombuffer(y.as_buffer(), "<u4")
+                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
                 both = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
                 keep.append(both > 0 and both >= least * (len(x) + len(y) - both))
             kept = batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -338,21 +380,17 @@ def near_duplicates(docs: DataFrame, least: float = SHINGLE_SIMILARITY) -> DataF
 
     Texts with the same word sequence are one node; texts without words are one group.
     """
-    sigs = stored(_signatures(docs.where("doc_id IS NOT NULL")), "signatures")
-    names = [F.min(f"m{k}").alias(f"m{k}") for k in range(MINS)]
-    nodes = stored(sigs.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.min("fp").alias("fp"), F.max("n_words").alias("n_words"), *names), "nodes")
-    facts = nodes.select("rep", "fp")
-    small, large = _shared(_anchor_rows(nodes.where("n_words >= 5")), facts, "anchors")
-    pairs = stored(_close_pairs(small, WORD_BITS).union(_pivot_pairs(large)).distinct(), "pairs")
-    ids = small.select(F.explode("members.rep").alias("doc_id")).union(large.select("rep")).distinct()
+    docs = docs.where("doc_id IS NOT NULL")
+    sigs = stored(_signatures(docs, least), "signatures")
+    nodes = stored(sigs.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "nodes")
+    one = sigs.join(nodes.withColumnRenamed("rep", "doc_id"), ["h1", "h2", "doc_id"], "left_semi").where("n > 0")
+    small, hot = _shared(one.select(F.col("doc_id").alias("rep"), "n", F.posexplode("prefix").alias("pos", "key")).select("key", "pos", "rep", "n"))
+    pairs = stored(_likely_pairs(small, least), "pairs")
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(hot.select("rep")).distinct()
     # both joins of texts shuffle whatever the other side's size, so that plans don't change with the input
     sets = stored(_set_rows(docs.select("doc_id", "text").join(ids.hint("shuffle_hash"), "doc_id", "left_semi")), "shingle-sets")
-    links = _verified(pairs, sets, least)
-    # members of large buckets that no pivot stands for look for each other by fuzzy keys
-    linked = links.select(F.col("a").alias("rep")).union(links.select("b")).distinct()
-    small, large = _shared(_fuzzy_rows(large.join(linked, "rep", "left_anti")), facts, "fuzzy")
-    more = stored(_close_pairs(small, WORD_BITS).union(_pivot_pairs(large)).distinct().join(pairs, ["a", "b"], "left_anti"), "more-pairs")
-    found = components(links.union(_verified(more, sets, least))).withColumnRenamed("node", "rep")
+    links = _hot_links(hot, _verified(pairs, sets, least), pairs, sets, least)
+    found = components(links).withColumnRenamed("node", "rep")
     named = nodes.join(found, "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id"))
     return sigs.join(named, ["h1", "h2"]).select("doc_id", "component_id")
 

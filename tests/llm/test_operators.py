@@ -180,6 +180,48 @@ def test_near_duplicates(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values())) and kept.columns == docs(spark).columns
 
 
+def chained(seed, texts, n_words, step):
+    """Texts that each differ from the one before in `step` words: neighbours are similar, the ends are not."""
+    rng = random.Random(seed)
+    words, out = prose(seed, n_words).split(), []
+    for _ in range(texts):
+        for _ in range(step):
+            words[rng.randrange(len(words))] = f"w{rng.random()}"
+        out.append(" ".join(words))
+    return out
+
+
+def test_near_duplicates_in_large_buckets(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BUCKET", 2)
+    licence = prose(77, 30)
+    rows = list(enumerate([f"{licence} {t}" for g in range(3) for t in chained(700 + g, 120, 80, 1)], 1))
+    random.Random(4).shuffle(rows)
+    want = brute.jaccard_groups(rows)
+    assert got(simhash.near_duplicates(docs(spark, rows))) == sorted(want.items(), key=str)
+
+
+def test_linked_texts_of_large_buckets_find_further_ones(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BUCKET", 2)
+    monkeypatch.setattr(simhash, "STARS", 1)
+    licence, rows = prose(78, 60), []
+    for g in range(40):
+        a, b, c = chained(800 + g, 3, 45, 2)
+        rows += [(10 * g + 3, f"{licence} {a}"), (10 * g + 2, f"{licence} {b}"), (10 * g + 1, f"{licence} {c}")]
+    want = brute.jaccard_groups(rows)
+    assert got(simhash.near_duplicates(docs(spark, rows))) == sorted(want.items(), key=str)
+
+
+def test_near_duplicates_of_few_words(spark):
+    """One new word after a text of few different words moves most bits of a fingerprint, but one shingle of many."""
+    rng, rows = random.Random(6), []
+    for g in range(150):
+        words = [f"v{g}x{k}" for k in range(4)]
+        text = [rng.choice(words) for _ in range(60)]
+        rows += [(2 * g, " ".join(text)), (2 * g + 1, " ".join([*text, f"new{g}"]))]
+    want = brute.jaccard_groups(rows)
+    assert got(simhash.near_duplicates(docs(spark, rows))) == sorted(want.items(), key=str)
+
+
 def test_components(spark):
     rng = random.Random(1)
     links = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(5, 5), (300, 301), (301, 302), (302, 303), (300, 303)]
