@@ -90,10 +90,10 @@ def status(surveys: DataFrame, regions: DataFrame, parcelas: DataFrame, edificio
 
 def fold_states(surveys: DataFrame, updates: DataFrame) -> DataFrame:
     """Status after updates (survey_id, seq, status) in order: stopped is final; null updates change nothing; unknown surveys are not_found."""
-    steps = F.array_sort(F.collect_list(F.struct("seq", "status")))
-    folded = updates.groupBy("survey_id").agg(steps.alias("steps"), F.count("*").alias("n"))
+    last = F.max(F.when(F.col("status").isNotNull(), F.struct("seq", "status")))["status"]
+    folded = updates.groupBy("survey_id").agg(last.alias("last"), F.max(F.col("status") == "stopped").alias("stopped"), F.count("*").alias("n"))
     both = surveys.select("survey_id", F.col("status").alias("before")).join(folded, "survey_id", "right")
-    after = F.aggregate("steps", F.col("before"), lambda s, u: F.when(s == "stopped", s).otherwise(F.coalesce(u["status"], s)))
+    after = F.when((F.col("before") == "stopped") | F.col("stopped"), "stopped").otherwise(F.coalesce("last", "before"))
     out = both.select("survey_id", F.col("n").cast("bigint").alias("updates"), F.when(F.col("before").isNull(), "not_found").otherwise(after).alias("status"))
     return out.select("*", F.col("status").isin(*FINAL).alias("finished"), (F.col("status").isin(*STOPPED) | (F.col("status") == "not_found")).alias("should_stop"))
 

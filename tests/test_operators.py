@@ -49,6 +49,15 @@ def test_notes_and_states(spark):
     assert rows(surveys.fold_states(s, u).select("survey_id", "status", "should_stop")) == [(1, "completed", False), (2, "stopped", True), (3, "not_found", True)]
 
 
+def test_states_fold_without_lists(spark):
+    s = spark.createDataFrame([(1, "running"), (2, "running"), (3, "stopped"), (4, "running")], "survey_id int, status string")
+    many = [(1, k, "failed" if k % 3 else None) for k in range(3000)] + [(1, 3000, "completed"), (1, 3001, None)]
+    u = spark.createDataFrame([*many, (2, 1, "stopped"), (2, 2, "completed"), (3, 1, None), (4, 5, None), (9, 1, "stopped")], "survey_id int, seq int, status string")
+    df = surveys.fold_states(s, u)
+    assert rows(df.select("survey_id", "updates", "status")) == [(1, 3002, "completed"), (2, 2, "stopped"), (3, 1, "stopped"), (4, 1, "running"), (9, 1, "not_found")]
+    assert "collect_list" not in df._jdf.queryExecution().toString()
+
+
 def test_population_shares_add_up(spark):
     b = spark.createDataFrame([(1, "s", 10.0, 1), (2, "s", 30.0, 3), (3, "t", 0.0, 0), (4, "t", None, None)], "id int, setor_id string, a double, u int")
     z = spark.createDataFrame([("s", 100), ("t", 10)], "setor_id string, pop_total int")
