@@ -1,69 +1,69 @@
 """Upsert on a fuzzy centroid key: greedy leaders in feed order.
 
 Rows of a feed come in order; each updates the leader nearest to it within the
-band (then least id), or else becomes a leader. Only rows linked by a chain of
-near cells can touch each other, so rows are grouped by connected cells and each
-group is run through in order.
+band (then least id), or else becomes a leader. A row leads if no earlier leader
+is within the band, so leaders are found in rounds: of the rows still open, one
+without an earlier open row within the band leads, and the rows within its band
+are settled. A cell holds about one leader, so every join is at most nine rows a row.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import forget, ready, stored
+from ..runtime import forget, stored
 
 BAND = 5e-5
+#: Tables of found leaders that are joined into one, so that plans stay small.
+MERGE_AT = 20
 
 
-def _least_cells(cells: DataFrame, keys: list[str], most_rounds: int = 30) -> DataFrame:
-    """Label each occupied cell with the least cell it is connected to (eight neighbours)."""
-    near = F.explode(F.expr("flatten(transform(sequence(-1, 1), i -> transform(sequence(-1, 1), j -> struct(cx + i AS cx, cy + j AS cy))))"))
-    now = cells.withColumn("label", F.struct("cx", "cy"))
-    last = None
-    for _ in range(most_rounds):
-        sent = now.select(*keys, near.alias("n"), "label").select(*keys, "n.cx", "n.cy", "label")
-        best = sent.groupBy(*keys, "cx", "cy").agg(F.min("label").alias("best"))
-        nxt = now.join(best, [*keys, "cx", "cy"]).withColumn("moved", F.col("best") != F.col("label")).withColumn("label", F.col("best")).drop("best")
-        nxt = stored(nxt, "cells")
-        forget(last)
-        last = nxt
-        if nxt.where("moved").isEmpty():
-            return nxt.drop("moved")
-        now = nxt.drop("moved")
-    raise RuntimeError("cells did not settle")
+def _around(few: DataFrame, keys: list[str]) -> DataFrame:
+    """Each row (cx, cy, o, x, y) once for its cell and each of the eight neighbours, as o, x and y with an m before."""
+    cells = F.explode(F.expr("flatten(transform(sequence(-1, 1), i -> transform(sequence(-1, 1), j -> struct(cx + i AS cx, cy + j AS cy))))"))
+    return few.select(*keys, cells.alias("n"), F.col("o").alias("mo"), F.col("x").alias("mx"), F.col("y").alias("my")).select(*keys, "n.cx", "n.cy", "mo", "mx", "my")
 
 
-def leaders(feed: DataFrame, row_id: str, order: str, keys: list[str], band: float = BAND, lat: str = "lat", lng: str = "lng") -> DataFrame:
-    """row_id and leader (the row_id that the row updates; itself if it is new) for every row of the feed."""
-    rows = feed.select(row_id, F.col(order).alias("_ord"), *keys, lat, lng).withColumn("cx", F.floor(F.col(lng) / band)).withColumn("cy", F.floor(F.col(lat) / band))
-    labels = _least_cells(rows.select(*keys, "cx", "cy").distinct(), keys)
-    grouped = rows.join(labels, [*keys, "cx", "cy"]).withColumn("gx", F.col("label.cx")).withColumn("gy", F.col("label.cy"))
-    # rows alone in their group need no order
-    n = F.count("*").over(Window.partitionBy(*keys, "gx", "gy"))
-    kind = feed.schema[row_id].dataType.simpleString()
+def _close(band: float) -> Column:
+    return (F.abs(F.col("x") - F.col("mx")) < band) & (F.abs(F.col("y") - F.col("my")) < band)
+
+
+def _found(rows: DataFrame, keys: list[str], band: float) -> DataFrame:
+    """The rows that lead. rows: keys, cell, order o, x and y."""
+    at, cols = [*keys, "cx", "cy"], [*keys, "cx", "cy", "o", "x", "y"]
+    # of rows on one spot only the first can lead
+    now = stored(rows.groupBy(*at, "x", "y").agg(F.min("o").alias("o")).select(cols), "open")
+    found: list[DataFrame] = []
+    while True:
+        least = now.groupBy(at).agg(F.min(F.struct("o", "x", "y")).alias("m")).select(*at, "m.*")
+        late = now.join(_around(least, keys), at).where(_close(band) & (F.col("o") < F.col("mo"))).select(*keys, F.col("mo").alias("o")).distinct()
+        new = stored(least.join(late, [*keys, "o"], "left_anti").select(cols), "leaders")
+        found.append(new)
+        if new.isEmpty():
+            break
+        settled = now.join(_around(new, keys), at).where(_close(band)).select(*keys, "o").distinct()
+        nxt = stored(now.join(settled, [*keys, "o"], "left_anti").select(cols), "open")
+        forget(now)
+        now = nxt
+        if len(found) == MERGE_AT:
+            found = [stored(_union(found), "leaders")]
+    return _union(found)
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_ord", row_id], kind="stable")
-        chosen: list[tuple[float, float, object]] = []
-        cells: dict[tuple[int, int], list[int]] = {}
-        out = []
-        for r in pdf.rename(columns={"_ord": "ord_"}).itertuples(index=False):
-            i, x, y = getattr(r, row_id), getattr(r, lng), getattr(r, lat)
-            near = [k for a in (-1, 0, 1) for b in (-1, 0, 1) for k in cells.get((r.cx + a, r.cy + b), ())]
-            hits = [((x - chosen[k][0]) ** 2 + (y - chosen[k][1]) ** 2, chosen[k][2]) for k in near if abs(x - chosen[k][0]) < band and abs(y - chosen[k][1]) < band]
-            if hits:
-                out.append(min(hits)[1])
-            else:
-                cells.setdefault((r.cx, r.cy), []).append(len(chosen))
-                chosen.append((x, y, i))
-                out.append(i)
-        return pdf[[row_id]].assign(leader=out)
 
-    marked = grouped.withColumn("_n", n)
-    alone = marked.where("_n = 1").select(row_id, F.col(row_id).alias("leader"))
-    many = marked.where("_n > 1").select(row_id, "_ord", lat, lng, "cx", "cy", "gx", "gy", *keys)
-    return alone.union(many.transform(ready).groupBy(*keys, "gx", "gy").applyInPandas(walk, f"{row_id} {kind}, leader {kind}"))
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
+def leaders(feed: DataFrame, row_id: str, order: str, keys: list[str], band: float = BAND, lat: str = "lat", lng: str = "lng") -> DataFrame:
+    """row_id and leader (the row_id that the row updates; itself if it is new) for every row of the feed."""
+    cell = band * (1 + 1e-6)  # a little wider, so that rounding moves no row within the band past the next cell
+    rows = feed.select(*keys, F.struct(F.col(order).alias("ord"), F.col(row_id).alias("id")).alias("o"), F.col(lng).alias("x"), F.col(lat).alias("y"))
+    rows = rows.dropna(subset=[*keys, "x", "y"]).withColumn("cx", F.floor(F.col("x") / cell)).withColumn("cy", F.floor(F.col("y") / cell))
+    met = rows.join(_around(_found(rows, keys, band), keys), [*keys, "cx", "cy"]).where(_close(band) & (F.col("mo") <= F.col("o")))
+    far = (F.col("x") - F.col("mx")) * (F.col("x") - F.col("mx")) + (F.col("y") - F.col("my")) * (F.col("y") - F.col("my"))
+    best = met.groupBy(*keys, "o").agg(F.min(F.struct(far.alias("d"), F.col("mo.id").alias("id"))).alias("m"))
+    return best.select(F.col("o.id").alias(row_id), F.col("m.id").alias("leader"))

@@ -116,6 +116,26 @@ def test_fuzzy_leaders_follow_the_feed(spark):
     assert got == want
 
 
+def test_fuzzy_leaders_of_long_rows_and_full_spots(spark):
+    rng = random.Random(10)
+    spots = [(k, 0.0, k * 4e-5) for k in range(60)]  # a row of touching cells
+    rng.shuffle(spots)
+    more = [(0, lat + rng.uniform(-2e-5, 2e-5), lng) for _, lat, lng in spots] + [(0, lat, lng) for _, lat, lng in spots * 3] + [(0, 0.01, 0.01)] * 300
+    # the second row on a spot finds a nearer leader than the first did
+    more += [(0, 1.0, 1.0), (0, 1.0, 1.0 + 45e-6), (0, 1.0, 1.0 + 55e-6), (0, 1.0, 1.0 + 45e-6)]
+    rows = [(i, 1, lat, lng) for i, (_, lat, lng) in enumerate(spots + more)]
+    df = clustering.leaders(spark.createDataFrame(rows, "i int, g int, lat double, lng double"), "i", "i", ["g"])
+    got = {r.i: r.leader for r in df.collect()}
+    want, chosen = {}, []
+    for i, _, lat, lng in rows:
+        near = [((lng - x) ** 2 + (lat - y) ** 2, k) for k, y, x in chosen if abs(lng - x) < 5e-5 and abs(lat - y) < 5e-5]
+        want[i] = min(near)[1] if near else i
+        if not near:
+            chosen.append((i, lat, lng))
+    assert got == want and want[len(rows) - 1] == len(rows) - 2 != want[len(rows) - 3]
+    assert "InPandas" not in df._jdf.queryExecution().toString()
+
+
 def test_grids(spark):
     assert grids.grid_cells(spark, 0.0, 0.0, 1.0, 1.0, 0.5).count() == 4
     assert grids.grid_cells(spark, 0.0, 0.0, 1.0, 1.0, 0.5, 2).count() == 13
