@@ -316,8 +316,8 @@ def _likely(least: float) -> Column:
     return sizes & (F.expr("least(x.n - x.pos, y.n - y.pos)") >= F.expr("x.n + y.n") * (least / (1 + least)) - 1e-6)
 
 
-def _hot_links(hot: DataFrame, links: DataFrame, pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Links that join all texts of keys with many texts that are similar; hot: key, pos, rep, n.
+def _hot_joined(hot: DataFrame, links: DataFrame, pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """rep and component by these links and all others among texts of keys with many; hot: key, pos, rep, n.
 
     STARS times each key's members are compared with one of them, if no chain of links joins the two yet. Then every
     member outside the key's largest component is compared with all members of other components: exact, whatever was joined before.
@@ -330,7 +330,7 @@ def _hot_links(hot: DataFrame, links: DataFrame, pairs: DataFrame, sets: DataFra
         mixed = named.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("g")).where("l <> g").select(F.col("key").bitwiseXOR(F.lit(0)).alias("key"))
         open_ = stored(named.join(mixed, "key"), "open")
         if open_.isEmpty():
-            break
+            return found
         if turn < STARS:
             some = open_.groupBy("key").agg(F.min_by(F.struct("rep", "n", "pos", "label"), F.xxhash64("rep", F.lit(turn))).alias("s")).select("key", "s.*")
         else:
@@ -339,8 +339,8 @@ def _hot_links(hot: DataFrame, links: DataFrame, pairs: DataFrame, sets: DataFra
         met = open_.alias("x").join(some.withColumn("key", F.col("key").bitwiseXOR(F.lit(0))).alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & _likely(least))
         more = stored(met.select(*both).distinct().join(pairs, ["a", "b"], "left_anti"), "more-pairs")
         pairs = pairs.union(more)
-        links = links.union(_verified(more, sets, least))
-    return links
+        links = found.select(F.col("rep").alias("a"), F.col("component").alias("b")).union(_verified(more, sets, least))
+    return components(links).withColumnRenamed("node", "rep")
 
 
 def _set_rows(docs: DataFrame) -> DataFrame:
@@ -389,8 +389,7 @@ def near_duplicates(docs: DataFrame, least: float = SHINGLE_SIMILARITY) -> DataF
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(hot.select("rep")).distinct()
     # both joins of texts shuffle whatever the other side's size, so that plans don't change with the input
     sets = stored(_set_rows(docs.select("doc_id", "text").join(ids.hint("shuffle_hash"), "doc_id", "left_semi")), "shingle-sets")
-    links = _hot_links(hot, _verified(pairs, sets, least), pairs, sets, least)
-    found = components(links).withColumnRenamed("node", "rep")
+    found = _hot_joined(hot, _verified(pairs, sets, least), pairs, sets, least)
     named = nodes.join(found, "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id"))
     return sigs.join(named, ["h1", "h2"]).select("doc_id", "component_id")
 
