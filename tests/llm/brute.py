@@ -134,3 +134,35 @@ def jaccard_groups(rows, least=0.8, width=5):
                 x, y = root(i), root(j)
                 parent[max(x, y)] = min(x, y)
     return {i: root(i) for i in sets}
+
+
+def folded(text):
+    """Letters lower-cased, every run of other ASCII characters one space, no space at the ends."""
+    raw = (text or "").encode()
+    return re.sub(rb" +", b" ", bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in raw.lower())).strip()
+
+
+def least_edits(item, text):
+    """Least edits that turn the item into any stretch of the text."""
+    row = [0] * (len(text) + 1)
+    for a in item:
+        nxt = [row[0] + 1]
+        for j, b in enumerate(text):
+            nxt.append(min(row[j] + (a != b), row[j + 1] + 1, nxt[j] + 1))
+        row = nxt
+    return min(row)
+
+
+def op4(rows, items):
+    """(doc, item): edits, over all pairs: a tenth of the item's folded bytes as budget, whole words under 8."""
+    out = {}
+    for i, t in rows:
+        text = b" " + folded(t) + b" "
+        for k, item in items:
+            want = folded(item)
+            if len(want) < 8:
+                if want and b" " + want + b" " in text:
+                    out[i, k] = 0
+            elif (n := least_edits(want, text)) <= len(want) // 10:
+                out[i, k] = n
+    return out
