@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import forget, shared_dir, stored
 
-__all__ = ["crc_part", "forget", "shared_dir", "stored", "table"]
+__all__ = ["crc_part", "forget", "fresh", "shared_dir", "stored", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,3 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def crc_part(key: str | Column, parts: int) -> Column:
     """crc32 of the key as decimal text, modulo parts."""
     return F.pmod(F.crc32(F.col(key).cast("string") if isinstance(key, str) else key.cast("string")), F.lit(parts))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, made from `name`."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

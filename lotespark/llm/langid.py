@@ -208,18 +208,18 @@ def chunk_languages(c: A.Chunk, model: Model | None, banks: list) -> tuple[list[
     return lang, score
 
 
-def with_language(docs: DataFrame, model: Model | None) -> DataFrame:
-    """All columns of docs, with lang_pred and score appended in one pass (a column of docs so named is replaced)."""
-    docs = docs.drop("lang_pred", "score")
-    names = docs.columns
+def with_language(docs: DataFrame, model: Model | None, lang_column: str = "lang_pred", score_column: str = "score") -> DataFrame:
+    """All columns of docs, with language and score appended in one pass under names that docs doesn't have."""
+    if clash := {lang_column.lower(), score_column.lower()} & {c.lower() for c in docs.columns}:
+        raise ValueError(f"docs has a column {', '.join(sorted(clash))}; name other ones")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         banks = _tables(model.filters) if model else []
         for c in A.chunks(batches):
             lang, score = chunk_languages(c, model, banks)
-            yield pa.RecordBatch.from_arrays([*c.rows.columns, pa.array(lang, pa.string()), pa.array(score)], names=[*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*c.rows.columns, pa.array(lang, pa.string()), pa.array(score)], names=[*c.rows.schema.names, lang_column, score_column])
 
-    return docs.transform(ready).mapInArrow(run, type(docs.schema)(docs.schema.fields + [StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
+    return docs.transform(ready).mapInArrow(run, type(docs.schema)(docs.schema.fields + [StructField(lang_column, StringType()), StructField(score_column, DoubleType())]))
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:

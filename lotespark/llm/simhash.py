@@ -13,12 +13,15 @@ instead: fingerprints within distance two have a vector within one of both, and
 no vector has more than 65 such neighbours.
 
 `near_duplicates` finds documents whose sets of 5-word shingles have a Jaccard
-similarity of 0.8 or more. Over shingles such pairs differ in about ten bits of
-64, too many for Golay keys. So candidates come from an exact prefix filter:
-with shingles in one order for all, rarest first, two such texts share one of
-their first n - ceil(0.8 n) + 1, at positions that leave enough others. Texts of
-a shingle that many share are joined by stars first; only pairs that no chain of
-links joins are then compared in full. The exact similarity verifies every link.
+similarity of 0.8 or more. Golay keys of fingerprints over those shingles give
+the first candidates. But two such sets differ in about ten bits of 64 on
+average, which no choice of segments brings within the keys' two; so an exact
+prefix filter gives the others: with shingles in one order for all, rarest first,
+two such texts share one of their first n - ceil(0.8 n) + 1, at positions that
+leave enough others. Texts of a shingle that many share are first joined with one
+of them; then only pairs that no chain of links joins are compared, if sizes,
+positions and parity bits (a lower bound on the difference) allow the similarity.
+The exact similarity verifies every link.
 """
 
 from __future__ import annotations
@@ -35,7 +38,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import ready
 from . import arrays as A
-from .common import forget, stored
+from .common import forget, fresh, stored
 from .components import components
 from .toxicity import LOWER
 
@@ -46,8 +49,6 @@ PAIRS_AT_ONCE = 1 << 17
 SHINGLE_SIMILARITY = 0.8
 #: Shingles are ordered by what one of so many documents shows, at most so many of the commonest last.
 ORDER_PART, COMMON = 16, 1 << 16
-#: Rounds that join the texts of a common shingle with one of them before the others are compared in full.
-STARS = 4
 
 
 @lru_cache(maxsize=1)
@@ -251,8 +252,23 @@ def _common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return h[order], (len(h) - np.arange(len(h)))[order]
 
 
+def _parity(h: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """256 bits [n, 4] of each set: bit i tells whether an odd number of its elements fall on i.
+
+    Two sets differ in at least as many elements as these differ in bits.
+    """
+    spot, times = np.unique(owner.astype(np.int64) * 256 + (h >> A.U(56)).astype(np.int64), return_counts=True)
+    spot = spot[times % 2 == 1]
+    out = np.zeros(n * 32, dtype=np.uint8)
+    np.bitwise_or.at(out, spot >> 3, (1 << (spot & 7)).astype(np.uint8))
+    return out.view("<i8").reshape(n, 4)
+
+
+SIGNATURE_DDL = "doc_id long, v long, h1 long, h2 long, n int, fp long, b0 long, b1 long, b2 long, b3 long, prefix array<long>"
+
+
 def _signatures(docs: DataFrame, least: float) -> DataFrame:
-    """doc_id, hashes of the word sequence, and number and prefix of its shingles.
+    """doc_id, v, hashes of the word sequence, and number, fingerprint, parity bits and prefix of its shingles.
 
     The prefix are the first n - ceil(least n) + 1 of n different shingles, rarest first: two sets at that similarity share one.
     """
@@ -265,6 +281,7 @@ def _signatures(docs: DataFrame, least: float) -> DataFrame:
             whole = A.run_hash(A.prefix(word), first[:-1], first[1:])
             second = A.run_hash(A.prefix(A.mix(word ^ A.U(0x5851F42D4C957F2D))), first[:-1], first[1:])
             h, owner = _shingles(word, doc)
+            fp, bits = majority(h, owner, n), _parity(h, owner, n)
             if len(common):
                 at = np.minimum(np.searchsorted(common, h), len(common) - 1)
                 order = np.lexsort((h, np.where(common[at] == h, rank[at], 0), owner))
@@ -274,17 +291,26 @@ def _signatures(docs: DataFrame, least: float) -> DataFrame:
             size = np.where(count > 0, count - np.ceil(least * count - 1e-9).astype(np.int64) + 1, 0)
             taken = A.ranges(begin, size)
             prefix = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.array(h[taken].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([c.ids, pa.array(whole.view(np.int64)), pa.array(second.view(np.int64)), pa.array(count.astype(np.int32)), prefix], names=["doc_id", "h1", "h2", "n", "prefix"])
+            longs = [pa.array(x) for x in (whole.view(np.int64), second.view(np.int64), count.astype(np.int32), fp.view(np.int64), *(np.ascontiguousarray(b) for b in bits.T))]
+            yield pa.RecordBatch.from_arrays([c.ids, c.rows.column("v"), *longs, prefix], names=["doc_id", "v", "h1", "h2", "n", "fp", "b0", "b1", "b2", "b3", "prefix"])
 
-    return docs.select("doc_id", "text").transform(ready).mapInArrow(run, "doc_id long, h1 long, h2 long, n int, prefix array<long>")
+    return docs.select("doc_id", "v", "text").transform(ready).mapInArrow(run, SIGNATURE_DDL)
+
+
+def _fingerprint_pairs(one: DataFrame) -> DataFrame:
+    """Pairs (a, b), a > b, of texts whose fingerprints are equal or, by Golay keys, at most two bits apart: joined by stars, not all pairs."""
+    alike = one.where("n > 0").groupBy("fp").agg(F.min("node").alias("rep"), F.count("*").alias("m"))
+    alike = stored(alike, "fingerprints")
+    equal = one.where("n > 0").join(alike.where("m > 1").select(F.col("fp").bitwiseXOR(F.lit(0)).alias("fp"), "rep"), "fp").select(F.col("node").alias("a"), F.col("rep").alias("b")).where("a > b")
+    return equal.union(fingerprint_links(alike.select("rep", "fp")))
 
 
 def _shared(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(members of keys that two to BUCKET texts share, as lists; rows of keys that more share). rows: key, pos, rep, n."""
+    """(members of keys that two to BUCKET texts share, as lists; rows of keys that more share, with that number m). rows: key, pos, rep, n."""
     sizes = rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     both = stored(rows.join(sizes.select(F.col("key").bitwiseXOR(F.lit(0)).alias("key"), "m"), "key"), "prefixes")
     small = both.where(F.col("m") <= BUCKET).groupBy("key").agg(F.collect_list(F.struct("rep", "n", "pos")).alias("members"))
-    return small, both.where(F.col("m") > BUCKET).drop("m")
+    return small, both.where(F.col("m") > BUCKET)
 
 
 def _likely_pairs(buckets: DataFrame, least: float) -> DataFrame:
@@ -316,35 +342,48 @@ def _likely(least: float) -> Column:
     return sizes & (F.expr("least(x.n - x.pos, y.n - y.pos)") >= F.expr("x.n + y.n") * (least / (1 + least)) - 1e-6)
 
 
-def _hot_joined(hot: DataFrame, links: DataFrame, pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """rep and component by these links and all others among texts of keys with many; hot: key, pos, rep, n.
+def _star_pairs(hot: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b), a > b: each text of common shingles with one other text of up to three of them, the one least changed from what they share."""
+    key_hash = F.xxhash64("key")
+    own = hot.groupBy("rep").agg(F.first("n").alias("n"), F.array(F.max_by("key", F.struct("m", "key")), F.min_by("key", key_hash), F.max_by("key", key_hash)).alias("keys"))
+    own = own.select("rep", "n", F.explode(F.array_distinct("keys")).alias("key"))
+    # the text with fewest rarer shingles before this one
+    middle = hot.groupBy("key").agg(F.min_by(F.struct("rep", "n"), F.struct("pos", F.xxhash64("rep"))).alias("y")).select(F.col("key").bitwiseXOR(F.lit(0)).alias("key"), "y")
+    sizes = F.least("n", "y.n") >= F.greatest("n", "y.n") * least - 1e-6
+    return own.join(middle, "key").where(sizes).select(F.greatest("rep", "y.rep").alias("a"), F.least("rep", "y.rep").alias("b")).where("a > b")
+
+
+def _likely(least: float) -> Column:
+    """May rows x and y of one key have the similarity, by their sizes, the key's positions and their parity bits, if no earlier shingle is in both?"""
+    most = F.expr("x.n + y.n")
+    sizes = F.expr("least(x.n, y.n)") >= F.expr("greatest(x.n, y.n)") * least - 1e-6
+    places = F.expr("least(x.n - x.pos, y.n - y.pos)") >= most * (least / (1 + least)) - 1e-6
+    bits = F.expr(" + ".join(f"bit_count(x.b{k} ^ y.b{k})" for k in range(4))) <= most * ((1 - least) / (1 + least)) + 1e-6
+    return sizes & places & bits
+
+
+def _open_pairs(hot: DataFrame, found: DataFrame, one: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b), a > b, of texts that share a common shingle, that no chain of links joins, and that may be similar.
 
-    STARS times each key's members are compared with one of them, if no chain of links joins the two yet. Then every
-    member outside the key's largest component is compared with all members of other components: exact, whatever was joined before.
+    Of each shingle every text outside its largest component is compared with all texts of other components.
     """
-    both = (F.expr("greatest(x.rep, y.rep)").alias("a"), F.expr("least(x.rep, y.rep)").alias("b"))
-    for turn in range(STARS + 1):
-        found = components(links).withColumnRenamed("node", "rep")
-        named = hot.join(found, "rep", "left").select("key", "rep", "n", "pos", F.coalesce("component", "rep").alias("label"))
-        named = stored(named, "hot")
-        mixed = named.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("g")).where("l <> g").select(F.col("key").bitwiseXOR(F.lit(0)).alias("key"))
-        open_ = stored(named.join(mixed, "key"), "open")
-        if open_.isEmpty():
-            return found
-        if turn < STARS:
-            some = open_.groupBy("key").agg(F.min_by(F.struct("rep", "n", "pos", "label"), F.xxhash64("rep", F.lit(turn))).alias("s")).select("key", "s.*")
-        else:
-            main = open_.groupBy("key", "label").agg(F.count("*").alias("m")).groupBy("key").agg(F.max_by("label", F.struct("m", "label")).alias("main"))
-            some = open_.join(main, "key").where("label <> main").drop("main")
-        met = open_.alias("x").join(some.withColumn("key", F.col("key").bitwiseXOR(F.lit(0))).alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & _likely(least))
-        more = stored(met.select(*both).distinct().join(pairs, ["a", "b"], "left_anti"), "more-pairs")
-        pairs = pairs.union(more)
-        links = found.select(F.col("rep").alias("a"), F.col("component").alias("b")).union(_verified(more, sets, least))
-    return components(links).withColumnRenamed("node", "rep")
-
-
-def _set_rows(docs: DataFrame) -> DataFrame:
-    """doc_id and its sorted different 5-word shingle hashes as bytes."""
+    named = hot.select("key", "rep", "n", "pos").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component")
+    named = stored(named, "hot")
+    labels = named.groupBy("key", "label").agg(F.count("*").alias("m"))
+    mixed = labels.groupBy("key").agg(F.max_by("label", F.struct("m", "label")).alias("main"), F.count("*").alias("k")).where("k > 1")
+    open_ = named.join(mixed.select(F.col("key").bitwiseXOR(F.lit(0)).alias("key"), "main"), "key")
+    bits = one.select(F.col("node").alias("rep"), "b0", "b1", "b2", "b3")
+    open_ = stored(open_.join(bits, "rep"), "open")
+    forget(named)
+    some = open_.where("label <> main").withColumn("key", F.col("key").bitwiseXOR(F.lit(0)))
+    met = open_.alias("x").join(some.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & _likely(least))
+    out = stored(met.select(F.expr("greatest(x.rep, y.rep)").alias("a"), F.expr("least(x.rep, y.rep)").alias("b")).distinct(), "open-pairs")
+    forget(open_)
+    return out
+
+
+def _set_rows(texts: DataFrame) -> DataFrame:
+    """id and its sorted different 5-word shingle hashes as bytes. texts: doc_id (the id), text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in A.chunks(batches):
@@ -354,7 +393,7 @@ def _set_rows(docs: DataFrame) -> DataFrame:
             sets = [h[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([c.ids, pa.array(sets, pa.binary())], names=["id", "shingles"])
 
-    return docs.select("doc_id", "text").transform(ready).mapInArrow(run, "id long, shingles binary")
+    return texts.select("doc_id", "text").transform(ready).mapInArrow(run, "id long, shingles binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -375,34 +414,61 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return stored(rows.select("a", "b", "x", "y").transform(ready).mapInArrow(run, "a long, b long"), "verified")
 
 
+def _near_groups(docs: DataFrame, least: float) -> DataFrame:
+    """doc_id, v (a hash of the text) and `first`, the least (doc_id, v) of its group, for every row of docs: doc_id, v, text."""
+    sigs = stored(_signatures(docs, least), "signatures")
+    # a node for each word sequence, numbered once and written, so that the numbers stay
+    nodes = stored(sigs.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "v")).alias("one")).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    one = sigs.join(nodes.select("h1", "h2", "one.doc_id", "one.v", "node"), ["h1", "h2", "doc_id", "v"]).where("n > 0").drop("h1", "h2")
+    one = stored(one, "texts")  # repeated rows may come twice, which changes no result
+    small, hot = _shared(one.select(F.col("node").alias("rep"), "n", F.posexplode("prefix").alias("pos", "key")).select("key", "pos", "rep", "n"))
+    one = one.drop("prefix", "doc_id", "v")
+    pairs = stored(_likely_pairs(small, least).union(_star_pairs(hot, least)).union(_fingerprint_pairs(one)).distinct(), "pairs")
+    ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(hot.select("rep")).distinct()
+    ids = ids.join(nodes, "node").select("node", "one.doc_id", "one.v")
+    # joins of texts shuffle whatever the other side's size, so that plans don't change with the input
+    texts = docs.join(ids.hint("shuffle_hash"), ["doc_id", "v"]).groupBy("doc_id", "v").agg(F.first("node").alias("node"), F.first("text").alias("text"))
+    sets = stored(_set_rows(texts.select(F.col("node").alias("doc_id"), "text")), "shingle-sets")
+    links = _verified(pairs, sets, least)
+    found = components(links)
+    further = _open_pairs(hot, found, one, least).join(pairs, ["a", "b"], "left_anti")
+    more = _verified(further, sets, least)
+    if not more.isEmpty():
+        found = components(links.union(more))
+    named = stored(nodes.join(found, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component"), "labels")
+    first = named.groupBy("label").agg(F.min("one").alias("first")).withColumn("label", F.col("label").bitwiseXOR(F.lit(0)))
+    firsts = named.join(first, "label").select("h1", "h2", "first")
+    out = stored(sigs.select("doc_id", "v", "h1", "h2").join(firsts, ["h1", "h2"]).select("doc_id", "v", "first"), "groups")
+    for table in (sigs, nodes, one, small, hot, pairs, sets, links, more, named, found):
+        forget(table)
+    return out
+
+
+def _keyed(docs: DataFrame, v: str = "v") -> DataFrame:
+    """Rows with a doc_id, and a hash of the text beside it: repeated ids stay apart."""
+    return docs.where("doc_id IS NOT NULL").withColumn(v, F.xxhash64(F.coalesce("text", F.lit(""))))
+
+
 def near_duplicates(docs: DataFrame, least: float = SHINGLE_SIMILARITY) -> DataFrame:
-    """doc_id and component_id (least doc_id of the group) of every document.
+    """doc_id and component_id (least doc_id of the group) of every row with a doc_id.
 
-    Texts with the same word sequence are one node; texts without words are one group.
+    Texts with the same word sequence are one node; texts without words are one
+    group. Different texts that repeat a doc_id are judged each by its own text.
     """
-    docs = docs.where("doc_id IS NOT NULL")
-    sigs = stored(_signatures(docs, least), "signatures")
-    nodes = stored(sigs.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "nodes")
-    one = sigs.join(nodes.withColumnRenamed("rep", "doc_id"), ["h1", "h2", "doc_id"], "left_semi").where("n > 0")
-    small, hot = _shared(one.select(F.col("doc_id").alias("rep"), "n", F.posexplode("prefix").alias("pos", "key")).select("key", "pos", "rep", "n"))
-    pairs = stored(_likely_pairs(small, least), "pairs")
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(hot.select("rep")).distinct()
-    # both joins of texts shuffle whatever the other side's size, so that plans don't change with the input
-    sets = stored(_set_rows(docs.select("doc_id", "text").join(ids.hint("shuffle_hash"), "doc_id", "left_semi")), "shingle-sets")
-    found = _hot_joined(hot, _verified(pairs, sets, least), pairs, sets, least)
-    named = nodes.join(found, "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id"))
-    return sigs.join(named, ["h1", "h2"]).select("doc_id", "component_id")
+    return _near_groups(_keyed(docs.select("doc_id", "text")), least).select("doc_id", F.col("first.doc_id").alias("component_id"))
 
 
 def keep_first(docs: DataFrame, least: float = SHINGLE_SIMILARITY) -> DataFrame:
-    """The documents, all columns, without those that a smaller doc_id of their group stands for.
+    """The documents, all columns, without those that an earlier one of their group, by doc_id and then by a hash of the text, stands for.
 
-    Of rows that repeat a doc_id one stays; rows without a doc_id all stay.
+    Of equal rows (doc_id and text) one stays; rows without a doc_id all stay.
     """
-    groups = stored(near_duplicates(docs, least), "groups")
-    twice = groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    gone = groups.where("doc_id <> component_id").select("doc_id")
+    v = fresh(docs, "v")
+    rows = docs.withColumn(v, F.xxhash64(F.coalesce("text", F.lit(""))))
+    groups = _near_groups(_keyed(docs.select("doc_id", "text")), least).select("doc_id", F.col("v").alias(v), "first")
+    twice = groups.where(F.struct("doc_id", v) == F.struct("first.doc_id", "first.v")).groupBy("doc_id", v).count().where("count > 1").select("doc_id", v)
+    gone = groups.where(F.struct("doc_id", v) != F.struct("first.doc_id", "first.v")).select("doc_id", v).distinct()
     if twice.isEmpty():
-        return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(docs.columns)
-    once = docs.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return docs.join(gone.union(twice), "doc_id", "left_anti").select(docs.columns).union(once.select(docs.columns))
+        return rows.join(gone.hint("shuffle_hash"), ["doc_id", v], "left_anti").select(docs.columns)
+    once = rows.join(twice, ["doc_id", v], "left_semi").dropDuplicates(["doc_id", v])
+    return rows.join(gone.union(twice), ["doc_id", v], "left_anti").select(docs.columns).union(once.select(docs.columns))

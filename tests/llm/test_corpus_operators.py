@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 
 import brute
@@ -11,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from lotespark.llm import arrays, bpe, components, decontaminate, langid, pfor, pii, quality, queries, rindex, simhash, substring_dedup, suffix_dedup, toxicity
 
 BYTE_FILE, WORD_FILE = (public_tokenizers.path(f) for f in ("byte_bpe_50k.json", "word_bpe_49k.json"))
@@ -180,6 +182,23 @@ def test_near_duplicates(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values())) and kept.columns == docs(spark).columns
 
 
+def test_repeated_ids_are_judged_by_their_texts(spark):
+    """Different texts of one doc_id are rows of their own; equal rows are one."""
+    a, b, c = prose(901, 80), prose(902, 80), prose(903, 80)
+    df = docs(spark, [(1, a), (1, b), (1, b), (2, b + " end"), (3, a), (4, c), (None, c)])
+    assert sorted(((r.doc_id, r.text) for r in simhash.keep_first(df).collect()), key=str) == sorted([(1, a), (1, b), (4, c), (None, c)], key=str)
+
+
+def test_columns_of_the_caller_stay(spark):
+    df = docs(spark, [(1, BASE), (2, "one"), (3, BASE)]).withColumns({"lang_pred": F.lit("mine"), "v": F.lit("clash"), "_v": F.lit(3)})
+    assert simhash.keep_first(df).columns == df.columns and {r.v for r in simhash.keep_first(df).collect()} == {"clash"}
+    assert {(r.score, r.lang_pred) for r in corpus_pipeline.language(spark, df, "").collect()} == {("clash", "mine")}
+    with pytest.raises(ValueError, match="score"):
+        langid.with_language(df, None)
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    assert decontaminate.without_benchmark(df, items).columns == df.columns == pii.mask_pii(df).columns
+
+
 def chained(seed, texts, n_words, step):
     """Texts that each differ from the one before in `step` words: neighbours are similar, the ends are not."""
     rng = random.Random(seed)
@@ -202,7 +221,6 @@ def test_near_duplicates_in_large_buckets(spark, monkeypatch):
 
 def test_linked_texts_of_large_buckets_find_further_ones(spark, monkeypatch):
     monkeypatch.setattr(simhash, "BUCKET", 2)
-    monkeypatch.setattr(simhash, "STARS", 1)
     licence, rows = prose(78, 60), []
     for g in range(40):
         a, b, c = chained(800 + g, 3, 45, 2)
@@ -259,6 +277,54 @@ def test_decontamination(spark):
     assert decontaminate.find_benchmark(docs(spark, rows), bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(60))
+def test_decontamination_is_all_pairs(seed, monkeypatch):
+    """Items of 1 to 60 letters with up to their budget of edits, in small steps and by correlation too, lose no match and make none up."""
+    rng = random.Random(seed)
+    alpha = ["abcdefghijkl mno", "ab", "abcdé,X "][seed % 3]
+    items = [(k, "".join(rng.choice(alpha) for _ in range(rng.randint(1, 60)))) for k in range(8)]
+    rows = []
+    for d in range(5):
+        parts = []
+        for _ in range(3):
+            parts.append("".join(rng.choice(alpha) for _ in range(rng.randint(0, 40))))
+            t = list(rng.choice(items)[1])
+            for _ in range(rng.randint(0, max(1, len(t) // 10))):
+                at = rng.randrange(len(t) + 1)
+                t[at : at + rng.randint(0, 1)] = rng.choice(["", alpha[0], alpha[1]])
+            parts.append(" " * rng.randint(0, 1) + "".join(t) + " " * rng.randint(0, 1))
+        rows.append((d, "".join(parts)))
+    for name, value in (("HITS", 8), ("STRETCH", 32), ("DENSE", 0)) if seed % 2 else ():
+        monkeypatch.setattr(decontaminate, name, value)
+    index = decontaminate.items_index([k for k, _ in items], [t.encode() for _, t in items])
+    texts = [t.encode() for _, t in rows]
+    hits = decontaminate.chunk_hits(index, np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]))
+    best = {}
+    for d, it, _, _, e in hits.tolist():
+        for k in index.ids[it].tolist():
+            best[d, k] = min(best.get((d, k), 99), e)
+    assert best == brute.op4(rows, items)
+
+
+def test_repetitive_texts_need_little_memory():
+    for item, text in (("ab" * 2000, "ab" * 200_000), ("a" * 3000, "a" * 300_000)):
+        tracemalloc.start()
+        index = decontaminate.items_index([1], [item.encode()])
+        hits = decontaminate.chunk_hits(index, np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))
+        assert len(hits) and (hits[:, 4] == 0).all() and tracemalloc.get_traced_memory()[1] < 500 << 20
+        tracemalloc.stop()
+
+
+def test_benchmark_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "ITEM_BYTES", 100)
+    bench = spark.createDataFrame([(k, prose(90 + k, 20)) for k in range(6)] + [(7, "abcdefg"), (8, "?!")], "item_id long, text string")
+    rows = [(k, prose(300 + k, 30) + " " + prose(90 + k, 20) + " " + prose(400 + k, 30)) for k in range(4)] + [(5, "xx abcdefg yy"), (6, "xxabcdefg"), (7, "abc")]
+    hits = decontaminate.contaminated(docs(spark, rows), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in hits} == {(0, 0), (1, 1), (2, 2), (3, 3), (5, 7)}
+    assert [(r.start, r.end) for r in hits if r.item_id == 7] == [(3, 10)]
+    assert sorted(r.doc_id for r in decontaminate.without_benchmark(docs(spark, rows), bench).collect()) == [6, 7]
+
+
 def test_alignment_is_edit_distance():
     rng = random.Random(2)
 
