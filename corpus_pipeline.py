@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotespark.llm import bpe, decontaminate, langid, pii, simhash
-from lotespark.llm.common import forget, stored, table
+from lotespark.llm.common import forget, fresh, stored, table
 from lotespark.llm.queries import tokenizer_file
 
 #: Below this mean probability no language is named; with four languages chance gives a quarter.
@@ -22,8 +22,9 @@ LEAST_SCORE = 0.3
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language: texts without letters, or that fit none of those learnt, go."""
-    found = langid.with_language(docs, langid.learn(docs))
-    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(docs.columns)
+    lang, score = fresh(docs, "lang_pred"), fresh(docs, "score")
+    found = langid.with_language(docs, langid.learn(docs), lang, score)
+    return found.where((F.col(lang) != langid.UNKNOWN) & (F.col(score) >= LEAST_SCORE)).select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
