@@ -68,3 +68,8 @@ def forget(df: DataFrame | None) -> None:
             continue
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of steps that are written and done, now and not at some later collection."""
+    spark._jvm.System.gc()
