@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import ready
+from ..runtime import ready, release
 from . import arrays as A
 from .common import forget, fresh, stored
 from .components import components
@@ -49,6 +49,8 @@ PAIRS_AT_ONCE = 1 << 17
 SHINGLE_SIMILARITY = 0.8
 #: Shingles are ordered by what one of so many documents shows, at most so many of the commonest last.
 ORDER_PART, COMMON = 16, 1 << 16
+#: Shingles for which 256 parity bits are enough; sets of more have twice as many bits, and so on.
+BITS_FOR = 512
 
 
 @lru_cache(maxsize=1)
@@ -252,19 +254,21 @@ def _common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return h[order], (len(h) - np.arange(len(h)))[order]
 
 
-def _parity(h: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-    """256 bits [n, 4] of each set: bit i tells whether an odd number of its elements fall on i.
+def _parity(h: np.ndarray, owner: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Bytes of all sets' parity bits, size[k] bits (256 or twice as often doubled) for set k: is an odd number of its elements on a bit?
 
-    Two sets differ in at least as many elements as these differ in bits.
+    Two sets differ in at least as many elements as their bits do; of two sizes the larger folds onto the smaller.
     """
-    spot, times = np.unique(owner.astype(np.int64) * 256 + (h >> A.U(56)).astype(np.int64), return_counts=True)
+    base = np.cumsum(size) - size
+    spot = base[owner] + ((h >> A.U(32)).astype(np.int64) & (size[owner] - 1))
+    spot, times = np.unique(spot, return_counts=True)
     spot = spot[times % 2 == 1]
-    out = np.zeros(n * 32, dtype=np.uint8)
+    out = np.zeros(int(size.sum()) // 8, dtype=np.uint8)
     np.bitwise_or.at(out, spot >> 3, (1 << (spot & 7)).astype(np.uint8))
-    return out.view("<i8").reshape(n, 4)
+    return out
 
 
-SIGNATURE_DDL = "doc_id long, v long, h1 long, h2 long, n int, fp long, b0 long, b1 long, b2 long, b3 long, prefix array<long>"
+SIGNATURE_DDL = "doc_id long, v long, h1 long, h2 long, n int, fp long, b0 long, b1 long, b2 long, b3 long, parity binary, prefix array<long>"
 
 
 def _signatures(docs: DataFrame, least: float) -> DataFrame:
@@ -281,18 +285,20 @@ def _signatures(docs: DataFrame, least: float) -> DataFrame:
             whole = A.run_hash(A.prefix(word), first[:-1], first[1:])
             second = A.run_hash(A.prefix(A.mix(word ^ A.U(0x5851F42D4C957F2D))), first[:-1], first[1:])
             h, owner = _shingles(word, doc)
-            fp, bits = majority(h, owner, n), _parity(h, owner, n)
+            count = np.bincount(owner, minlength=n)
+            fp, bits = majority(h, owner, n), _parity(h, owner, np.full(n, 256)).view("<i8").reshape(n, 4)
+            size = 256 << np.ceil(np.log2(np.maximum(count / BITS_FOR, 1))).astype(np.int64)
+            parity = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.append(0, np.cumsum(size // 8)).astype(np.int32)), pa.py_buffer(_parity(h, owner, size))])
             if len(common):
                 at = np.minimum(np.searchsorted(common, h), len(common) - 1)
                 order = np.lexsort((h, np.where(common[at] == h, rank[at], 0), owner))
                 h = h[order]
-            count = np.bincount(owner, minlength=n)
             begin = np.cumsum(count) - count
             size = np.where(count > 0, count - np.ceil(least * count - 1e-9).astype(np.int64) + 1, 0)
             taken = A.ranges(begin, size)
             prefix = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.array(h[taken].view(np.int64)))
             longs = [pa.array(x) for x in (whole.view(np.int64), second.view(np.int64), count.astype(np.int32), fp.view(np.int64), *(np.ascontiguousarray(b) for b in bits.T))]
-            yield pa.RecordBatch.from_arrays([c.ids, c.rows.column("v"), *longs, prefix], names=["doc_id", "v", "h1", "h2", "n", "fp", "b0", "b1", "b2", "b3", "prefix"])
+            yield pa.RecordBatch.from_arrays([c.ids, c.rows.column("v"), *longs, parity, prefix], names=["doc_id", "v", "h1", "h2", "n", "fp", "b0", "b1", "b2", "b3", "parity", "prefix"])
 
     return docs.select("doc_id", "v", "text").transform(ready).mapInArrow(run, SIGNATURE_DDL)
 
@@ -396,8 +402,36 @@ def _set_rows(texts: DataFrame) -> DataFrame:
     return texts.select("doc_id", "text").transform(ready).mapInArrow(run, "id long, shingles binary")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Pairs whose shingle sets have a Jaccard similarity of at least `least`."""
+def _alike(pairs: DataFrame, one: DataFrame, least: float) -> DataFrame:
+    """The pairs whose sizes and parity bits allow the similarity."""
+    side = lambda k: one.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("parity").alias(f"p{k}"))
+    rows = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("na", "nb") >= F.greatest("na", "nb") * least - 1e-6)
+    share = (1 - least) / (1 + least)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            most = (share * (batch.column("na").to_numpy() + batch.column("nb").to_numpy()) + 1e-6).tolist()
+            keep = []
+            for x, y, m in zip(batch.column("pa").to_pylist(), batch.column("pb").to_pylist(), most, strict=True):
+                if len(x) < len(y):
+                    x, y = y, x
+                bits, size = int.from_bytes(x, "little"), 8 * len(x)
+                while size > 8 * len(y):
+                    size //= 2
+                    bits = (bits >> size) ^ (bits & ((1 << size) - 1))
+                keep.append((bits ^ int.from_bytes(y, "little")).bit_count() <= m)
+            kept = batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(kept.columns, names=["a", "b"])
+
+    return stored(rows.select("a", "b", "na", "nb", "pa", "pb").transform(ready).mapInArrow(run, "a long, b long"), "alike")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """Pairs of nodes whose shingle sets have a Jaccard similarity of at least `least`. docs: doc_id, v, text."""
+    ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes, "node").select("node", "one.doc_id", "one.v")
+    # a join of texts that shuffles whatever the other side's size, so that plans don't change with the input; repeated rows give one
+    texts = docs.join(ids.hint("shuffle_hash"), ["doc_id", "v"]).groupBy("doc_id", "v").agg(F.first("node").alias("node"), F.first("text").alias("text"))
+    sets = stored(_set_rows(texts.select(F.col("node").alias("doc_id"), "text")), "shingle-sets")
     rows = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -411,7 +445,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays(kept.columns, names=["a", "b"])
         A.give_back()
 
-    return stored(rows.select("a", "b", "x", "y").transform(ready).mapInArrow(run, "a long, b long"), "verified")
+    out = stored(rows.select("a", "b", "x", "y").transform(ready).mapInArrow(run, "a long, b long"), "verified")
+    forget(sets)
+    return out
 
 
 def _near_groups(docs: DataFrame, least: float) -> DataFrame:
@@ -422,24 +458,25 @@ def _near_groups(docs: DataFrame, least: float) -> DataFrame:
     one = sigs.join(nodes.select("h1", "h2", "one.doc_id", "one.v", "node"), ["h1", "h2", "doc_id", "v"]).where("n > 0").drop("h1", "h2")
     one = stored(one, "texts")  # repeated rows may come twice, which changes no result
     small, hot = _shared(one.select(F.col("node").alias("rep"), "n", F.posexplode("prefix").alias("pos", "key")).select("key", "pos", "rep", "n"))
+    release(docs.sparkSession)
     one = one.drop("prefix", "doc_id", "v")
     pairs = stored(_likely_pairs(small, least).union(_star_pairs(hot, least)).union(_fingerprint_pairs(one)).distinct(), "pairs")
-    ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(hot.select("rep")).distinct()
-    ids = ids.join(nodes, "node").select("node", "one.doc_id", "one.v")
-    # joins of texts shuffle whatever the other side's size, so that plans don't change with the input
-    texts = docs.join(ids.hint("shuffle_hash"), ["doc_id", "v"]).groupBy("doc_id", "v").agg(F.first("node").alias("node"), F.first("text").alias("text"))
-    sets = stored(_set_rows(texts.select(F.col("node").alias("doc_id"), "text")), "shingle-sets")
-    links = _verified(pairs, sets, least)
+    alike = _alike(pairs, one, least)
+    links = _verified(alike, docs, nodes, least)
+    release(docs.sparkSession)
     found = components(links)
     further = _open_pairs(hot, found, one, least).join(pairs, ["a", "b"], "left_anti")
-    more = _verified(further, sets, least)
+    more = _alike(further, one, least)
+    for table in (small, one, pairs, alike):
+        forget(table)
     if not more.isEmpty():
-        found = components(links.union(more))
+        found = components(links.union(_verified(more, docs, nodes, least)))
+    release(docs.sparkSession)
     named = stored(nodes.join(found, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component"), "labels")
     first = named.groupBy("label").agg(F.min("one").alias("first")).withColumn("label", F.col("label").bitwiseXOR(F.lit(0)))
     firsts = named.join(first, "label").select("h1", "h2", "first")
     out = stored(sigs.select("doc_id", "v", "h1", "h2").join(firsts, ["h1", "h2"]).select("doc_id", "v", "first"), "groups")
-    for table in (sigs, nodes, one, small, hot, pairs, sets, links, more, named, found):
+    for table in (sigs, nodes, links, more, named, found):
         forget(table)
     return out
 
