@@ -58,6 +58,11 @@ def parcel_prefix(partido: Column, circ: Column, secc: Column, mza: Column) -> C
     return F.concat(zero_filled(partido, 3), zero_filled(circ, 2), F.lit("0"), F.upper(secc), F.lit("0" * 21), zero_filled(mza, 4))
 
 
+def same_block(cca: Column, circ: Column, secc: Column, mza: Column) -> Column:
+    """Is a parcel code of this district part, section and block, whatever its first three figures? By the parts' places."""
+    return (F.substring(cca, 4, 2) == circ) & (F.substring(cca, 7, 1) == secc) & (F.substring(cca, 29, 4) == mza)
+
+
 def parcel_number(cca: Column) -> Column:
     """The number at places 33 to 39 of a parcel code, as text without leading zeros; '' for short codes."""
     return F.when(F.length(cca) >= 39, F.ltrim(F.substring(cca, 33, 7), F.lit("0"))).otherwise("")

@@ -11,6 +11,8 @@ from ..functions import strings as S
 from .spatial import first_polygon, nearest_line
 
 MOST_METRES = 100.0
+#: Degrees that 100 m span at most, up to 80 degrees of latitude.
+MOST_DEGREES = 0.0052
 
 
 def incomplete(parcelas: DataFrame, fill_partial: bool = False) -> DataFrame:
@@ -26,7 +28,7 @@ def street_candidates(parcelas: DataFrame, streets: DataFrame, on: list[str], si
     A street nearer in metres but farther in degrees isn't looked at.
     """
     take = ["nome", "tipo", "ini_esq", "fin_esq", "ini_dir", "fin_dir"]
-    near = nearest_line(parcelas, streets.where("nome IS NOT NULL"), "parcela_id", "centroid_lng", "centroid_lat", "line", "logradouro_id", take, on=on, size=size)
+    near = nearest_line(parcelas, streets.where("nome IS NOT NULL"), "parcela_id", "centroid_lng", "centroid_lat", "line", "logradouro_id", take, on=on, size=size, within=MOST_DEGREES)
     dist = G.metres(F.col("centroid_lng"), F.col("centroid_lat"), F.col("px"), F.col("py"))
     number = R.house_number((F.col("ini_esq"), F.col("fin_esq")), (F.col("ini_dir"), F.col("fin_dir")), F.col("frac"))
     return near.withColumn("dist_m", dist).where(F.col("dist_m") <= MOST_METRES).select("parcela_id", S.joined(F.col("tipo"), F.col("nome")).alias("calle"), number.cast("string").alias("numero"), "dist_m")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..runtime import stored
 
 
 def cell_of(v: Column, size: float) -> Column:
@@ -52,10 +53,10 @@ def spatial_join(left: DataFrame, right: DataFrame, op: str, left_polygon: str,
     return a.join(b, ["_cx", "_cy"]).where(test(F.col("_p"), F.col("_q"))).select(left_id, right_id).distinct()
 
 
-def in_zone(df: DataFrame, zone: DataFrame, polygon: str, zone_polygon: str = "zone") -> DataFrame:
-    """Rows whose polygon meets any part of the zone. The zone's parts are one row each; one row in all is sent along as an array."""
-    parts = zone.agg(F.collect_list(zone_polygon).alias("_parts"))
-    return df.join(F.broadcast(parts)).where(F.exists("_parts", lambda z: G.intersects(z, F.col(polygon)))).drop("_parts")
+def in_zone(df: DataFrame, zone: DataFrame, row_id: str, polygon: str, zone_polygon: str = "zone", size: float = 0.02) -> DataFrame:
+    """Rows whose polygon meets any part of the zone; the zone's parts are one row each. Polygons meet in the cells that both touch."""
+    hits = spatial_join(df.select(row_id, F.col(polygon).alias("_shape")), zone.select(F.monotonically_increasing_id().alias("_part"), F.col(zone_polygon).alias("_zone")), "intersects", "_shape", "_zone", size, row_id, "_part")
+    return df.join(hits.select(row_id), row_id, "left_semi").select(df.columns)
 
 
 def band_join(left: DataFrame, right: DataFrame, band: float, on: list[str] | None = None, lat: str = "lat", lng: str = "lng", suffix: str = "_r") -> DataFrame:
@@ -68,29 +69,38 @@ def band_join(left: DataFrame, right: DataFrame, band: float, on: list[str] | No
     return l.join(r, [*on, "_cx", "_cy"]).where(near).drop("_cx", "_cy")
 
 
-def nearest_line(points: DataFrame, lines: DataFrame, point_id: str, x: str, y: str, line: str, line_id: str, take: list[str], on: list[str] | None = None, size: float = 0.002, most: float = 360.0) -> DataFrame:
+def nearest_line(points: DataFrame, lines: DataFrame, point_id: str, x: str, y: str, line: str, line_id: str, take: list[str], on: list[str] | None = None, size: float = 0.002, within: float = 360.0) -> DataFrame:
     """Each point with its nearest line by planar distance: `take` columns, dist, frac, and the nearest place (px, py).
 
     Lines lie in every cell their box touches; a point looks into the cells
-    around it. If the best line is no farther than a cell, none outside can be
-    nearer; other points look again with cells four times as large. Ties go to
-    the least line_id. Points without any line get nulls.
+    around it, and meets a line in the first of their common cells only. If the
+    best line is no farther than a cell, none outside can be nearer; the other
+    points, of each round's written table, look again with cells four times as
+    large, until a cell is as wide as `within`. Ties go to the least line_id.
+    Points without any line that near get nulls.
     """
     on = on or []
-    left, found = points, None
-    keep = [point_id, *take, "dist", "frac", "px", "py"]
+    least = lambda p, q: F.sqrt(F.pow(F.greatest(p[0] - q["x1"], q["x0"] - p[0], F.lit(0.0)), 2) + F.pow(F.greatest(p[1] - q["y1"], q["y0"] - p[1], F.lit(0.0)), 2))
+    shapes = lines.select(*on, line_id, line, *[c for c in take if c not in (line_id, *on)], G.bounds(F.array(F.col(line))).alias("_b"))
+    left = points.select(point_id, F.col(x).alias("_x"), F.col(y).alias("_y"), *on)
+    if on:  # a point whose key has no line never looks
+        left = left.join(lines.select(*on).distinct(), on, "left_semi")
+    found, names = [], [c for c in take if c not in on]
     while True:
-        b = lines.withColumn("_b", G.bounds(F.array(F.col(line))))
-        cells = with_cells(b, F.col("_b.x0"), F.col("_b.y0"), F.col("_b.x1"), F.col("_b.y1"), size).select(*on, line_id, line, *[c for c in take if c != line_id], "_cx", "_cy")
-        dots = with_cells(left.select(point_id, x, y, *on), F.col(x), F.col(y), F.col(x), F.col(y), size, around=1)
-        hits = dots.join(cells, [*on, "_cx", "_cy"]).withColumn("_l", G.locate(F.col(line), F.col(x), F.col(y)))
-        value = F.struct(*take, F.col("_l.dist").alias("dist"), F.col("_l.frac").alias("frac"), F.col("_l.x").alias("px"), F.col("_l.y").alias("py"))
-        best = hits.groupBy(point_id).agg(F.min_by(value, F.struct(F.col("_l.dist"), F.col(line_id))).alias("v")).select(point_id, "v.*")
-        sure = best if size > most else best.where(F.col("dist") <= size)
-        found = sure.select(keep) if found is None else found.unionByName(sure.select(keep))
-        left = left.join(sure.select(point_id), point_id, "left_anti")
-        if size > most or left.isEmpty():
-            return points.join(found, point_id, "left")
+        cells = with_cells(shapes.withColumn("_x0", cell_of(F.col("_b.x0"), size)).withColumn("_y0", cell_of(F.col("_b.y0"), size)), F.col("_b.x0"), F.col("_b.y0"), F.col("_b.x1"), F.col("_b.y1"), size)
+        dots = with_cells(left, F.col("_x"), F.col("_y"), F.col("_x"), F.col("_y"), size, around=1)
+        first = (F.col("_cx") == F.greatest("_x0", cell_of(F.col("_x"), size) - 1)) & (F.col("_cy") == F.greatest("_y0", cell_of(F.col("_y"), size) - 1))
+        near = least((F.col("_x"), F.col("_y")), F.col("_b")) <= F.lit(size)  # a line farther than a cell settles nothing in this round
+        hits = dots.join(cells, [*on, "_cx", "_cy"]).where(first & near).withColumn("_l", G.locate(F.col(line), F.col("_x"), F.col("_y")))
+        value = F.struct(*names, F.col("_l.dist").alias("dist"), F.col("_l.frac").alias("frac"), F.col("_l.x").alias("px"), F.col("_l.y").alias("py"))
+        best = hits.where(F.col("_l.dist") <= size).groupBy(point_id).agg(F.min_by(value, F.struct(F.col("_l.dist"), F.col(line_id))).alias("v"))
+        found.append(stored(best.select(point_id, "v.*"), "nearest"))
+        left = stored(left.join(found[-1].select(point_id), point_id, "left_anti").select(left.columns), "far-points")
+        if size >= within or left.isEmpty():
+            out = found[0]
+            for f in found[1:]:
+                out = out.unionByName(f)
+            return points.join(out.where(F.col("dist") <= within), point_id, "left")
         size *= 4
 
 

@@ -25,13 +25,14 @@ QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(sql: str = "", *needs: str) -> Callable[[Query], Query]:
+def query(sql: str = "", *needs: str, recursive: bool = False) -> Callable[[Query], Query]:
     """Register a query by its function's name; `needs` are the domain tables that its SQL reads."""
 
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if sql:
-            ORACLE_SQL[f.__name__] = (cte(*needs) if needs else "") + sql
+            full = (cte(*needs) if needs else "") + sql
+            ORACLE_SQL[f.__name__] = full.replace("WITH ", "WITH RECURSIVE ", 1) if recursive else full
         return f
 
     return add
@@ -392,17 +393,27 @@ def building_inference(spark: SparkSession, d: str) -> DataFrame:
     return got.join(least, "l_orderkey").select("l_orderkey", "piso_min", F.col("piso_max_visto").alias("piso_max"), F.col("dptos_por_piso_min").alias("ancho"), "unidades_min")
 
 
-BCI_TEXT = """concat('TIPO IMÓVEL CATEGORIA TIPO PROPRIEDADE', chr(10), CASE WHEN o_orderkey % 9 = 0 THEN 'TERRITORIAL' ELSE 'PREDIAL' END, ' X Y', chr(10), 'CÓDIGO LOGRADOURO NÚMERO CEP', chr(10), '123 RUA ', o_orderstatus, ' ', CAST(o_orderkey % 900 + 1 AS STRING), ' 78.110-000', chr(10), repeat('USO RESIDENCIAL ', CAST(o_orderkey % 3 AS INT)), repeat('USO COMERCIAL ', CAST(o_orderkey % 2 AS INT)))"""
+BCI_TEXT = """concat_ws(chr(10), 'TIPO IMÓVEL CATEGORIA TIPO PROPRIEDADE', CASE WHEN o_orderkey % 9 = 0 THEN 'TERRITORIAL X Y' ELSE 'PREDIAL X Y' END, 'CÓDIGO LOGRADOURO NÚMERO CEP',
+    concat('123 RUA DA ', o_orderstatus, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE concat(' ', CAST(o_orderkey % 900 + 1 AS STRING)) END, CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE ' 78.110-000' END),
+    concat('  ', CAST(o_orderkey % 50 AS STRING), ' - ', CASE WHEN o_orderkey % 2 = 0 THEN 'BAIRRO ' ELSE '' END, 'CENTRO ', o_orderstatus), concat('QUADRA ', CAST(o_orderkey % 30 AS STRING)),
+    'N° MATRÍCULA FRENTE (M)', CASE WHEN o_orderkey % 6 = 0 THEN '0,00 1,00' ELSE concat('0,00 ', CAST(o_orderkey % 1000 AS STRING), '.', lpad(CAST(o_orderkey % 1000 AS STRING), 3, '0'), ' 0,00') END,
+    repeat(concat('UNIDADE CÓDIGO DA UNIDADE AREA TOTAL', chr(10), '1 55 10,5 ', CAST(o_orderkey % 300 AS STRING), ',25', chr(10)), CAST(o_orderkey % 4 AS INT)),
+    repeat('USO RESIDENCIAL TIPOLOGIA CASA ', CAST(o_orderkey % 3 AS INT)), repeat('USO COMERCIAL TIPOLOGIA sala ', CAST(o_orderkey % 2 AS INT)), CASE WHEN o_orderkey % 11 = 0 THEN 'USO INDUSTRIAL' END)"""
 
 
 @query(
-    """SELECT o_orderkey, CASE WHEN o_orderkey % 9 = 0 THEN 'territorial' ELSE 'predial' END AS tipo_imovel, CASE WHEN o_orderkey % 9 = 0 THEN 'vacante' WHEN o_orderkey % 3 > 0 AND o_orderkey % 2 > 0 THEN 'mixto' WHEN o_orderkey % 2 > 0 THEN 'comercial' ELSE 'residencial' END AS uso_principal,
-    CAST(CASE WHEN o_orderkey % 9 = 0 THEN 0 ELSE o_orderkey % 3 + o_orderkey % 2 END AS INTEGER) AS uf_total, concat('RUA ', o_orderstatus) AS calle, CAST(o_orderkey % 900 + 1 AS VARCHAR) AS numero, '78110000' AS codigo_postal FROM orders""",
+    """WITH x AS (SELECT o_orderkey AS k, o_orderstatus AS st, o_orderkey % 9 = 0 AS vac, o_orderkey % 3 AS h, o_orderkey % 2 AS c, o_orderkey % 4 AS u, CASE WHEN o_orderkey % 11 = 0 THEN 1 ELSE 0 END AS i FROM orders)
+    SELECT k AS o_orderkey, CASE WHEN vac THEN 'territorial' ELSE 'predial' END AS tipo_imovel,
+    CASE WHEN vac THEN 'vacante' WHEN c > 0 AND h > 0 THEN 'mixto' WHEN c > 0 THEN 'comercial' WHEN i > 0 THEN 'industrial' ELSE 'residencial' END AS uso_principal,
+    CAST(CASE WHEN vac THEN 0 ELSE h END AS INTEGER) AS uf_vivienda, CAST(CASE WHEN vac THEN 0 ELSE c END AS INTEGER) AS uf_comercio, CAST(CASE WHEN vac THEN 0 WHEN u > 0 THEN u ELSE h + c + i END AS INTEGER) AS uf_total,
+    CASE WHEN NOT vac AND u > 0 THEN k % 300 + 25e-2 END AS area_m2_construida, CASE WHEN vac THEN NULL WHEN h > 0 AND h >= c THEN 'CASA' WHEN c > 0 THEN 'SALA' END AS tipologia,
+    CASE WHEN k % 7 > 0 THEN '78110000' END AS codigo_postal, CASE WHEN k % 7 > 0 AND k % 5 > 0 THEN CAST(k % 900 + 1 AS VARCHAR) END AS numero, CASE WHEN k % 7 > 0 THEN concat('RUA DA ', st) END AS calle,
+    concat('CENTRO ', st) AS barrio, CASE WHEN k % 6 > 0 THEN concat(k % 1000, '.', lpad(CAST(k % 1000 AS VARCHAR), 3, '0')) END AS partida_inmobiliaria FROM x""",
 )
 def property_reports(spark: SparkSession, d: str) -> DataFrame:
+    """All fields of a report made for each order: lots without buildings, units, uses, addresses with and without number or postcode."""
     docs = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", F.expr(BCI_TEXT).alias("text"))
-    got = bci.fields(F.col("text"))
-    return docs.select("o_orderkey", *[got[k].alias(k) for k in ("tipo_imovel", "uso_principal", "uf_total", "calle", "numero", "codigo_postal")])
+    return docs.select("o_orderkey", *[v.alias(k) for k, v in bci.fields(F.col("text")).items()])
 
 
 # Space
@@ -432,15 +443,15 @@ def point_in_sector(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """, a AS (SELECT survey_id % 10 AS g, parcela_id, centroid_lat AS lat, centroid_lng AS lng FROM parcelas WHERE parcela_id % 2 = 0), b AS (SELECT survey_id % 10 AS g, parcela_id, centroid_lat + 3e-5 AS lat, centroid_lng - 2e-5 AS lng FROM parcelas WHERE parcela_id % 2 = 1)
+    """, a AS (SELECT survey_id AS g, parcela_id, centroid_lat AS lat, centroid_lng AS lng FROM parcelas), b AS (SELECT survey_id AS g, parcela_id, centroid_lat + 3e-5 AS lat, centroid_lng - 2e-5 AS lng FROM parcelas)
     SELECT a.parcela_id AS a, b.parcela_id AS b FROM a JOIN b ON a.g = b.g AND abs(a.lat - b.lat) < 5e-5 AND abs(a.lng - b.lng) < 5e-5
     UNION ALL SELECT a.parcela_id, c.parcela_id + 1000000000 FROM a JOIN a c ON a.g = c.g AND abs(a.lat - c.lat) < 5e-5 AND abs(a.lng - c.lng) < 5e-5""",
     "parcelas",
 )
 def band_join(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "parcelas").select((F.col("survey_id") % 10).alias("g"), "parcela_id", F.col("centroid_lat").alias("lat"), F.col("centroid_lng").alias("lng"))
-    a = p.where("parcela_id % 2 = 0")
-    b = p.where("parcela_id % 2 = 1").withColumns({"lat": F.col("lat") + F.lit(3e-5), "lng": F.col("lng") - F.lit(2e-5)})
+    """Parcels of one survey that lie within the band of each other, and of their own shifted places."""
+    a = table(spark, d, "parcelas").select(F.col("survey_id").alias("g"), "parcela_id", F.col("centroid_lat").alias("lat"), F.col("centroid_lng").alias("lng"))
+    b = a.withColumns({"lat": F.col("lat") + F.lit(3e-5), "lng": F.col("lng") - F.lit(2e-5)})
     x = spatial.band_join(a, b, 5e-5, ["g"]).select(F.col("parcela_id").alias("a"), F.col("parcela_id_r").alias("b"))
     return x.union(spatial.band_join(a, a, 5e-5, ["g"]).select("parcela_id", F.col("parcela_id_r") + 1000000000))
 
@@ -460,13 +471,22 @@ def nearest_street(spark: SparkSession, d: str) -> DataFrame:
     return near.select("parcela_id", F.round("dist", 7).alias("dist"))
 
 
-@query()
+@query(
+    """, p AS (SELECT parcela_id, centroid_lng AS x, centroid_lat AS y FROM parcelas WHERE calle IS NULL OR calle = ''),
+    s AS (SELECT *, x0 AS xa, x0 + 2e-2 AS xb, floor(y / 2e-2) AS cy FROM logradouros WHERE nome IS NOT NULL),
+    h AS (SELECT p.parcela_id, p.x, p.y AS py, s.*, greatest(0e0, least(1e0, (p.x - s.xa) / (s.xb - s.xa))) AS t FROM p JOIN s ON s.cy BETWEEN floor(p.y / 2e-2) - 1 AND floor(p.y / 2e-2) + 1 AND abs(s.y - p.y) <= 52e-4 AND p.x BETWEEN s.xa - 52e-4 AND s.xb + 52e-4),
+    b AS (SELECT *, row_number() OVER (PARTITION BY parcela_id ORDER BY sqrt(pow(x - xa - t * (xb - xa), 2) + pow(py - y, 2)), logradouro_id) AS k FROM h),
+    m AS (SELECT *, xa + t * (xb - xa) AS qx, CASE WHEN ini_esq > 0 AND fin_esq > 0 THEN ini_esq ELSE ini_dir END AS i, CASE WHEN ini_esq > 0 AND fin_esq > 0 THEN fin_esq ELSE fin_dir END AS f FROM b WHERE k = 1),
+    r AS (SELECT *, 2 * 6371008.8e0 * asin(sqrt(pow(sin(radians(y - py) / 2), 2) + cos(radians(py)) * cos(radians(y)) * pow(sin(radians(qx - x) / 2), 2))) AS dist_m FROM m)
+    SELECT parcela_id, concat_ws(' ', tipo, nome) AS calle, CASE WHEN i > 0 AND f > 0 THEN CAST(CAST(round_even(i + t * (f - i), 0) AS INTEGER) AS VARCHAR) END AS numero, round(dist_m, 3) AS dist_m FROM r WHERE dist_m <= 100""",
+    "parcelas", "logradouros",
+)
 def street_addresses(spark: SparkSession, d: str) -> DataFrame:
     """Address of each parcel without a street from the nearest street of its region, within 100 m."""
     p = classify.incomplete(table(spark, d, "parcelas")).select("parcela_id", "centroid_lng", "centroid_lat")
     s = table(spark, d, "logradouros")
     s = s.withColumn("line", F.array(G.point(F.col("x0"), F.col("y")), G.point(F.col("x0") + SIDE, F.col("y"))))
-    return classify.street_candidates(p, s, on=[])
+    return classify.street_candidates(p, s, on=[]).withColumn("dist_m", F.round("dist_m", 3))
 
 
 @query(f""", h AS (SELECT p.parcela_id, min(z.setor_id) AS setor_id FROM parcelas p JOIN setores z ON {IN_ZONE} GROUP BY p.parcela_id), b AS (SELECT h.setor_id, h.parcela_id, p.area_m2_terreno AS w1, p.uf_vivienda AS w2, z.pop_total FROM h JOIN parcelas p ON p.parcela_id = h.parcela_id JOIN setores z ON z.setor_id = h.setor_id),
@@ -480,14 +500,22 @@ def dasymetric_population(spark: SparkSession, d: str) -> DataFrame:
     return out.select("parcela_id", *[F.round(c, 4).alias(c) for c in ("habitantes_estimados", "habitantes_low", "habitantes_high")])
 
 
+FAULTY = """SELECT parcela_id, CASE WHEN parcela_id % 50 = 7 THEN -survey_id ELSE survey_id END AS survey_id, parcela_id % 100 AS setor_id, habitantes_estimados,
+    CASE WHEN parcela_id % 40 = 5 THEN NULL WHEN parcela_id % 40 = 6 THEN 91e0 ELSE centroid_lat END AS centroid_lat, CASE WHEN parcela_id % 40 = 9 THEN -181e0 ELSE centroid_lng END AS centroid_lng FROM {p}
+    UNION ALL SELECT parcela_id, survey_id, parcela_id % 100, NULL, centroid_lat, centroid_lng FROM {p} WHERE parcela_id % 30 = 3"""
+
+
 @query(
-    """, p AS (SELECT *, parcela_id % 100 AS setor_id FROM parcelas), h AS (SELECT setor_id, sum(habitantes_estimados) AS hab FROM p GROUP BY setor_id)
+    f""", p AS ({FAULTY.format(p="parcelas")}), h AS (SELECT setor_id, sum(habitantes_estimados) AS hab FROM p GROUP BY setor_id)
     SELECT 'habitantes_por_setor' AS control, count(*) AS filas, count_if(abs(coalesce(h.hab, 0) - s.pop_total) > 0.05 * greatest(s.pop_total, 1)) AS fallas FROM setores s LEFT JOIN h ON h.setor_id = s.setor_id
-    UNION ALL SELECT 'parcelas_repetidas', count(*), 0 FROM p UNION ALL SELECT 'survey_existe', count(*), count_if(survey_id NOT IN (SELECT survey_id FROM surveys)) FROM p UNION ALL SELECT 'centroide_valido', count(*), 0 FROM p""",
+    UNION ALL SELECT 'parcelas_repetidas', count(*), count_if(k > 1) FROM (SELECT parcela_id, count(*) AS k FROM p GROUP BY parcela_id)
+    UNION ALL SELECT 'survey_existe', count(*), count_if(survey_id NOT IN (SELECT survey_id FROM surveys)) FROM p
+    UNION ALL SELECT 'centroide_valido', count(*), count_if(centroid_lat IS NULL OR abs(centroid_lat) > 90 OR abs(centroid_lng) > 180) FROM p""",
     "parcelas", "setores", "surveys",
 )
 def validator(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "parcelas").withColumn("setor_id", F.col("parcela_id") % 100)
+    """Counts of the checks over parcels of which some repeat, name no survey, or lie nowhere."""
+    p = spark.sql(FAULTY.format(p="{p}"), p=table(spark, d, "parcelas"))
     return estimate.validate(p, table(spark, d, "setores"), table(spark, d, "surveys"))
 
 
@@ -497,28 +525,42 @@ def unit_counter(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT setor_id, round(x0 + 1e-2, 9) AS cx, round(y0 + 1e-2, 9) AS cy, round(4e-4 * 111320e0 * 111320e0, 0) AS area, round(x0 + 3 * 2e-2 / 5, 9) AS mx FROM setores""",
+    """SELECT setor_id, round(x0 + 1e-2, 9) AS cx, round(y0 + 1e-2, 9) AS cy, round(4e-4 * 111320e0 * 111320e0, 0) AS area, round(x0 + 2 * 2e-2 / 5, 9) AS mx FROM setores""",
     "setores",
 )
 def geometry_functions(spark: SparkSession, d: str) -> DataFrame:
     z = _zones(spark, d)
     c, m = G.centroid(F.col("polygon")), G.vertex_mean(F.col("polygon")[0])
     # of the five listed corners two lie right of the middle: the mean of x is x0 + 2/5 of the side
-    return z.select(F.col("zone_id").alias("setor_id"), F.round(c["x"], 9).alias("cx"), F.round(c["y"], 9).alias("cy"), F.round(G.area_degrees_m2(F.col("polygon")), 0).alias("area"), F.round(m["x"] + SIDE / 5, 9).alias("mx"))
+    return z.select(F.col("zone_id").alias("setor_id"), F.round(c["x"], 9).alias("cx"), F.round(c["y"], 9).alias("cy"), F.round(G.area_degrees_m2(F.col("polygon")), 0).alias("area"), F.round(m["x"], 9).alias("mx"))
 
 
-@query()
+@query(
+    """, f AS MATERIALIZED (SELECT parcela_id AS id, survey_id % 25 AS g, row_number() OVER (PARTITION BY survey_id % 25 ORDER BY parcela_id) AS k, centroid_lat + (parcela_id % 7) * 13e-6 AS lat, centroid_lng + (parcela_id % 5) * 13e-6 AS lng FROM parcelas),
+    n AS MATERIALIZED (SELECT a.g, a.id, b.id AS other, a.k, b.k AS ok, pow(a.lat - b.lat, 2) + pow(a.lng - b.lng, 2) AS d FROM f a JOIN f b ON a.g = b.g AND b.k < a.k AND abs(a.lat - b.lat) < 5e-5 AND abs(a.lng - b.lng) < 5e-5),
+    w AS (SELECT g, k, id, CAST([id] AS BIGINT[]) AS led FROM f WHERE k = 1
+        UNION ALL SELECT f.g, f.k, f.id, CASE WHEN EXISTS (SELECT 1 FROM n WHERE n.id = f.id AND list_contains(w.led, n.other)) THEN w.led ELSE list_append(w.led, f.id) END FROM w JOIN f ON f.g = w.g AND f.k = w.k + 1),
+    l AS (SELECT g, unnest(led) AS id FROM (SELECT g, arg_max(led, k) AS led FROM w GROUP BY g))
+    SELECT f.id AS parcela_id, coalesce(CASE WHEN l.id IS NOT NULL THEN f.id END, (SELECT arg_min(n.other, struct_pack(d := n.d, o := n.other)) FROM n JOIN l m ON m.id = n.other WHERE n.id = f.id)) AS leader FROM f LEFT JOIN l ON l.id = f.id""",
+    "parcelas", recursive=True,
+)
 def fuzzy_leaders(spark: SparkSession, d: str) -> DataFrame:
     """Which parcel each parcel of the feed updates under the fuzzy centroid key."""
-    p = table(spark, d, "parcelas").select("parcela_id", (F.col("survey_id") % 25).alias("g"), F.col("centroid_lat").alias("lat"), F.col("centroid_lng").alias("lng"))
+    p = table(spark, d, "parcelas").select("parcela_id", (F.col("survey_id") % 25).alias("g"), F.expr("centroid_lat + (parcela_id % 7) * 13e-6").alias("lat"), F.expr("centroid_lng + (parcela_id % 5) * 13e-6").alias("lng"))
     return clustering.leaders(p, "parcela_id", "parcela_id", ["g"])
 
 
-@query()
+@query(
+    """, b AS (SELECT min(centroid_lat) AS s, min(centroid_lng) AS w, max(centroid_lat) AS n, max(centroid_lng) AS e FROM parcelas),
+    c AS (SELECT k.k AS pass, i.i AS i, j.j AS j, b.*, s - 1e-2 * k.k / 2 AS lat0, w - 1e-2 * k.k / 2 AS lng0 FROM b, range(0, 2) k(k), range(0, 60) i(i), range(0, 60) j(j)),
+    g AS (SELECT pass, i, j, greatest(lat0 + i * 1e-2, s) AS s, greatest(lng0 + j * 1e-2, w) AS w, least(lat0 + (i + 1) * 1e-2, n) AS n, least(lng0 + (j + 1) * 1e-2, e) AS e FROM c)
+    SELECT pass, i, j, round(s, 9) AS s, round(w, 9) AS w, round(n, 9) AS n, round(e, 9) AS e FROM g WHERE n > s AND e > w""",
+    "parcelas",
+)
 def grid_cells(spark: SparkSession, d: str) -> DataFrame:
     """Cells of a two-pass grid over the parcels' box."""
     b = table(spark, d, "parcelas").agg(*[f(c).alias(n) for f, c, n in ((F.min, "centroid_lat", "s"), (F.min, "centroid_lng", "w"), (F.max, "centroid_lat", "n"), (F.max, "centroid_lng", "e"))]).first()
-    return grids.grid_cells(spark, b.s, b.w, b.n, b.e, 0.01, 2)
+    return grids.grid_cells(spark, b.s, b.w, b.n, b.e, 0.01, 2).select("pass", "i", "j", *[F.round(c, 9).alias(c) for c in ("s", "w", "n", "e")])
 
 
 @query("SELECT survey_id, min(centroid_lat) - 1e-3 AS south, min(centroid_lng) - 1e-3 AS west, max(centroid_lat) + 1e-3 AS north, max(centroid_lng) + 1e-3 AS east FROM parcelas GROUP BY survey_id", "parcelas")
@@ -731,7 +773,7 @@ def activity_sessions(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("survey_id", F.col("session_window.start").alias("start"), "n")
 
 
-@query("SELECT DISTINCT parent % 500 AS id FROM unit_counts WHERE n % 2 = 0 UNION SELECT DISTINCT parent % 700 FROM unit_counts WHERE n % 2 = 0", "unit_counts")
+@query("SELECT DISTINCT parent % 500 AS id FROM unit_counts UNION SELECT DISTINCT parent % 700 FROM unit_counts", "unit_counts")
 def ids_over_cells(spark: SparkSession, d: str) -> DataFrame:
-    u = table(spark, d, "unit_counts").where("n % 2 = 0")
+    u = table(spark, d, "unit_counts")
     return grids.ids_over_cells(u.select(F.array(F.col("parent") % 500, F.col("parent") % 700).alias("ids")))

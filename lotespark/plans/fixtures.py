@@ -39,7 +39,7 @@ PROJECTIONS = {
         CASE WHEN l.l_suppkey % 2 = 0 THEN l.l_suppkey END AS setor_id FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey""",
     "setores": """SELECT s_suppkey AS setor_id, s_nationkey AS region_key, -562e-1 + (s_suppkey % 10) * 2e-2 AS x0, -157e-1 + floor(s_suppkey / 10) * 2e-2 AS y0,
         CAST(floor(abs(s_acctbal)) AS BIGINT) AS pop_total,
-        CASE s_suppkey % 6 WHEN 0 THEN 'R1' WHEN 1 THEN 'NC1' WHEN 2 THEN 'M2' WHEN 3 THEN 'PI' WHEN 4 THEN 'AGR' ELSE 'ZZ' END AS distrito FROM supplier WHERE s_suppkey < 100""",
+        CASE s_suppkey % 6 WHEN 0 THEN 'R1' WHEN 1 THEN 'NC1' WHEN 2 THEN 'M2' WHEN 3 THEN 'PI' WHEN 4 THEN 'AGR' ELSE 'ZZ' END AS distrito FROM supplier""",
     "logradouros": """SELECT p_partkey AS logradouro_id, p_partkey % 25 AS region_key, p_name AS nome, p_type AS tipo,
         -562e-1 + (p_partkey % 10) * 2e-2 AS x0, -157e-1 + (p_partkey % 1000) * 2e-4 + 5e-5 AS y,
         CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE 1 END AS ini_esq, CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE 100 + p_size END AS fin_esq,

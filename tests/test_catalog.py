@@ -4,7 +4,7 @@ import os
 import duckdb
 import pytest
 
-from lotespark.plans import catalog
+from lotespark.plans import catalog, landed  # noqa: F401
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events pages".split()

@@ -100,7 +100,7 @@ def test_spatial_join_ops(spark):
     b = spark.createDataFrame([(7, SQUARE)], f"b int, pb {POLYGON}")
     ops = {op: {r.a for r in spatial.spatial_join(a, b, op, "pa", "pb", 1.5, "a", "b").collect()} for op in ("intersects", "within", "contains")}
     assert ops == {"intersects": {1, 2}, "within": {1, 2}, "contains": {2}}
-    assert spatial.in_zone(a, b.select(F.col("pb").alias("zone")), "pa").count() == 2
+    assert spatial.in_zone(a, b.select(F.col("pb").alias("zone")), "a", "pa", size=1.5).count() == 2
 
 
 def test_fuzzy_leaders_follow_the_feed(spark):
