@@ -172,7 +172,7 @@ def token_bytes(path: str) -> np.ndarray:
     return out
 
 
-SEGMENT_DDL = "part int, seq int, n_ids long, doc_ids binary, sizes binary, payload binary"
+SEGMENT_DDL = "part int, ahead long, n_ids long, doc_ids binary, sizes binary, payload binary"
 
 
 def write_files(docs: DataFrame, tokenizer: str) -> DataFrame:
@@ -181,16 +181,16 @@ def write_files(docs: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, cache = tokenizer_of(tokenizer), pretoken.word_cache(tokenizer)
         special = tuple(t.content for t in tok.get_added_tokens_decoder().values())
-        part, seq = TaskContext.get().partitionId(), 0
+        part, ahead = TaskContext.get().partitionId(), 0
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
         def segment() -> pa.RecordBatch:
-            nonlocal seq, held
+            nonlocal ahead, held
             keys, sizes, ids = (np.concatenate([h[k] for h in held]) for k in range(3))
-            held, seq = [], seq + 1
-            row = [[part], [seq], [len(ids)], [keys.astype("<i8").tobytes()], [sizes.astype("<i8").tobytes()], [pack(ids)]]
-            types = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types, strict=True)], names=["part", "seq", "n_ids", "doc_ids", "sizes", "payload"])
+            row = [[part], [ahead], [len(ids)], [keys.astype("<i8").tobytes()], [sizes.astype("<i8").tobytes()], [pack(ids)]]
+            held, ahead = [], ahead + len(ids)
+            types = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types, strict=True)], names=["part", "ahead", "n_ids", "doc_ids", "sizes", "payload"])
 
         for c in A.chunks(batches, most=CHUNK):
             raw, off = c.buf.tobytes(), c.off.tolist()
@@ -211,12 +211,14 @@ def write_files(docs: DataFrame, tokenizer: str) -> DataFrame:
 
 
 def read_files(files: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of every document in the files."""
+    """doc_id, start, n_tokens and ids_crc32 of every document in the files.
+
+    A segment tells how many ids its part holds before it; the parts' own starts
+    are a row for each partition of the writer, a written table by whose size
+    Spark chooses how to join it.
+    """
     parts = files.groupBy("part").agg(F.sum("n_ids").alias("n"))
-    before = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # a row per partition of the writer
-    inside = F.sum("n_ids").over(Window.partitionBy("part").orderBy("seq")) - F.col("n_ids")
-    starts = files.select("part", "seq", "n_ids").withColumn("inside", inside).join(F.broadcast(before), "part")
-    starts = starts.select("part", "seq", (F.col("before") + F.col("inside")).alias("base"))
+    before = stored(parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before")), "token-parts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -229,5 +231,5 @@ def read_files(files: DataFrame) -> DataFrame:
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(at[:-1] + base), pa.array(sizes), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    rows = files.join(F.broadcast(starts), ["part", "seq"]).select("base", "doc_ids", "sizes", "payload")
+    rows = files.join(before, "part").select((F.col("before") + F.col("ahead")).alias("base"), "doc_ids", "sizes", "payload")
     return rows.transform(ready).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
