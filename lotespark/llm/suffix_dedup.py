@@ -6,7 +6,8 @@ windows that cannot repeat; what is left of a document is cut into pieces, each
 the windows that share one 64-byte part, so that equal strings are always in
 pieces with the same part. Equal pieces are one row with a count. All different
 pieces of a part meet in one task, which builds a run-length index of a block of
-them and reads off every position's longest match elsewhere (rindex).
+them, those that occur more than once twice, and reads off every position's
+longest match elsewhere (rindex).
 
 A part with more than GROUP different pieces is not gathered: its windows are
 counted one by one on a 96-bit hash instead, which is exact too and has no
@@ -98,9 +99,8 @@ def _matched(pieces: DataFrame, k: R.Kind) -> DataFrame:
 
         def block() -> pa.RecordBatch:
             lo, hi = [], []
-            for row, found in zip(held, rindex.long_matches([r[4] for r in held], k.length), strict=True):
-                if row[3] > 1:
-                    found = np.arange(len(row[4]) - k.length + 1)
+            again = [r[4] for r in held if r[3] > 1]  # another occurrence of an equal piece stands behind the block
+            for found in rindex.long_matches([*(r[4] for r in held), *again], k.length)[: len(held)]:
                 cuts = np.flatnonzero(found[1:] != found[:-1] + 1)
                 lo.append(found[np.append(0, cuts + 1)].tolist() if len(found) else [])
                 hi.append((found[np.append(cuts, len(found) - 1)] + 1).tolist() if len(found) else [])
@@ -113,7 +113,7 @@ def _matched(pieces: DataFrame, k: R.Kind) -> DataFrame:
                     yield block()
                     held, size = [], 0
                 held.append(row)
-                size += len(row[4])
+                size += len(row[4]) * (2 if row[3] > 1 else 1)
         if held:
             yield block()
 
