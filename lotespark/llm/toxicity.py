@@ -10,11 +10,15 @@ windows of which the worst carries the label. One coordinate of the word
 vectors starts from the word's smoothed log odds in the training rows.
 
 Null and empty texts, and texts without tokens, get the score of an empty
-window. With no labelled rows every score is 0.
+window. With no labelled rows every score is 0. Few labels are gone through more
+often, at least STEPS steps in all, and the score's level starts from the share of
+toxic rows; with fewer than LEAST_LABELS of either kind a warning says that
+scores mean little. Of rows that repeat a doc_id one text is learnt from.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -36,6 +40,8 @@ THRESHOLD = 0.3
 #: Labelled documents that training takes at most, and their longest text in bytes (longer ones aren't learnt from).
 TRAIN_DOCS = 4000
 TRAIN_BYTES = 20_000
+#: Labelled documents of each kind below which learning warns, and the least number of training steps.
+LEAST_LABELS, STEPS = 50, 400
 
 BREAK = np.ones(256, dtype=bool)
 BREAK[0x30:0x3A] = BREAK[0x41:0x5B] = BREAK[0x61:0x7B] = BREAK[0x80:] = False
@@ -211,7 +217,11 @@ def fit(texts: list[bytes], y: np.ndarray, epochs: int = 8, batch: int = 64, rat
     m1, m2 = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}
     idx, owner = cut_windows(doc, len(texts), len(spans[0]), number)
     first = A.word_offsets(owner, len(texts))
-    step, total = 0, epochs * -(-len(texts) // batch)
+    turns = -(-len(texts) // batch)
+    epochs = max(epochs, -(-STEPS // turns))
+    share = np.clip(y.mean(), 0.01, 0.99)
+    p["bo"] = np.float32(np.log(share / (1 - share)))
+    step, total = 0, epochs * turns
     for _ in range(epochs):
         order = rng.permutation(len(texts))
         for k in range(0, len(order), batch):
@@ -248,10 +258,13 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column | None = None, most
         marked = marked.where(usable)
     marked = marked.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     rows = docs.select("doc_id", "text").where(F.octet_length("text") <= TRAIN_BYTES).join(F.broadcast(marked), "doc_id")
-    got = rows.toPandas().sort_values(["doc_id", "text"], kind="stable")
+    got = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).toPandas().sort_values("doc_id", kind="stable")
     if got.empty:
         return None
-    return fit([t.encode() for t in got["text"]], (got["toxic"] == 1).to_numpy().astype(np.float64))
+    toxic = (got["toxic"] == 1).to_numpy().astype(np.float64)
+    if min(toxic.sum(), len(toxic) - toxic.sum()) < LEAST_LABELS:
+        warnings.warn(f"toxicity learns from {int(toxic.sum())} toxic and {int(len(toxic) - toxic.sum())} other texts; scores from fewer than {LEAST_LABELS} of either mean little", stacklevel=2)
+    return fit([t.encode() for t in got["text"]], toxic)
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
