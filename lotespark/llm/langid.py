@@ -160,13 +160,13 @@ def fit(x: np.ndarray, y: np.ndarray, langs: tuple[str, ...], epochs: int = 5, b
 
 
 def learn(docs: DataFrame, usable: Column | None = None, most: int = TRAIN_DOCS) -> Model | None:
-    """A model from at most `most` labelled documents; only text and lang are learnt from."""
+    """A model from at most `most` labelled documents, of rows that repeat an id the least text; only text and lang are learnt from."""
     rows = docs.where("text IS NOT NULL AND lang IS NOT NULL")
     if usable is not None:
         rows = rows.where(usable)
     rows = rows.select("doc_id", "text", "lang")
     ids = rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    picked = rows.join(F.broadcast(ids), "doc_id", "left_semi")
+    picked = rows.join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("r")).select("doc_id", "r.text", "r.lang")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in A.chunks(batches):

@@ -199,10 +199,10 @@ def rules_column(rules: list[Rule]) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> DataFrame:
-    """Statistics and label of at most `most` labelled documents, those least in a hash of doc_id."""
+    """Statistics and label of at most `most` labelled documents, those least in a hash of doc_id; of rows that repeat an id the least text."""
     some = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    picked = docs.select("doc_id", "text").join(F.broadcast(some.select("doc_id")), "doc_id", "left_semi")
+    picked = docs.select("doc_id", "text").join(F.broadcast(some.select("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
     return text_stats(picked).join(F.broadcast(some), "doc_id")
 
 
