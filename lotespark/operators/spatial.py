@@ -90,10 +90,15 @@ def nearest_line(points: DataFrame, lines: DataFrame, point_id: str, x: str, y:
         cells = with_cells(shapes.withColumn("_x0", cell_of(F.col("_b.x0"), size)).withColumn("_y0", cell_of(F.col("_b.y0"), size)), F.col("_b.x0"), F.col("_b.y0"), F.col("_b.x1"), F.col("_b.y1"), size)
         dots = with_cells(left, F.col("_x"), F.col("_y"), F.col("_x"), F.col("_y"), size, around=1)
         first = (F.col("_cx") == F.greatest("_x0", cell_of(F.col("_x"), size) - 1)) & (F.col("_cy") == F.greatest("_y0", cell_of(F.col("_y"), size) - 1))
-        near = least((F.col("_x"), F.col("_y")), F.col("_b")) <= F.lit(size)  # a line farther than a cell settles nothing in this round
-        hits = dots.join(cells, [*on, "_cx", "_cy"]).where(first & near).withColumn("_l", G.locate(F.col(line), F.col("_x"), F.col("_y")))
+        bound = least((F.col("_x"), F.col("_y")), F.col("_b"))  # to the line's box
+        met = dots.join(cells, [*on, "_cx", "_cy"]).where(first & (bound <= F.lit(size)))  # a line farther than a cell settles nothing in this round
+        # the line with the nearest box first: no line whose box is farther than it can be nearer
+        guess = met.groupBy(point_id).agg(F.min_by(F.struct(F.col(line).alias("l"), "_x", "_y"), bound).alias("g"))
+        guess = stored(guess.select(point_id, (G.locate(F.col("g.l"), F.col("g._x"), F.col("g._y"))["dist"] + 1e-12).alias("_most")), "nearest-guess")
+        few = with_cells(left.join(guess, point_id), F.col("_x"), F.col("_y"), F.col("_x"), F.col("_y"), size, around=1).join(cells, [*on, "_cx", "_cy"]).where(first & (bound <= F.least("_most", F.lit(size))))
+        hits = few.withColumn("_l", G.locate(F.col(line), F.col("_x"), F.col("_y")))
         value = F.struct(*names, F.col("_l.dist").alias("dist"), F.col("_l.frac").alias("frac"), F.col("_l.x").alias("px"), F.col("_l.y").alias("py"))
-        best = hits.where(F.col("_l.dist") <= size).groupBy(point_id).agg(F.min_by(value, F.struct(F.col("_l.dist"), F.col(line_id))).alias("v"))
+        best = hits.groupBy(point_id).agg(F.min_by(value, F.struct(F.col("_l.dist"), F.col(line_id))).alias("v")).where(F.col("v.dist") <= size)
         found.append(stored(best.select(point_id, "v.*"), "nearest"))
         left = stored(left.join(found[-1].select(point_id), point_id, "left_anti").select(left.columns), "far-points")
         if size >= within or left.isEmpty():

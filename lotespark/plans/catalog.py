@@ -413,7 +413,7 @@ BCI_TEXT = """concat_ws(chr(10), 'TIPO IMÓVEL CATEGORIA TIPO PROPRIEDADE', CASE
 def property_reports(spark: SparkSession, d: str) -> DataFrame:
     """All fields of a report made for each order: lots without buildings, units, uses, addresses with and without number or postcode."""
     docs = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", F.expr(BCI_TEXT).alias("text"))
-    return docs.select("o_orderkey", *[v.alias(k) for k, v in bci.fields(F.col("text")).items()])
+    return docs.select("o_orderkey", bci.report(F.col("text")).alias("r")).select("o_orderkey", "r.*")
 
 
 # Space
