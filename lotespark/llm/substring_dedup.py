@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from ..runtime import ready
 from . import arrays as A
 from . import repeats as R
-from .common import stored
+from .common import forget, stored
 
 LENGTH = 35
 WORDS = R.Kind(R.word_units, R.word_digest, LENGTH, (9, 18))
@@ -73,4 +73,5 @@ def substring_dedup(docs: DataFrame, k: R.Kind = WORDS) -> DataFrame:
     base, texts = R.candidates(docs, k)
     found = R.repeated(_full_level(texts, k), ["h", "g"], "at")
     judged = stored(_cut(texts.select("doc_id", "v", "text").join(found, ["doc_id", "v"]), k), "judged")
+    forget(texts)
     return R.finish(base, judged, k, EMPTY, "n_spans").withColumnRenamed("n", "n_words")

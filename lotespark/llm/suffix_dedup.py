@@ -30,7 +30,7 @@ from ..runtime import ready
 from . import arrays as A
 from . import repeats as R
 from . import rindex
-from .common import stored
+from .common import forget, stored
 
 LENGTH = 400
 BYTES = R.Kind(R.byte_units, R.byte_digest, LENGTH, (64, 200))
@@ -183,4 +183,6 @@ def suffix_dedup(docs: DataFrame, k: R.Kind = BYTES) -> DataFrame:
     alone = R.repeated(_window_rows(texts, hot, k), ["h", "g"], "at").select("doc_id", "v", F.explode("at").alias("lo"))
     found = found.union(alone.select("doc_id", "v", "lo", F.col("lo") + 1)).groupBy("doc_id", "v").agg(F.collect_list(F.struct("lo", "hi")).alias("cut"))
     judged = stored(_cut(texts.select("doc_id", "v", "text").join(found, ["doc_id", "v"]), k), "judged")
+    for done in (texts, pieces, kinds, parts, runs):
+        forget(done)
     return R.finish(base, judged, k, EMPTY, "n_spans").withColumnRenamed("n", "n_bytes")
