@@ -322,6 +322,18 @@ def geojson_export(spark: SparkSession, d: str) -> DataFrame:
     return got.select(F.col("properties")["setor_id"].cast("bigint").alias("setor_id"), F.round(c["x"], 7).alias("lng"), F.round(c["y"], 7).alias("lat"), F.col("properties")["distrito"].alias("distrito"))
 
 
+@query(
+    """SELECT survey_id, concat(row_number() OVER w, ';', coalesce(calle, ''), ';', parcela_id) AS line FROM parcelas WINDOW w AS (PARTITION BY survey_id ORDER BY parcela_id) UNION ALL SELECT DISTINCT survey_id, 'N;calle;parcela_id' FROM parcelas""",
+    "parcelas",
+)
+def csv_files(spark: SparkSession, d: str) -> DataFrame:
+    """Every survey's report as a file, read back as lines; the reader takes the mark off."""
+    path = _scratch(spark, "reports")
+    few = table(spark, d, "parcelas").select("survey_id", "calle", "parcela_id")
+    exports.write_csv_reports(few, path, "survey_id", ["calle", "parcela_id"], [F.asc("parcela_id")])
+    return spark.read.schema("value string, survey_id bigint").text(path).select("survey_id", F.col("value").alias("line"))
+
+
 @query("SELECT concat(count(*), ' listos (', printf('%.1f', round(count(*) / 20000, 4) * 100), ' %)') AS linea FROM activity_log", "activity_log")
 def status_line(spark: SparkSession, d: str) -> DataFrame:
     line = reports.status_report(sequences.progress(table(spark, d, "activity_log"), 20000))

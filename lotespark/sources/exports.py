@@ -25,8 +25,16 @@ def csv_lines(rows: DataFrame, by: str, columns: list[str], order: list, sep: st
     return rows.select(by, n.alias("n"), F.concat_ws(sep, n.cast("string"), *[quoted(c) for c in columns]).alias("line"))
 
 
+def write_csv_reports(rows: DataFrame, path: str, by: str, columns: list[str], order: list, sep: str = ";") -> None:
+    """Every survey's report, a folder each, written by Spark: a mark and the heading, then numbered rows in order."""
+    heading = F.lit("\ufeff" + sep.join(["N", *columns]))
+    heads = rows.select(by).distinct().select(by, F.lit(0).alias("n"), heading.alias("line"))
+    lines = csv_lines(rows, by, columns, order, sep).union(heads)
+    lines.repartition(by).sortWithinPartitions(by, "n").select(by, "line").write.partitionBy(by).text(path)
+
+
 def write_csv_report(rows: DataFrame, path: str, by: str, columns: list[str], order: list, preamble: list[str]) -> None:
-    """One survey's report as one file: mark, preamble, heading and numbered rows, taken from Spark one partition at a time."""
+    """One survey's report as one local file: mark, preamble, heading and numbered rows, taken from Spark one partition at a time."""
     with open(path, "w", encoding="utf-8-sig", newline="") as f:
         for line in [*preamble, "", ";".join(["N", *columns])]:
             f.write(line + "\r\n")
