@@ -67,9 +67,14 @@ class Model(NamedTuple):
 
 def tokens(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct tokens of a chunk (start and end of one place of each), each token's number, and its document."""
-    low = LOWER[buf]
-    starts, ends, doc = A.word_bounds(low, off, BREAK)
-    code = A.bytes_hash(low, starts, ends)
+    low, found, at = LOWER[buf], [(np.zeros(0, np.int64),) * 3 + (np.zeros(0, A.U),)], 0
+    while at < len(off) - 1:  # some texts at a time, so that many need no more memory for their hashes than a few
+        end = max(at + 1, int(np.searchsorted(off, off[at] + A.CHUNK_BYTES, "right")) - 1)
+        part = low[off[at] : off[end]]
+        s, e, d = A.word_bounds(part, off[at : end + 1] - off[at], BREAK)
+        found.append((s + off[at], e + off[at], d + at, A.bytes_hash(part, s, e)))
+        at = end
+    starts, ends, doc, code = (np.concatenate(f) for f in zip(*found, strict=True))
     distinct, first, number = np.unique(code, return_index=True, return_inverse=True)
     return np.stack([starts[first], ends[first], (distinct % A.U(WORD_SLOTS)).astype(np.int64)]), number, doc, low
 
