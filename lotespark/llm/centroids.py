@@ -51,7 +51,7 @@ def first_centroids(points: DataFrame, k: int = K, seed: int = SEED) -> np.ndarr
     """The k vectors whose `seed:vec_id` has the least SHA-256, in that order."""
     hashed = points.where("vec_id IS NOT NULL").select(F.sha2(F.concat(F.lit(f"{seed}:"), F.col("vec_id").cast("string")), 256).alias("at"), "v")
     rows = hashed.orderBy("at", "v").limit(k).collect()
-    return np.array([r.v for r in rows], dtype=np.int64).reshape(len(rows), -1)
+    return np.array([r.v for r in rows], dtype=np.int64)
 
 
 def squared(x: np.ndarray, c: np.ndarray) -> np.ndarray:
