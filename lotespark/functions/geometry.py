@@ -184,28 +184,95 @@ def _touch(e: Column, f: Column) -> Column:
 def intersects(p: Column, q: Column) -> Column:
     """Do two polygons share a point? Boxes first, then a vertex in the other, then crossing edges."""
 
-    def boxes(bp: Column) -> Column:
-        return let(bounds(q), lambda bq: (bp["x0"] <= bq["x1"]) & (bq["x0"] <= bp["x1"]) & (bp["y0"] <= bq["y1"]) & (bq["y0"] <= bp["y1"]))
-
+    boxes = lambda bp: let(bounds(q), lambda bq: bounds_meet(bp, bq))
     inside = covers(q, p[0][0]["x"], p[0][0]["y"]) | covers(p, q[0][0]["x"], q[0][0]["y"])
     crossing = let(_all_edges(q), lambda eq: F.exists(_all_edges(p), lambda e: F.exists(eq, lambda f: _touch(e, f))))
     return F.when(let(bounds(p), boxes), inside | crossing).otherwise(F.lit(False))
 
 
+def bounds_meet(a: Column, b: Column) -> Column:
+    return (a["x0"] <= b["x1"]) & (b["x0"] <= a["x1"]) & (a["y0"] <= b["y1"]) & (b["y0"] <= a["y1"])
+
+
+def bounds_within(a: Column, b: Column) -> Column:
+    return (a["x0"] >= b["x0"]) & (a["x1"] <= b["x1"]) & (a["y0"] >= b["y0"]) & (a["y1"] <= b["y1"])
+
+
+def _cuts(e: Column, f: Column) -> Column:
+    """Places along edge e (0 to 1) at which edge f crosses it, touches it, or begins and ends to run along it."""
+    a, b, c, d = e["a"], e["b"], f["a"], f["b"]
+    rx, ry, sx, sy = b["x"] - a["x"], b["y"] - a["y"], d["x"] - c["x"], d["y"] - c["y"]
+    square = F.nullif(rx * rx + ry * ry, F.lit(0.0))
+    along = lambda p: ((p["x"] - a["x"]) * rx + (p["y"] - a["y"]) * ry) / square
+    turn = F.nullif(rx * sy - ry * sx, F.lit(0.0))
+    # a zero side says exactly that a corner lies on the line through an edge, where the quotient is rounded
+    t = F.when(_side(c, d, a) == 0, 0.0).when(_side(c, d, b) == 0, 1.0).when(_side(a, b, c) == 0, along(c)).when(_side(a, b, d) == 0, along(d))
+    t = t.otherwise(((c["x"] - a["x"]) * sy - (c["y"] - a["y"]) * sx) / turn)
+    level = (_side(a, b, c) == 0) & (_side(a, b, d) == 0)
+    return F.when(level, F.array(along(c), along(d))).otherwise(F.array(t))
+
+
+def _runs_along(e: Column, t: Column, f: Column) -> Column:
+    """Does edge f run along edge e over its place t?"""
+    a, b = e["a"], e["b"]
+    rx, ry = b["x"] - a["x"], b["y"] - a["y"]
+    along = lambda p: ((p["x"] - a["x"]) * rx + (p["y"] - a["y"]) * ry) / F.nullif(rx * rx + ry * ry, F.lit(0.0))
+    level = (_side(a, b, f["a"]) == 0) & (_side(a, b, f["b"]) == 0)
+    return level & (F.least(along(f["a"]), along(f["b"])) <= t) & (t <= F.greatest(along(f["a"]), along(f["b"])))
+
+
+def covered_by(p: Column, q: Column) -> Column:
+    """Is no place of polygon p outside polygon q?
+
+    p's edges are cut where q's meet them. Each piece must run along q's boundary or
+    have its middle inside q. Then p can reach outside q only around a whole hole of q,
+    so no hole's inside may lie in p. Polygons are valid; boxes are compared first.
+    """
+
+    def edge_inside(e: Column, near: Column) -> Column:
+        cuts = F.filter(F.flatten(F.transform(near, lambda f: F.when(_touch(e, f), _cuts(e, f)).otherwise(F.array().cast("array<double>")))), lambda t: (t > 0) & (t < 1))
+        places = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)), cuts)))
+
+        def pieces(t: Column) -> Column:
+            middles = F.transform(F.slice(t, F.lit(1), F.size(t) - 1), lambda s, i: (s + F.element_at(t, i + 2)) / 2)
+            at = lambda m: point(e["a"]["x"] + m * (e["b"]["x"] - e["a"]["x"]), e["a"]["y"] + m * (e["b"]["y"] - e["a"]["y"]))
+            return F.forall(middles, lambda m: F.exists(near, lambda f: _runs_along(e, m, f)) | let(at(m), lambda c: covers(q, c["x"], c["y"])))
+
+        return let(places, pieces)
+
+    boundary = let(_all_edges(q), lambda near: F.forall(_all_edges(p), lambda e: edge_inside(e, near)))
+    around = F.exists(F.slice(q, 2, F.greatest(F.size(q) - 1, F.lit(0))), lambda hole: let(inside_point(F.array(hole)), lambda c: contains(p, c["x"], c["y"])))
+    boxes = let(bounds(p), lambda a: let(bounds(q), lambda b: bounds_within(a, b)))
+    return F.when(boxes, boundary & ~around).otherwise(F.lit(False))
+
+
 def self_crossing(polygon: Column) -> Column:
-    """Do two edges of the outer ring that aren't neighbours meet? Such rings go to quarantine."""
+    """Do two edges meet that aren't neighbours in one ring? Holes that touch at a corner count too; a repair leaves them as they are."""
 
     def check(es: Column) -> Column:
-        n = F.size(es)
-        return F.exists(es, lambda s: F.exists(es, lambda t: (t["i"] > s["i"] + 1) & ~((s["i"] == 0) & (t["i"] == n - 1)) & _touch(s["e"], t["e"])))
+        apart = lambda s, t: (t["r"] != s["r"]) | ((t["i"] > s["i"] + 1) & ~((s["i"] == 0) & (t["i"] == s["n"] - 1)))
+        return F.exists(es, lambda s: F.exists(es, lambda t: (t["r"] >= s["r"]) & apart(s, t) & _touch(s["e"], t["e"])))
+
+    ring = lambda r, k: let(edges(without_repeats(closed(r))), lambda es: F.transform(es, lambda e, i: F.struct(k.alias("r"), i.alias("i"), F.size(es).alias("n"), e.alias("e"))))
+    return let(F.flatten(F.transform(polygon, ring)), check)
 
-    return let(F.transform(edges(without_repeats(closed(polygon[0]))), lambda e, i: F.struct(i.alias("i"), e.alias("e"))), check)
+
+def spiked(polygon: Column) -> Column:
+    """Does a ring turn straight back at a corner?"""
+
+    def turns(ring: Column) -> Column:
+        n = F.size(ring)
+        before = lambda i: F.element_at(ring, F.when(i == 0, n - 1).otherwise(i))  # noqa: E731  (the last point is the first again)
+        back = lambda p, q, r: (_side(p, q, r) == 0) & ((q["x"] - p["x"]) * (r["x"] - q["x"]) + (q["y"] - p["y"]) * (r["y"] - q["y"]) < 0)
+        return F.exists(F.transform(F.slice(ring, F.lit(1), F.greatest(n - 1, F.lit(0))), lambda q, i: back(before(i), q, F.element_at(ring, i + 2))), lambda x: x)
+
+    return F.exists(polygon, lambda r: let(without_repeats(closed(r)), turns))
 
 
 def repaired(polygon: Column) -> Column:
-    """Rings closed and without repeated points; null if fewer than four points are left or edges cross."""
+    """Rings closed and without repeated points; null if fewer than four points are left, or if edges cross or run back (operators.planar repairs those)."""
     clean = F.filter(F.transform(polygon, lambda r: without_repeats(closed(r))), lambda r: F.size(r) >= 4)
-    return let(clean, lambda c: F.when((F.size(c) > 0) & ~self_crossing(c), c))
+    return let(clean, lambda c: F.when((F.size(c) > 0) & ~self_crossing(c) & ~spiked(c), c))
 
 
 def line_to_polygon(line: Column) -> Column:
@@ -308,7 +375,7 @@ _POSITIONS = "array<array<double>>"
 
 
 def from_geojson(geometry: Column) -> Column:
-    """A geometry's JSON text as polygons: array of polygons of rings; lines are closed, points become discs, other kinds null."""
+    """A geometry's JSON text as polygons: array of polygons of rings; lines are closed, points become discs, other kinds null (lines_from_geojson reads several lines)."""
     kind = F.get_json_object(geometry, "$.type")
     coords = F.get_json_object(geometry, "$.coordinates")
     rings = F.transform(F.from_json(coords, f"array<{_POSITIONS}>"), points)
@@ -323,6 +390,12 @@ def from_geojson(geometry: Column) -> Column:
     )
 
 
+def lines_from_geojson(geometry: Column) -> Column:
+    """The lines of a MultiLineString's JSON text; null for other kinds."""
+    coords = F.get_json_object(geometry, "$.coordinates")
+    return F.when(F.get_json_object(geometry, "$.type") == "MultiLineString", F.transform(F.from_json(coords, f"array<{_POSITIONS}>"), points))
+
+
 def geojson(polygon: Column) -> Column:
     coords = F.transform(polygon, lambda r: F.transform(r, lambda p: F.array(p["x"], p["y"])))
     return F.to_json(F.struct(F.lit("Polygon").alias("type"), coords.alias("coordinates")))

@@ -7,8 +7,6 @@ broadcasts or splits skew as for any key), and the exact test is a residual.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,12 +43,25 @@ def first_polygon(points: DataFrame, polygons: DataFrame, point_id: str, order:
 
 
 def spatial_join(left: DataFrame, right: DataFrame, op: str, left_polygon: str, right_polygon: str, size: float, left_id: str, right_id: str) -> DataFrame:
-    """Pairs of polygons by `intersects`, `within` (left in right) or `contains` (right in left), by their vertices and edges."""
-    a = with_cells(left.withColumn("_p", F.col(left_polygon)).withColumn("_b", G.bounds(F.col("_p"))), F.col("_b.x0"), F.col("_b.y0"), F.col("_b.x1"), F.col("_b.y1"), size).select(left_id, "_p", "_cx", "_cy")
-    b = with_cells(right.withColumn("_q", F.col(right_polygon)).withColumn("_b", G.bounds(F.col("_q"))), F.col("_b.x0"), F.col("_b.y0"), F.col("_b.x1"), F.col("_b.y1"), size).select(right_id, "_q", "_cx", "_cy")
-    inside: Callable[[Column, Column], Column] = lambda p, q: F.forall(p[0], lambda v: G.covers(q, v["x"], v["y"]))
-    test = {"intersects": G.intersects, "within": inside, "contains": lambda p, q: inside(q, p)}[op]
-    return a.join(b, ["_cx", "_cy"]).where(test(F.col("_p"), F.col("_q"))).select(left_id, right_id).distinct()
+    """Pairs of valid polygons by `intersects`, `within` (left in right) or `contains` (right in left).
+
+    A pair is tested in the first cell that both touch, and only if the boxes allow it;
+    boundaries and holes decide exactly (`geometry.covered_by`).
+    """
+
+    def side(df: DataFrame, key: str, polygon: str, p: str) -> DataFrame:
+        box = df.select(key, F.col(polygon).alias(p)).withColumn(f"{p}b", G.bounds(F.col(p)))
+        return with_cells(box, *[F.col(f"{p}b.{c}") for c in ("x0", "y0", "x1", "y1")], size)
+
+    a, b = F.col("_pb"), F.col("_qb")
+    first = (F.col("_cx") == cell_of(F.greatest(a["x0"], b["x0"]), size)) & (F.col("_cy") == cell_of(F.greatest(a["y0"], b["y0"]), size))
+    boxes, test = {
+        "intersects": (G.bounds_meet(a, b), G.intersects(F.col("_p"), F.col("_q"))),
+        "within": (G.bounds_within(a, b), G.covered_by(F.col("_p"), F.col("_q"))),
+        "contains": (G.bounds_within(b, a), G.covered_by(F.col("_q"), F.col("_p"))),
+    }[op]
+    met = side(left, left_id, left_polygon, "_p").join(side(right, right_id, right_polygon, "_q"), ["_cx", "_cy"])
+    return met.where(first & boxes).where(test).select(left_id, right_id)
 
 
 def in_zone(df: DataFrame, zone: DataFrame, row_id: str, polygon: str, zone_polygon: str = "zone", size: float = 0.02) -> DataFrame:

@@ -240,6 +240,79 @@ def zone_filter(spark: SparkSession, d: str) -> DataFrame:
     return spatial.in_zone(rows, zone, "setor_id", "polygon", size=SIDE).select("setor_id")
 
 
+#: Side of the shapes made at parcels, and the corners of broken and sound ones in sides; places that results are compared at.
+W = 2e-4
+SHAPES = {
+    0: ("Polygon", [[(0, 0), (1, 1), (1, 0), (0, 3), (0, 0)]]),  # a bow tie with lobes of 9/8 and 1/8
+    1: ("Polygon", [[(0, 0), (1, 0), (1, 1), (2, 2), (1, 1), (0, 1), (0, 0)]]),  # a spike
+    2: ("MultiPolygon", [[[(5, 5), (6, 5), (6, 6), (5, 6), (5, 5)]], [[(0, 0), (2, 0), (2, 2), (0, 2), (0, 0)]]]),
+    3: ("Polygon", [[(0, 0), (2, 0), (2, 1), (1, 1), (1, 2), (0, 2), (0, 0)]]),
+    4: ("Polygon", [[(0, 0), (4, 0), (4, 4), (0, 4), (0, 0), (1, 1), (3, 1), (3, 3), (1, 3), (1, 1), (0, 0)]]),  # goes round twice: what it goes round twice is out
+    5: ("Polygon", [[(0, 0), (2, 0), (1, 0), (0, 0)]]),  # no area
+}
+
+
+def _coordinates(tree, x: str, y: str) -> str:
+    """SQL of the JSON text of nested corners, at x and y."""
+    if isinstance(tree, tuple):
+        return f"'[', CAST({x} + {tree[0] * W} AS STRING), ',', CAST({y} + {tree[1] * W} AS STRING), ']'"
+    return "'[', " + ", ',', ".join(_coordinates(t, x, y) for t in tree) + ", ']'"
+
+
+@query(
+    """SELECT parcela_id, CASE WHEN k < 5 THEN round(centroid_lng + 2e-4 * [25e-2, 5e-1, 1, 25e-1 / 3, 2][k + 1], 7) END AS lng, CASE WHEN k < 5 THEN round(centroid_lat + 2e-4 * [125e-2, 5e-1, 1, 25e-1 / 3, 2][k + 1], 7) END AS lat,
+    CASE WHEN k < 5 THEN [1125e-3, 1, 4, 3, 12][k + 1] END AS lados2, CASE WHEN k = 4 THEN 1 WHEN k < 4 THEN 0 END AS huecos, CASE k WHEN 5 THEN 'invalid_geometry' WHEN 6 THEN 'no_geometry' END AS problem FROM (SELECT *, CAST(parcela_id % 7 AS INTEGER) AS k FROM parcelas)""",
+    "parcelas",
+)
+def repaired_parcels(spark: SparkSession, d: str) -> DataFrame:
+    """A feed of crossing, spiked, doubled and sound rings: centroid and area (in squares of the shapes' side) of what repair leaves, of several parts the largest."""
+    shape = "CASE parcela_id % 7 " + " ".join(f"""WHEN {k} THEN concat('{{"type":"{kind}","coordinates":', {_coordinates(c, "centroid_lng", "centroid_lat")}, '}}')""" for k, (kind, c) in SHAPES.items()) + " ELSE 'null' END"
+    docs = table(spark, d, "parcelas").select("parcela_id", F.expr(f"""concat('{{"type":"Feature","properties":{{}},"geometry":', {shape}, '}}')""").alias("text"))
+    p = F.col("polygon")
+    return feeds.parcel_features(docs).select("parcela_id", F.round("lng", 7).alias("lng"), F.round("lat", 7).alias("lat"), F.round(G.area(p) / (W * W), 3).alias("lados2"), (F.size(p) - 1).alias("huecos"), "problem")
+
+
+BIG = {0: [[(0, 0), (6, 0), (6, 6), (4, 6), (4, 2), (2, 2), (2, 6), (0, 6), (0, 0)]], 1: [[(0, 0), (6, 0), (6, 6), (0, 6), (0, 0)], [(2, 2), (2, 4), (4, 4), (4, 2), (2, 2)]], 2: [[(0, 0), (6, 0), (6, 3), (3, 3), (3, 6), (0, 6), (0, 0)]]}
+
+
+@query(
+    """, c AS (SELECT setor_id, a, b, w, h, setor_id * 1000 + a * 100 + b * 10 + w + h - 2 AS id FROM setores, unnest(range(0, 6)) x(a), unnest(range(0, 6)) y(b), unnest([1, 2, 5]) z(w), unnest([1, 3]) v(h)),
+    hit AS (SELECT id, setor_id FROM c WHERE a + w <= 6 AND b + h <= 6 AND CASE setor_id % 3 WHEN 0 THEN NOT (a < 4 AND a + w > 2 AND b + h > 2) WHEN 1 THEN NOT (a < 4 AND a + w > 2 AND b < 4 AND b + h > 2) ELSE NOT (a + w > 3 AND b + h > 3) END)
+    SELECT 'within' AS op, id, setor_id FROM hit UNION ALL SELECT 'contains', id, setor_id FROM hit""",
+    "setores",
+)
+def concave_relations(spark: SparkSession, d: str) -> DataFrame:
+    """Rectangles within sectors that are U-shaped, have a hole, or are L-shaped: bars across a gap and frames around a hole are not within."""
+    s = table(spark, d, "setores").select("setor_id", ((F.col("setor_id") % 10) * 6.0).alias("x"), (F.floor(F.col("setor_id") / 10) * 6.0).alias("y"))
+    at = lambda c: G.point(F.col("x") + float(c[0]), F.col("y") + float(c[1]))
+    shape = lambda k: F.array(*(F.array(*map(at, ring)) for ring in BIG[k]))
+    kind = F.col("setor_id") % 3
+    big = s.select("setor_id", F.when(kind == 0, shape(0)).when(kind == 1, shape(1)).otherwise(shape(2)).alias("big"))
+    each = lambda name, values: F.explode(F.array(*map(F.lit, values))).alias(name)
+    small = s.select("*", each("a", range(6))).select("*", each("b", range(6))).select("*", each("w", (1, 2, 5))).select("*", each("h", (1, 3)))
+    x, y = F.col("x") + F.col("a"), F.col("y") + F.col("b")
+    small = small.select((F.col("setor_id") * 1000 + F.col("a") * 100 + F.col("b") * 10 + F.col("w") + F.col("h") - 2).alias("id"), G.rectangle(x, y, x + F.col("w"), y + F.col("h")).alias("small"))
+    within = spatial.spatial_join(small, big, "within", "small", "big", 6.0, "id", "setor_id").select(F.lit("within").alias("op"), "id", "setor_id")
+    return within.unionByName(spatial.spatial_join(big, small, "contains", "big", "small", 6.0, "setor_id", "id").select(F.lit("contains").alias("op"), "id", "setor_id"))
+
+
+@query(
+    """, u AS (SELECT DISTINCT region_key, 2 * (setor_id % 10) + i AS x, 2 * CAST(floor(setor_id / 10) AS BIGINT) + j AS y FROM setores, unnest(range(0, 3)) a(i), unnest(range(0, 3)) b(j))
+    SELECT region_key, CAST(count(*) AS DOUBLE) AS area FROM u GROUP BY region_key""",
+    "setores",
+)
+def zone_areas(spark: SparkSession, d: str) -> DataFrame:
+    """Area of each region's zone: overlapping sectors as polygons and as lines that join at their ends (with a dangling one), inner borders dissolved."""
+    x, y = "2 * (setor_id % 10)", "2 * CAST(floor(setor_id / 10) AS BIGINT)"
+    at = lambda i, j: f"'[', {x} + {i}, ',', {y} + {j}, ']'"
+    line = lambda *c: "'[', " + ", ',', ".join(at(*p) for p in c) + ", ']'"
+    area = f"""concat('{{"type":"Polygon","coordinates":[', {line((0, 0), (3, 0), (3, 3), (0, 3), (0, 0))}, ']}}')"""
+    lines = f"""concat('{{"type":"MultiLineString","coordinates":[', {line((0, 0), (3, 0), (3, 3))}, ',', {line((3, 3), (0, 3), (0, 0))}, ',', {line((0, 0), (-1, -1))}, ']}}')"""
+    rows = table(spark, d, "setores").select("region_key", F.expr(f"CASE WHEN setor_id % 3 = 0 THEN {lines} ELSE {area} END").alias("geometry"))
+    whole = F.aggregate("polygons", F.lit(0.0), lambda s, p: s + G.area(p))
+    return feeds.zones(rows, "region_key", "geometry").select("region_key", F.round(whole, 6).alias("area"))
+
+
 @query(
     """SELECT parcela_id, CASE WHEN parcela_id % 4 = 0 THEN 'rural' WHEN centroid_lat BETWEEN -156e-1 AND -155e-1 AND centroid_lng BETWEEN -562e-1 AND -561e-1 THEN 'capital' ELSE 'provincia' END AS fuente FROM parcelas""",
     "parcelas",

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import strings as S
+from ..operators import planar
+from ..runtime import stored
 
 COLLECTION = "features array<struct<properties: map<string,string>, attributes: map<string,string>, geometry: string>>"
 
@@ -58,9 +60,12 @@ def field(properties: str, name: str, aliases: dict[str, tuple[str, ...]] = ALIA
 
 
 def parcel_features(docs: DataFrame, utm_zone: int = 20) -> DataFrame:
-    """Parcels of a cadastral feed: typed fields, polygon, centroid and area; `problem` names what kept a geometry out."""
-    rows = features(docs).withColumn("polygons", G.from_geojson(F.col("geometry")))
-    rows = rows.withColumn("polygon", F.when(F.size("polygons") > 0, G.repaired(G.largest(F.col("polygons")))))
+    """Parcels of a cadastral feed: typed fields, polygon, centroid and area; `problem` names what kept a geometry out.
+
+    Geometries whose rings cross, overlap or run back are repaired; of several polygons the
+    largest stays. Only what has no area at all is an invalid geometry.
+    """
+    rows = largest_valid(features(docs).withColumn("polygons", G.from_geojson(F.col("geometry"))), "polygons", "polygon")
     problem = F.when(F.col("geometry").isNull(), "no_geometry").when(F.col("polygon").isNull(), "invalid_geometry")
     c = G.centroid(F.col("polygon"))
     return rows.select(
@@ -70,6 +75,34 @@ def parcel_features(docs: DataFrame, utm_zone: int = 20) -> DataFrame:
     )
 
 
+def largest_valid(rows: DataFrame, polygons: str, name: str) -> DataFrame:
+    """rows with the largest polygon of each row's array; rows with a broken one are repaired as a whole, apart from the others, first."""
+    clean = F.transform(polygons, G.repaired)
+    rows = stored(rows.withColumns({"_row": F.monotonically_increasing_id(), "_clean": F.when(F.size(polygons) > 0, clean)}), "shapes")
+    sound = F.forall("_clean", lambda p: p.isNotNull())
+    bad = rows.where(~sound).select("_row", polygons)
+    whole = F.when(sound, F.col("_clean"))
+    if not bad.isEmpty():
+        rows = rows.join(planar.repair(bad, "_row", polygons).withColumnRenamed("polygons", "_repaired"), "_row", "left")
+        whole = F.coalesce(whole, F.col("_repaired"))
+    return rows.withColumn(name, F.when(F.size(whole) > 0, G.largest(whole))).drop("_row", "_clean", "_repaired")
+
+
+def zones(rows: DataFrame, key: str, geometry: str) -> DataFrame:
+    """(key, polygons): the area of all geometries (JSON texts) of a key, inner borders dissolved.
+
+    Polygons are repaired, a line is closed, several lines give the areas that they
+    enclose, a point is a disc. What has no area adds nothing.
+    """
+    shape = stored(rows.select(key, F.monotonically_increasing_id().alias("_row"), G.from_geojson(F.col(geometry)).alias("_multi"), G.lines_from_geojson(F.col(geometry)).alias("_lines")), "zone-shapes")
+    areas = shape.where("_multi IS NOT NULL").select(key, "_row", "_multi")
+    lines = shape.where("_lines IS NOT NULL")
+    if not lines.isEmpty():
+        enclosed = planar.polygonize(lines, "_row", "_lines").withColumnRenamed("polygons", "_multi")
+        areas = areas.unionByName(lines.select(key, "_row").join(enclosed, "_row"))
+    return planar.union(areas, key, "_row", "_multi")
+
+
 def parcels_by_code(docs: DataFrame, prefix: str) -> DataFrame:
     """Parcels of a provincial feed whose 42-character code has the prefix, at their vertex mean."""
     rows = features(docs).select("pos", F.col("properties")["cca"].alias("cca"), F.col("properties")["pda"].alias("pda"), G.from_geojson(F.col("geometry"))[0].alias("polygon"))
