@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .strings import parcel_number
+
 #: Place types that count as commerce, and those that never do.
 COMMERCIAL_TYPES = (
     "store", "restaurant", "bar", "cafe", "food", "bakery", "pharmacy", "supermarket", "shopping_mall", "clothing_store",
@@ -13,6 +15,10 @@ COMMERCIAL_TYPES = (
     "hospital", "veterinary_care", "travel_agency", "car_dealer", "car_repair", "gas_station", "lodging", "night_club", "establishment",
 )
 EXCLUDED_TYPES = ("point_of_interest", "premise", "street_address", "route")
+#: Place types that the older rule doesn't count as commerce.
+IGNORED_TYPES = (
+    "locality", "political", "route", "administrative_area_level_1", "administrative_area_level_2", "country", "sublocality", "sublocality_level_1", "neighborhood", "postal_code", "street_address", "premise",
+)
 #: Land use of each zoning district; others have no data.
 DISTRICT_USE = {
     "residencial": ("R1", "R2", "R3", "R4", "R5", "R6", "Apto R6", "AR4_Zona Residencial Dominante_Tipología 2"),
@@ -40,8 +46,9 @@ def is_commercial(types: Column) -> Column:
     return F.arrays_overlap(types, arr(COMMERCIAL_TYPES)) & (F.size(F.array_except(types, arr(EXCLUDED_TYPES))) > 0)
 
 
-def any_other_type(types: Column, ignored: tuple[str, ...] = EXCLUDED_TYPES) -> Column:
-    return F.size(F.array_except(types, F.array(*map(F.lit, ignored)))) > 0
+def any_other_type(types: Column, ignored: tuple[str, ...] = IGNORED_TYPES) -> Column:
+    """The older rule: any type that isn't ignored is commerce; no types are none."""
+    return F.coalesce(F.exists(types, lambda t: ~t.isin(*ignored)), F.lit(False))
 
 
 def final_use(homes: Column, shops: Column, places: Column) -> Column:
@@ -98,7 +105,8 @@ def call_cost(calls: Column) -> Column:
 
 
 def frontage(feo: Column) -> Column:
-    return F.abs(feo.cast("int"))
+    """Whole part of a frontage number without its sign; text that is no number is null."""
+    return F.abs(feo.try_cast("double").try_cast("int"))
 
 
 def minutes_between(start: Column, end: Column, now: Column) -> Column:
@@ -117,10 +125,15 @@ def address_key(*parts: Column) -> Column:
     return uuid5(F.concat_ws("|", *[F.lower(F.trim(F.coalesce(p, F.lit("")))) for p in parts]))
 
 
-def same_parcel(text: Column, number: Column) -> Column:
-    """Does `Parcela: X` in a text agree with the number from the code? Missing data agree."""
-    said = F.nullif(F.regexp_extract(text, r"Parcela:\s*0*(\w+)", 1), F.lit(""))
-    return F.coalesce(said == F.nullif(number, F.lit("")), F.lit(True))
+def parcel_of_code(code: Column) -> Column:
+    """Number and suffix of a parcel from its code, without leading zeros; empty for codes of under 39 letters."""
+    return F.concat(parcel_number(code), F.ltrim(F.substr(code, F.lit(40)), F.lit("0")))
+
+
+def same_parcel(text: Column, code: Column) -> Column:
+    """Does `Parcela: X` in a text, whatever its case, name the parcel of the code? Its leading zeros count. Missing data agree."""
+    said = F.nullif(F.regexp_extract(text, r"(?iU)Parcela:\s*(\w+)", 1), F.lit(""))
+    return F.coalesce(F.upper(said) == F.nullif(F.upper(parcel_of_code(code)), F.lit("")), F.lit(True))
 
 
 def next_extent(*extents: Column) -> Column:

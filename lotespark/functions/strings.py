@@ -64,8 +64,9 @@ def same_block(cca: Column, circ: Column, secc: Column, mza: Column) -> Column:
 
 
 def parcel_number(cca: Column) -> Column:
-    """The number at places 33 to 39 of a parcel code, as text without leading zeros; '' for short codes."""
-    return F.when(F.length(cca) >= 39, F.ltrim(F.substring(cca, 33, 7), F.lit("0"))).otherwise("")
+    """The number at places 33 to 39 of a parcel code, as text without leading zeros but at least one figure; '' for short codes."""
+    number = F.ltrim(F.substring(cca, 33, 7), F.lit("0"))
+    return F.when(F.length(cca) >= 39, F.when(number == "", "0").otherwise(number)).otherwise("")
 
 
 def parcel_suffix(cca: Column, both_ends: bool = False) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .geometry import let
+
 #: Patterns of hints at several units, with their kinds.
 HINTS = (
     (r"\bpiso\s*(\d{1,2})\b", "piso"),
@@ -67,24 +69,45 @@ def building_from_accounts(accounts: DataFrame, by: list[str], address: str = "a
     return agg.withColumn("unidades_min", F.when(inferred, F.col("piso_max_visto") * F.col("dptos_por_piso_min") + ground_units).otherwise(F.col("cuentas")).cast("bigint")).withColumn("fuente", F.when(inferred, "inferencia").otherwise("solo_cuentas"))
 
 
-def _hint_rows(whole: Column, around: Column, kind: str) -> Column:
-    return F.transform(whole, lambda m, i: F.struct(F.lit(kind).alias("tipo"), F.trim(m).alias("match"), F.trim(F.get(around, i)).alias("raw")))
+#: Letters of context on either side of a hint.
+CONTEXT = 30
+
+
+def stripped(c: Column) -> Column:
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
+def _with_context(text: Column, lower: Column, pattern: str, kind: str) -> Column:
+    """The hints of one pattern: the text between the matches gives each match's place, and the place its context."""
+    found, between = F.regexp_extract_all(lower, F.lit(pattern), F.lit(0)), F.split(lower, pattern, -1)
+
+    def placed(m: Column, gaps: Column) -> Column:
+        letters = lambda many, n: F.aggregate(F.slice(many, F.lit(1), n), F.lit(0), lambda s, x: s + F.length(x))
+
+        def one(x: Column, i: Column) -> Column:
+            at = letters(gaps, i + 1) + letters(m, i)
+            begin = F.greatest(at - CONTEXT, F.lit(0))
+            return F.struct(F.lit(kind).alias("tipo"), stripped(x).alias("match"), stripped(F.substr(text, begin + 1, at + F.length(x) + CONTEXT - begin)).alias("raw"))
+
+        return F.transform(m, one)
+
+    return let(found, lambda m: let(between, lambda gaps: placed(m, gaps)))
 
 
 def hints(text: Column) -> Column:
     """All hints in a text as structs of kind, match and up to 30 letters on either side."""
-    found = []
-    for pattern, kind in HINTS:
-        for_case = "(?i)" + pattern
-        around = F.regexp_extract_all(text, F.lit(r"(?is)(.{0,30}" + pattern + r".{0,30})"), F.lit(1))
-        whole = F.regexp_extract_all(F.lower(text), F.lit(for_case), F.lit(0))
-        found.append(_hint_rows(whole, around, kind))
-    return F.flatten(F.array(*found))
+    return F.flatten(F.array(*(_with_context(text, F.lower(text), "(?iU)" + pattern, kind) for pattern, kind in HINTS)))
 
 
 def least_units_from_hints(found: Column) -> Column:
-    """Highest floor by highest flat letter named, at least the number of different hints' flats, at least 1."""
-    floors = F.transform(F.filter(found, lambda h: h["tipo"].isin("piso", "piso_letra")), lambda h: F.regexp_extract(h["match"], r"(\d{1,2})", 1).try_cast("int"))
-    letters = F.transform(F.filter(found, lambda h: h["tipo"].isin("piso_letra", "dpto")), lambda h: letter_rank(F.upper(F.regexp_extract(h["match"], r"([a-zA-Z])$", 1))))
-    top, wide = F.coalesce(F.array_max(floors), F.lit(1)), F.greatest(F.coalesce(F.array_max(letters), F.lit(1)), F.lit(1))
-    return F.greatest(top * wide, F.size(F.array_distinct(F.transform(found, lambda h: h["match"]))), F.lit(1))
+    """Floors by flats a floor, as the hints name them; a house on the roof adds a floor's flats. Without floors it makes two, and nothing at all makes none.
+
+    Numbers of flats and units count as floors, zero left out; flat letters count only beside a floor.
+    """
+    number = lambda h: F.regexp_extract(h["match"], r"(\d+)", 1).try_cast("int")
+    floors = F.transform(F.filter(found, lambda h: h["tipo"].isin("piso", "piso_letra") | (h["tipo"].isin("dpto", "unidad") & (number(h) > 0))), number)
+    letters = F.transform(F.filter(found, lambda h: h["tipo"] == "piso_letra"), lambda h: letter_rank(F.upper(F.regexp_extract(h["match"], "(?i)([A-D])", 1))))
+    top = F.array_max(floors)
+    wide = F.coalesce(F.array_max(letters), F.lit(1))
+    roof = F.exists(found, lambda h: h["tipo"] == "ph")
+    return F.when(top.isNull() & ~roof, 0).when((F.coalesce(top, F.lit(0)) == 0) & roof, 2).otherwise(top * wide + F.when(roof, wide).otherwise(0))

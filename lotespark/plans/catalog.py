@@ -17,6 +17,7 @@ from ..functions import strings as S
 from ..functions import units as U
 from ..operators import classify, clustering, estimate, grids, merge, reports, sequences, spatial, surveys
 from ..sources import exports, feeds
+from ..runtime import spread
 from . import planner
 from .fixtures import SIDE, cte, table
 
@@ -397,7 +398,8 @@ BCI_TEXT = """concat_ws(chr(10), 'TIPO IMÓVEL CATEGORIA TIPO PROPRIEDADE', CASE
     concat('123 RUA DA ', o_orderstatus, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE concat(' ', CAST(o_orderkey % 900 + 1 AS STRING)) END, CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE ' 78.110-000' END),
     concat('  ', CAST(o_orderkey % 50 AS STRING), ' - ', CASE WHEN o_orderkey % 2 = 0 THEN 'BAIRRO ' ELSE '' END, 'CENTRO ', o_orderstatus), concat('QUADRA ', CAST(o_orderkey % 30 AS STRING)),
     'N° MATRÍCULA FRENTE (M)', CASE WHEN o_orderkey % 6 = 0 THEN '0,00 1,00' ELSE concat('0,00 ', CAST(o_orderkey % 1000 AS STRING), '.', lpad(CAST(o_orderkey % 1000 AS STRING), 3, '0'), ' 0,00') END,
-    repeat(concat('UNIDADE CÓDIGO DA UNIDADE AREA TOTAL', chr(10), '1 55 10,5 ', CAST(o_orderkey % 300 AS STRING), ',25', chr(10)), CAST(o_orderkey % 4 AS INT)),
+    repeat(concat('UNIDADE CÓDIGO DA UNIDADE AREA TOTAL', CASE WHEN o_orderkey % 8 > 3 THEN concat(chr(10), 'x 1', chr(10), 'SUBTOTAL ') ELSE '' END, chr(10), '1 55', CASE WHEN o_orderkey % 13 > 6 THEN chr(10) ELSE ' ' END, '10,5 ', CAST(o_orderkey % 300 AS STRING), ',25', CASE WHEN o_orderkey % 10 > 4 THEN ' ' ELSE chr(10) END), CAST(o_orderkey % 4 AS INT)),
+    CASE WHEN o_orderkey % 3 = 0 THEN concat('UNIDADE CÓDIGO DA UNIDADE AREA TOTAL', chr(10), 'sem dados') END,
     repeat('USO RESIDENCIAL TIPOLOGIA CASA ', CAST(o_orderkey % 3 AS INT)), repeat('USO COMERCIAL TIPOLOGIA sala ', CAST(o_orderkey % 2 AS INT)), CASE WHEN o_orderkey % 11 = 0 THEN 'USO INDUSTRIAL' END)"""
 
 
@@ -412,8 +414,8 @@ BCI_TEXT = """concat_ws(chr(10), 'TIPO IMÓVEL CATEGORIA TIPO PROPRIEDADE', CASE
 )
 def property_reports(spark: SparkSession, d: str) -> DataFrame:
     """All fields of a report made for each order: lots without buildings, units, uses, addresses with and without number or postcode."""
-    docs = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", F.expr(BCI_TEXT).alias("text"))
-    return docs.select("o_orderkey", bci.report(F.col("text")).alias("r")).select("o_orderkey", "r.*")
+    rows = spread(spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_orderstatus"))
+    return rows.select("o_orderkey", bci.report(F.expr(BCI_TEXT)).alias("r")).select("o_orderkey", "r.*")
 
 
 # Space
@@ -741,10 +743,21 @@ def unit_codes(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", U.building_from_unit(code)["unidades_min"].alias("unidades_min"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 2 ELSE 1 END AS pistas FROM part")
+NOTICES = """CASE p_partkey % 8 WHEN 0 THEN 'luminoso' WHEN 1 THEN 'Hermoso PH' WHEN 2 THEN concat('Dpto. ', p_size) WHEN 3 THEN concat('piso ', p_size, ' dpto B') WHEN 4 THEN concat('piso 1 y piso ', p_size)
+    WHEN 5 THEN concat(repeat('a', 40), ' 4º B con ph fondo') WHEN 6 THEN concat('Vendo ', p_size, 'C, monoambiente ') END"""
+
+
+@query(
+    f"""SELECT p_partkey, CASE k WHEN 1 THEN 'ph:ph:Hermoso PH' WHEN 2 THEN concat('dpto:dpto. ', s, ':', t) WHEN 3 THEN concat('piso:piso ', s, ':', t, '|dpto:dpto b:', t) WHEN 4 THEN concat('piso:piso 1:', t, '|piso:piso ', s, ':', t)
+    WHEN 5 THEN concat('ph:ph:', repeat('a', 20), ' 4º B con ph fondo|piso_letra:4º b:', repeat('a', 29), ' 4º B con ph fondo') WHEN 6 THEN concat('piso_letra:', s, 'c:', trim(t), '|ambientes:monoambiente:', trim(t)) WHEN 7 THEN NULL ELSE '' END AS pistas,
+    CASE k WHEN 0 THEN 0 WHEN 1 THEN 2 WHEN 2 THEN s WHEN 3 THEN s WHEN 4 THEN greatest(1, s) WHEN 5 THEN 10 WHEN 6 THEN 3 * s END AS unidades_min FROM (SELECT p_partkey, p_partkey % 8 AS k, p_size AS s, {NOTICES} AS t FROM part)"""
+)
 def unit_hints(spark: SparkSession, d: str) -> DataFrame:
-    text = F.expr("concat('Vendo piso ', p_size, CASE WHEN p_size % 2 = 0 THEN ' monoambiente' ELSE '' END, ' luminoso')")
-    return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", F.size(U.hints(text)).alias("pistas"))
+    """Hints at several units in notices, with their contexts, and the least number of units that they make."""
+    found = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", U.hints(F.expr(NOTICES)).alias("h"))
+    listed = F.transform("h", lambda h: F.concat_ws(":", h["tipo"], h["match"], h["raw"]))
+    known = F.col("h").isNotNull()
+    return found.select("p_partkey", F.when(known, F.array_join(listed, "|")).alias("pistas"), F.when(known, U.least_units_from_hints(F.col("h"))).alias("unidades_min"))
 
 
 @query("""SELECT survey_id, concat('{"paso_actual":"coverage","pasos":{', CASE WHEN survey_id % 2 = 0 THEN '"zone":"1",' ELSE '' END, '"coverage":"2"}}') AS notes, CASE WHEN survey_id % 2 = 0 THEN 'zone' END AS antes FROM surveys""", "surveys")

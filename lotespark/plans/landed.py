@@ -53,7 +53,7 @@ def parcel_prefixes(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""SELECT o_orderkey, CASE WHEN o_orderkey % 8 = 0 THEN '' WHEN o_orderkey % 700 = 0 THEN '' ELSE CAST(o_orderkey % 700 AS VARCHAR) END AS numero,
+    f"""SELECT o_orderkey, CASE WHEN o_orderkey % 8 = 0 THEN '' ELSE CAST(o_orderkey % 700 AS VARCHAR) END AS numero,
     CASE WHEN o_orderkey % 8 > 0 AND o_orderkey % 3 = 0 THEN 'A0' ELSE '' END AS sufijo, CASE WHEN o_orderkey % 8 > 0 AND o_orderkey % 3 = 0 THEN 'A' ELSE '' END AS sufijo_corto,
     CASE WHEN o_orderkey % 8 = 0 THEN 0 ELSE o_orderkey % 700 END AS entero FROM (SELECT *, {CODE_SQL} AS cca FROM orders)"""
 )
@@ -139,14 +139,18 @@ def address_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT o_orderkey, CASE WHEN o_orderkey % 5 < 2 THEN TRUE WHEN o_orderkey % 5 = 2 THEN o_orderkey % 700 = 12 ELSE o_orderkey % 5 = 3 END AS coincide, o_orderkey % 3 = 1 AS otro_tipo FROM orders"""
+    """SELECT o_orderkey, CASE k WHEN 3 THEN FALSE WHEN 5 THEN FALSE WHEN 6 THEN FALSE ELSE TRUE END AS coincide, o_orderkey % 7 IN (1, 5, 6) AS otro_tipo FROM (SELECT *, o_orderkey % 9 AS k FROM orders)"""
 )
 def text_checks(spark: SparkSession, d: str) -> DataFrame:
-    """Does a text's parcel agree with the code's (missing data agree)? Has a place a type that isn't ignored?"""
-    number = F.expr("CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 5 = 3 THEN 'A7' ELSE CAST(o_orderkey % 700 AS STRING) END")
-    text = F.expr("CASE o_orderkey % 5 WHEN 1 THEN 'Circ: 1' WHEN 2 THEN 'Circ: 1 Parcela: 0012' WHEN 3 THEN 'Parcela:  00A7 x' WHEN 4 THEN 'Parcela: B9' ELSE 'Parcela: 3' END")
-    kinds = F.expr("CASE o_orderkey % 3 WHEN 0 THEN array('premise', 'route') WHEN 1 THEN array('route', 'park') ELSE CAST(array() AS ARRAY<STRING>) END")
-    return _orders(spark, d).select("o_orderkey", R.same_parcel(text, number).alias("coincide"), R.any_other_type(kinds).alias("otro_tipo"))
+    """Does a text name the code's parcel, in any case, with its suffix and leading zeros (missing data agree)? Has a place a type that isn't administrative?"""
+    n = "CAST(1 + o_orderkey % 700 AS STRING)"
+    code = F.expr(f"CASE o_orderkey % 9 WHEN 2 THEN '0123' ELSE concat(repeat('0', 32), lpad({n}, 7, '0'), CASE o_orderkey % 9 WHEN 4 THEN '00A' WHEN 6 THEN '00C' WHEN 7 THEN '00Z' ELSE '000' END) END")
+    text = F.expr(
+        f"""CASE o_orderkey % 9 WHEN 0 THEN 'Circ: 1' WHEN 2 THEN 'Parcela: 9' WHEN 3 THEN concat('PARCELA: ', 2 + o_orderkey % 700) WHEN 4 THEN concat('Parcela: ', {n}, 'a') WHEN 5 THEN concat('Parcela: 00', {n})
+        WHEN 6 THEN concat('x parcela:  ', {n}, 'B y') WHEN 7 THEN concat('Circ: 1\n parcela:\t', {n}, 'Z') WHEN 8 THEN concat('Parcela: ', {n}, ' Parcela: 1') END"""
+    )
+    kinds = F.expr("CASE o_orderkey % 7 WHEN 0 THEN array('premise', 'route') WHEN 1 THEN array('point_of_interest') WHEN 2 THEN array('locality', 'political', 'country') WHEN 3 THEN CAST(array() AS ARRAY<STRING>) WHEN 5 THEN array('neighborhood', 'store') WHEN 6 THEN array('establishment') END")
+    return _orders(spark, d).select("o_orderkey", R.same_parcel(text, code).alias("coincide"), R.any_other_type(kinds).alias("otro_tipo"))
 
 
 # Lists, components and dwellings
@@ -179,13 +183,12 @@ def geocoded_fields(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """, u AS (SELECT parent, n FROM unit_counts WHERE n <= 3)
-    SELECT p.parcela_id, CASE WHEN u.n IS NULL THEN 0 ELSE u.n END AS piso, CASE WHEN u.n IS NULL THEN '' ELSE chr(CAST(64 + u.n AS INT)) END AS depto, CASE WHEN u.n IS NULL THEN 'casa' ELSE 'dpto' END AS tipo FROM parcelas p LEFT JOIN u ON u.parent = p.parcela_id AND p.parcela_id % 2 = 0""",
+    """SELECT p.parcela_id, CASE WHEN u.n IS NULL THEN 0 ELSE u.n END AS piso, CASE WHEN u.n IS NULL THEN '' ELSE chr(CAST(64 + u.n AS INT)) END AS depto, CASE WHEN u.n IS NULL THEN 'casa' ELSE 'dpto' END AS tipo FROM parcelas p LEFT JOIN unit_counts u ON u.parent = p.parcela_id""",
     "parcelas", "unit_counts",
 )
 def dwellings(spark: SparkSession, d: str) -> DataFrame:
     """A row for each unit of each parcel; a parcel without units has one."""
-    u = table(spark, d, "unit_counts").where("n <= 3 AND parent % 2 = 0").select("parent", F.col("n").cast("int").alias("piso"), F.chr(F.col("n") + 64).alias("depto"), F.lit("dpto").alias("tipo"))
+    u = table(spark, d, "unit_counts").select("parent", F.col("n").cast("int").alias("piso"), F.chr(F.col("n") + 64).alias("depto"), F.lit("dpto").alias("tipo"))
     units = u.groupBy(F.col("parent").alias("parcela_id")).agg(F.collect_list(F.struct("piso", "depto", "tipo")).alias("units"))
     return classify.dwelling_rows(table(spark, d, "parcelas").select("parcela_id").join(units, "parcela_id", "left"))
 
@@ -407,10 +410,14 @@ def csv_files(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema("value string, survey_id bigint").text(path).select("survey_id", F.col("value").alias("line"))
 
 
-@query("SELECT concat(count(*), ' listos (', printf('%.1f', round(count(*) / 20000, 4) * 100), ' %)') AS linea FROM activity_log", "activity_log")
+@query(
+    """, a AS (SELECT count(*) AS n, (epoch(date_trunc('second', max(ts))) - epoch(date_trunc('second', min(ts)))) / (count(*) - 1) AS paso, (SELECT count(*) FROM orders) AS total FROM activity_log)
+    SELECT printf('%d listos (%.1f %%), %.1f s por id, faltan %.1f min', n, round(n / total, 4) * 100, paso, paso * greatest(total - n, 0) / 60) AS linea FROM a""",
+    "activity_log",
+)
 def status_line(spark: SparkSession, d: str) -> DataFrame:
-    line = reports.status_report(sequences.progress(table(spark, d, "activity_log"), 20000))
-    return line.select(F.substring_index("linea", ",", 1).alias("linea"))
+    """How many of the orders the log has entries for, the share, and the time left at its pace."""
+    return reports.status_report(sequences.progress(table(spark, d, "activity_log"), _orders(spark, d).count()))
 
 
 @query("SELECT parcela_id, survey_id, calle, numero, cca_code FROM parcelas", "parcelas")

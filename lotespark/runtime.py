@@ -49,6 +49,12 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, if it comes in fewer partitions than there are: before costly work on rows of few files. Large inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: later steps survive lost executors and don't redo it."""
     spark = df.sparkSession

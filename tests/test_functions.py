@@ -52,7 +52,11 @@ def test_rules(spark):
     types = lambda *t: F.array(*map(F.lit, t))
     assert one(spark, rules.is_commercial(types("bar", "premise")), rules.is_commercial(types("premise")), rules.is_commercial(types("park"))) == (True, False, False)
     assert one(spark, rules.district_use(lit("M1_Este")), rules.district_use(lit("?"))) == ("mixto", "sin_datos")
-    assert one(spark, rules.same_parcel(lit("Parcela: 012"), lit("12")), rules.same_parcel(lit("Parcela: 9"), lit("12")), rules.same_parcel(lit(None), lit("12"))) == (True, False, True)
+    code = lambda number, suffix: "0" * 32 + f"{number:07d}" + suffix
+    said = [("PARCELA: 5", code(6, "000")), ("Parcela: 7a", code(7, "00A")), ("Parcela: 0012", code(12, "000")), ("x\nparcela:\t12 y", code(12, "000")), ("Parcela: 0", code(0, "000")), (None, code(1, "")), ("Parcela: 9", "short"), ("Lote: 9", code(1, "")), ("Parcela: 12", code(12, "00B")), ("Parcela: 9", None)]
+    assert [one(spark, rules.same_parcel(lit(t), lit(c)))[0] for t, c in said] == [False, True, False, True, True, True, True, True, False, True]
+    assert one(spark, *[rules.any_other_type(t) for t in (types("premise", "route"), types("point_of_interest"), types("route", "park"), F.array().cast("array<string>"), F.expr("CAST(NULL AS ARRAY<STRING>)"))]) == (False, True, True, False, False)
+    assert one(spark, *[rules.frontage(lit(x)) for x in ("12.7", "-3", "x", None)]) == (12, 3, None, None)
     ts = lambda s: F.lit(s).cast("timestamp")
     assert one(spark, rules.minutes_between(ts("2024-01-01 00:00:00"), ts(None), ts("2024-01-01 07:21:59")))[0] == 441
     assert one(spark, rules.uuid5(lit("belgrano|2343")))[0] == str(uuid.uuid5(uuid.NAMESPACE_DNS, "belgrano|2343"))
@@ -82,6 +86,11 @@ def test_property_report(spark):
     assert row == {"tipo_imovel": "predial", "uso_principal": "mixto", "uf_vivienda": 1, "uf_comercio": 1, "uf_total": 2, "area_m2_construida": 80.25, "tipologia": "CASA", "codigo_postal": "78110001", "numero": "45", "calle": "RUA DAS FLORES", "barrio": "CENTRO NORTE", "partida_inmobiliaria": "119.441"}
     empty = spark.range(1).select(*[v.alias(k) for k, v in bci.fields(F.lit("nothing")).items()]).first()
     assert (empty.tipo_imovel, empty.uso_principal, empty.uf_total, empty.calle) == (None, "residencial", 0, None)
+    rows = lambda t: one(spark, bci.unit_rows(F.lit(t)))[0]
+    head = "UNIDADE CODIGO DA UNIDADE"
+    assert rows(f"{head} X TOTAL \n\n 1\n22 3,5\n4,25abc") == [["1", "22", "3,5", "4,25"]]
+    assert rows(f"{head} A TOTAL\nx\nSUBTOTAL\n1 2 3 4\nTOTAL\n5 6 7 8 {head} a\ntotal\n9 10 11,0 12,0") == [["1", "2", "3", "4"], ["9", "10", "11,0", "12,0"]]
+    assert rows(f"TOTAL\n1 2 3 4\n{head}\n{head} TOTAL\n5 6 7 8 {head} TOTAL 1 2 3 4") == [["5", "6", "7", "8"]]
     land = spark.range(1).select(*[v.alias(k) for k, v in bci.fields(F.lit(REPORT.replace("PREDIAL", "TERRITORIAL"))).items()]).first()
     assert (land.uso_principal, land.uf_total, land.area_m2_construida) == ("vacante", 0, None)
     assert one(spark, bci.labelled(F.lit("<td>Bairro:</td><td> Centro </td>"), "Quarteirão", "Bairro"))[0] == "Centro"
@@ -94,6 +103,12 @@ def test_units(spark):
     assert [(x.piso, x.depto) if x else None for x in a] == [(3, "A"), (3, "B"), None]
     found = one(spark, units.hints(lit("Vendo piso 3 dpto B, luminoso; otro 2A")))[0]
     assert {(h.tipo, h.match) for h in found} >= {("piso", "piso 3"), ("dpto", "dpto b"), ("piso_letra", "2a")}
+    close = one(spark, units.hints(lit("piso 1 y piso 2")))[0]
+    assert [(h.match, h.raw) for h in close] == [("piso 1", "piso 1 y piso 2"), ("piso 2", "piso 1 y piso 2")]
+    far = one(spark, units.hints(lit("a" * 40 + " 4º B con ph fondo")))[0]
+    assert [(h.tipo, h.match, h.raw) for h in far] == [("ph", "ph", "a" * 20 + " 4º B con ph fondo"), ("piso_letra", "4º b", "a" * 29 + " 4º B con ph fondo")]
+    least = {"": 0, "luminoso": 0, "PH": 2, "dpto 7": 7, "dpto 0": 0, "piso 3 dpto B": 3, "3B": 6, "piso 3, 2 C, ph": 12, "oficina 4": 0, "unidad 5 y monoambiente": 5, "piso 0": 0, "piso 0 ph": 2}
+    assert {t: one(spark, units.least_units_from_hints(units.hints(lit(t))))[0] for t in least} == least
     accounts = spark.createDataFrame([("x", "X 1 3 C"), ("x", "X 1 1 A"), ("y", "MITRE 2343"), ("y", "MITRE 2343")], "b string, address string")
     rows = {r.b: (r.unidades_min, r.fuente) for r in units.building_from_accounts(accounts, ["b"]).collect()}
     assert rows == {"x": (12, "inferencia"), "y": (2, "solo_cuentas")}
