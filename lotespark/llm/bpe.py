@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from ..runtime import ready
 from . import arrays as A
 from . import pretoken
+from .common import long_ids
 
 FAR = np.int64(1 << 40)
 CHUNK = 1 << 20
@@ -195,7 +196,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
                 text_sha.append(hashlib.sha256(b" ".join([tokens[k] for k in places])).hexdigest())
             yield pa.RecordBatch.from_arrays([c.ids, pa.array(count, pa.int64()), pa.array(id_sha), pa.array(text_sha)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").transform(ready).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").transform(long_ids).transform(ready).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encoded(docs: DataFrame, path: str) -> DataFrame:
@@ -213,4 +214,4 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
             values = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.array(np.concatenate(rows), pa.int32()))
             yield pa.RecordBatch.from_arrays([c.ids, pa.array(size, pa.int64()), values, pa.array(text_sha)], names=["doc_id", "n_tokens", "ids", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").transform(ready).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string")
+    return docs.select("doc_id", "text").transform(long_ids).transform(ready).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string")

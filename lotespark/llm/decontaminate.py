@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import ready
 from . import arrays as A
-from .common import forget, stored
+from .common import forget, long_ids, stored
 
 Q = 8
 BUDGET = 0.1
@@ -370,7 +370,7 @@ def _block_hits(docs: DataFrame, index: Broadcast) -> DataFrame:
             cols = [c.ids.take(pa.array(d)), pa.array(ids), pa.array(lead[start] - lead[c.off[d]]), pa.array(lead[end] - lead[c.off[d]]), pa.array(edits)]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "item_id", "start", "end", "edits"])
 
-    return docs.select("doc_id", "text").transform(ready).mapInArrow(run, HITS_DDL)
+    return docs.select("doc_id", "text").transform(long_ids).transform(ready).mapInArrow(run, HITS_DDL)
 
 
 def find_benchmark(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET) -> DataFrame:

@@ -4,7 +4,7 @@ A segment holds the ids of consecutive documents. Its ids are cut into blocks of
 128; a block stores its minimum, and the differences to it packed at the width
 that holds nine in ten of them; wider ones keep their low bits in place and
 their high bits in an exception list. An index has each block's start, so that
-any block can be read alone.
+`block` reads one alone.
 
 Layout, little endian: `PFR1`, counts of ids, blocks and exceptions (3 x u32);
 per block its minimum (u32), width (u8), start in the packed bytes (u64) and
@@ -13,7 +13,8 @@ bits (u32); packed bytes, each block padded to whole bytes.
 
 Segments are rows of a table written by Spark, so files go wherever Spark can
 write; `part` and `seq` give their order. Null and empty texts are documents
-with the end id alone.
+with the end id alone. Rows of one doc_id are ordered by a hash of their text, so
+their places don't change from run to run; rows without a doc_id come first.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from tokenizers import Tokenizer
 from ..runtime import ready
 from . import arrays as A
 from . import pretoken
-from .common import stored
+from .common import long_ids, stored
 
 BLOCK = 128
 SEGMENT_IDS = 1 << 18
@@ -113,6 +114,26 @@ def unpack(data: bytes) -> np.ndarray:
     return out[:n]
 
 
+def block(data: bytes, k: int) -> np.ndarray:
+    """The ids of block k of a segment, by the index: the block's own bytes and exceptions are all that is read beside it."""
+    if data[:4] != MAGIC:
+        raise ValueError("not a segment of token ids")
+    n, blocks, exceptions = np.frombuffer(data, "<u4", 3, 4).tolist()
+    if not 0 <= k < blocks:
+        raise IndexError(f"block {k} of {blocks}")
+    index = 16 + np.concatenate([[0], np.cumsum([4 * blocks, blocks, 8 * blocks, 4 * blocks, 4 * exceptions, 4 * exceptions])])
+    one = lambda part, kind, at, count=1: np.frombuffer(data, kind, count, int(index[part]) + at * np.dtype(kind).itemsize)
+    least, width, start = (int(one(p, kind, k)[0]) for p, kind in ((0, "<u4"), (1, "u1"), (2, "<u8")))
+    first = int(one(3, "<u4", k)[0])
+    end = int(one(3, "<u4", k + 1)[0]) if k + 1 < blocks else exceptions
+    raw = np.frombuffer(data, np.uint8, width * BLOCK // 8, int(index[6]) + start)
+    bits = np.unpackbits(raw, bitorder="little").reshape(BLOCK, width).astype(np.uint64)
+    out = (bits << np.arange(width, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+    where, high = one(4, "<u4", first, end - first), one(5, "<u4", first, end - first)
+    out[where - k * BLOCK] |= high.astype(np.uint64) << np.uint64(width)
+    return (out + np.uint64(least)).astype("<u4")[: n - k * BLOCK]
+
+
 def encode_texts(tok_path: str, texts: list[str], special: tuple[str, ...], cache: pretoken.WordCache) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts in one array, each text's closed by END_ID, and the count of each; equal pre-tokens are encoded once."""
     tok = tokenizer_of(tok_path)
@@ -172,41 +193,43 @@ def token_bytes(path: str) -> np.ndarray:
     return out
 
 
-SEGMENT_DDL = "part int, ahead long, n_ids long, doc_ids binary, sizes binary, payload binary"
+SEGMENT_DDL = "part int, ahead long, n_ids long, unnamed long, doc_ids binary, sizes binary, payload binary"
 
 
 def write_files(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """Tokenise all documents and write them as segments in ascending doc_id; the table of the files."""
+    """Tokenise all documents and write them as segments in ascending doc_id; the table of the files. `unnamed` counts a segment's first documents, which have no doc_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, cache = tokenizer_of(tokenizer), pretoken.word_cache(tokenizer)
         special = tuple(t.content for t in tok.get_added_tokens_decoder().values())
         part, ahead = TaskContext.get().partitionId(), 0
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]] = []
 
         def segment() -> pa.RecordBatch:
             nonlocal ahead, held
             keys, sizes, ids = (np.concatenate([h[k] for h in held]) for k in range(3))
-            row = [[part], [ahead], [len(ids)], [keys.astype("<i8").tobytes()], [sizes.astype("<i8").tobytes()], [pack(ids)]]
+            row = [[part], [ahead], [len(ids)], [sum(h[3] for h in held)], [keys.astype("<i8").tobytes()], [sizes.astype("<i8").tobytes()], [pack(ids)]]
             held, ahead = [], ahead + len(ids)
-            types = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types, strict=True)], names=["part", "ahead", "n_ids", "doc_ids", "sizes", "payload"])
+            types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types, strict=True)], names=["part", "ahead", "n_ids", "unnamed", "doc_ids", "sizes", "payload"])
 
         for c in A.chunks(batches, most=CHUNK):
             raw, off = c.buf.tobytes(), c.off.tolist()
             ids, count = encode_texts(tokenizer, [raw[a:b].decode() for a, b in zip(off[:-1], off[1:], strict=True)], special, cache)
-            keys, at, first = c.ids.to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(count)]), 0
+            keys, unnamed = c.ids.fill_null(0).to_numpy(zero_copy_only=False), c.ids.null_count
+            at, first = np.concatenate([[0], np.cumsum(count)]), 0
             while first < len(keys):  # whole documents, up to about SEGMENT_IDS ids
                 room = SEGMENT_IDS - sum(len(h[2]) for h in held)
                 end = max(first + 1, int(np.searchsorted(at, at[first] + max(room, 0), "right")) - 1)
-                held.append((keys[first:end], count[first:end], ids[at[first] : at[end]]))
+                held.append((keys[first:end], count[first:end], ids[at[first] : at[end]], max(0, min(end, unnamed) - first)))
                 first = end
                 if sum(len(h[2]) for h in held) >= SEGMENT_IDS or first < len(keys):
                     yield segment()
         if held:
             yield segment()
 
-    rows = docs.select("doc_id", "text").where("doc_id IS NOT NULL").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    order = ["doc_id", F.xxhash64("text")]  # the lesser order too, so that a doc_id that many rows have is no single partition
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).transform(long_ids).repartitionByRange(*order).sortWithinPartitions(*order)
     return stored(rows.transform(ready).mapInArrow(run, SEGMENT_DDL), "token-files")
 
 
@@ -223,13 +246,13 @@ def read_files(files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                base, keys, sizes, payload = (batch.column(n)[k].as_py() for n in ("base", "doc_ids", "sizes", "payload"))
+                base, unnamed, keys, sizes, payload = (batch.column(n)[k].as_py() for n in ("base", "unnamed", "doc_ids", "sizes", "payload"))
                 ids = unpack(payload)
                 keys, sizes = np.frombuffer(keys, "<i8"), np.frombuffer(sizes, "<i8")
                 at = np.concatenate([[0], np.cumsum(sizes)])
                 raw = memoryview(np.ascontiguousarray(ids)).cast("B")
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(at[:-1] + base), pa.array(sizes), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys, mask=np.arange(len(keys)) < unnamed), pa.array(at[:-1] + base), pa.array(sizes), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    rows = files.join(before, "part").select((F.col("before") + F.col("ahead")).alias("base"), "doc_ids", "sizes", "payload")
+    rows = files.join(before, "part").select((F.col("before") + F.col("ahead")).alias("base"), "unnamed", "doc_ids", "sizes", "payload")
     return rows.transform(ready).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")

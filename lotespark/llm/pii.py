@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..runtime import ready
+from .common import long_ids
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "login", "iban", "account", "secret")
@@ -168,7 +169,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
             types = [pa.int64()] * 4 + [pa.string()] * 2
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=["doc_id", *names])
 
-    return docs.select("doc_id", "text").transform(ready).mapInArrow(run, FOUND_DDL)
+    return docs.select("doc_id", "text").transform(long_ids).transform(ready).mapInArrow(run, FOUND_DDL)
 
 
 def mask_pii(docs: DataFrame) -> DataFrame:

@@ -3,8 +3,8 @@
 `text_stats` counts, per whole text, what the rules look at. `fit_rules` learns
 an ordered list of threshold conjunctions by sequential covering: each rule is
 grown by information gain on two thirds of the rows that earlier rules leave,
-pruned from its end on the other third, and kept while it is right more often
-than not on that third. `rules_column` turns the list into one ordered Spark
+pruned from its end on the other third, and kept while it is right in three of
+five at least of all the rows that it takes. `rules_column` turns the list into one ordered Spark
 conditional expression.
 
 Null and empty texts have no words and fail the base rule. Statistics of a
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import ready
 from . import arrays as A
+from .common import long_ids
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_digits", "n_upper")
 STATS_DDL = "doc_id long, " + ", ".join(f"{c} long" for c in STATS)
@@ -94,7 +95,7 @@ def text_stats(docs: DataFrame) -> DataFrame:
         for c in A.chunks(batches):
             yield pa.RecordBatch.from_arrays([c.ids, *map(pa.array, chunk_stats(c.buf, c.off))], names=["doc_id", *STATS])
 
-    return docs.select("doc_id", "text").transform(ready).mapInArrow(run, STATS_DDL)
+    return docs.select("doc_id", "text").transform(long_ids).transform(ready).mapInArrow(run, STATS_DDL)
 
 
 #: What rules may test: name and expression over the statistics.

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import ready, release
 from . import arrays as A
-from .common import forget, fresh, stored
+from .common import forget, fresh, long_ids, stored
 from .components import components
 from .toxicity import LOWER
 
@@ -156,7 +156,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         for c in A.chunks(batches):
             yield pa.RecordBatch.from_arrays([c.ids, pa.array(chunk_fingerprints(c.buf, c.off).view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").transform(ready).mapInArrow(run, "doc_id long, fp long")
+    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").transform(long_ids).transform(ready).mapInArrow(run, "doc_id long, fp long")
 
 
 def _bucket_keys(nodes: DataFrame) -> DataFrame:
@@ -300,7 +300,7 @@ def _signatures(docs: DataFrame, least: float) -> DataFrame:
             longs = [pa.array(x) for x in (whole.view(np.int64), second.view(np.int64), count.astype(np.int32), fp.view(np.int64), *(np.ascontiguousarray(b) for b in bits.T))]
             yield pa.RecordBatch.from_arrays([c.ids, c.rows.column("v"), *longs, parity, prefix], names=["doc_id", "v", "h1", "h2", "n", "fp", "b0", "b1", "b2", "b3", "parity", "prefix"])
 
-    return docs.select("doc_id", "v", "text").transform(ready).mapInArrow(run, SIGNATURE_DDL)
+    return docs.select("doc_id", "v", "text").transform(long_ids).transform(ready).mapInArrow(run, SIGNATURE_DDL)
 
 
 def _fingerprint_pairs(one: DataFrame) -> DataFrame:
@@ -342,12 +342,6 @@ def _likely_pairs(buckets: DataFrame, least: float) -> DataFrame:
     return buckets.select("members").transform(ready).mapInArrow(run, "a long, b long").where("a > b").distinct()
 
 
-def _likely(least: float) -> Column:
-    """May rows x and y of one key have the similarity, by their sizes and the key's positions, if no earlier shingle is in both?"""
-    sizes = F.expr("least(x.n, y.n)") >= F.expr("greatest(x.n, y.n)") * least - 1e-6
-    return sizes & (F.expr("least(x.n - x.pos, y.n - y.pos)") >= F.expr("x.n + y.n") * (least / (1 + least)) - 1e-6)
-
-
 def _star_pairs(hot: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b), a > b: each text of common shingles with one other text of up to three of them, the one least changed from what they share."""
     key_hash = F.xxhash64("key")

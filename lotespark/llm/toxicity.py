@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import ready
 from . import arrays as A
+from .common import long_ids
 
 TOKENS = 24
 STRIDE = 16
@@ -288,4 +289,4 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
                 np.maximum.at(worst, owner, window_logits(p, x, idx))
             yield pa.RecordBatch.from_arrays([c.ids, pa.array(sigmoid(worst))], names=["doc_id", "score"])
 
-    return docs.select("doc_id", "text").transform(ready).mapInArrow(run, "doc_id long, score double")
+    return docs.select("doc_id", "text").transform(long_ids).transform(ready).mapInArrow(run, "doc_id long, score double")

@@ -99,6 +99,11 @@ def test_blocks_round_trip(seed):
     rng = np.random.default_rng(seed)
     ids = [rng.integers(0, 50257, rng.integers(0, 900)), np.full(200, 9), np.append(np.arange(130), [2**32 - 1, 0]), (rng.pareto(1, 700) * 3).astype(np.int64) % 2**32][seed % 4]
     assert (pfor.unpack(pfor.pack(ids)) == ids).all()
+    packed, size = pfor.pack(ids), pfor.BLOCK
+    for k in range(-(-len(ids) // size)):
+        assert (pfor.block(packed, k) == ids[k * size : (k + 1) * size]).all()
+    with pytest.raises(IndexError):
+        pfor.block(packed, -(-len(ids) // size))
 
 
 def test_quality_statistics_and_rules(spark):
@@ -400,9 +405,35 @@ def test_rows_without_ids_and_empty_tables(spark):
     model = langid.learn(df)
     assert langid.predict(df, model).count() == bpe.digests(df, WORD_FILE).count() == pii.find_pii(df).count() == quality.quality_rules(df, labels).count() == 3
     assert toxicity.score(df, toxicity.learn(df, labels)).count() == 3
-    for linked in (substring_dedup.substring_dedup(df), suffix_dedup.suffix_dedup(df), simhash.fingerprint_components(df), pfor.read_files(pfor.write_files(df, BYTE_FILE))):
+    for linked in (substring_dedup.substring_dedup(df), suffix_dedup.suffix_dedup(df), simhash.fingerprint_components(df)):
         assert sorted(r.doc_id for r in linked.select("doc_id").collect()) == [1, 2]
+    assert [r.doc_id for r in pfor.read_files(pfor.write_files(df, BYTE_FILE)).orderBy("start").collect()] == [None, 1, 2]
     assert simhash.keep_first(df).count() == 3
     none = docs(spark, [])
     for empty in (langid.predict(none, langid.learn(none)), bpe.digests(none, WORD_FILE), pii.find_pii(none), quality.quality_rules(none, labels), toxicity.score(none, toxicity.learn(none, labels)), simhash.near_duplicates(none), decontaminate.find_benchmark(none, spark.createDataFrame(ITEMS, "item_id long, text string"))):
         assert empty.count() == 0
+
+
+def test_token_files_of_repeated_and_missing_ids_have_one_order(spark):
+    rows = [(7, prose(k, 20)) for k in range(30)] + [(None, prose(50, 9)), (None, None), (1, "one"), (9, "x"), (7, prose(3, 20))]
+    tok = Tokenizer.from_file(BYTE_FILE)
+    runs = []
+    for parts in (1, 5):
+        got = pfor.read_files(pfor.write_files(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts), BYTE_FILE)).orderBy("start").collect()
+        runs.append([tuple(r) for r in got])
+        at = 0
+        for r in got:
+            assert r.start == at
+            at += r.n_tokens
+    assert runs[0] == runs[1] and [r[0] for r in runs[0]] == [None] * 2 + [1] + [7] * 31 + [9]
+    crc = lambda t: zlib.crc32(np.array([*tok.encode(t or "", add_special_tokens=False).ids, 0], "<u4").tobytes())
+    assert sorted(r[3] for r in runs[0]) == sorted(crc(t) for _, t in rows)
+
+
+def test_ids_that_are_no_numbers_are_refused_by_name(spark):
+    df = spark.createDataFrame([("a", BASE)], "doc_id string, text string")
+    for call in (substring_dedup.substring_dedup, suffix_dedup.suffix_dedup, simhash.fingerprint_components, pii.find_pii, quality.text_stats, lambda d: bpe.digests(d, WORD_FILE), lambda d: pfor.write_files(d, BYTE_FILE)):
+        with pytest.raises(TypeError, match="doc_id must be"):
+            call(df)
+    few = spark.createDataFrame([(1, BASE)], "doc_id int, text string")
+    assert pii.find_pii(few).count() == quality.text_stats(few).count() == 1
