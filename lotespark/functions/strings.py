@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .geometry import let
+
 #: Department names by code; two codes share one name.
 DEPARTMENTS = {
     "01": "Capital", "02": "Rosario de Lerma", "03": "La Caldera", "04": "Chicoana", "05": "La Viña", "06": "Guachipas",
@@ -85,6 +87,31 @@ def safe_count(c: Column) -> Column:
     return F.when(v > 0, v)
 
 
+def fixed(c: Column, places: int) -> Column:
+    """A double with so many decimals (up to seven), rounded by its exact value (halves to even), not by the figures that it is shown with.
+
+    The fraction is a double of its own. Where its product with the scale looks like a
+    half, what that product was rounded by tells on which side of the half it is.
+    """
+    scale = 10**places
+
+    def rounded(v: Column) -> Column:
+        f = v["f"]
+        top = f * 134217729.0 - (f * 134217729.0 - f)  # the first 26 bits: times the scale they are exact, as is the rest
+        low, product = f - top, f * scale
+        error = (top * scale - product) + low * scale
+        down = F.floor(product)
+        rest = product - down
+        below = v["whole"] * scale + down
+        up = (rest > 0.5) | ((rest == 0.5) & ((error > 0) | ((error == 0) & (below % 2 == 1))))
+        n = below + F.when(up, 1).otherwise(0)
+        figures = F.lpad((n % scale).cast("string"), places, "0") if places else F.lit("")
+        return F.concat(F.when(c < 0, "-").otherwise(""), ((n - n % scale) / scale).cast("bigint").cast("string"), F.lit("." if places else ""), figures)
+
+    whole = F.floor(F.abs(c))
+    return let(F.struct(whole.alias("whole"), (F.abs(c) - whole).alias("f")), rounded)
+
+
 def dotted_decimal(c: Column) -> Column:
     """`1.234,5` as 1234.5."""
     return F.replace(F.replace(F.trim(c), F.lit("."), F.lit("")), F.lit(","), F.lit(".")).try_cast("double")

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
@@ -387,6 +387,22 @@ def document_store(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(path).select("parcela_id", "uso")
 
 
+@query("SELECT setor_id, pos, round(x0 + 1e-2, 7) AS lng, round(y0 + 1e-2, 7) AS lat FROM (SELECT *, row_number() OVER (ORDER BY setor_id) - 1 AS pos FROM setores)", "setores")
+def paged_feed(spark: SparkSession, d: str) -> DataFrame:
+    """Sectors landed as pages of a service with their manifest, read to the short page that ends the feed."""
+    path, batch = _scratch(spark, "pages"), 30
+    s = table(spark, d, "setores").withColumn("pos", F.row_number().over(Window.orderBy("setor_id")) - 1)
+    page = (F.col("pos") / batch).cast("int")
+    feature = F.concat(F.lit('{"type":"Feature","properties":{"k":'), F.col("setor_id").cast("string"), F.lit('},"geometry":'), G.geojson(G.rectangle(F.col("x0"), F.col("y0"), F.col("x0") + SIDE, F.col("y0") + SIDE)), F.lit("}"))
+    pages = s.groupBy(page.alias("page")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", feature.alias("f")))), lambda x: x["f"]), ",").alias("f"))
+    last = s.count() // batch  # a full last page is followed by an empty one
+    pages = pages.unionByName(spark.range(last, last + 1).select(F.col("id").cast("int").alias("page"), F.lit("").alias("f"))).groupBy("page").agg(F.max("f").alias("f"))
+    feeds.land_pages(pages.select((F.col("page") * batch).alias("start"), F.concat(F.lit('{"type":"FeatureCollection","features":['), "f", F.lit("]}")).alias("text")), path)
+    got = feeds.features(feeds.pages(spark, path, batch).withColumnRenamed("pos", "place"))
+    c = G.centroid(G.from_geojson(F.col("geometry"))[0])
+    return got.select(F.col("properties")["k"].cast("bigint").alias("setor_id"), F.col("place").alias("pos"), F.round(c["x"], 7).alias("lng"), F.round(c["y"], 7).alias("lat"))
+
+
 @query("SELECT setor_id, round(x0 + 1e-2, 7) AS lng, round(y0 + 1e-2, 7) AS lat, distrito FROM setores", "setores")
 def geojson_export(spark: SparkSession, d: str) -> DataFrame:
     """Sectors written as GeoJSON lines and read back by the feed reader."""
@@ -399,15 +415,25 @@ def geojson_export(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT survey_id, concat(row_number() OVER w, ';', coalesce(calle, ''), ';', parcela_id) AS line FROM parcelas WINDOW w AS (PARTITION BY survey_id ORDER BY parcela_id) UNION ALL SELECT DISTINCT survey_id, 'N;calle;parcela_id' FROM parcelas""",
-    "parcelas",
-)
+    """, p AS (SELECT p.*, r.name, CASE WHEN coalesce(calle, '') <> '' THEN trim(concat_ws(' ', calle, nullif(numero, ''))) ELSE '(sin dirección)' END AS direccion FROM parcelas p JOIN surveys s ON s.survey_id = p.survey_id JOIN regions r ON r.region_key = s.region_key),
+    t AS (SELECT survey_id, any_value(name) AS name, count(*) AS n, count_if(coalesce(calle, '') <> '') AS d, count_if(coalesce(cca_code, '') <> '') AS c, CAST(sum(uf_vivienda + uf_comercio) AS BIGINT) AS uf, round(sum(area_m2_terreno), 2) AS area FROM p GROUP BY survey_id),
+    h AS (SELECT survey_id, unnest(['REPORTE DE RELEVAMIENTO CATASTRAL', concat('Región;', name), concat('Survey ID;', survey_id), 'Fecha;05/03/2024 14:07', concat('Total parcelas;', n), concat('Con dirección;', d), concat('Con UF;', n), concat('Con nomenclatura;', c), concat('Total UF;', uf),
+      concat('Área total relevada (m²);', CASE WHEN area <> 0 THEN format('{:,.1f}', area) ELSE '-' END), '', 'N°;Dirección;Área m²;UF;Nomenclatura Catastral;Partida Inmobiliaria']) AS line FROM t)
+    SELECT survey_id, line FROM h UNION ALL
+    SELECT survey_id, concat(row_number() OVER w, ';', direccion, ';', CASE WHEN area_m2_terreno <> 0 THEN printf('%.1f', area_m2_terreno) ELSE '-' END, ';', uf_vivienda + uf_comercio, ';', coalesce(cca_code, '-'), ';', parcela_id) FROM p WINDOW w AS (PARTITION BY survey_id ORDER BY calle NULLS LAST, numero NULLS LAST, parcela_id)""",
+    "parcelas", "surveys", "regions",
+)
 def csv_files(spark: SparkSession, d: str) -> DataFrame:
-    """Every survey's report as a file, read back as lines; the reader takes the mark off."""
+    """Every survey's whole report as a file, read back as lines; the reader takes the mark off."""
     path = _scratch(spark, "reports")
-    few = table(spark, d, "parcelas").select("survey_id", "calle", "parcela_id")
-    exports.write_csv_reports(few, path, "survey_id", ["calle", "parcela_id"], [F.asc("parcela_id")])
-    return spark.read.schema("value string, survey_id bigint").text(path).select("survey_id", F.col("value").alias("line"))
+    p = table(spark, d, "parcelas")
+    named = table(spark, d, "surveys").join(table(spark, d, "regions"), "region_key").select("survey_id", "name")
+    totals = reports.totals(p, ["survey_id"]).join(named, "survey_id")
+    rows = reports.report_columns(p.withColumns({"nomenclatura_catastral": F.col("cca_code"), "partida_inmobiliaria": F.col("parcela_id").cast("string")}))
+    order = [F.asc_nulls_last("calle"), F.asc_nulls_last("numero"), F.asc("parcela_id")]
+    exports.write_csv_reports(rows, path, "survey_id", ["direccion", "area", "uf", "nomenclatura", "partida"], order, heading=reports.HEADING, preamble=reports.preamble(totals, F.lit("2024-03-05 14:07:00").cast("timestamp")))
+    key = F.regexp_extract("_metadata.file_name", r"relevamiento_(\d+)\.csv", 1).cast("bigint")
+    return spark.read.text(path).select(key.alias("survey_id"), F.col("value").alias("line"))
 
 
 @query(

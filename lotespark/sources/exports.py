@@ -1,4 +1,4 @@
-"""Sinks: Parquet tables, CSV with a byte-order mark, GeoJSON lines."""
+"""Sinks: Parquet tables, CSV reports with a byte-order mark, GeoJSON lines."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from . import paged
 
 
 def write_table(df: DataFrame, path: str, by: str = "region_id", mode: str = "overwrite") -> None:
@@ -25,21 +26,19 @@ def csv_lines(rows: DataFrame, by: str, columns: list[str], order: list, sep: st
     return rows.select(by, n.alias("n"), F.concat_ws(sep, n.cast("string"), *[quoted(c) for c in columns]).alias("line"))
 
 
-def write_csv_reports(rows: DataFrame, path: str, by: str, columns: list[str], order: list, sep: str = ";") -> None:
-    """Every survey's report, a folder each, written by Spark: a mark and the heading, then numbered rows in order."""
-    heading = F.lit("\ufeff" + sep.join(["N", *columns]))
-    heads = rows.select(by).distinct().select(by, F.lit(0).alias("n"), heading.alias("line"))
-    lines = csv_lines(rows, by, columns, order, sep).union(heads)
-    lines.repartition(by).sortWithinPartitions(by, "n").select(by, "line").write.partitionBy(by).text(path)
-
+def write_csv_reports(rows: DataFrame, path: str, by: str, columns: list[str], order: list, sep: str = ";", heading: list[str] | None = None, preamble: DataFrame | None = None) -> None:
+    """Every survey's report as a file of its own: a mark, the preamble (`by`, lines: an array) and an empty line, the heading, and numbered rows in order.
 
-def write_csv_report(rows: DataFrame, path: str, by: str, columns: list[str], order: list, preamble: list[str]) -> None:
-    """One survey's report as one local file: mark, preamble, heading and numbered rows, taken from Spark one partition at a time."""
-    with open(path, "w", encoding="utf-8-sig", newline="") as f:
-        for line in [*preamble, "", ";".join(["N", *columns])]:
-            f.write(line + "\r\n")
-        for r in csv_lines(rows, by, columns, order).orderBy("n").toLocalIterator():
-            f.write(r.line + "\r\n")
+    Each task writes the files of its surveys; they are moved to their place when all have ended (sources.paged).
+    """
+    paged.register(rows.sparkSession)
+    keys = rows.select(by).distinct()
+    heads = keys.select(by, F.lit(0).alias("n"), F.lit(sep.join(heading or ["N", *columns])).alias("line"))
+    if preamble is not None:
+        first = preamble.join(keys, by, "left_semi").select(by, F.posexplode(F.concat("lines", F.array(F.lit("")))).alias("k", "line"))
+        heads = heads.union(first.select(by, F.col("k") - 1_000_000, "line"))
+    lines = csv_lines(rows, by, columns, order, sep).union(heads)
+    lines.repartition(by).sortWithinPartitions(by, "n").select(by, "line").write.format("survey_reports").mode("append").save(path)
 
 
 def geojson_features(df: DataFrame, polygon: str, properties: list[str]) -> DataFrame:

@@ -7,6 +7,9 @@ Malformed documents give no rows instead of an error.
 
 from __future__ import annotations
 
+import json
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +17,7 @@ from ..functions import geometry as G
 from ..functions import strings as S
 from ..operators import planar
 from ..runtime import stored
+from . import paged
 
 COLLECTION = "features array<struct<properties: map<string,string>, attributes: map<string,string>, geometry: string>>"
 
@@ -42,6 +46,22 @@ def documents(spark: SparkSession, path: str, glob: str | None = None) -> DataFr
     return reader.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
+def pages(spark: SparkSession, path: str, batch: int = paged.BATCH, member: str = "features") -> DataFrame:
+    """pos and text of every feature of a landed paged feed; missing pages are an error (sources.paged)."""
+    paged.register(spark)
+    return spark.read.format("pages").options(path=path, batch=batch, features=member).load()
+
+
+def land_pages(docs: DataFrame, path: str) -> None:
+    """Pages (start, text) as a landed feed: a folder per page, and the manifest."""
+    docs.select("start", F.col("text").alias("value")).repartition("start").write.partitionBy("start").text(path)
+    store, at = paged.store_of(path)
+    landed = docs.sparkSession.read.text(path).select("start", "_metadata.file_path").distinct().orderBy("start").toLocalIterator()
+    with store.open_output_stream(f"{at}/manifest.jsonl") as f:
+        for r in landed:
+            f.write((json.dumps({"start": r.start, "file": "/".join(unquote(r.file_path).rsplit("/", 2)[1:])}) + "\n").encode())
+
+
 def features(docs: DataFrame, text: str = "text") -> DataFrame:
     """Features of GeoJSON collections, single features, bare geometries and ArcGIS pages: position, properties, geometry text."""
     body = F.col(text)

@@ -80,6 +80,16 @@ USO COMERCIAL TIPOLOGIA SALA TIPOLOGIA sala TIPOLOGIA CASA
 """
 
 
+def test_fixed_decimals_are_those_of_the_exact_value(spark):
+    import random
+
+    rng = random.Random(6)
+    xs = [113834.95, 0.25, 0.75, 0.05, 0.15, -0.25, -12579.25, 0.0, 1e12 + 0.05, 2.5, 0.96, 0.999, 9.95] + [round(rng.uniform(-1e5, 1e5), 2) for _ in range(300)]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    got = df.select("x", *[strings.fixed(F.col("x"), p).alias(f"p{p}") for p in (0, 1, 6)]).collect()
+    assert all((r.p0, r.p1, r.p6) == (f"{r.x:.0f}", f"{r.x:.1f}", f"{r.x:.6f}") for r in got)
+
+
 def test_property_report(spark):
     got = bci.fields(F.lit(REPORT))
     row = spark.range(1).select(*[v.alias(k) for k, v in got.items()]).first().asDict()

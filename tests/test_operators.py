@@ -109,8 +109,9 @@ def test_lot_and_block_feeds(spark):
 
 def test_csv_report_bytes(spark, tmp_path):
     df = spark.createDataFrame([(1, "B", "2"), (1, "A;x", '3"'), (1, None, "1")], "survey_id int, calle string, numero string")
-    exports.write_csv_report(df, str(tmp_path / "r.csv"), "survey_id", ["calle", "numero"], [F.asc_nulls_last("calle")], ["Informe"])
-    assert (tmp_path / "r.csv").read_bytes() == '﻿Informe\r\n\r\nN;calle;numero\r\n1;"A;x";"3"""\r\n2;B;2\r\n3;;1\r\n'.encode()
+    exports.write_csv_reports(df, str(tmp_path), "survey_id", ["calle", "numero"], [F.asc_nulls_last("calle")], preamble=spark.createDataFrame([(1, ["Informe"]), (2, ["no rows"])], "survey_id int, lines array<string>"))
+    assert [p.name for p in tmp_path.iterdir()] == ["relevamiento_1.csv"]
+    assert (tmp_path / "relevamiento_1.csv").read_bytes() == '﻿Informe\r\n\r\nN;calle;numero\r\n1;"A;x";"3"""\r\n2;B;2\r\n3;;1\r\n'.encode()
     square = spark.createDataFrame([(1, [[(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 0.0)]])], "id int, p array<array<struct<x:double,y:double>>>")
     feature = json.loads(exports.geojson_features(square, "p", ["id"]).first().value)
     assert feature["properties"] == {"id": 1} and feature["geometry"]["coordinates"][0][1] == [1.0, 0.0]
