@@ -474,10 +474,7 @@ def _log_stream(spark: SparkSession, d: str) -> DataFrame:
 def _batches(stream: DataFrame, mode: str) -> DataFrame:
     """Run a stream to the end of what is there; all batches' rows with their number, from the shared folder."""
     spark = stream.sparkSession
-    path = _scratch(spark, "stream")
-    put = lambda df, n: df.withColumn("batch", F.lit(n)).write.mode("append").parquet(path)
-    stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", _scratch(spark, "stream-state")).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(f"{','.join(f'{f.name} {f.dataType.simpleString()}' for f in stream.schema)}, batch int").parquet(path)
+    return activity.by_batch(stream, _scratch(spark, "stream"), _scratch(spark, "stream-state"), mode)
 
 
 @query("SELECT survey_id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids FROM (SELECT survey_id, id, row_number() OVER (PARTITION BY survey_id ORDER BY id DESC) AS k FROM activity_log) WHERE k <= 20 GROUP BY survey_id", "activity_log")
@@ -504,17 +501,22 @@ def stream_tail(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """, u AS (SELECT survey_id, id AS seq, CASE WHEN value > 95 THEN 'stopped' WHEN lvl = 'click' THEN NULL ELSE lvl END AS status FROM activity_log), l AS (SELECT survey_id, max(CASE WHEN status = 'stopped' THEN 1 ELSE 0 END) AS s, arg_max(status, CASE WHEN status IS NOT NULL THEN seq END) AS last FROM u GROUP BY survey_id)
-    SELECT survey_id, CASE WHEN s = 1 THEN 'stopped' ELSE last END AS status, s = 1 AS should_stop FROM l""",
-    "activity_log",
-)
+    """, u AS (SELECT survey_id, id AS seq, CASE WHEN value > 99 THEN 'stopped' WHEN lvl = 'click' THEN NULL ELSE lvl END AS status FROM activity_log), k AS (SELECT survey_id FROM activity_log WHERE id % 997 = 0),
+    l AS (SELECT survey_id, max(CASE WHEN status = 'stopped' THEN 1 ELSE 0 END) AS s, arg_max(status, CASE WHEN status IS NOT NULL THEN seq END) AS last FROM u GROUP BY survey_id)
+    SELECT l.survey_id, CASE WHEN s = 1 OR b.status = 'stopped' OR l.survey_id IN (FROM k) THEN 'stopped' ELSE coalesce(last, b.status) END AS status, CASE WHEN s = 1 OR b.status = 'stopped' OR l.survey_id IN (FROM k) THEN TRUE ELSE coalesce(last, b.status) = 'failed' END AS should_stop
+    FROM l LEFT JOIN surveys b ON b.survey_id = l.survey_id""",
+    "activity_log", "surveys",
+)
 def stream_states(spark: SparkSession, d: str) -> DataFrame:
-    """The state machine over a stream of updates: stopped is final, whatever the order of the files."""
-    path = _scratch(spark, "updates")
-    status = F.when(F.col("value") > 95, "stopped").when(F.col("lvl") != "click", F.col("lvl"))
-    table(spark, d, "activity_log").select("survey_id", F.col("id").alias("seq"), status.alias("status")).repartitionByRange(3, "seq").write.parquet(path)
-    updates = spark.readStream.schema("survey_id bigint, seq bigint, status string").parquet(path)
-    rows = _batches(activity.survey_states(updates), "update")
+    """The state machine over a stream of updates that starts from the surveys' table, with stops from a control stream: stopped is final, and older updates that come later change nothing."""
+    path, control = _scratch(spark, "updates"), _scratch(spark, "control")
+    status = F.when(F.col("value") > 99, "stopped").when(F.col("lvl") != "click", F.col("lvl"))
+    log = table(spark, d, "activity_log")
+    log.select("survey_id", F.col("id").alias("seq"), status.alias("status")).repartition(3, F.hash("id") % 3).write.parquet(path)  # batches hold early and late updates alike
+    log.where("id % 997 = 0").select("survey_id").write.parquet(control)
+    updates = spark.readStream.schema("survey_id bigint, seq bigint, status string").option("maxFilesPerTrigger", 1).parquet(path)
+    stops = spark.readStream.schema("survey_id bigint").option("maxFilesPerTrigger", 1).parquet(control)
+    rows = _batches(activity.survey_states(updates, table(spark, d, "surveys"), stops), "update")
     return rows.groupBy("survey_id").agg(F.max_by("status", "batch").alias("status"), F.max_by("should_stop", "batch").alias("should_stop"))
 
 

@@ -7,7 +7,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import TimerValues
 
 from ..runtime import ready
 
@@ -22,32 +23,92 @@ def only(log: DataFrame, prefix: str, column: str = "msg") -> DataFrame:
     return log.where(F.col(column).startswith(prefix))
 
 
-def ring_buffer(log: DataFrame, size: int = 100, key: str = "survey_id", order: str = "id") -> DataFrame:
-    """Per key the last `size` ids after each batch, as rows key, ids; the state holds `size` ids and no more."""
+def with_keyed_state(spark: SparkSession) -> None:
+    """State by key (lists, values, times to live) needs the RocksDB store; sets it where the session has the default one."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    if "HDFSBacked" in spark.conf.get(name):
+        spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
-    def update(key_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(state.get[0]) if state.exists else []
-        for b in batches:
-            held = sorted({*held, *map(int, b[order])})[-size:]
-        state.update((held,))
-        yield pd.DataFrame({key: [key_[0]], "ids": [held]})
 
-    return log.select(key, order).transform(ready).groupBy(key).applyInPandasWithState(update, f"{key} bigint, ids array<bigint>", "ids array<bigint>", "update", GroupStateTimeout.NoTimeout)
+class Ring(StatefulProcessor):
+    """The last `size` ids of a key, in a list state that holds no more."""
 
+    def __init__(self, key: str, order: str, size: int, ttl_ms: int | None):
+        self.key, self.order, self.size, self.ttl_ms = key, order, size, ttl_ms
 
-def survey_states(updates: DataFrame) -> DataFrame:
-    """Running status of each survey from updates (survey_id, seq, status): stopped is final."""
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.ids = handle.getListState("ids", "id bigint", self.ttl_ms)
 
-    def update(key_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        status = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values("seq", kind="stable")
-        for new in rows["status"]:
-            if status != "stopped" and new is not None:
-                status = new
-        state.update((status,))
-        yield pd.DataFrame({"survey_id": [key_[0]], "status": [status], "should_stop": [status in ("stopped", "failed")]})
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: TimerValues) -> Iterator[pd.DataFrame]:
+        held = [i for (i,) in self.ids.get()] if self.ids.exists() else []
+        for b in rows:
+            held = sorted({*held, *map(int, b[self.order])})[-self.size :]
+        self.ids.put([(i,) for i in held])
+        yield pd.DataFrame({self.key: [key[0]], "ids": [held]})
 
-    return updates.transform(ready).groupBy("survey_id").applyInPandasWithState(update, "survey_id bigint, status string, should_stop boolean", "status string", "update", GroupStateTimeout.NoTimeout)
+    def close(self) -> None:
+        pass
+
+
+def ring_buffer(log: DataFrame, size: int = 100, key: str = "survey_id", order: str = "id", ttl_ms: int | None = None) -> DataFrame:
+    """Per key the last `size` ids after each batch, as rows key, ids. With `ttl_ms` a key that nothing came for so long is forgotten; give such a query a trigger by time, as it has a batch at every trigger."""
+    with_keyed_state(log.sparkSession)
+    mode = "ProcessingTime" if ttl_ms else "None"
+    return log.select(key, order).transform(ready).groupBy(key).transformWithStateInPandas(Ring(key, order, size, ttl_ms), f"{key} bigint, ids array<bigint>", "Update", mode)
+
+
+class States(StatefulProcessor):
+    """Status of a survey with the number of the update that set it; stopped is final.
+
+    An update that is older than the one held changes nothing, in whatever batch it
+    comes, unless it stops the survey: that it was stopped at any time is enough.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getValueState("held", "status string, seq bigint")
+
+    def handleInitialState(self, key: tuple, rows: pd.DataFrame, timers: TimerValues) -> None:
+        status = rows["status"].iloc[0]
+        self.held.update((status if isinstance(status, str) else None, None))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: TimerValues) -> Iterator[pd.DataFrame]:
+        status, seq = self.held.get() if self.held.exists() else (None, None)
+        for b in rows:
+            for new, at, stop in zip(b["status"], b["seq"], b["stop"]):
+                if status == "stopped":
+                    break
+                if stop or new == "stopped":
+                    status, seq = "stopped", None
+                elif isinstance(new, str) and (seq is None or int(at) >= seq):
+                    status, seq = new, int(at)
+        self.held.update((status, seq))
+        yield pd.DataFrame({"survey_id": [key[0]], "status": [status], "should_stop": [status in ("stopped", "failed")]})
+
+    def close(self) -> None:
+        pass
+
+
+def survey_states(updates: DataFrame, surveys: DataFrame | None = None, stops: DataFrame | None = None) -> DataFrame:
+    """Running status of each survey from updates (survey_id, seq, status): stopped is final.
+
+    `surveys` (survey_id, status) is the table that the first run starts from; `stops`
+    (survey_id) is the control stream whose rows ask a survey to stop.
+    """
+    with_keyed_state(updates.sparkSession)
+    rows = updates.select("survey_id", "seq", "status", F.lit(False).alias("stop"))
+    if stops is not None:
+        rows = rows.unionByName(stops.select("survey_id", F.lit(None).cast("bigint").alias("seq"), F.lit(None).cast("string").alias("status"), F.lit(True).alias("stop")))
+    first = surveys.select("survey_id", "status").groupBy("survey_id") if surveys is not None else None
+    return rows.transform(ready).groupBy("survey_id").transformWithStateInPandas(States(), "survey_id bigint, status string, should_stop boolean", "Update", "None", first)
+
+
+def by_batch(stream: DataFrame, path: str, checkpoint: str, mode: str = "update") -> DataFrame:
+    """Run a stream to the end of what is there, each batch in a folder of its own, which a batch that is repeated writes anew; the rows with their batch."""
+    spark = stream.sparkSession
+    put = lambda df, n: df.write.mode("overwrite").parquet(f"{path}/batch={n}")
+    stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    schema = ",".join(f"{f.name} {f.dataType.simpleString()}" for f in stream.schema)
+    return spark.read.schema(f"{schema}, batch int").parquet(path)
 
 
 def activity_windows(log: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
