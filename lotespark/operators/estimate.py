@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import geometry as G
+
 
 def dasymetric(buildings: DataFrame, sectors: DataFrame, weights: dict[str, Column], sector: str = "setor_id") -> DataFrame:
     """Each building's share of its sector's people under each weighting, and over them estimate, low, high and confidence.
@@ -33,7 +35,7 @@ def units_from_area(area: Column, per_unit: float = 80.0) -> Column:
 
 
 def validate(parcelas: DataFrame, sectors: DataFrame, surveys: DataFrame, tolerance: float = 0.05) -> DataFrame:
-    """One row per check: rows looked at and rows that fail it."""
+    """One row per check: rows looked at and rows that fail it. Polygons are checked where parcels have them."""
     by_sector = parcelas.groupBy("setor_id").agg(F.sum("habitantes_estimados").alias("hab"))
     off = sectors.join(by_sector, "setor_id", "left").select(F.abs(F.coalesce("hab", F.lit(0.0)) - F.col("pop_total")) > tolerance * F.greatest("pop_total", F.lit(1)))
     row = lambda name, df, bad: df.agg(F.lit(name).alias("control"), F.count("*").alias("filas"), F.count_if(bad).alias("fallas"))
@@ -42,4 +44,7 @@ def validate(parcelas: DataFrame, sectors: DataFrame, surveys: DataFrame, tolera
     known = surveys.select("survey_id").distinct().withColumn("_ok", F.lit(1))
     fk = row("survey_existe", parcelas.select("survey_id").join(known, "survey_id", "left"), F.col("_ok").isNull())
     place = row("centroide_valido", parcelas, ~(F.col("centroid_lat").between(-90, 90) & F.col("centroid_lng").between(-180, 180)) | F.col("centroid_lat").isNull())
-    return people.unionByName(twice).unionByName(fk).unionByName(place)
+    out = people.unionByName(twice).unionByName(fk).unionByName(place)
+    if "polygon" in parcelas.columns:
+        out = out.unionByName(row("geometria_valida", parcelas.select(G.repaired(F.col("polygon")).isNull().alias("bad")), F.col("bad")))
+    return out

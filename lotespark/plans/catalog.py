@@ -512,12 +512,16 @@ FAULTY = """SELECT parcela_id, CASE WHEN parcela_id % 50 = 7 THEN -survey_id ELS
     SELECT 'habitantes_por_setor' AS control, count(*) AS filas, count_if(abs(coalesce(h.hab, 0) - s.pop_total) > 0.05 * greatest(s.pop_total, 1)) AS fallas FROM setores s LEFT JOIN h ON h.setor_id = s.setor_id
     UNION ALL SELECT 'parcelas_repetidas', count(*), count_if(k > 1) FROM (SELECT parcela_id, count(*) AS k FROM p GROUP BY parcela_id)
     UNION ALL SELECT 'survey_existe', count(*), count_if(survey_id NOT IN (SELECT survey_id FROM surveys)) FROM p
-    UNION ALL SELECT 'centroide_valido', count(*), count_if(centroid_lat IS NULL OR abs(centroid_lat) > 90 OR abs(centroid_lng) > 180) FROM p""",
+    UNION ALL SELECT 'centroide_valido', count(*), count_if(centroid_lat IS NULL OR abs(centroid_lat) > 90 OR abs(centroid_lng) > 180) FROM p
+    UNION ALL SELECT 'geometria_valida', count(*), count_if(centroid_lat IS NULL OR parcela_id % 10 < 2) FROM p""",
     "parcelas", "setores", "surveys",
 )
 def validator(spark: SparkSession, d: str) -> DataFrame:
     """Counts of the checks over parcels of which some repeat, name no survey, or lie nowhere."""
     p = spark.sql(FAULTY.format(p="{p}"), p=table(spark, d, "parcelas"))
+    at = lambda dx, dy: G.point(F.col("centroid_lng") + dx * 1e-4, F.col("centroid_lat") + dy * 1e-4)
+    square, bow, spike = (F.array(F.array(*(at(*c) for c in ring))) for ring in (((0, 0), (1, 0), (1, 1), (0, 1)), ((0, 0), (1, 1), (1, 0), (0, 1)), ((0, 0), (1, 0), (2, 0), (1, 0), (1, 1), (0, 1))))
+    p = p.withColumn("polygon", F.when(F.col("parcela_id") % 10 == 0, bow).when(F.col("parcela_id") % 10 == 1, spike).otherwise(square))
     return estimate.validate(p, table(spark, d, "setores"), table(spark, d, "surveys"))
 
 
@@ -719,17 +723,38 @@ def city_routing(spark: SparkSession, d: str) -> DataFrame:
 # Generators and text rules
 
 
-@query("SELECT id, lpad(CAST(id AS VARCHAR), 15, '0') AS code FROM range(30000, 50001) r(id)")
+@query("SELECT id, lpad(CAST(id AS VARCHAR), 15, '0') AS code FROM (SELECT unnest(range(min(parcela_id), max(parcela_id) + 1)) AS id FROM parcelas)", "parcelas")
 def padded_ids(spark: SparkSession, d: str) -> DataFrame:
-    return grids.padded_ids(spark, 30000, 50000)
+    """Every code from the first parcel's to the last one's."""
+    ends = table(spark, d, "parcelas").agg(F.min("parcela_id").alias("a"), F.max("parcela_id").alias("b")).first()
+    return grids.padded_ids(spark, ends.a, ends.b)
 
 
-@query("SELECT i.i AS i, CAST(j.j AS INTEGER) AS j, round(i.i * 5e-2, 9) AS s, round(j.j * 5e-2, 9) AS w, round(least(i.i * 5e-2 + 5e-2, 1.02e0), 9) AS n, round(least(j.j * 5e-2 + 5e-2, 2.02e0), 9) AS e FROM range(0, 21) i(i), range(0, 41) j(j)")
+@query(
+    """, b AS (SELECT min(y0) AS s0, min(x0) AS w0, max(y0) + 2e-2 AS n0, max(x0) + 2e-2 AS e0 FROM setores)
+    SELECT i, CAST(j AS INTEGER) AS j, round(s0 + i * 3e-3, 9) AS s, round(w0 + j * 3e-3, 9) AS w, round(least(s0 + i * 3e-3 + 3e-3, n0), 9) AS n, round(least(w0 + j * 3e-3 + 3e-3, e0), 9) AS e
+    FROM (SELECT *, unnest(range(0, CAST(trunc((n0 - s0) / 3e-3) AS BIGINT) + 1)) AS i FROM b), unnest(range(0, CAST(trunc((e0 - w0) / 3e-3) AS BIGINT) + 1)) x(j)""",
+    "setores",
+)
 def plain_grid(spark: SparkSession, d: str) -> DataFrame:
-    g = grids.plain_grid(spark, 0.0, 0.0, 1.02, 2.02, 0.05)
+    """One grid over the box of all sectors."""
+    b = table(spark, d, "setores").agg(F.min("y0").alias("s"), F.min("x0").alias("w"), (F.max("y0") + SIDE).alias("n"), (F.max("x0") + SIDE).alias("e")).first()
+    g = grids.plain_grid(spark, b.s, b.w, b.n, b.e, 3e-3)
     return g.select("i", "j", *[F.round(c, 9).alias(c) for c in ("s", "w", "n", "e")])
 
 
+@query(
+    """SELECT p.parcela_id, s.setor_id FROM parcelas p JOIN setores s ON p.centroid_lng >= s.x0 + 5e-5 AND p.centroid_lat >= s.y0 + 5e-5 AND (p.centroid_lng - s.x0 - 5e-5) + (p.centroid_lat - s.y0 - 5e-5) <= 2e-2""",
+    "parcelas", "setores",
+)
+def tiled_zones(spark: SparkSession, d: str) -> DataFrame:
+    """Parcels in triangular zones, by map tiles of zoom 12 to 16: whole tiles inside, an exact test along the boundary."""
+    x, y = F.col("x0") + 5e-5, F.col("y0") + 5e-5
+    zones = table(spark, d, "setores").select("setor_id", F.array(F.array(G.point(x, y), G.point(x + SIDE, y), G.point(x, y + SIDE), G.point(x, y))).alias("zone"))
+    cover = grids.tile_cover(zones, "setor_id", "zone", 12, 16)
+    return grids.in_tiles(table(spark, d, "parcelas"), zones, cover, "parcela_id", "centroid_lat", "centroid_lng", "setor_id", "zone", 12, 16)
+
+
 @query("SELECT parcela_id, m.pos AS pos, round(centroid_lat + m.a, 7) AS plat, round(centroid_lng + m.b, 7) AS plng FROM parcelas, (VALUES (0, 0e0, 0e0), (1, 1e-4, 0e0), (2, -1e-4, 0e0), (3, 0e0, 1e-4), (4, 0e0, -1e-4), (5, 1e-4, 1e-4)) m(pos, a, b)", "parcelas")
 def probe_points(spark: SparkSession, d: str) -> DataFrame:
     got = grids.probe_points(table(spark, d, "parcelas").select("parcela_id", "centroid_lat", "centroid_lng"), "centroid_lat", "centroid_lng")

@@ -218,3 +218,21 @@ def test_spatial_join_meets_each_pair_once(spark):
         assert got == sorted((i, j) for i, p in a for j, q in b if test(p, q))
     met = sorted(map(tuple, spatial.spatial_join(l, r, "intersects", "p", "q", 0.7, "a", "b").collect()))
     assert len(met) == len(set(met)) > 100
+
+
+def test_tile_covers(spark):
+    from lotespark.operators import grids
+
+    rng = random.Random(8)
+    zones = spark.createDataFrame([(1, [[(-56.2, -15.7), (-56.0, -15.7), (-56.2, -15.5), (-56.2, -15.7)]]), (2, [[(-56.1, -15.6), (-55.9, -15.6), (-55.9, -15.4), (-56.1, -15.4)], [(-56.05, -15.55), (-55.95, -15.55), (-55.95, -15.45), (-56.05, -15.45)]])], f"z int, p {P}")
+    places = [(k, rng.uniform(-15.75, -15.35), rng.uniform(-56.25, -55.85)) for k in range(800)]
+    points = spark.createDataFrame(places, "k int, lat double, lng double")
+    cover = grids.tile_cover(zones, "z", "p", 9, 14).cache()
+    got = sorted(map(tuple, grids.in_tiles(points, zones, cover, "k", "lat", "lng", "z", "p").collect()))
+    rings = {r.z: [[(c.x, c.y) for c in ring] for ring in r.p] for r in zones.collect()}
+    want = sorted((k, z) for k, lat, lng in places for z, poly in rings.items() if plain_covers(poly, (lng, lat)))
+    assert got == want and len(got) == len(set(got)) > 100
+    tiles = [tuple(r) for r in cover.select("z", "tile", "whole").collect()]
+    assert len(tiles) == len(set(tiles)) and {len(t) for _, t, w in tiles if w} > {13} and all(len(t) == 14 for _, t, w in tiles if not w)
+    assert not any(a != b and z == y and b.startswith(a) for z, a, _ in tiles for y, b, _ in tiles)  # no tile within another
+    assert {r.tile for r in grids.feed_tiles(cover).collect()} == {t[:9] for _, t, _ in tiles}
