@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..runtime import forget, stored
+from ..runtime import forget, stored, temporary
 
 DIGITS = 9
 #: A vertex this near to an edge lies on it: less than the grid's step.
@@ -224,8 +224,10 @@ def _covered(parts: DataFrame) -> DataFrame:
 
 def union(df: DataFrame, by: str, part: str, multi: str, digits: int = DIGITS) -> DataFrame:
     """(by, polygons): what the groups' multipolygons (arrays of polygons) cover; `part` tells the rows of a group apart."""
-    whole = stored(ring_edges(df, by, part, F.flatten(F.col(multi)), digits), "edges")
-    return _covered(noded(whole, digits)).withColumnRenamed("g", by)
+    with temporary():
+        whole = stored(ring_edges(df, by, part, F.flatten(F.col(multi)), digits), "edges")
+        out = _covered(noded(whole, digits)).withColumnRenamed("g", by)
+        return stored(out, "areas", keep=True)
 
 
 def repair(df: DataFrame, key: str, multi: str, digits: int = DIGITS) -> DataFrame:
@@ -238,16 +240,17 @@ def polygonize(df: DataFrame, key: str, lines: str, everywhere: bool = False, di
 
     Dangles and bridges have the same face on both sides; without them the faces are walked again.
     """
-    line = df.select(F.col(key).alias("g"), F.posexplode(lines).alias("n", "line"))
-    last = F.size("line") - 2
-    edge = line.select("g", "n", last.alias("last"), F.posexplode(G.edges(F.col("line"))).alias("k", "e"))
-    tag = lambda k, end: F.lit(-1).cast("long") if everywhere else F.when(end, F.lit(-1).cast("long")).otherwise(F.col("n").cast("long") * (1 << 32) + k)
-    node = lambda p, k, end: F.struct(_snapped(p, digits)["x"].alias("x"), _snapped(p, digits)["y"].alias("y"), tag(k, end).alias("tag"))
-    edge = edge.select("g", node(F.col("e.a"), F.col("k"), F.col("k") == 0).alias("p"), node(F.col("e.b"), F.col("k") + 1, F.col("k") == F.col("last")).alias("q"))
-    edges = stored(edge.where("p != q").select("g", F.lit(0).alias("part"), F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct(), "edges")
-    pieces = numbered(noded(edges, digits) if everywhere else edges)
-    walks = walked(pieces)
-    twins = walks.select(F.col("h").bitwiseXOR(F.lit(1).cast("long")).alias("h"), F.col("walk").alias("other"))
-    two = walks.select("h", "walk").join(twins, "h").where("walk != other").select(F.shiftright("h", 1).alias("id")).distinct()
-    kept = stored(pieces.join(two, "id", "left_semi"), "cycles")
-    return polygons(walked(kept).withColumn("covered", F.lit(True)), stored(_extent(kept), "extent")).withColumnRenamed("g", key)
+    with temporary():
+        line = df.select(F.col(key).alias("g"), F.posexplode(lines).alias("n", "line"))
+        last = F.size("line") - 2
+        edge = line.select("g", "n", last.alias("last"), F.posexplode(G.edges(F.col("line"))).alias("k", "e"))
+        tag = lambda k, end: F.lit(-1).cast("long") if everywhere else F.when(end, F.lit(-1).cast("long")).otherwise(F.col("n").cast("long") * (1 << 32) + k)
+        node = lambda p, k, end: F.struct(_snapped(p, digits)["x"].alias("x"), _snapped(p, digits)["y"].alias("y"), tag(k, end).alias("tag"))
+        edge = edge.select("g", node(F.col("e.a"), F.col("k"), F.col("k") == 0).alias("p"), node(F.col("e.b"), F.col("k") + 1, F.col("k") == F.col("last")).alias("q"))
+        edges = stored(edge.where("p != q").select("g", F.lit(0).alias("part"), F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct(), "edges")
+        pieces = numbered(noded(edges, digits) if everywhere else edges)
+        walks = walked(pieces)
+        twins = walks.select(F.col("h").bitwiseXOR(F.lit(1).cast("long")).alias("h"), F.col("walk").alias("other"))
+        two = walks.select("h", "walk").join(twins, "h").where("walk != other").select(F.shiftright("h", 1).alias("id")).distinct()
+        kept = stored(pieces.join(two, "id", "left_semi"), "cycles")
+        return stored(polygons(walked(kept).withColumn("covered", F.lit(True)), stored(_extent(kept), "extent")).withColumnRenamed("g", key), "areas", keep=True)

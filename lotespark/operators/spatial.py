@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..runtime import stored
+from ..runtime import forget, stored
 
 
 def cell_of(v: Column, size: float) -> Column:
@@ -111,7 +111,9 @@ def nearest_line(points: DataFrame, lines: DataFrame, point_id: str, x: str, y:
         value = F.struct(*names, F.col("_l.dist").alias("dist"), F.col("_l.frac").alias("frac"), F.col("_l.x").alias("px"), F.col("_l.y").alias("py"))
         best = hits.groupBy(point_id).agg(F.min_by(value, F.struct(F.col("_l.dist"), F.col(line_id))).alias("v")).where(F.col("v.dist") <= size)
         found.append(stored(best.select(point_id, "v.*"), "nearest"))
-        left = stored(left.join(found[-1].select(point_id), point_id, "left_anti").select(left.columns), "far-points")
+        forget(guess)
+        past, left = left if len(found) > 1 else None, stored(left.join(found[-1].select(point_id), point_id, "left_anti").select(left.columns), "far-points")
+        forget(past)
         if size >= within or left.isEmpty():
             out = found[0]
             for f in found[1:]:

@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,12 +57,32 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+#: Tables of the temporary() blocks that are open, innermost last.
+_OPEN: list[list[DataFrame]] = []
+
+
+@contextmanager
+def temporary() -> Iterator[None]:
+    """Tables stored within are deleted at the block's end, however it ends, but for those stored with keep."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for df in _OPEN.pop():
+            forget(df)
+
+
+def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back: later steps survive lost executors and don't redo it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    if _OPEN and not keep:
+        _OPEN[-1].append(out)
+    elif len(_OPEN) > 1:
+        _OPEN[-2].append(out)
+    return out
 
 
 def forget(df: DataFrame | None) -> None:
