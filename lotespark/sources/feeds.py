@@ -95,12 +95,16 @@ def parcel_features(docs: DataFrame, utm_zone: int = 20) -> DataFrame:
     )
 
 
+#: Corners up to which a row's edges are compared with one another to see if it is sound; larger ones go to the graph, whose work grows with the edges.
+FEW_CORNERS = 1000
+
+
 def largest_valid(rows: DataFrame, polygons: str, name: str) -> DataFrame:
     """rows with the largest polygon of each row's array; rows with a broken one are repaired as a whole, apart from the others, first."""
-    clean = F.transform(polygons, G.repaired)
-    rows = stored(rows.withColumns({"_row": F.monotonically_increasing_id(), "_clean": F.when(F.size(polygons) > 0, clean)}), "shapes")
-    sound = F.forall("_clean", lambda p: p.isNotNull())
-    bad = rows.where(~sound).select("_row", polygons)
+    few = F.aggregate(polygons, F.lit(0), lambda n, p: n + F.size(F.flatten(p))) <= FEW_CORNERS
+    rows = stored(rows.withColumns({"_row": F.monotonically_increasing_id(), "_clean": F.when((F.size(polygons) > 0) & few, F.transform(polygons, G.repaired))}), "shapes")
+    sound = F.coalesce(F.forall("_clean", lambda p: p.isNotNull()), F.lit(False))
+    bad = rows.where(~sound & (F.size(polygons) > 0)).select("_row", polygons)
     whole = F.when(sound, F.col("_clean"))
     if not bad.isEmpty():
         rows = rows.join(planar.repair(bad, "_row", polygons).withColumnRenamed("polygons", "_repaired"), "_row", "left")

@@ -119,6 +119,21 @@ def test_union_of_random_parts(spark):
     assert len(got[7]) == 1 and len(got[7][0]) == 2
 
 
+def test_a_feed_of_large_and_small_shapes(spark):
+    import json
+    import math
+
+    from lotespark.sources import feeds
+
+    round_ = [(math.cos(2 * math.pi * k / 3000), math.sin(2 * math.pi * k / 3000)) for k in range(3000)]
+    shapes_ = {"round": [round_ + round_[:1]], "bow": [[(0, 0), (1, 1), (1, 0), (0, 3), (0, 0)]], "square": [[(0, 0), (1, 0), (1, 1), (0, 1), (0, 0)]], "flat": [[(0, 0), (1, 0), (0, 0)]], "none": None}
+    text = [(k, json.dumps({"type": "Feature", "properties": {}, "geometry": c and {"type": "Polygon", "coordinates": c}})) for k, c in shapes_.items()] + [("broken", '{"type":"Feature"'), ("null", None)]
+    got = {r.k: r for r in feeds.parcel_features(spark.createDataFrame(text, "k string, text string")).withColumn("a", G.area(F.col("polygon"))).collect()}
+    assert {k: r.problem for k, r in got.items()} == {"round": None, "bow": None, "square": None, "flat": "invalid_geometry", "none": "no_geometry"}
+    assert got["round"].a == pytest.approx(math.pi, rel=1e-5) and got["bow"].a == pytest.approx(9 / 8) and got["square"].a == 1
+    assert (got["bow"].lng, got["bow"].lat) == pytest.approx((0.25, 1.25))
+
+
 def test_polygonize(spark):
     square = [(0, 0), (4, 0), (4, 4), (0, 4), (0, 0)]
     inner = [(1, 1), (2, 1), (2, 2), (1, 2), (1, 1)]
