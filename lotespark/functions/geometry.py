@@ -236,7 +236,7 @@ def covered_by(p: Column, q: Column) -> Column:
         def pieces(t: Column) -> Column:
             middles = F.transform(F.slice(t, F.lit(1), F.size(t) - 1), lambda s, i: (s + F.element_at(t, i + 2)) / 2)
             at = lambda m: point(e["a"]["x"] + m * (e["b"]["x"] - e["a"]["x"]), e["a"]["y"] + m * (e["b"]["y"] - e["a"]["y"]))
-            return F.forall(middles, lambda m: F.exists(near, lambda f: _runs_along(e, m, f)) | let(at(m), lambda c: covers(q, c["x"], c["y"])))
+            return F.forall(middles, lambda m: let(at(m), lambda c: covers(q, c["x"], c["y"])) | F.exists(near, lambda f: _runs_along(e, m, f)))
 
         return let(places, pieces)
 
