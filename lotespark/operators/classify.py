@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import rules as R
 from ..functions import strings as S
-from .spatial import first_polygon, nearest_line
+from .quadtree import nearest_line
+from .spatial import first_polygon
 
 MOST_METRES = 100.0
 #: Degrees that 100 m span at most, up to 80 degrees of latitude.
@@ -22,13 +23,13 @@ def incomplete(parcelas: DataFrame, fill_partial: bool = False) -> DataFrame:
     return parcelas.where(no_street | no_number if fill_partial else no_street)
 
 
-def street_candidates(parcelas: DataFrame, streets: DataFrame, on: list[str], size: float = 0.002) -> DataFrame:
+def street_candidates(parcelas: DataFrame, streets: DataFrame, on: list[str]) -> DataFrame:
     """The nearest street of each parcel by planar degrees, dropped beyond 100 m, with the interpolated number.
 
     A street nearer in metres but farther in degrees isn't looked at.
     """
     take = ["nome", "tipo", "ini_esq", "fin_esq", "ini_dir", "fin_dir"]
-    near = nearest_line(parcelas, streets.where("nome IS NOT NULL"), "parcela_id", "centroid_lng", "centroid_lat", "line", "logradouro_id", take, on=on, size=size, within=MOST_DEGREES)
+    near = nearest_line(parcelas, streets.where("nome IS NOT NULL"), "centroid_lng", "centroid_lat", "line", "logradouro_id", take, on=on, within=MOST_DEGREES)
     dist = G.metres(F.col("centroid_lng"), F.col("centroid_lat"), F.col("px"), F.col("py"))
     number = R.house_number((F.col("ini_esq"), F.col("fin_esq")), (F.col("ini_dir"), F.col("fin_dir")), F.col("frac"))
     return near.withColumn("dist_m", dist).where(F.col("dist_m") <= MOST_METRES).select("parcela_id", S.joined(F.col("tipo"), F.col("nome")).alias("calle"), number.cast("string").alias("numero"), "dist_m")

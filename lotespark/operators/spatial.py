@@ -1,4 +1,4 @@
-"""Spatial, band and nearest-neighbour joins as equi-joins on grid cells.
+"""Spatial and band joins as equi-joins on grid cells.
 
 A raw distance or containment predicate plans as a nested loop. Here every side
 gets the cells it touches, cells are joined by equality (so Spark shuffles,
@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..runtime import forget, stored
 
 
 def cell_of(v: Column, size: float) -> Column:
@@ -80,48 +79,6 @@ def band_join(left: DataFrame, right: DataFrame, band: float, on: list[str] | No
     return l.join(r, [*on, "_cx", "_cy"]).where(near).drop("_cx", "_cy")
 
 
-def nearest_line(points: DataFrame, lines: DataFrame, point_id: str, x: str, y: str, line: str, line_id: str, take: list[str], on: list[str] | None = None, size: float = 0.002, within: float = 360.0) -> DataFrame:
-    """Each point with its nearest line by planar distance: `take` columns, dist, frac, and the nearest place (px, py).
-
-    Lines lie in every cell their box touches; a point looks into the cells
-    around it, and meets a line in the first of their common cells only. If the
-    best line is no farther than a cell, none outside can be nearer; the other
-    points, of each round's written table, look again with cells four times as
-    large, until a cell is as wide as `within`. Ties go to the least line_id.
-    Points without any line that near get nulls.
-    """
-    on = on or []
-    least = lambda p, q: F.sqrt(F.pow(F.greatest(p[0] - q["x1"], q["x0"] - p[0], F.lit(0.0)), 2) + F.pow(F.greatest(p[1] - q["y1"], q["y0"] - p[1], F.lit(0.0)), 2))
-    shapes = lines.select(*on, line_id, line, *[c for c in take if c not in (line_id, *on)], G.bounds(F.array(F.col(line))).alias("_b"))
-    left = points.select(point_id, F.col(x).alias("_x"), F.col(y).alias("_y"), *on)
-    if on:  # a point whose key has no line never looks
-        left = left.join(lines.select(*on).distinct(), on, "left_semi")
-    found, names = [], [c for c in take if c not in on]
-    while True:
-        cells = with_cells(shapes.withColumn("_x0", cell_of(F.col("_b.x0"), size)).withColumn("_y0", cell_of(F.col("_b.y0"), size)), F.col("_b.x0"), F.col("_b.y0"), F.col("_b.x1"), F.col("_b.y1"), size)
-        dots = with_cells(left, F.col("_x"), F.col("_y"), F.col("_x"), F.col("_y"), size, around=1)
-        first = (F.col("_cx") == F.greatest("_x0", cell_of(F.col("_x"), size) - 1)) & (F.col("_cy") == F.greatest("_y0", cell_of(F.col("_y"), size) - 1))
-        bound = least((F.col("_x"), F.col("_y")), F.col("_b"))  # to the line's box
-        met = dots.join(cells, [*on, "_cx", "_cy"]).where(first & (bound <= F.lit(size)))  # a line farther than a cell settles nothing in this round
-        # the line with the nearest box first: no line whose box is farther than it can be nearer
-        guess = met.groupBy(point_id).agg(F.min_by(F.struct(F.col(line).alias("l"), "_x", "_y"), bound).alias("g"))
-        guess = stored(guess.select(point_id, (G.locate(F.col("g.l"), F.col("g._x"), F.col("g._y"))["dist"] + 1e-12).alias("_most")), "nearest-guess")
-        few = with_cells(left.join(guess, point_id), F.col("_x"), F.col("_y"), F.col("_x"), F.col("_y"), size, around=1).join(cells, [*on, "_cx", "_cy"]).where(first & (bound <= F.least("_most", F.lit(size))))
-        hits = few.withColumn("_l", G.locate(F.col(line), F.col("_x"), F.col("_y")))
-        value = F.struct(*names, F.col("_l.dist").alias("dist"), F.col("_l.frac").alias("frac"), F.col("_l.x").alias("px"), F.col("_l.y").alias("py"))
-        best = hits.groupBy(point_id).agg(F.min_by(value, F.struct(F.col("_l.dist"), F.col(line_id))).alias("v")).where(F.col("v.dist") <= size)
-        found.append(stored(best.select(point_id, "v.*"), "nearest"))
-        forget(guess)
-        past, left = left if len(found) > 1 else None, stored(left.join(found[-1].select(point_id), point_id, "left_anti").select(left.columns), "far-points")
-        forget(past)
-        if size >= within or left.isEmpty():
-            out = found[0]
-            for f in found[1:]:
-                out = out.unionByName(f)
-            return points.join(out.where(F.col("dist") <= within), point_id, "left")
-        size *= 4
-
-
 def route(points: DataFrame, catalogue: DataFrame, point_id: str, lat: str, lng: str, size: float = 0.5) -> DataFrame:
     """The first city, in the catalogue's order, whose box holds each point; null where none does."""
     boxes = with_cells(catalogue, F.col("west"), F.col("south"), F.col("east"), F.col("north"), size)

