@@ -161,6 +161,14 @@ def window_logits(p: dict[str, np.ndarray], x: np.ndarray, idx: np.ndarray, step
     return out
 
 
+def summed(at: np.ndarray, values: np.ndarray, rows: int) -> np.ndarray:
+    """The sums of the values' rows that share a number in `at`."""
+    out = np.empty((rows, values.shape[1]), np.float32)
+    for k in range(values.shape[1]):
+        out[:, k] = np.bincount(at, weights=values[:, k], minlength=rows)
+    return out
+
+
 def gradients(p: dict[str, np.ndarray], slots: np.ndarray, chars: np.ndarray, idx: np.ndarray, y: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, float]:
     """Gradients of the mean log loss of windows idx, that of the characters' means, and the loss."""
     h2, x, pad = HIDDEN, inputs(p, slots, chars), len(slots)
@@ -180,7 +188,7 @@ def gradients(p: dict[str, np.ndarray], slots: np.ndarray, chars: np.ndarray, id
     da = ds[:, :, None] * p["va"] * (1 - a * a)
     g["wa"] = np.einsum("bth,btk->hk", states, da)
     dstates += da @ p["wa"].T
-    dx = np.zeros_like(x)
+    dgates = np.empty((*idx.shape, x.shape[1]), np.float32)
     carry = [np.zeros((len(idx), h2), np.float32) for _ in (0, 1)]
     for d, t, h, z, r, hn, n in reversed(kept):
         dh = carry[d] + dstates[:, t, d * h2 : (d + 1) * h2]
@@ -190,12 +198,12 @@ def gradients(p: dict[str, np.ndarray], slots: np.ndarray, chars: np.ndarray, id
         g[f"u{d}"] += h.T @ dzr
         g[f"un{d}"] += h.T @ (dn * r)
         carry[d] = dh * z + dzr @ p[f"u{d}"].T + (dn * r) @ p[f"un{d}"].T
-        np.add.at(dx[:, d * 3 * h2 : (d + 1) * 3 * h2], idx[:, t], np.concatenate([dzr, dn], axis=1))
-    dx = dx[:-1]
+        dgates[:, t, d * 3 * h2 : (d + 1) * 3 * h2] = np.concatenate([dzr, dn], axis=1)
+    dx = summed(idx.ravel(), dgates.reshape(-1, x.shape[1]), len(x))[:-1]
     both = np.concatenate([p["word"][slots], chars], axis=1)
     g["win"], g["bin"] = both.T @ dx, dx.sum(axis=0)
     dboth = dx @ p["win"].T
-    np.add.at(g["word"], slots, dboth[:, :WORD_DIM])
+    g["word"] = summed(slots, dboth[:, :WORD_DIM], len(p["word"]))
     return g, dboth[:, WORD_DIM:], loss
 
 
@@ -246,7 +254,7 @@ def fit(texts: list[bytes], y: np.ndarray, epochs: int = 8, batch: int = 64, rat
             by_bag = np.lexsort((logit, bag))
             worst = by_bag[np.append(bag[by_bag][1:] != bag[by_bag][:-1], True)]
             g, dchar, _ = gradients(p, spans[2][real_used], chars, sub[worst], y[docs].astype(np.float32))
-            np.add.at(g["char"], pairs, (dchar / sizes[:, None])[token])
+            g["char"] = summed(pairs, (dchar / sizes[:, None])[token], len(p["char"]))
             step += 1
             lr = rate * (1 - 0.9 * step / total)
             for name in p:
