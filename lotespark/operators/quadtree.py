@@ -97,7 +97,7 @@ def nearest_line(points: DataFrame, lines: DataFrame, x: str, y: str, line: str,
         levels = _levels(shapes, on)
         cells = stored(tree(levels, on), "tree")
         leaves = cells.where("NOT splits").select(*on, *CELL)
-        rows = stored(levels.join(leaves, [*on, *CELL]), "leaves")  # each line is in one leaf
+        rows = levels.join(leaves, [*on, *CELL])  # each line is in one leaf
         # what a search goes on to: from a cell that splits to its children, from a leaf to itself
         child = F.struct(*CELL).alias("_child")
         steps = cells.select(*on, *_parent(), child, *BOX).union(leaves.join(cells, [*on, *CELL]).select(*on, *CELL, child, *BOX))
