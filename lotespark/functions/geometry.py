@@ -147,26 +147,77 @@ def _all_edges(polygon: Column) -> Column:
     return F.flatten(F.transform(polygon, lambda r: edges(closed(r))))
 
 
+def _bounded(es: Column, x: Column, y: Column) -> Column:
+    return F.exists(es, lambda e: _on_edge(x, y, e))
+
+
 def on_boundary(polygon: Column, x: Column, y: Column) -> Column:
-    return F.exists(_all_edges(polygon), lambda e: _on_edge(x, y, e))
+    return _bounded(_all_edges(polygon), x, y)
 
 
-def _odd_crossings(polygon: Column, x: Column, y: Column) -> Column:
+def _odd_crossings(es: Column, x: Column, y: Column) -> Column:
     def crosses(e: Column) -> Column:
         a, b = e["a"], e["b"]
         return ((a["y"] > y) != (b["y"] > y)) & (x < (b["x"] - a["x"]) * (y - a["y"]) / F.nullif(b["y"] - a["y"], F.lit(0.0)) + a["x"])
 
-    return F.size(F.filter(_all_edges(polygon), crosses)) % 2 == 1
+    return F.size(F.filter(es, crosses)) % 2 == 1
 
 
 def contains(polygon: Column, x: Column, y: Column) -> Column:
     """Is the point inside, boundary out? Holes count by the even-odd rule."""
-    return ~on_boundary(polygon, x, y) & _odd_crossings(polygon, x, y)
+    return let(_all_edges(polygon), lambda es: ~_bounded(es, x, y) & _odd_crossings(es, x, y))
 
 
 def covers(polygon: Column, x: Column, y: Column) -> Column:
     """Is the point inside or on the boundary?"""
-    return on_boundary(polygon, x, y) | _odd_crossings(polygon, x, y)
+    return let(_all_edges(polygon), lambda es: _covers(es, x, y))
+
+
+def _covers(es: Column, x: Column, y: Column) -> Column:
+    return _bounded(es, x, y) | _odd_crossings(es, x, y)
+
+
+# Upright rectangles, such as boxes and map tiles, against any polygon: a few comparisons for each of its edges
+
+
+def is_rectangle(p: Column) -> Column:
+    """Is the polygon one closed ring of four upright sides?"""
+    r = p[0]
+    same = lambda i, j, c: r[i][c] == r[j][c]
+    across = same(0, 1, "y") & same(1, 2, "x") & same(2, 3, "y") & same(3, 0, "x")
+    up = same(0, 1, "x") & same(1, 2, "y") & same(2, 3, "x") & same(3, 0, "y")
+    shape = same(0, 4, "x") & same(0, 4, "y") & ~same(0, 2, "x") & ~same(0, 2, "y") & (across | up)
+    return F.coalesce(F.when((F.size(p) == 1) & (F.size(r) == 5), shape), F.lit(False))
+
+
+def _box(p: Column) -> Column:
+    """Bounds of a rectangle, from two opposite corners."""
+    a, c = p[0][0], p[0][2]
+    return F.struct(F.least(a["x"], c["x"]).alias("x0"), F.least(a["y"], c["y"]).alias("y0"), F.greatest(a["x"], c["x"]).alias("x1"), F.greatest(a["y"], c["y"]).alias("y1"))
+
+
+def _passes(box: Column, e: Column, border: bool) -> Column:
+    """Does an edge have a place in the box, its border counted or not? It has none if all is on one side in x, in y, or of the edge's line."""
+    a, b = e["a"], e["b"]
+    le = (lambda u, v: u <= v) if border else (lambda u, v: u < v)
+    spans = [le(F.least(a[c], b[c]), box[c + "1"]) & le(box[c + "0"], F.greatest(a[c], b[c])) for c in "xy"]
+    dx, dy = b["x"] - a["x"], b["y"] - a["y"]
+    # the corners farthest to the right and to the left of the edge
+    reach = lambda u0, u1, v0, v1: dx * (F.when(dx > 0, v0).otherwise(v1) - a["y"]) - dy * (F.when(dy > 0, u0).otherwise(u1) - a["x"])
+    least = reach(box["x1"], box["x0"], box["y0"], box["y1"])
+    most = reach(box["x0"], box["x1"], box["y1"], box["y0"])
+    return spans[0] & spans[1] & le(least, 0.0) & le(F.lit(0.0), most)
+
+
+def _rectangle_within(p: Column, q: Column) -> Column:
+    """Is rectangle p within polygon q? No edge of q passes p's inside, and its middle is in q."""
+    test = lambda box, es: ~F.exists(es, lambda e: _passes(box, e, False)) & _odd_crossings(es, (box["x0"] + box["x1"]) / 2, (box["y0"] + box["y1"]) / 2)
+    return let(_all_edges(q), lambda es: let(_box(p), lambda box: test(box, es)))
+
+
+def _rectangle_meets(p: Column, q: Column) -> Column:
+    """Do rectangle p and polygon q share a place? An edge of q does with p, or all of p is in q."""
+    return let(_all_edges(q), lambda es: let(_box(p), lambda box: F.exists(es, lambda e: _passes(box, e, True)) | _odd_crossings(es, box["x0"], box["y0"])))
 
 
 def _side(p: Column, q: Column, r: Column) -> Column:
@@ -187,7 +238,8 @@ def intersects(p: Column, q: Column) -> Column:
     boxes = lambda bp: let(bounds(q), lambda bq: bounds_meet(bp, bq))
     inside = covers(q, p[0][0]["x"], p[0][0]["y"]) | covers(p, q[0][0]["x"], q[0][0]["y"])
     crossing = let(_all_edges(q), lambda eq: F.exists(_all_edges(p), lambda e: F.exists(eq, lambda f: _touch(e, f))))
-    return F.when(let(bounds(p), boxes), inside | crossing).otherwise(F.lit(False))
+    both = F.when(is_rectangle(p), _rectangle_meets(p, q)).when(is_rectangle(q), _rectangle_meets(q, p)).otherwise(inside | crossing)
+    return F.when(let(bounds(p), boxes), both).otherwise(F.lit(False))
 
 
 def bounds_meet(a: Column, b: Column) -> Column:
@@ -227,6 +279,7 @@ def covered_by(p: Column, q: Column) -> Column:
     p's edges are cut where q's meet them. Each piece must run along q's boundary or
     have its middle inside q. Then p can reach outside q only around a whole hole of q,
     so no hole's inside may lie in p. Polygons are valid; boxes are compared first.
+    If p is an upright rectangle, less is to be looked at.
     """
 
     def edge_inside(e: Column, near: Column) -> Column:
@@ -236,14 +289,14 @@ def covered_by(p: Column, q: Column) -> Column:
         def pieces(t: Column) -> Column:
             middles = F.transform(F.slice(t, F.lit(1), F.size(t) - 1), lambda s, i: (s + F.element_at(t, i + 2)) / 2)
             at = lambda m: point(e["a"]["x"] + m * (e["b"]["x"] - e["a"]["x"]), e["a"]["y"] + m * (e["b"]["y"] - e["a"]["y"]))
-            return F.forall(middles, lambda m: let(at(m), lambda c: covers(q, c["x"], c["y"])) | F.exists(near, lambda f: _runs_along(e, m, f)))
+            return F.forall(middles, lambda m: let(at(m), lambda c: _covers(near, c["x"], c["y"])) | F.exists(near, lambda f: _runs_along(e, m, f)))
 
         return let(places, pieces)
 
     boundary = let(_all_edges(q), lambda near: F.forall(_all_edges(p), lambda e: edge_inside(e, near)))
     around = F.exists(F.slice(q, 2, F.greatest(F.size(q) - 1, F.lit(0))), lambda hole: let(inside_point(F.array(hole)), lambda c: contains(p, c["x"], c["y"])))
     boxes = let(bounds(p), lambda a: let(bounds(q), lambda b: bounds_within(a, b)))
-    return F.when(boxes, boundary & ~around).otherwise(F.lit(False))
+    return F.when(boxes, F.when(is_rectangle(p), _rectangle_within(p, q)).otherwise(boundary & ~around)).otherwise(F.lit(False))
 
 
 def self_crossing(polygon: Column) -> Column:

@@ -45,7 +45,8 @@ def spatial_join(left: DataFrame, right: DataFrame, op: str, left_polygon: str,
     """Pairs of valid polygons by `intersects`, `within` (left in right) or `contains` (right in left).
 
     A pair is tested in the first cell that both touch, and only if the boxes allow it;
-    boundaries and holes decide exactly (`geometry.covered_by`).
+    boundaries and holes decide exactly (`geometry.covered_by`). Both sides are shuffled: rows made by
+    exploding a small table come in few partitions, and Spark doesn't see how many they are.
     """
 
     def side(df: DataFrame, key: str, polygon: str, p: str) -> DataFrame:

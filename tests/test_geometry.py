@@ -133,3 +133,30 @@ def test_grids(spark):
     cities = spark.createDataFrame([(0, "a", 0.0, 0.0, 2.0, 2.0), (1, "b", 1.0, 1.0, 3.0, 3.0)], "ord int, slug string, south double, west double, north double, east double")
     at = spark.createDataFrame([(1, 1.5, 1.5), (2, 2.5, 2.5), (3, 9.0, 9.0)], "id int, lat double, lng double")
     assert {r.id: r.slug for r in spatial.route(at, cities, "id", "lat", "lng").collect()} == {1: "a", 2: "b", 3: None}
+
+
+def test_rectangles_by_their_bounds(spark):
+    """Rectangles (also turned the other way round) give what the same shapes with a corner more on a side give, which are compared edge by edge."""
+    shapes = [
+        [[(0, 0), (6, 0), (6, 6), (4, 6), (4, 2), (2, 2), (2, 6), (0, 6), (0, 0)]],
+        [[(0, 0), (6, 0), (6, 6), (0, 6), (0, 0)], [(2, 2), (2, 4), (4, 4), (4, 2), (2, 2)]],
+        [[(0, 0), (6, 0), (0, 6), (0, 0)]],
+        [[(3, -1), (7, 3), (3, 7), (-1, 3), (3, -1)], [(3, 2), (2, 3), (3, 4), (4, 3), (3, 2)]],
+    ]
+    many = spark.createDataFrame([(k, [[{"x": float(x), "y": float(y)} for x, y in r] for r in s]) for k, s in enumerate(shapes)], "k int, q array<array<struct<x:double,y:double>>>")
+    box = lambda a, b, w, h: [(a, b), (a + w, b), (a + w, b + h), (a, b + h), (a, b)]
+    rows = []
+    for a in (-1.5, 0, 1, 2, 2.5, 3, 5, 7):
+        for b in (-1, 0, 1.5, 2, 4):
+            for w, h in ((1, 1), (2, 2), (0.5, 3), (9, 9)):
+                ring = box(a, b, w, h)
+                rows += [[r, [r[0], ((r[0][0] + r[1][0]) / 2, (r[0][1] + r[1][1]) / 2), *r[1:]]] for r in (ring, ring[::-1])]
+    at = lambda r: [[{"x": float(x), "y": float(y)} for x, y in r]]
+    pairs = spark.createDataFrame([(at(r), at(more)) for r, more in rows], "p array<array<struct<x:double,y:double>>>, more array<array<struct<x:double,y:double>>>").crossJoin(many)
+    p, more, q = F.col("p"), F.col("more"), F.col("q")
+    got = pairs.select(
+        G.is_rectangle(p).alias("is"), (~G.is_rectangle(more)).alias("isnt"), G.covered_by(p, q).alias("a"), G.covered_by(more, q).alias("b"), G.intersects(p, q).alias("c"), G.intersects(q, p).alias("d"), G.intersects(more, q).alias("e"), "p", "k",
+    ).collect()
+    assert all(r["is"] and r.isnt for r in got)
+    assert [r for r in got if r.a != r.b or not r.c == r.d == r.e] == []
+    assert {(r.a, r.c) for r in got} == {(True, True), (False, True), (False, False)}
