@@ -60,7 +60,7 @@ def spatial_join(left: DataFrame, right: DataFrame, op: str, left_polygon: str,
         "within": (G.bounds_within(a, b), G.covered_by(F.col("_p"), F.col("_q"))),
         "contains": (G.bounds_within(b, a), G.covered_by(F.col("_q"), F.col("_p"))),
     }[op]
-    met = side(left, left_id, left_polygon, "_p").join(side(right, right_id, right_polygon, "_q"), ["_cx", "_cy"])
+    met = side(left, left_id, left_polygon, "_p").join(side(right, right_id, right_polygon, "_q").hint("merge"), ["_cx", "_cy"])
     return met.where(first & boxes).where(test).select(left_id, right_id)
 
 
@@ -71,13 +71,19 @@ def in_zone(df: DataFrame, zone: DataFrame, row_id: str, polygon: str, zone_poly
 
 
 def band_join(left: DataFrame, right: DataFrame, band: float, on: list[str] | None = None, lat: str = "lat", lng: str = "lng", suffix: str = "_r") -> DataFrame:
-    """Pairs whose coordinates both differ by less than `band`, and that agree on the other keys."""
+    """Pairs whose coordinates both differ by less than `band`, and that agree on the other keys.
+
+    Cells are two bands wide, so a row on the right has four on average. Spark sizes rows as if they had one
+    each and would send them all through the driver; the hint has both sides shuffled.
+    """
     on = on or []
+    size, reach = 2 * band, 1.001 * band  # a little more than the band, whose ends are rounded
     r = right.select(*on, *[F.col(c).alias(c + suffix) for c in right.columns if c not in on])
-    r = with_cells(r, F.col(lng + suffix), F.col(lat + suffix), F.col(lng + suffix), F.col(lat + suffix), band, around=1)
-    l = left.withColumn("_cx", cell_of(F.col(lng), band)).withColumn("_cy", cell_of(F.col(lat), band))  # noqa: E741
+    x, y = F.col(lng + suffix), F.col(lat + suffix)
+    r = with_cells(r, x - reach, y - reach, x + reach, y + reach, size)
+    l = left.withColumn("_cx", cell_of(F.col(lng), size)).withColumn("_cy", cell_of(F.col(lat), size))  # noqa: E741
     near = (F.abs(F.col(lat) - F.col(lat + suffix)) < band) & (F.abs(F.col(lng) - F.col(lng + suffix)) < band)
-    return l.join(r, [*on, "_cx", "_cy"]).where(near).drop("_cx", "_cy")
+    return l.join(r.hint("merge"), [*on, "_cx", "_cy"]).where(near).drop("_cx", "_cy")
 
 
 def route(points: DataFrame, catalogue: DataFrame, point_id: str, lat: str, lng: str, size: float = 0.5) -> DataFrame:

@@ -2,7 +2,8 @@ import json
 
 from pyspark.sql import functions as F
 
-from lotespark.operators import classify, estimate, merge, sequences, surveys
+from lotespark.functions import geometry as G
+from lotespark.operators import classify, estimate, merge, sequences, spatial, surveys
 from lotespark.sources import exports, feeds
 
 
@@ -146,3 +147,27 @@ def test_small_rules(spark):
     assert {r.id: r.name for r in classify.identify(pts, recs, "id").collect()} == {1: "a", 2: None}
     j = spark.createDataFrame([('{"items":[{"a":1}]}',), ("[1,2]",), ("{}",)], "t string")
     assert [r[0] for r in j.select(feeds.first_list(F.col("t"))).collect()] == [['{"a":1}'], ["1", "2"], None]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_polygon_joins_are_shuffled(spark):
+    """Both sides of a join by cells are dealt over the tasks: Spark takes exploded rows for as few as those they are made from."""
+    s = spark.range(50).select("id", (F.col("id") * 3.0).alias("x"))
+    left = s.select("id", G.rectangle(F.col("x"), F.lit(0.0), F.col("x") + 2, F.lit(2.0)).alias("p"))
+    right = s.select(F.col("id").alias("k"), G.rectangle(F.col("x") - 1, F.lit(-1.0), F.col("x") + 2, F.lit(2.0)).alias("q"))
+    got = spatial.spatial_join(left, right, "within", "p", "q", 2.0, "id", "k")
+    assert rows(got) == sorted([(i, i) for i in range(50)], key=str)
+    assert "SortMergeJoin" in _plan(got) and "Broadcast" not in _plan(got)
+
+
+def test_band_join_is_shuffled(spark):
+    """All pairs within the band, at cells' borders too, and no side of exploded rows goes through the driver."""
+    band = 5e-5
+    p = spark.range(400).select((F.col("id") % 3).alias("g"), "id", (F.lit(-15.7) + (F.col("id") % 20) * 2.4e-5).alias("lat"), (F.lit(-56.2) + F.floor(F.col("id") / 20) * 2.5e-5).alias("lng"))
+    got = spatial.band_join(p, p, band, ["g"])
+    all_ = p.collect()
+    assert rows(got.select("id", "id_r")) == sorted([(a.id, b.id) for a in all_ for b in all_ if a.g == b.g and abs(a.lat - b.lat) < band and abs(a.lng - b.lng) < band], key=str)
+    assert "SortMergeJoin" in _plan(got) and "Broadcast" not in _plan(got)
