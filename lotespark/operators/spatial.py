@@ -87,9 +87,13 @@ def band_join(left: DataFrame, right: DataFrame, band: float, on: list[str] | No
 
 
 def route(points: DataFrame, catalogue: DataFrame, point_id: str, lat: str, lng: str, size: float = 0.5) -> DataFrame:
-    """The first city, in the catalogue's order, whose box holds each point; null where none does."""
-    boxes = with_cells(catalogue, F.col("west"), F.col("south"), F.col("east"), F.col("north"), size)
-    dots = points.select(point_id, lat, lng).withColumn("_cx", cell_of(F.col(lng), size)).withColumn("_cy", cell_of(F.col(lat), size))
-    box = G.in_bbox(F.col(lat), F.col(lng), F.col("south"), F.col("west"), F.col("north"), F.col("east"))
-    hits = dots.join(boxes, ["_cx", "_cy"]).where(box).groupBy(point_id).agg(F.min_by("slug", "ord").alias("slug"))
-    return points.join(hits, point_id, "left")
+    """The first city, in the catalogue's order, whose box holds each point; null where none does.
+
+    The catalogue becomes a row for each cell with its boxes in order, so a point meets one row and isn't
+    shuffled: many points in few cells, as cities have, are no task's burden. The catalogue is broadcast.
+    """
+    box = F.struct(*[F.col(c) for c in ("ord", "slug", "south", "west", "north", "east")])
+    cells = with_cells(catalogue, F.col("west"), F.col("south"), F.col("east"), F.col("north"), size).groupBy("_cx", "_cy").agg(F.array_sort(F.collect_list(box)).alias("_boxes"))
+    dots = points.withColumn("_cx", cell_of(F.col(lng), size)).withColumn("_cy", cell_of(F.col(lat), size))
+    holds = F.filter("_boxes", lambda b: G.in_bbox(F.col(lat), F.col(lng), b["south"], b["west"], b["north"], b["east"]))
+    return dots.join(F.broadcast(cells), ["_cx", "_cy"], "left").select(*points.columns, F.get(holds, 0)["slug"].alias("slug"))

@@ -160,3 +160,14 @@ def test_rectangles_by_their_bounds(spark):
     assert all(r["is"] and r.isnt for r in got)
     assert [r for r in got if r.a != r.b or not r.c == r.d == r.e] == []
     assert {(r.a, r.c) for r in got} == {(True, True), (False, True), (False, False)}
+
+
+def test_routing_shuffles_no_points(spark):
+    """Points in one cell stay in their partitions; the first box in the catalogue's order counts."""
+    cities = spark.createDataFrame([(1, "b", 0.0, 0.0, 3.0, 3.0), (0, "a", 1.0, 1.0, 2.0, 2.0)], "ord int, slug string, south double, west double, north double, east double")
+    at = spark.createDataFrame([(1, 1.5, 1.5), (2, 1.1, 2.1), (3, 9.0, 9.0), (4, None, 1.0)], "id int, lat double, lng double")
+    got = spatial.route(at, cities, "id", "lat", "lng")
+    assert sorted((r.id, r.slug) for r in got.collect()) == [(1, "a"), (2, "b"), (3, None), (4, None)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan")[0]
+    assert "BroadcastHashJoin" in final and final.count("hashpartitioning") == 1 and "SortMergeJoin" not in final  # the catalogue is grouped by cell
