@@ -110,3 +110,14 @@ def test_sessions_and_repeats_plan(spark, tmp_path):
     path = log(spark, tmp_path)
     assert run(activity.without_repeats(activity.read_log(spark, path)), "rep", "append").count() <= 200
     assert activity.sessions(activity.read_log(spark, path)).isStreaming
+
+
+def test_only_updated_surveys_have_state(spark, tmp_path):
+    """A survey starts from the table when its first row comes; a table of many surveys makes no work by itself."""
+    put(spark, str(tmp_path / "u"), [(1, 1, None), (2, 1, "running"), (3, 1, "running"), (4, 1, "failed")])
+    surveys = spark.range(1, 2000).select(F.col("id").alias("survey_id"), F.when(F.col("id") < 3, "stopped").otherwise("queued").alias("status"))
+    q = activity.survey_states(spark.readStream.schema(UPDATES).parquet(str(tmp_path / "u")), surveys).writeStream.format("memory").queryName("few").outputMode("update")
+    q = q.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted(map(tuple, spark.table("few").collect())) == [(1, "stopped", True), (2, "stopped", True), (3, "running", False), (4, "failed", True)]
+    assert max(s["numRowsTotal"] for p in q.recentProgress for s in p["stateOperators"]) < 100
