@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..runtime import stored
+from ..runtime import spread, stored
 
 
 def grid_cells(spark: SparkSession, south: float, west: float, north: float, east: float, step: float, passes: int = 1) -> DataFrame:
@@ -73,7 +73,8 @@ def tile_cover(zones: DataFrame, key: str, polygon: str, first: int = 9, last: i
 
     From tiles of zoom `first` on, a tile that lies within the zone stays whole, one that
     meets its boundary is cut in four, down to zoom `last`; tiles outside are dropped. So
-    a zone has many tiles along its boundary and few inside.
+    a zone has many tiles along its boundary and few inside. Small tables come in few
+    partitions, so each level's tiles are dealt over the cores before they are tested.
     """
     box = G.bounds(F.col(polygon))
     number = lambda lat, lng: tile_key(lat, lng, first)
@@ -83,7 +84,7 @@ def tile_cover(zones: DataFrame, key: str, polygon: str, first: int = 9, last: i
     bits = lambda k: F.shiftright("tx", k).bitwiseAND(F.lit(1)) + 2 * F.shiftright("ty", k).bitwiseAND(F.lit(1))
     level, found = tiles.select(key, "_zone", "tx", "ty", F.concat(*(bits(k).cast("string") for k in range(first - 1, -1, -1))).alias("tile")), []
     for zoom in range(first, last + 1):
-        shape = level.withColumn("_tile", tile_rectangle(F.col("tx"), F.col("ty"), zoom)).where(G.intersects(F.col("_tile"), F.col("_zone")))
+        shape = spread(level).withColumn("_tile", tile_rectangle(F.col("tx"), F.col("ty"), zoom)).where(G.intersects(F.col("_tile"), F.col("_zone")))
         level = stored(shape.withColumn("whole", G.covered_by(F.col("_tile"), F.col("_zone"))).drop("_tile"), "tiles")
         found.append(level.where("whole" if zoom < last else "true").select(key, "tile", "whole"))
         child = F.explode(F.sequence(F.lit(0), F.lit(3))).alias("d")

@@ -171,3 +171,10 @@ def test_routing_shuffles_no_points(spark):
     plan = got._jdf.queryExecution().executedPlan().toString()
     final = plan.split("== Initial Plan")[0]
     assert "BroadcastHashJoin" in final and final.count("hashpartitioning") == 1 and "SortMergeJoin" not in final  # the catalogue is grouped by cell
+
+
+def test_tiles_are_spread(spark):
+    """A zone table of one partition doesn't keep the levels of its cover in one task."""
+    zone = spark.range(40).coalesce(1).select("id", G.rectangle(F.col("id") * 0.1, F.lit(0.0), F.col("id") * 0.1 + 0.09, F.lit(0.09)).alias("zone"))
+    cover = grids.tile_cover(zone, "id", "zone", 9, 11)
+    assert len({f.rsplit("/part-")[1][:5] for f in cover.inputFiles()}) > 1
