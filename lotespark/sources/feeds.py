@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import strings as S
 from ..operators import planar
-from ..runtime import stored
+from ..runtime import forget, stored
 from . import paged
 
 COLLECTION = "features array<struct<properties: map<string,string>, attributes: map<string,string>, geometry: string>>"
@@ -95,21 +95,30 @@ def parcel_features(docs: DataFrame, utm_zone: int = 20) -> DataFrame:
     )
 
 
-#: Corners up to which a row's edges are compared with one another to see if it is sound; larger ones go to the graph, whose work grows with the edges.
-FEW_CORNERS = 1000
+#: Corners up to which a shape is judged and repaired within its row, and up to which it is judged there; the work of both grows with the square of the corners, that of the graph with the corners.
+SMALL_CORNERS, FEW_CORNERS = 24, 1000
 
 
 def largest_valid(rows: DataFrame, polygons: str, name: str) -> DataFrame:
-    """rows with the largest polygon of each row's array; rows with a broken one are repaired as a whole, apart from the others, first."""
-    few = F.aggregate(polygons, F.lit(0), lambda n, p: n + F.size(F.flatten(p))) <= FEW_CORNERS
-    rows = stored(rows.withColumns({"_row": F.monotonically_increasing_id(), "_clean": F.when((F.size(polygons) > 0) & few, F.transform(polygons, G.repaired))}), "shapes")
-    sound = F.coalesce(F.forall("_clean", lambda p: p.isNotNull()), F.lit(False))
-    bad = rows.where(~sound & (F.size(polygons) > 0)).select("_row", polygons)
-    whole = F.when(sound, F.col("_clean"))
+    """rows with the largest polygon of each row's array; rows with a broken one are repaired as a whole first, small ones in place and others apart, as a graph."""
+    p = F.col(polygons)
+    corners = F.coalesce(F.aggregate(p, F.lit(0), lambda n, q: n + F.coalesce(F.size(F.flatten(q)), F.lit(0))), F.lit(0))
+    sound = lambda clean: F.coalesce(F.forall(clean, lambda q: q.isNotNull()), F.lit(False))
+    clean = lambda few: F.when((F.size(p) > 0) & (corners <= few), F.transform(p, G.repaired))
+    small = rows.withColumn("_clean", clean(SMALL_CORNERS)).withColumn("_broken", F.when((F.size(p) > 0) & (corners <= SMALL_CORNERS) & ~sound(F.col("_clean")), p))
+    small = planar.repaired(small, "_broken", "_repaired").withColumn("_best", F.when(sound(F.col("_clean")), F.col("_clean")).otherwise(F.col("_repaired")))
+    small = small.withColumn(name, F.when(F.size("_best") > 0, G.largest(F.col("_best")))).drop("_clean", "_broken", "_repaired", "_best")
+    large = stored(rows.where(corners > SMALL_CORNERS).withColumns({"_row": F.monotonically_increasing_id(), "_clean": clean(FEW_CORNERS)}), "shapes")
+    if large.isEmpty():
+        forget(large)
+        return small
+    bad = large.where(~sound(F.col("_clean"))).select("_row", polygons)
+    whole = F.when(sound(F.col("_clean")), F.col("_clean"))
     if not bad.isEmpty():
-        rows = rows.join(planar.repair(bad, "_row", polygons).withColumnRenamed("polygons", "_repaired"), "_row", "left")
+        large = large.join(planar.repair(bad, "_row", polygons).withColumnRenamed("polygons", "_repaired"), "_row", "left")
         whole = F.coalesce(whole, F.col("_repaired"))
-    return rows.withColumn(name, F.when(F.size(whole) > 0, G.largest(whole))).drop("_row", "_clean", "_repaired")
+    large = large.withColumn(name, F.when(F.size(whole) > 0, G.largest(whole))).drop("_row", "_clean", "_repaired")
+    return small.where(corners <= SMALL_CORNERS).unionByName(large)
 
 
 def zones(rows: DataFrame, key: str, geometry: str) -> DataFrame:

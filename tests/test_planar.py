@@ -107,6 +107,26 @@ def test_repair_of_random_rings(spark):
         assert area(got.get(k, [])) == pytest.approx(want, rel=1e-6, abs=1e-6), k
 
 
+def test_small_shapes_are_repaired_in_their_row(spark, monkeypatch):
+    import json
+
+    from lotespark.sources import feeds
+
+    rng = random.Random(11)
+    rows = {k: v[0] for k, v in KNOWN.items()}
+    rows |= {k: [[(rng.randint(0, side), rng.randint(0, side)) for _ in range(rng.randint(3, 7))] for _ in range(rng.randint(1, 3))] for k, side in enumerate([4, 8, 1000] * 8, 100)}
+    df = frame(spark, [(k, [[pts(r) for r in v]]) for k, v in rows.items()] + [(1000, None), (1001, []), (1002, [[]])])
+    got = {r.k: [[[(p.x, p.y) for p in ring] for ring in poly] for poly in r.polygons or []] for r in planar.repaired(df, "p", "polygons").collect()}
+    assert len(got) == len(rows) + 3
+    for k, rings in rows.items():
+        check_valid(got[k])
+        assert area(got[k]) == pytest.approx(plain_area([rings]), rel=1e-6, abs=1e-6), k
+    monkeypatch.setattr(planar, "repair", lambda *_: pytest.fail("a small shape went to the graph, which shuffles every edge at each step"))
+    text = [(k, json.dumps({"type": "Feature", "properties": {}, "geometry": {"type": "Polygon", "coordinates": KNOWN[k][0]}})) for k in (1, 2, 7)]
+    feed = feeds.parcel_features(spark.createDataFrame(text, "k long, text string"))
+    assert {r.k: r.a for r in feed.withColumn("a", G.area(F.col("polygon"))).collect()} == {1: pytest.approx(1.0), 2: pytest.approx(16.0), 7: None}
+
+
 def test_union_of_random_parts(spark):
     rng = random.Random(2)
     groups = {k: [[[(rng.randint(0, s), rng.randint(0, s)) for _ in range(rng.randint(3, 6))]] for _ in range(rng.randint(1, 7))] for k, s in enumerate([6, 6, 20, 20, 500, 500, 500])}
