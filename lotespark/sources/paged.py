@@ -21,14 +21,20 @@ import posixpath
 import re
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import Row, StructType
 
+from ..runtime import ready
+
 BATCH = 500
+#: Files moved to their place at once.
+MOVES = 16
 
 
 def store_of(path: str) -> tuple[fs.FileSystem, str]:
@@ -101,9 +107,10 @@ class Pages(DataSource):
 
 @dataclass
 class Written(WriterCommitMessage):
-    """The files that a task wrote: where each is, and where it belongs."""
+    """The names of the files that a task wrote, and the folder that they wait in. Names only, since all of them go to the driver."""
 
-    files: list[tuple[str, str]]
+    folder: str
+    names: list[str]
 
 
 class ReportWriter(DataSourceWriter):
@@ -118,38 +125,40 @@ class ReportWriter(DataSourceWriter):
         store, at = store_of(self.path)
         mine = posixpath.join(self.staging(at), uuid.uuid4().hex)
         store.create_dir(mine)
-        files, out, key = [], None, None
-        try:
-            for r in iterator:
-                if out is None or r[0] != key:
-                    if out:
-                        out.close()
-                    key = r[0]
-                    name = f"{self.prefix}_{re.sub(r'[^0-9A-Za-z_-]', '_', str(key))}.csv"
-                    if any(f[1].endswith("/" + name) for f in files):
-                        raise ValueError(f"the rows of {key} don't come together")
-                    out = store.open_output_stream(posixpath.join(mine, name))
-                    out.write(b"\xef\xbb\xbf")
-                    files.append((posixpath.join(mine, name), posixpath.join(at, name)))
-                out.write(((r[1] or "") + "\r\n").encode("utf-8"))
-        finally:
-            if out:
-                out.close()
-        return Written(files)
+        names: dict[str, None] = {}
+        key, lines = None, []
+
+        def close() -> None:
+            name = f"{self.prefix}_{re.sub(r'[^0-9A-Za-z_-]', '_', str(key))}.csv"
+            if name in names:
+                raise ValueError(f"the rows of {key} don't come together")
+            names[name] = None
+            with store.open_output_stream(posixpath.join(mine, name)) as out:
+                out.write(("\ufeff" + "".join(lines)).encode("utf-8"))
+
+        for r in iterator:
+            if lines and r[0] != key:
+                close()
+                lines = []
+            key = r[0]
+            lines.append((r[1] or "") + "\r\n")
+        if lines:
+            close()
+        return Written(mine, list(names))
 
     def commit(self, messages: list[Written | None]) -> None:
         store, at = store_of(self.path)
-        files = [f for m in messages if m for f in m.files]
-        places = [place for _, place in files]
-        if len(set(places)) < len(places):
+        files = [(m.folder, name) for m in messages if m for name in m.names]
+        if len({name for _, name in files}) < len(files):
             self.abort(messages)
             raise ValueError("two tasks have rows of one survey")
         if self.overwrite:
             for i in store.get_file_info(fs.FileSelector(at)):
                 if i.type == fs.FileType.File and i.base_name.startswith(self.prefix + "_"):
                     store.delete_file(i.path)
-        for staged, place in files:
-            store.move(staged, place)
+        with ThreadPoolExecutor(MOVES) as pool:
+            for _ in pool.map(lambda f: store.move(posixpath.join(*f), posixpath.join(at, f[1])), files, chunksize=100):
+                pass
         store.delete_dir(self.staging(at))
 
     def abort(self, messages: list[Written | None]) -> None:
@@ -158,6 +167,27 @@ class ReportWriter(DataSourceWriter):
             store.delete_dir(self.staging(at))
 
 
+def report_lines(keys: DataFrame, path: str, by: str, prefix: str = "relevamiento") -> DataFrame:
+    """(by, line) of the reports of all keys: each task opens the files of its keys by name, so nothing lists the folder. A report that is missing is an error; the mark is taken off."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, at = store_of(path)
+        for batch in batches:
+            for low in range(0, batch.num_rows, 500):
+                found, text = [], []
+                for key in batch.column(0).slice(low, 500).to_pylist():
+                    name = f"{prefix}_{re.sub(r'[^0-9A-Za-z_-]', '_', str(key))}.csv"
+                    lines = re.split("\r\n|\r|\n", text_of(store, posixpath.join(at, name)).removeprefix("\ufeff"))
+                    lines = lines[:-1] if lines[-1] == "" else lines
+                    found += [key] * len(lines)
+                    text += lines
+                yield pa.RecordBatch.from_arrays([pa.array(found, batch.column(0).type), pa.array(text, pa.string())], names=[by, "line"])
+
+    tasks = 4 * keys.sparkSession.sparkContext.defaultParallelism
+    kind = keys.schema[by].dataType.simpleString()
+    return keys.select(by).distinct().repartition(tasks, by).transform(ready).mapInArrow(run, f"{by} {kind}, line string")
+
+
 class SurveyReports(DataSource):
     """Options: path; prefix of the files' names. Columns: key, line."""
 

@@ -60,3 +60,22 @@ def test_reports_whose_rows_are_scattered_are_refused(spark, tmp_path):
     with pytest.raises(Exception, match="don't come together|two tasks"):
         reports(spark, [(1, "a"), (2, "b"), (1, "c")]).coalesce(1).write.format("survey_reports").mode("append").save(str(tmp_path))
     assert not [p for p in tmp_path.iterdir() if p.suffix == ".csv"]
+
+
+def test_report_lines_are_read_by_key_and_missing_ones_are_errors(spark, tmp_path):
+    df = reports(spark, [(k, t) for k in range(300) for t in ("a", "", f"línea {k}")]).repartition(3, "k").sortWithinPartitions("k")
+    df.write.format("survey_reports").mode("append").save(str(tmp_path))
+    keys = df.select("k")
+    got = paged.report_lines(keys, str(tmp_path), "k")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, df.collect()))
+    assert got.rdd.getNumPartitions() == 16  # however small the table of keys is
+    with pytest.raises(Exception, match="relevamiento_300"):
+        paged.report_lines(keys.union(spark.sql("SELECT 300")), str(tmp_path), "k").collect()
+
+
+def test_what_a_report_task_tells_the_driver_is_a_name_for_each_file(tmp_path):
+    writer = paged.ReportWriter({"path": str(tmp_path)}, False)
+    done = writer.write(iter([(k, "x") for k in range(100)]))
+    assert len(done.names) == 100 and sum(map(len, done.names)) < 30 * 100
+    writer.commit([done])
+    assert len(list(tmp_path.glob("*.csv"))) == 100
