@@ -31,6 +31,11 @@ DIGITS = 9
 NEAR = 0.7 * 10.0**-DIGITS
 
 
+def _shuffled(df: DataFrame) -> DataFrame:
+    """df as a side of a join by edges, walks or cells: it isn't broadcast, which would send it through the driver at each step. Only extents may be, a small row per geometry."""
+    return df.hint("merge")
+
+
 def _snapped(p: Column, digits: int) -> Column:
     """A node: place on the grid. Nodes with a tag of their own meet nothing else."""
     return F.struct((F.round(p["x"], digits) + 0.0).alias("x"), (F.round(p["y"], digits) + 0.0).alias("y"), F.lit(-1).cast("long").alias("tag"))
@@ -114,9 +119,9 @@ def noded(edges: DataFrame, digits: int = DIGITS) -> DataFrame:
     low = lambda e, c: F.least(f"{e}.a.{c}", f"{e}.b.{c}")
     high = lambda e, c: F.greatest(f"{e}.a.{c}", f"{e}.b.{c}")
     boxes = [(low("e", c) <= high("f", c) + NEAR) & (low("f", c) <= high("e", c) + NEAR) for c in "xy"]
-    pairs = cells.join(cells.withColumnRenamed("e", "f"), ["g", "cx", "cy"]).where((F.col("e") < F.col("f")) & boxes[0] & boxes[1])
+    pairs = cells.join(_shuffled(cells.withColumnRenamed("e", "f")), ["g", "cx", "cy"]).where((F.col("e") < F.col("f")) & boxes[0] & boxes[1])
     cuts = pairs.select("g", F.explode(_meetings(F.col("e"), F.col("f"), digits)).alias("m")).groupBy("g", F.col("m.e.a").alias("a"), F.col("m.e.b").alias("b")).agg(F.collect_set("m.p").alias("cuts"))
-    split = edges.join(cuts, ["g", "a", "b"], "left")
+    split = edges.join(_shuffled(cuts), ["g", "a", "b"], "left")
     places = F.coalesce("cuts", F.array().cast("array<struct<x:double,y:double,tag:bigint>>"))
     pieces = split.select("g", "part", F.explode(_split(F.col("a"), F.col("b"), places)).alias("e")).select("g", "part", "e.*")
     return pieces.groupBy("g", "part", "a", "b").agg((F.count("*") % 2).alias("odd")).where("odd = 1").drop("odd")
@@ -142,11 +147,11 @@ def walked(pieces: DataFrame) -> DataFrame:
     while not now.where("moved").isEmpty():
         there = now.select(F.col("h").alias("jump"), F.col("jump").alias("jump2"), F.col("walk").alias("walk2"), F.col("ahead").alias("ahead2"))
         less = F.col("walk2") < F.col("walk")
-        nxt = now.join(there, "jump").select("h", F.col("jump2").alias("jump"), F.least("walk", "walk2").alias("walk"), F.when(less, F.col("ahead2") + step).otherwise(F.col("ahead")).alias("ahead"), less.alias("moved"))
+        nxt = now.join(_shuffled(there), "jump").select("h", F.col("jump2").alias("jump"), F.least("walk", "walk2").alias("walk"), F.when(less, F.col("ahead2") + step).otherwise(F.col("ahead")).alias("ahead"), less.alias("moved"))
         nxt = stored(nxt, "walks")
         forget(now)
         now, step = nxt, step * 2
-    return stored(halves.join(now.select("h", "walk", "ahead"), "h"), "faces")
+    return stored(halves.join(_shuffled(now.select("h", "walk", "ahead")), "h"), "faces")
 
 
 def _middle() -> Column:
@@ -173,7 +178,7 @@ def _odd_above(rings: DataFrame, edges: DataFrame, extent: DataFrame, label: str
     height = F.col("a.y") + (x - F.col("a.x")) * (F.col("b.y") - F.col("a.y")) / (F.col("b.x") - F.col("a.x"))
     own = F.shiftright(F.col("at.h"), 1) == F.col("id")
     above = F.when(own, F.col("at.below")).otherwise(height > y) & (low <= x) & (x < high)
-    met = reps.join(lines, ["g", "strip"]).where(above)
+    met = reps.join(_shuffled(lines), ["g", "strip"]).where(above)
     return met.groupBy("g", "walk", "label").agg((F.count("*") % 2).alias("odd")).where("odd = 1").select("g", "walk", "label")
 
 
@@ -210,13 +215,13 @@ def polygons(walks: DataFrame, extent: DataFrame) -> DataFrame:
     """(g, polygons) from the walks around covered faces: walks has g, h, u, v, walk, ahead and covered."""
     rings = stored(_rings(walks, F.max("covered").alias("covered")).where("covered AND area != 0"), "rings")
     shells, inner = rings.where("area > 0"), rings.where("area < 0")
-    edges = walks.join(shells.select(F.col("walk"), F.col("area").alias("size")), "walk").select("g", F.shiftright("h", 1).alias("id"), F.col("u").alias("a"), F.col("v").alias("b"), F.struct("size", "walk").alias("shell"))
+    edges = walks.join(_shuffled(shells.select(F.col("walk"), F.col("area").alias("size"))), "walk").select("g", F.shiftright("h", 1).alias("id"), F.col("u").alias("a"), F.col("v").alias("b"), F.struct("size", "walk").alias("shell"))
     home = _odd_above(inner, edges, extent, "shell").groupBy("g", "walk").agg(F.min("label")["walk"].alias("shell"))
     shape = shells.select("g", F.col("walk").alias("shell"), _closed(loops(F.col("ring"))).alias("r"))
-    holes = inner.join(home, ["g", "walk"]).select("g", "shell", F.explode(_closed(loops(F.col("ring")))).alias("r"))
+    holes = inner.join(_shuffled(home), ["g", "walk"]).select("g", "shell", F.explode(_closed(loops(F.col("ring")))).alias("r"))
     holes = holes.groupBy("g", "shell").agg(F.array_sort(F.collect_list("r")).alias("more"))
     whole = _polygon(F.col("r"), F.coalesce("more", F.array().cast("array<array<struct<x:double,y:double>>>")))
-    return shape.join(holes, ["g", "shell"], "left").select("g", whole.alias("p")).groupBy("g").agg(F.array_sort(F.collect_list("p")).alias("polygons"))
+    return shape.join(_shuffled(holes), ["g", "shell"], "left").select("g", whole.alias("p")).groupBy("g").agg(F.array_sort(F.collect_list("p")).alias("polygons"))
 
 
 def _covered(parts: DataFrame) -> DataFrame:
@@ -225,12 +230,12 @@ def _covered(parts: DataFrame) -> DataFrame:
     extent = stored(_extent(parts), "extent")
     pieces = numbered(parts)
     walks = walked(pieces)
-    inside = _odd_above(_rings(walks), parts.join(pieces, ["g", "a", "b"]), extent, "part").select("walk").distinct().withColumn("covered", F.lit(True))
-    sides = stored(walks.join(inside, "walk", "left").select("h", F.coalesce("covered", F.lit(False)).alias("covered")), "sides")
+    inside = _odd_above(_rings(walks), parts.join(_shuffled(pieces), ["g", "a", "b"]), extent, "part").select("walk").distinct().withColumn("covered", F.lit(True))
+    sides = stored(walks.join(_shuffled(inside), "walk", "left").select("h", F.coalesce("covered", F.lit(False)).alias("covered")), "sides")
     twins = sides.select(F.col("h").bitwiseXOR(F.lit(1).cast("long")).alias("h"), F.col("covered").alias("other"))
-    border = sides.join(twins, "h").where("covered != other").select(F.shiftright("h", 1).alias("id")).distinct()
-    kept = stored(pieces.join(border, "id", "left_semi"), "border")
-    again = walked(kept).join(sides, "h")
+    border = sides.join(_shuffled(twins), "h").where("covered != other").select(F.shiftright("h", 1).alias("id")).distinct()
+    kept = stored(pieces.join(_shuffled(border), "id", "left_semi"), "border")
+    again = walked(kept).join(_shuffled(sides), "h")
     return polygons(again, extent)
 
 
@@ -383,6 +388,6 @@ def polygonize(df: DataFrame, key: str, lines: str, everywhere: bool = False, di
         pieces = numbered(noded(edges, digits) if everywhere else edges)
         walks = walked(pieces)
         twins = walks.select(F.col("h").bitwiseXOR(F.lit(1).cast("long")).alias("h"), F.col("walk").alias("other"))
-        two = walks.select("h", "walk").join(twins, "h").where("walk != other").select(F.shiftright("h", 1).alias("id")).distinct()
-        kept = stored(pieces.join(two, "id", "left_semi"), "cycles")
+        two = walks.select("h", "walk").join(_shuffled(twins), "h").where("walk != other").select(F.shiftright("h", 1).alias("id")).distinct()
+        kept = stored(pieces.join(_shuffled(two), "id", "left_semi"), "cycles")
         return stored(polygons(walked(kept).withColumn("covered", F.lit(True)), stored(_extent(kept), "extent")).withColumnRenamed("g", key), "areas", keep=True)

@@ -132,7 +132,7 @@ def zones(rows: DataFrame, key: str, geometry: str) -> DataFrame:
     lines = shape.where("_lines IS NOT NULL")
     if not lines.isEmpty():
         enclosed = planar.polygonize(lines, "_row", "_lines").withColumnRenamed("polygons", "_multi")
-        areas = areas.unionByName(lines.select(key, "_row").join(enclosed, "_row"))
+        areas = areas.unionByName(lines.select(key, "_row").join(enclosed.hint("merge"), "_row"))
     return planar.union(areas, key, "_row", "_multi")
 
 

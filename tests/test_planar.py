@@ -154,6 +154,17 @@ def test_a_feed_of_large_and_small_shapes(spark):
     assert (got["bow"].lng, got["bow"].lat) == pytest.approx((0.25, 1.25))
 
 
+def test_edges_are_not_sent_through_the_driver(spark):
+    import re
+
+    rings = frame(spark, [(k, [[pts(r) for r in v[0]]]) for k, v in KNOWN.items()]).withColumn("part", F.lit(0))
+    noded = planar.noded(planar.ring_edges(rings, "k", "part", F.flatten("p")))
+    assert noded.collect()
+    plan = noded._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "SortMergeJoin" in plan
+    assert all("," not in keys for keys in re.findall(r"BroadcastHashJoin \[([^\]]*)\]", plan))  # extents, by geometry alone
+
+
 def test_polygonize(spark):
     square = [(0, 0), (4, 0), (4, 4), (0, 4), (0, 0)]
     inner = [(1, 1), (2, 1), (2, 2), (1, 2), (1, 1)]
