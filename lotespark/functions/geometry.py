@@ -429,18 +429,23 @@ _POSITIONS = "array<array<double>>"
 
 def from_geojson(geometry: Column) -> Column:
     """A geometry's JSON text as polygons: array of polygons of rings; lines are closed, points become discs, other kinds null (lines_from_geojson reads several lines)."""
-    kind = F.get_json_object(geometry, "$.type")
     coords = F.get_json_object(geometry, "$.coordinates")
-    rings = F.transform(F.from_json(coords, f"array<{_POSITIONS}>"), points)
-    multi = F.transform(F.from_json(coords, f"array<array<{_POSITIONS}>>"), lambda p: F.transform(p, points))
     line = points(F.from_json(coords, _POSITIONS))
     spot = F.from_json(coords, "array<double>")
-    return (
-        F.when(kind == "Polygon", F.array(rings))
-        .when(kind == "MultiPolygon", multi)
-        .when((kind == "LineString") & (F.size(line) >= 3), F.array(line_to_polygon(line)))
-        .when(kind == "Point", F.array(disc(spot[0], spot[1])))
-    )
+
+    def kinds(d: Column) -> Column:
+        kind = F.coalesce(d["type"], F.get_json_object(geometry, "$.type"))
+        # a text is parsed once for a polygon; what that can't read is looked at again
+        rings = F.coalesce(d["coordinates"], F.from_json(coords, f"array<{_POSITIONS}>"))
+        multi = F.transform(F.from_json(coords, f"array<array<{_POSITIONS}>>"), lambda p: F.transform(p, points))
+        return (
+            F.when(kind == "Polygon", F.array(F.transform(rings, points)))
+            .when(kind == "MultiPolygon", multi)
+            .when((kind == "LineString") & (F.size(line) >= 3), F.array(line_to_polygon(line)))
+            .when(kind == "Point", let(spot, lambda s: F.array(disc(s[0], s[1]))))
+        )
+
+    return let(F.from_json(geometry, f"type string, coordinates array<{_POSITIONS}>"), kinds)
 
 
 def lines_from_geojson(geometry: Column) -> Column:

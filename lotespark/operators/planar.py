@@ -20,13 +20,19 @@ Rows whose geometry has no area give no row. Results are arrays of polygons, in
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..runtime import forget, stored, temporary
+from ..runtime import forget, ready, stored, temporary
+from . import planar_rows
 
 DIGITS = 9
+POLYGON = "array<array<struct<x:double,y:double>>>"
 #: A vertex this near to an edge lies on it: less than the grid's step.
 NEAR = 0.7 * 10.0**-DIGITS
 
@@ -252,124 +258,21 @@ def repair(df: DataFrame, key: str, multi: str, digits: int = DIGITS) -> DataFra
     return union(df.select(key, multi, F.lit(0).alias("_part")), key, "_part", multi, digits)
 
 
-# The same for one small shape, within its row. What a lambda uses is bound by let: Spark may put the expression behind a column in its place.
-
-
-def _same(p: Column, q: Column) -> Column:
-    """Are two places equal? Spark compares nested structs much more slowly than their numbers."""
-    return (p["x"] == q["x"]) & (p["y"] == q["y"])
-
-
-def _same_edge(e: Column, f: Column) -> Column:
-    return _same(e["a"], f["a"]) & _same(e["b"], f["b"])
-
-
-def _firsts(es: Column, test=lambda e: F.lit(True)) -> Column:
-    """Different edges of es that pass the test."""
-    return F.filter(es, lambda e, i: test(e) & ~F.exists(F.slice(es, F.lit(1), i), lambda f: _same_edge(e, f)))
-
-
-def _local_edges(multi: Column, digits: int) -> Column:
-    """struct(a, b): the edges of all rings, on the grid, the lesser end first."""
-    sides = F.flatten(F.transform(F.flatten(multi), lambda r: G.edges(G.closed(r))))
-    snapped = F.filter(F.transform(sides, lambda e: F.struct(_snapped(e["a"], digits).alias("p"), _snapped(e["b"], digits).alias("q"))), lambda e: ~_same(e["p"], e["q"]))
-    before = lambda e: (e["p"]["x"] < e["q"]["x"]) | (e["p"]["x"] == e["q"]["x"]) & (e["p"]["y"] < e["q"]["y"])
-    way = lambda e, p, q: F.struct(e[p].alias("a"), e[q].alias("b"))
-    return F.transform(snapped, lambda e: F.when(before(e), way(e, "p", "q")).otherwise(way(e, "q", "p")))
-
-
-def _local_meetings(es: Column, digits: int) -> Column:
-    """struct(e, p): the places at which edges are to be split. es: different edges."""
-    low, high = (lambda e, c: F.least(e["a"][c], e["b"][c])), lambda e, c: F.greatest(e["a"][c], e["b"][c])
-    near = lambda e, f, c: (low(e, c) <= high(f, c) + NEAR) & (low(f, c) <= high(e, c) + NEAR)
-    aside = lambda e, p: (e["b"]["x"] - e["a"]["x"]) * (p["y"] - e["a"]["y"]) - (e["b"]["y"] - e["a"]["y"]) * (p["x"] - e["a"]["x"])
-    slack = lambda e: NEAR * (F.abs(e["b"]["x"] - e["a"]["x"]) + F.abs(e["b"]["y"] - e["a"]["y"]))
-    astride = lambda e, f: G.let(F.struct(aside(e, f["a"]).alias("a"), aside(e, f["b"]).alias("b"), slack(e).alias("s")), lambda t: (F.least(t["a"], t["b"]) <= t["s"]) & (F.greatest(t["a"], t["b"]) >= -t["s"]))
-    others = lambda e, i: F.filter(F.slice(es, i + 2, F.size(es)), lambda f: near(e, f, "x") & near(e, f, "y") & astride(e, f) & astride(f, e))
-    return F.flatten(F.transform(es, lambda e, i: F.flatten(F.filter(F.transform(others(e, i), lambda f: _meetings(e, f, digits)), lambda m: m.isNotNull()))))
-
-
-def _local_follow(halves: Column) -> Column:
-    """The number of the half-edge that follows each, with the face on its left. halves: u, v, k = (angle, number)."""
-
-    def after(e: Column, i: Column) -> Column:
-        twin = F.get(halves, i.bitwiseXOR(F.lit(1)))["k"]
-        out = F.transform(F.filter(halves, lambda f: _same(f["u"], e["v"])), lambda f: f["k"])
-        return G.let(out, lambda o: F.coalesce(F.array_max(F.filter(o, lambda k: k < twin)), F.array_max(o))["n"])
-
-    return F.transform(halves, after)
-
-
-def _local_leaders(follow: Column) -> Column:
-    """The half-edges that are the least of their walk, by pointer doubling."""
-    start = F.struct(follow.alias("jump"), F.transform(follow, lambda j, i: F.least(i, j)).alias("walk"))
-    step = lambda s, _: F.struct(F.transform(s["jump"], lambda j: F.get(s["jump"], j)).alias("jump"), F.transform(s["walk"], lambda w, i: F.least(w, F.get(s["walk"], F.get(s["jump"], i)))).alias("walk"))
-    rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.size(follow) + F.lit(1.0))).cast("int"))
-    return F.aggregate(rounds, start, step, lambda s: F.filter(F.transform(s["walk"], lambda w, i: F.when(w == i, i)), lambda i: i.isNotNull()))
-
-
-def _local_path(n: Column, follow: Column) -> Column:
-    """The half-edges of the walk that begins with n, in order."""
-    start = F.struct(n.alias("at"), F.array().cast("array<int>").alias("path"))
-    go = lambda s, _: F.when((F.size(s["path"]) > 0) & (s["at"] == n), s).otherwise(F.struct(F.get(follow, s["at"]).alias("at"), F.concat(s["path"], F.array(s["at"])).alias("path")))
-    return F.aggregate(follow, start, go, lambda s: s["path"])
-
-
-def _local_walk(path: Column, halves: Column) -> Column:
-    """struct(area, n, ring, path, at) of a walk: signed area, its first half-edge, its points and half-edges in order, and a half-edge to judge it by."""
-    ring = F.transform(path, lambda i: F.struct(F.get(halves, i)["u"]["x"].alias("x"), F.get(halves, i)["u"]["y"].alias("y")))
-    wide = F.array_max(F.transform(path, lambda i: F.struct(F.abs(F.get(halves, i)["v"]["x"] - F.get(halves, i)["u"]["x"]).alias("w"), i.alias("n"))))["n"]
-    local = lambda r: F.transform(r, lambda p: F.struct((p["x"] - r[0]["x"]).alias("x"), (p["y"] - r[0]["y"]).alias("y")))
-    at = G.let(F.get(halves, wide), lambda h: F.struct(F.shiftright(h["k"]["n"], 1).alias("n"), ((h["u"]["x"] + h["v"]["x"]) / 2).alias("x"), ((h["u"]["y"] + h["v"]["y"]) / 2).alias("y"), (h["v"]["x"] < h["u"]["x"]).alias("below")))
-    return G.let(ring, lambda r: F.struct(G.ring_area(local(r)).alias("area"), F.get(path, F.lit(0)).alias("n"), r.alias("ring"), path.alias("path"), at.alias("at")))
-
-
-def _local_odd_above(at: Column, pieces: Column, numbers: Column) -> Column:
-    """Is the number of these pieces above the judging half-edge odd?"""
-
-    def above(i: Column) -> Column:
-        a, b = F.get(pieces, i)["a"], F.get(pieces, i)["b"]
-        height = a["y"] + (at["x"] - a["x"]) * (b["y"] - a["y"]) / F.nullif(b["x"] - a["x"], F.lit(0.0))
-        return (F.least(a["x"], b["x"]) <= at["x"]) & (at["x"] < F.greatest(a["x"], b["x"])) & F.when(i == at["n"], at["below"]).otherwise(height > at["y"])
-
-    return F.size(F.filter(numbers, above)) % 2 == 1
+def repaired(df: DataFrame, multi: str, name: str, digits: int = DIGITS) -> DataFrame:
+    """df and `name`: the polygons that `repair` gives, made in the row itself, for shapes of few corners (planar_rows). Nothing is written or shuffled; the work grows with the square of corners and crossings. Null if nothing has an area."""
+    return _in_rows(df, multi, name, f"array<{POLYGON}>", partial(planar_rows.repaired, digits=digits))
 
 
-def _local_holes(walks: Column, pieces: Column) -> Column:
-    """struct(shell, r): the loops of the walks with the clock, and the least shell around them."""
-    under = lambda w, s: _local_odd_above(w["at"], pieces, F.transform(s["path"], lambda i: F.shiftright(i, 1)))
-    home = lambda w: F.array_min(F.transform(F.filter(walks, lambda s: (s["area"] > 0) & under(w, s)), lambda s: F.struct(s["area"], s["n"])))["n"]
-    return F.transform(F.filter(walks, lambda w: w["area"] < 0), lambda w: F.struct(home(w).alias("shell"), _closed(loops(w["ring"])).alias("r")))
+def largest_valid(df: DataFrame, multi: str, name: str, digits: int = DIGITS) -> DataFrame:
+    """df and `name`, struct(polygon, x, y): the largest of the row's polygons, which are repaired as a whole first if one isn't sound (geometry.repaired), and its centroid; in the row itself as `repaired`."""
+    return _in_rows(df, multi, name, f"polygon {POLYGON}, x double, y double", partial(planar_rows.largest_valid, digits=digits))
 
 
-def repaired(df: DataFrame, multi: str, name: str, digits: int = DIGITS) -> DataFrame:
-    """df and `name`: the polygons that `repair` gives, made in the row itself, for shapes of few corners. Nothing is written or shuffled; the work grows with the square of corners and crossings. Null if nothing has an area.
+def _in_rows(df: DataFrame, multi: str, name: str, kind: str, work: Callable[[pa.Array], pa.Array]) -> DataFrame:
+    def column(shapes: pa.Array) -> pa.Array:
+        return work(shapes)
 
-    With one part, all pieces are border: what is to the left of an odd piece is not what is to its right.
-    """
-    two = lambda a, b, body: G.let(F.col(a), lambda x: G.let(F.col(b), lambda y: body(x, y)))
-    cuts = lambda met, e: F.transform(F.filter(met, lambda m: _same_edge(m["e"], e)), lambda m: m["p"])
-    angle = lambda u, v: F.atan2(v["y"] - u["y"], v["x"] - u["x"])
-    way = lambda e, u, v: F.struct(e[u].alias("u"), e[v].alias("v"))
-    of = lambda s, hs: F.flatten(F.transform(F.filter(hs, lambda h: h["shell"] == s["n"]), lambda h: h["r"]))
-    steps = {
-        "_edges": _local_edges(F.col(multi), digits),
-        "_met": G.let(G.let(F.col("_edges"), lambda es: _firsts(es)), lambda es: _local_meetings(es, digits)),
-        "_run": two("_edges", "_met", lambda es, met: F.flatten(F.transform(es, lambda e: _split(e["a"], e["b"], cuts(met, e))))),
-        "_pieces": G.let(F.col("_run"), lambda ps: _firsts(ps, lambda p: F.size(F.filter(ps, lambda q: _same_edge(p, q))) % 2 == 1)),
-        "_ways": F.when(F.size("_pieces") > 0, F.flatten(F.transform("_pieces", lambda e: F.array(way(e, "a", "b"), way(e, "b", "a"))))),
-        "_halves": F.transform("_ways", lambda e, i: F.struct(e["u"].alias("u"), e["v"].alias("v"), F.struct(angle(e["u"], e["v"]).alias("angle"), i.alias("n")).alias("k"))),
-        "_follow": G.let(F.col("_halves"), _local_follow),
-        "_paths": G.let(F.col("_follow"), lambda fs: F.transform(_local_leaders(fs), lambda n: _local_path(n, fs))),
-        "_walks": G.let(F.col("_halves"), lambda hs: F.transform("_paths", lambda path: _local_walk(path, hs))),
-        "_covered": G.let(F.col("_pieces"), lambda ps: F.filter("_walks", lambda w: (w["area"] != 0) & _local_odd_above(w["at"], ps, F.sequence(F.lit(0), F.size(ps) - 1)))),
-        "_holes": two("_covered", "_pieces", _local_holes),
-        "_whole": G.let(F.col("_holes"), lambda hs: F.transform(F.filter("_covered", lambda w: w["area"] > 0), lambda s: _polygon(_closed(loops(s["ring"])), of(s, hs)))),
-    }
-    out = df
-    for step, value in steps.items():
-        out = out.withColumn(step, value)
-    return out.withColumn(name, F.when(F.size("_whole") > 0, F.array_sort("_whole"))).drop(*steps)
+    return ready(df).withColumn(name, F.arrow_udf(column, kind)(F.col(multi)))
 
 
 def polygonize(df: DataFrame, key: str, lines: str, everywhere: bool = False, digits: int = DIGITS) -> DataFrame:

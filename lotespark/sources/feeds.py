@@ -19,7 +19,7 @@ from ..operators import planar
 from ..runtime import forget, stored
 from . import paged
 
-COLLECTION = "features array<struct<properties: map<string,string>, attributes: map<string,string>, geometry: string>>"
+FEATURE = "properties map<string,string>, attributes map<string,string>, geometry string"
 
 #: Names under which feeds carry a field, in order of preference.
 ALIASES = {
@@ -63,15 +63,19 @@ def land_pages(docs: DataFrame, path: str) -> None:
 
 
 def features(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Features of GeoJSON collections, single features, bare geometries and ArcGIS pages: position, properties, geometry text."""
+    """Features of GeoJSON collections, single features, bare geometries and ArcGIS pages: position, properties, geometry text. A document is parsed once."""
     body = F.col(text)
-    kind = F.get_json_object(body, "$.type")
-    whole = F.from_json(body, COLLECTION)["features"]
-    single = F.from_json(F.concat(F.lit('{"features":['), body, F.lit("]}")), COLLECTION)["features"]
+    docs_ = F.col("_docs")
+    first = F.get(docs_, F.lit(0))
+    kind = F.coalesce(first["type"], F.get_json_object(body, "$.type"))
+    whole = F.coalesce(first["features"], F.from_json(F.when(docs_.isNull(), body), f"features array<struct<{FEATURE}>>")["features"])
+    single = F.transform(docs_, lambda d: F.struct(d["properties"].alias("properties"), d["attributes"].alias("attributes"), d["geometry"].alias("geometry")))
     bare = F.array(F.struct(F.create_map().cast("map<string,string>").alias("properties"), F.create_map().cast("map<string,string>").alias("attributes"), body.alias("geometry")))
     found = F.when(whole.isNotNull(), whole).when(kind == "Feature", single).when(kind.isin("Polygon", "MultiPolygon", "LineString", "Point"), bare)
     rest = [c for c in docs.columns if c != text]
-    rows = docs.select(*rest, F.posexplode(found).alias("pos", "f"))
+    # within an array a text with anything after its end is malformed
+    parsed = F.from_json(F.concat(F.lit('{"docs":['), body, F.lit("]}")), f"docs array<struct<type string, {FEATURE}, features array<struct<{FEATURE}>>>>", {"allowNonNumericNumbers": "false"})
+    rows = docs.withColumn("_docs", parsed["docs"]).select(*rest, F.posexplode(found).alias("pos", "f"))
     return rows.select(*rest, "pos", F.coalesce("f.properties", "f.attributes").alias("properties"), F.col("f.geometry").alias("geometry"))
 
 
@@ -85,13 +89,16 @@ def parcel_features(docs: DataFrame, utm_zone: int = 20) -> DataFrame:
     Geometries whose rings cross, overlap or run back are repaired; of several polygons the
     largest stays. Only what has no area at all is an invalid geometry.
     """
-    rows = largest_valid(features(docs).withColumn("polygons", G.from_geojson(F.col("geometry"))), "polygons", "polygon")
+    # each corner has a bracket in the text, but for a point's disc: few other documents are parsed again in search of large shapes
+    text = F.col("text")
+    wide = F.coalesce((F.size(F.split(text, r"\[")) > SMALL_CORNERS) | F.contains(text, F.lit("Point")) | F.contains(text, F.lit(r"\u")), F.lit(False))
+    rows = features(docs.withColumn("_wide", wide)).withColumn("polygons", G.from_geojson(F.col("geometry")))
+    rows = largest_valid(rows, "polygons", "polygon", "centroid", F.col("_wide"))
     problem = F.when(F.col("geometry").isNull(), "no_geometry").when(F.col("polygon").isNull(), "invalid_geometry")
-    c = G.centroid(F.col("polygon"))
     return rows.select(
         *[x for x in docs.columns if x != "text"], "pos", field("properties", "nomenclatura").alias("nomenclatura"), field("properties", "catastro").alias("catastro"),
         S.department(field("properties", "departamento")).alias("departamento"), S.first_number(*[F.col("properties")[a] for a in ALIASES["numero"]]).alias("numero"),
-        "polygon", c["x"].alias("lng"), c["y"].alias("lat"), G.area_utm_m2(F.col("polygon"), utm_zone).alias("area_m2"), problem.alias("problem"),
+        "polygon", F.col("centroid.x").alias("lng"), F.col("centroid.y").alias("lat"), G.area_utm_m2(F.col("polygon"), utm_zone).alias("area_m2"), problem.alias("problem"),
     )
 
 
@@ -99,26 +106,24 @@ def parcel_features(docs: DataFrame, utm_zone: int = 20) -> DataFrame:
 SMALL_CORNERS, FEW_CORNERS = 24, 1000
 
 
-def largest_valid(rows: DataFrame, polygons: str, name: str) -> DataFrame:
-    """rows with the largest polygon of each row's array; rows with a broken one are repaired as a whole first, small ones in place and others apart, as a graph."""
+def largest_valid(rows: DataFrame, polygons: str, name: str, place: str, wide: Column | None = None) -> DataFrame:
+    """rows with the largest polygon of each row's array and its centroid; rows with a broken one are repaired as a whole first, small ones in place and others apart, as a graph. Only rows that are `wide` are looked through for large ones (all if not given)."""
     p = F.col(polygons)
     corners = F.coalesce(F.aggregate(p, F.lit(0), lambda n, q: n + F.coalesce(F.size(F.flatten(q)), F.lit(0))), F.lit(0))
-    sound = lambda clean: F.coalesce(F.forall(clean, lambda q: q.isNotNull()), F.lit(False))
-    clean = lambda few: F.when((F.size(p) > 0) & (corners <= few), F.transform(p, G.repaired))
-    small = rows.withColumn("_clean", clean(SMALL_CORNERS)).withColumn("_broken", F.when((F.size(p) > 0) & (corners <= SMALL_CORNERS) & ~sound(F.col("_clean")), p))
-    small = planar.repaired(small, "_broken", "_repaired").withColumn("_best", F.when(sound(F.col("_clean")), F.col("_clean")).otherwise(F.col("_repaired")))
-    small = small.withColumn(name, F.when(F.size("_best") > 0, G.largest(F.col("_best")))).drop("_clean", "_broken", "_repaired", "_best")
-    large = stored(rows.where(corners > SMALL_CORNERS).withColumns({"_row": F.monotonically_increasing_id(), "_clean": clean(FEW_CORNERS)}), "shapes")
+    big = (F.lit(True) if wide is None else wide) & (corners > SMALL_CORNERS)
+    small = lambda df: planar.largest_valid(df, polygons, "_best").withColumns({name: F.col("_best.polygon"), place: F.struct("_best.x", "_best.y")}).drop("_best")
+    sound = F.coalesce(F.forall("_clean", lambda q: q.isNotNull()), F.lit(False))
+    large = stored(rows.where(big).withColumns({"_row": F.monotonically_increasing_id(), "_clean": F.when((F.size(p) > 0) & (corners <= FEW_CORNERS), F.transform(p, G.repaired))}), "shapes")
     if large.isEmpty():
         forget(large)
-        return small
-    bad = large.where(~sound(F.col("_clean"))).select("_row", polygons)
-    whole = F.when(sound(F.col("_clean")), F.col("_clean"))
+        return small(rows)
+    bad = large.where(~sound).select("_row", polygons)
+    whole = F.when(sound, F.col("_clean"))
     if not bad.isEmpty():
         large = large.join(planar.repair(bad, "_row", polygons).withColumnRenamed("polygons", "_repaired"), "_row", "left")
         whole = F.coalesce(whole, F.col("_repaired"))
     large = large.withColumn(name, F.when(F.size(whole) > 0, G.largest(whole))).drop("_row", "_clean", "_repaired")
-    return small.where(corners <= SMALL_CORNERS).unionByName(large)
+    return small(rows.where(~big)).unionByName(large.withColumn(place, G.centroid(F.col(name))))
 
 
 def zones(rows: DataFrame, key: str, geometry: str) -> DataFrame:

@@ -125,6 +125,64 @@ def test_small_shapes_are_repaired_in_their_row(spark, monkeypatch):
     assert {r.k: r.a for r in feed.withColumn("a", G.area(F.col("polygon"))).collect()} == {1: pytest.approx(1.0), 2: pytest.approx(16.0), 7: None}
 
 
+def test_a_batch_of_shapes_is_repaired_at_once(monkeypatch):
+    from decimal import ROUND_HALF_UP, Decimal
+
+    import numpy as np
+    import pyarrow as pa
+
+    from lotespark.operators import planar_rows as R
+
+    kind = pa.list_(pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))))
+    column = lambda rows: pa.array([r and [q and [[dict(zip("xy", p)) for p in pts(ring)] for ring in q] for q in r] for r in rows], kind)
+    plain = lambda polys: [[[(p["x"], p["y"]) for p in ring] for ring in poly] for poly in polys or []]
+    rng = random.Random(9)
+    rows = [[v[0]] for v in KNOWN.values()]
+    for _ in range(300):
+        side = rng.choice([4, 8, 1000])
+        rows.append([[[(rng.randint(0, side), rng.randint(0, side)) for _ in range(rng.randint(3, 14))] for _ in range(rng.randint(1, 2))] for _ in range(rng.randint(1, 2))])
+    nan, none = float("nan"), [None, [], [[]], [None]]
+    shapes_ = column([*rows, *none, [[[(0, 0), (1, 0), (1, nan), (0, 1)]]], [KNOWN[4][0], None]])
+    every, best = R.repaired(shapes_, 9).to_pylist(), R.largest_valid(shapes_, 9).to_pylist()
+    assert every[len(rows) :] == [None] * 6 and best[len(rows) :] == [{"polygon": None, "x": None, "y": None}] * 6
+    for r, polys, one in zip(rows, every, best):
+        got = plain(polys)
+        check_valid(got)
+        assert got == sorted(got) and area(got) == pytest.approx(plain_area([[ring for q in r for ring in q]]), rel=1e-6, abs=1e-6), r
+        if got and len(r) == len(r[0]) == 1:
+            assert abs(area(plain([one["polygon"]]))) == pytest.approx(max(area([p]) for p in got))
+    monkeypatch.setattr(R, "BLOCK", 40)  # other blocks, same shapes
+    assert R.repaired(shapes_, 9).to_pylist() == every and R.largest_valid(shapes_, 9).to_pylist() == best
+    # groups whose hashes are one are told apart by their values
+    assert R._firsts(np.array([0, 0, 1 << 24, 1 << 24]), np.array([1.5, 1.5, 1.5, 2.5])).tolist() == [0, 0, 2, 3]
+    values = [rng.uniform(-180, 180) for _ in range(500)] + [k / 1e10 for k in range(-561234567915, -561234567415)] + [7123456.1234567895, 1e300, -3e-10, 5e-10, -5e-10, 0.0]
+    with np.errstate(all="ignore"):
+        snapped = R._snapped(np.array(values), 9).tolist()
+    assert snapped == [float(Decimal(repr(v)).quantize(Decimal("1e-9"), ROUND_HALF_UP, R._WIDE)) for v in values]
+
+
+def test_a_feed_is_repaired_by_one_step_over_batches(spark):
+    import json
+
+    from lotespark.sources import feeds
+
+    feature = lambda c, kind="Polygon": json.dumps({"type": "Feature", "properties": {"CATASTRO": 7}, "geometry": {"type": kind, "coordinates": c}})
+    square, bow, bare = [[0, 0], [1, 0], [1, 1], [0, 1], [0, 0]], [[0, 0], [1, 1], [1, 0], [0, 3], [0, 0]], '{"type":"Polygon","coordinates":[[[0,0],[1,0],[1,1],[0,0]]]}'
+    two = '{"type":"FeatureCollection","features":[' + feature([square]) + "," + feature([bow]) + "]}"
+    texts = [feature([square]), feature([bow]), two, feature([[bow], [square]], "MultiPolygon"), bare, bare.replace("[1,1]", '[1,"NaN"]'), feature([square]) + " more", feature([square]) + feature([bow]), bare.replace("[1,1]", "[1,NaN]"), bare[:-9], "", "null", None, feature([square, None]), feature([3, 4], "Point"), feature([3, 4], "\\u0050oint").replace("\\\\", "\\")]
+    feed = feeds.parcel_features(spark.createDataFrame(list(enumerate(texts)), "k int, text string"))
+    small = feeds.parcel_features(spark.createDataFrame(list(enumerate(texts[:14])), "k int, text string"))
+    got = {}
+    for r in feed.withColumn("a", F.round(G.area(F.col("polygon")), 6)).orderBy("k", "pos").collect():
+        got.setdefault(r.k, []).append((r.a, r.problem))
+    disc = got.pop(14)
+    assert disc == got.pop(15) and disc[0][0] == pytest.approx(3.12e-6, rel=0.2)
+    assert got.pop(3) == [(0.666667, None)]  # what either the square or the bow covers; the bow's tip is largest
+    assert got == {0: [(1.0, None)], 1: [(1.125, None)], 2: [(1.0, None), (1.125, None)], 4: [(0.5, None)], 5: [(None, "invalid_geometry")], 13: [(1.0, None)]}
+    plan = small.select("k", "lng", "lat", F.size("polygon"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "Exchange" not in plan
+
+
 def test_union_of_random_parts(spark):
     rng = random.Random(2)
     groups = {k: [[[(rng.randint(0, s), rng.randint(0, s)) for _ in range(rng.randint(3, 6))]] for _ in range(rng.randint(1, 7))] for k, s in enumerate([6, 6, 20, 20, 500, 500, 500])}
