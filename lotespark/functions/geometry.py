@@ -433,19 +433,23 @@ def from_geojson(geometry: Column) -> Column:
     line = points(F.from_json(coords, _POSITIONS))
     spot = F.from_json(coords, "array<double>")
 
+    # a text is parsed once, by the word for several at the depth of one or of several; what that can't read is looked at again
+    several = F.contains(geometry, F.lit("Multi"))
+    read = lambda text, kind: F.from_json(text, f"type string, coordinates {kind}")
+    whole = F.struct(read(F.when(~several, geometry), f"array<{_POSITIONS}>").alias("one"), read(F.when(several, geometry), f"array<array<{_POSITIONS}>>").alias("many"))
+
     def kinds(d: Column) -> Column:
-        kind = F.coalesce(d["type"], F.get_json_object(geometry, "$.type"))
-        # a text is parsed once for a polygon; what that can't read is looked at again
-        rings = F.coalesce(d["coordinates"], F.from_json(coords, f"array<{_POSITIONS}>"))
-        multi = F.transform(F.from_json(coords, f"array<array<{_POSITIONS}>>"), lambda p: F.transform(p, points))
+        kind = F.coalesce(d["one"]["type"], d["many"]["type"], F.get_json_object(geometry, "$.type"))
+        rings = F.coalesce(d["one"]["coordinates"], F.from_json(coords, f"array<{_POSITIONS}>"))
+        multi = F.coalesce(d["many"]["coordinates"], F.from_json(coords, f"array<array<{_POSITIONS}>>"))
         return (
             F.when(kind == "Polygon", F.array(F.transform(rings, points)))
-            .when(kind == "MultiPolygon", multi)
+            .when(kind == "MultiPolygon", F.transform(multi, lambda p: F.transform(p, points)))
             .when((kind == "LineString") & (F.size(line) >= 3), F.array(line_to_polygon(line)))
             .when(kind == "Point", let(spot, lambda s: F.array(disc(s[0], s[1]))))
         )
 
-    return let(F.from_json(geometry, f"type string, coordinates array<{_POSITIONS}>"), kinds)
+    return let(whole, kinds)
 
 
 def lines_from_geojson(geometry: Column) -> Column:
